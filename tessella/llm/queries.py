@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import quality_rules
+from tessella.llm import decontaminate, line_dedup, mixing, quality_rules
 from tessella.llm.common import table
 
 
@@ -14,8 +14,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixing.mix(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+    "op9_mixing": op9_mixing,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -24,7 +41,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _OP2 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 g AS (
   SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS w
@@ -37,7 +54,7 @@ m AS (
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
          length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
          length(regexp_replace(text, '[^a-z]', '', 'g'))::BIGINT AS n_lower,
-         coalesce(list_sum(list_transform(ws, (w, i) -> (i < len(ws) AND w = ws[i + 1])::INT)), 0)::BIGINT AS n_stutter
+         coalesce(list_sum(list_transform(ws, lambda w, i: (i < len(ws) AND w = ws[i + 1])::INT)), 0)::BIGINT AS n_stutter
   FROM d LEFT JOIN cov USING (r)),
 b AS (
   SELECT *, (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
@@ -48,6 +65,62 @@ b AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
+#: Exact containment of every item in every document, by shingle text (no item has fewer than five words here).
+_OP1 = rf"""
+WITH g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS w
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))),
+q AS (
+  SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS w
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark))),
+n AS (SELECT item_id, count(*) AS n_shingles FROM q GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_found, n_shingles, count(*) / n_shingles AS containment
+FROM g JOIN q USING (w) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+"""
+
+#: Exact distinct sites of every line.
+_OP5 = r"""
+WITH l AS (
+  SELECT r, doc_id, coalesce(source, '') AS site, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 AS long
+  FROM (SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+b AS (SELECT bare, min(doc_id) AS keeper FROM l WHERE long GROUP BY bare HAVING count(DISTINCT site) >= 5),
+m AS (SELECT l.*, coalesce(long AND doc_id <> keeper, false) AS gone FROM l LEFT JOIN b USING (bare))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
+       count(*) FILTER (gone) AS n_removed
+FROM m GROUP BY r, doc_id
+"""
+
+_OP9 = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS t FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w
+  FROM d GROUP BY source),
+o AS (
+  SELECT *, 3 * source_size AS cap,
+         sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER below, 0) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER below, 0) AS rest_w,
+         row_number() OVER (ORDER BY 3 * source_size / w, source NULLS LAST) AS rn
+  FROM s WINDOW below AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT rest, rest_w FROM o WHERE rest * w < cap * rest_w ORDER BY rn LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN o.rest * w >= cap * o.rest_w OR f.rest IS NULL THEN cap::DOUBLE ELSE (f.rest * w)::DOUBLE / f.rest_w END AS target
+  FROM o LEFT JOIN f ON true),
+p AS (
+  SELECT doc_id, size, source_size, target, floor(target)::BIGINT AS budget,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN budget // source_size * size + greatest(0, least(size, budget % source_size - start)) ELSE 0 END)::BIGINT AS taken
+FROM p
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": _OP1,
     "op2_quality_rules": _OP2,
+    "op5_line_dedup": _OP5,
+    "op9_mixing": _OP9,
 }
