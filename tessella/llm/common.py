@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,13 +59,20 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once and keep it in the folder of spark.checkpoint.dir, which all executors share.
-
-    The folder is set here only where the session has none, as in local tests.
-    """
-    context = df.sparkSession.sparkContext
+def _shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where the session has none."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or "/tmp/tessella-checkpoints")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute `df` once and keep it in the shared folder; cuts the lineage."""
+    _shared(df.sparkSession)
     return df.checkpoint()

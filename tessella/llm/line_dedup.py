@@ -90,3 +90,11 @@ def remove_boilerplate(
     if counts:
         kept += [F.size(n_all).cast("long").alias("n_lines"), (F.size(n_all) - F.size(n_left)).cast("long").alias("n_removed")]
     return joined.select(*kept)
+
+
+def with_length(docs: DataFrame, name: str = "n_chars") -> DataFrame:
+    """`docs` with the column `name`, if it has one, set to the number of characters of `text`."""
+    if name not in docs.columns:
+        return docs
+    length = F.length("text").cast(docs.schema[name].dataType)
+    return docs.select(*[length.alias(c) if c == name else F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, line_dedup, mixing, quality_rules
+from tessella.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
 from tessella.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.with_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = mixing.mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -32,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_near_dedup": op6_near_dedup,
     "op9_mixing": op9_mixing,
 }
 
