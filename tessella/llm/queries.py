@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
+from tessella.llm import (
+    decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, url_filters,
+)
 from tessella.llm.common import table
 
 
@@ -18,6 +20,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_score.score(table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     return cleaned.select("doc_id", "text", "n_lines", "n_removed")
@@ -35,9 +59,14 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_token_counts": op4_token_counts,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_dedup": op6_near_dedup,
+    "op7_license_scan": op7_license_scan,
+    "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -123,9 +152,35 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+#: The longest rule that fits, then the blocking patterns in their order, as regular expressions over host#path.
+_OP8 = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest
+  FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/]*(.*)$', 1, 's') AS path FROM p),
+r AS (
+  SELECT *, CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
+                 WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM h),
+b AS (
+  SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
+    WHEN host LIKE '%adult-%' THEN '*adult-*#*' WHEN host LIKE '%casino%' THEN '*casino*#*' WHEN host LIKE '%cheap-pills%' THEN '*cheap-pills*#*'
+    WHEN host LIKE '%free-bets%' THEN '*free-bets*#*' WHEN host LIKE '%spam-farm%' THEN '*spam-farm*#*' WHEN host LIKE '%ads-track%' THEN '*ads-track*#*'
+    WHEN host LIKE 'ads.%' THEN 'ads.*#*' WHEN host LIKE 'adserver.%' THEN 'adserver.*#*' WHEN host LIKE '%.doubleclick.%' THEN '*.doubleclick.*#*'
+    WHEN path LIKE '%/wp-login.php' THEN '*#*/wp-login.php' WHEN path LIKE '%.exe' THEN '*#*.exe' END AS pattern FROM r)
+SELECT page_id, host, path, rule, pattern,
+       CASE WHEN rule IN ('com/', 'www.example.com/en/') OR (rule IS NULL AND pattern IS NULL) THEN 'allow' ELSE 'block' END AS verdict
+FROM b
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op2_quality_rules": _OP2,
     "op5_line_dedup": _OP5,
+    "op8_url_filters": _OP8,
     "op9_mixing": _OP9,
 }
