@@ -9,10 +9,10 @@ around the diagonal, L / (n1 + n2 - L). It is 0.8 or more for near duplicates. A
 subsequence is the longest increasing run of matched places, found in n log n.
 
 Groups of any size are handled without listing their pairs: equal texts are one class first. Then each band's bucket links its
-members to one of them, drawn by a hash that differs from band to band, and connected components are formed. What remains are
-buckets whose members are in several components; their members are compared across components in blocks of `BLOCK` rows by
-their sketches alone, and only pairs that may be similar are aligned. So every pair that shares a band ends up in one class,
-or has been compared.
+members to its most central one, the member that meets most others in all its buckets, and connected components are formed.
+What remains are buckets whose members are in several components. Their members are compared across components in blocks of
+`BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a few hundredths, and only pairs that may reach
+the threshold are aligned. So every pair that shares a band ends up in one class, or has been compared.
 
 Rows are identified by doc_id. Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if
 they are equal, as are empty texts; null texts and rows with a null id are in no class (class_id is their own id, `kept` is
@@ -35,8 +35,9 @@ from tessella.llm.common import SIMILAR, fresh, settle
 
 BANDS, ROWS_A_BAND = 16, 2
 SKETCHES = BANDS * ROWS_A_BAND
-#: Sketches that two texts must share for an alignment across components; texts at 0.8 share 20 of 32 on average.
-SHARED = 8
+#: Bytes of a signature, and the least estimate at which a pair is aligned: four standard errors below the threshold.
+BINS = 512
+ESTIMATE = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / BINS) ** 0.5
 BLOCK = 256
 SEEDS = aw.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -60,6 +61,15 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return aw.mixed(aw.mixed(first) + second)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """A byte for each bin: of the least shingle that falls into it, 1 to 255; 0 for an empty bin."""
+    out = np.zeros(BINS, dtype=np.uint8)
+    ordered = np.sort(shingles)[::-1]  # the least of a bin is written last
+    scrambled = aw.mixed(ordered)
+    out[(scrambled % np.uint64(BINS)).astype(np.int64)] = (scrambled >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in aw.pieces(batch, "text"):
@@ -68,18 +78,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
                 s = aw.labelled(aw.shingle_hashes(word_hashes[a:b]))
-                found.append(sketch(s).astype(np.int64).tobytes() if len(s) else None)
+                found.append(sketch(s).astype(np.uint32).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("text_key"), pa.array(found, type=pa.binary())], names=["doc_id", "text_key", "sketch"]
             )
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, sketch); text_key is a digest of the text, sketch is null for texts without shingles."""
+    """(doc_id, text_key, sketch); text_key is a 128-bit digest of the text, sketch is null for texts without shingles."""
     rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text_key"), "text"
+        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("text_key"), "text"
     )
-    return rows.mapInArrow(_sketches, "doc_id long, text_key string, sketch binary")
+    return rows.mapInArrow(_sketches, "doc_id long, text_key binary, sketch binary")
 
 
 def increasing(places: np.ndarray) -> int:
@@ -124,14 +134,23 @@ def _aligned_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
 
 
-def align(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts are similar."""
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id"), "text")
+def align(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of `pairs` (a, b) whose `texts` (t_id, text) are similar."""
     left = pairs.join(texts, pairs["a"] == F.col("t_id")).select("a", "b", F.col("text").alias("text_a"))
     both = left.join(texts, left["b"] == F.col("t_id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
     return both.mapInArrow(_aligned_pairs, "a long, b long")
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in aw.pieces(batch, "text"):
+            distinct, codes, offsets = aw.split(piece.column("text"))
+            word_hashes = aw.hashes(distinct)[codes] if len(codes) else np.empty(0, dtype=np.uint64)
+            each = zip(offsets[:-1].tolist(), offsets[1:].tolist())
+            found = [signature(aw.labelled(aw.shingle_hashes(word_hashes[a:b]))).tobytes() for a, b in each]
+            yield pa.RecordBatch.from_arrays([piece.column("t_id"), pa.array(found, type=pa.binary())], names=["s_id", "signature"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, c) for every vertex of `edges` (a, b): c is the least vertex connected with it.
 
@@ -160,24 +179,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _bands(found: DataFrame) -> DataFrame:
     """(bucket, doc_id) for the bands of every sketch."""
-    width = 16 * ROWS_A_BAND
+    width = 8 * ROWS_A_BAND  # hexadecimal digits
     numbers = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.hex("sketch"), i * width + 1, F.lit(width))),
     )
-    return found.select("doc_id", F.posexplode(numbers).alias("band", "bucket"))
+    return found.select("doc_id", F.explode(numbers).alias("bucket"))
 
 
 def _block_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block against another (or itself) that are in different components and share enough sketches."""
+    """Pairs of one block against another (or itself) that are in different components and may be similar."""
     one, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    out = []
+    out: list[tuple[int, int]] = []
     if len(one) and len(other):
-        x = np.frombuffer(b"".join(one["sketch"]), dtype=np.int64).reshape(len(one), SKETCHES)
-        y = np.frombuffer(b"".join(other["sketch"]), dtype=np.int64).reshape(len(other), SKETCHES)
-        ids, comps = other["doc_id"].to_numpy(), other["c"].to_numpy()
+        x = np.frombuffer(b"".join(one["signature"]), dtype=np.uint8).reshape(len(one), BINS)
+        y = np.frombuffer(b"".join(other["signature"]), dtype=np.uint8).reshape(len(other), BINS)
+        ids, comps, filled = other["doc_id"].to_numpy(), other["c"].to_numpy(), y > 0
         for row, i, c in zip(x, one["doc_id"].to_numpy(), one["c"].to_numpy()):
-            hit = ((y == row).sum(axis=1) >= SHARED) & (comps != c)
+            equal = ((y == row) & filled).sum(axis=1)
+            hit = (equal >= ESTIMATE * (filled | (row > 0)).sum(axis=1)) & (comps != c)
             out += [(min(i, j), max(i, j)) for j in ids[hit]]
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
@@ -185,16 +205,16 @@ def _block_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 def across(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components `c` within a bucket that may be similar.
 
-    `members`: bucket, n (its rows), doc_id, c, sketch. A bucket's rows are dealt into blocks of about BLOCK rows; each pair of
+    `members`: bucket, n (its rows), doc_id, c, signature. A bucket's rows are dealt into blocks of about BLOCK rows; each pair of
     blocks is one group, so no task sees a whole bucket.
     """
     rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = rows.select("bucket", "doc_id", "c", "sketch", "block", F.explode(others).alias("other"))
+    dealt = rows.select("bucket", "doc_id", "c", "signature", "block", F.explode(others).alias("other"))
     pair = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-    first = dealt.filter("block <= other").select("bucket", "doc_id", "c", "sketch", *pair, F.lit(0).alias("side"))
-    second = dealt.filter("block >= other").select("bucket", "doc_id", "c", "sketch", *pair, F.lit(1).alias("side"))
+    first = dealt.filter("block <= other").select("bucket", "doc_id", "c", "signature", *pair, F.lit(0).alias("side"))
+    second = dealt.filter("block >= other").select("bucket", "doc_id", "c", "signature", *pair, F.lit(1).alias("side"))
     return first.union(second).groupBy("bucket", "x", "y").applyInPandas(_block_pairs, "a long, b long").distinct()
 
 
@@ -208,21 +228,27 @@ def classes(docs: DataFrame) -> DataFrame:
     reps = settle(found.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
 
     bands = _bands(reps.filter("sketch IS NOT NULL").select(F.col("rep").alias("doc_id"), "sketch"))
-    drawn = F.min(F.struct(F.xxhash64("band", "doc_id").alias("h"), F.col("doc_id").alias("leader")))
-    chosen = bands.groupBy("bucket").agg(drawn.alias("x"), F.count("*").alias("n"))
-    chosen = settle(chosen.filter("n > 1").select("bucket", "n", F.col("x.leader").alias("leader")))
-    linked = settle(bands.join(chosen, "bucket").select("bucket", "n", "doc_id", "leader"))
-    star = linked.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).filter("a <> b").distinct()
-    good = settle(align(star, docs))
+    shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    linked = settle(bands.join(shared, "bucket").select("bucket", "n", "doc_id"))
+    central = settle(linked.groupBy("doc_id").agg(F.sum("n").alias("met")))
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id"), "text")
+    texts = settle(texts.join(central, F.col("t_id") == F.col("doc_id"), "left_semi").dropDuplicates(["t_id"]))
+
+    leaders = linked.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("met", "doc_id")).alias("x"))
+    leaders = settle(leaders.select("bucket", F.col("x.doc_id").alias("leader")))
+    star = linked.join(leaders, "bucket").filter("doc_id <> leader")
+    star = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
+    good = settle(align(star, texts))
     parts = components(good)
 
     # buckets that still hold several components
-    known = linked.join(parts, F.col("doc_id") == F.col("v"), "left")
-    known = settle(known.select("bucket", "n", "doc_id", F.coalesce("c", "doc_id").alias("c")))
+    known = linked.join(parts, F.col("doc_id") == F.col("v"), "left").select("bucket", "n", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     mixed = known.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
-    members = known.join(settle(mixed), "bucket", "left_semi").join(reps.select(F.col("rep").alias("doc_id"), "sketch"), "doc_id")
-    more = across(members).join(star, ["a", "b"], "left_anti")
-    good = good.union(align(more, docs))
+    members = known.join(settle(mixed), "bucket", "left_semi")
+    signed = texts.join(members.select("doc_id").distinct(), F.col("t_id") == F.col("doc_id"), "left_semi")
+    signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
+    members = members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id")
+    good = good.union(align(across(members), texts))
 
     # an id that stands for several texts ties their representatives
     held = found.join(reps.select("text_key", "rep"), "text_key").select("doc_id", "rep")
