@@ -12,7 +12,9 @@ Groups of any size are handled without listing their pairs: equal texts are one
 members to its most central one, the member that meets most others in all its buckets, and connected components are formed.
 What remains are buckets whose members are in several components. Their members are compared across components in blocks of
 `BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a few hundredths, and only pairs that may reach
-the threshold are aligned. So every pair that shares a band ends up in one class, or has been compared.
+the threshold are aligned. A first pass aligns each row with its best partner in a block alone, which joins most of a large
+group; a second takes all pairs that are then still in different components. A pair is compared in the first band that it
+shares, and nowhere else. So every pair that shares a band ends up in one class, or has been compared.
 
 Rows are identified by doc_id. Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if
 they are equal, as are empty texts; null texts and rows with a null id are in no class (class_id is their own id, `kept` is
@@ -178,44 +180,59 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _bands(found: DataFrame) -> DataFrame:
-    """(bucket, doc_id) for the bands of every sketch."""
+    """(bucket, band, doc_id) for the bands of every sketch."""
     width = 8 * ROWS_A_BAND  # hexadecimal digits
     numbers = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.hex("sketch"), i * width + 1, F.lit(width))),
     )
-    return found.select("doc_id", F.explode(numbers).alias("bucket"))
+    return found.select("doc_id", F.posexplode(numbers).alias("band", "bucket"))
 
 
-def _block_pairs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block against another (or itself) that are in different components and may be similar."""
+def _block_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
+    """Pairs of one block against another (or itself) that are in different components and may be similar; with `best`, for each row the most similar alone."""
     one, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
     out: list[tuple[int, int]] = []
     if len(one) and len(other):
-        x = np.frombuffer(b"".join(one["signature"]), dtype=np.uint8).reshape(len(one), BINS)
-        y = np.frombuffer(b"".join(other["signature"]), dtype=np.uint8).reshape(len(other), BINS)
-        ids, comps, filled = other["doc_id"].to_numpy(), other["c"].to_numpy(), y > 0
-        for row, i, c in zip(x, one["doc_id"].to_numpy(), one["c"].to_numpy()):
-            equal = ((y == row) & filled).sum(axis=1)
-            hit = (equal >= ESTIMATE * (filled | (row > 0)).sum(axis=1)) & (comps != c)
+        unpack = lambda side, column, kind: np.frombuffer(b"".join(side[column]), dtype=kind).reshape(len(side), -1)
+        x, y = unpack(one, "signature", np.uint8), unpack(other, "signature", np.uint8)
+        bands_x, bands_y = unpack(one, "sketch", np.uint64), unpack(other, "sketch", np.uint64)
+        ids, comps, filled, band = other["doc_id"].to_numpy(), other["c"].to_numpy(), y > 0, int(rows["band"].iloc[0])
+        for row, bands, i, c in zip(x, bands_x, one["doc_id"].to_numpy(), one["c"].to_numpy()):
+            if not (far := comps != c).any():
+                continue
+            share = ((y == row) & filled).sum(axis=1) / (filled | (row > 0)).sum(axis=1)
+            hit = np.nonzero((share >= ESTIMATE) & far)[0]
+            hit = hit[(bands_y[hit, :band] != bands[:band]).all(axis=1)]  # no earlier band is shared
+            if best and len(hit):
+                hit = hit[share[hit].argmax()][None]
             out += [(min(i, j), max(i, j)) for j in ids[hit]]
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
 
-def across(members: DataFrame) -> DataFrame:
+def across(members: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different components `c` within a bucket that may be similar.
 
-    `members`: bucket, n (its rows), doc_id, c, signature. A bucket's rows are dealt into blocks of about BLOCK rows; each pair of
-    blocks is one group, so no task sees a whole bucket.
+    `members`: bucket, band, n (its rows), doc_id, c, signature, sketch. A bucket's rows are dealt into blocks of about BLOCK rows;
+    each pair of blocks is one group, so no task sees a whole bucket.
     """
     rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = rows.select("bucket", "doc_id", "c", "signature", "block", F.explode(others).alias("other"))
+    wanted = ["bucket", "band", "doc_id", "c", "signature", "sketch"]
+    dealt = rows.select(*wanted, "block", F.explode(others).alias("other"))
     pair = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-    first = dealt.filter("block <= other").select("bucket", "doc_id", "c", "signature", *pair, F.lit(0).alias("side"))
-    second = dealt.filter("block >= other").select("bucket", "doc_id", "c", "signature", *pair, F.lit(1).alias("side"))
-    return first.union(second).groupBy("bucket", "x", "y").applyInPandas(_block_pairs, "a long, b long").distinct()
+    first = dealt.filter("block <= other").select(*wanted, *pair, F.lit(0).alias("side"))
+    second = dealt.filter("block >= other").select(*wanted, *pair, F.lit(1).alias("side"))
+    pairs = lambda rows: _block_pairs(rows, best)
+    return first.union(second).groupBy("bucket", "band", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
+
+
+def mixed_buckets(linked: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of `linked` in buckets that hold several components, with their component `c`."""
+    known = linked.join(parts, F.col("doc_id") == F.col("v"), "left").select(*linked.columns, F.coalesce("c", "doc_id").alias("c"))
+    mixed = known.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
+    return known.join(settle(mixed), "bucket", "left_semi")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -229,7 +246,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     bands = _bands(reps.filter("sketch IS NOT NULL").select(F.col("rep").alias("doc_id"), "sketch"))
     shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    linked = settle(bands.join(shared, "bucket").select("bucket", "n", "doc_id"))
+    linked = settle(bands.join(shared, "bucket").select("bucket", "band", "n", "doc_id"))
     central = settle(linked.groupBy("doc_id").agg(F.sum("n").alias("met")))
     texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id"), "text")
     texts = settle(texts.join(central, F.col("t_id") == F.col("doc_id"), "left_semi").dropDuplicates(["t_id"]))
@@ -239,22 +256,22 @@ def classes(docs: DataFrame) -> DataFrame:
     star = linked.join(leaders, "bucket").filter("doc_id <> leader")
     star = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     good = settle(align(star, texts))
-    parts = components(good)
-
     # buckets that still hold several components
-    known = linked.join(parts, F.col("doc_id") == F.col("v"), "left").select("bucket", "n", "doc_id", F.coalesce("c", "doc_id").alias("c"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
-    members = known.join(settle(mixed), "bucket", "left_semi")
+    joined = lambda parts, more: components(parts.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
+    parts = settle(components(good))
+    members = settle(mixed_buckets(linked, parts))
     signed = texts.join(members.select("doc_id").distinct(), F.col("t_id") == F.col("doc_id"), "left_semi")
     signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
-    members = members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id")
-    good = good.union(align(across(members), texts))
+    signed = settle(signed.join(reps.select("rep", "sketch"), F.col("s_id") == F.col("rep")).drop("rep"))
+    compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
+    parts = settle(joined(parts, compare(members, True)))
+    last = compare(mixed_buckets(members.drop("c"), parts), False)
 
     # an id that stands for several texts ties their representatives
     held = found.join(reps.select("text_key", "rep"), "text_key").select("doc_id", "rep")
     held = settle(held.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2"), F.count("*").alias("n_rows")))
     ties = found.join(held.filter("rep <> rep2").select("doc_id", F.col("rep").alias("a")), "doc_id").join(reps, "text_key")
-    parts = components(good.union(ties.select("a", F.col("rep").alias("b"))))
+    parts = joined(parts, last.union(ties.select("a", F.col("rep").alias("b"))))
     named = held.join(parts, F.col("rep") == F.col("v"), "left")
     return named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), "n_rows")
 
