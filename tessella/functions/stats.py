@@ -69,7 +69,7 @@ def histogram(df: DataFrame, c: str, bins: int) -> DataFrame:
     filled = df.filter(F.col(c).isNotNull()).crossJoin(F.broadcast(spread))
     place = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor(F.try_divide(F.col(c) - F.col("lo"), width)), F.lit(bins - 1)))
     counts = filled.groupBy(place.cast("long").alias("bin")).agg(F.count("*").alias("n"))
-    all_bins = spread.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    all_bins = spread.select("lo", "hi", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return all_bins.join(counts, "bin", "left").select(
         "bin", (F.col("lo") + F.col("bin") * width).alias("low"), (F.col("lo") + (F.col("bin") + 1) * width).alias("high"), F.coalesce("n", F.lit(0)).alias("n")
     )

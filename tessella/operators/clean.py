@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import roles
+from tessella.sources.io import settle
 
 
 def drop_missing(df: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def remap_counts(df: DataFrame, c: str, mapping: dict[str, str]) -> DataFrame:
 
 def parse_date(df: DataFrame, c: str = "Dt_Customer", pattern: str = "dd-MM-yyyy", strict: bool = True) -> DataFrame:
     """A date from text; a malformed one raises, or gives null if not `strict`."""
-    return df.withColumn(c, (F.to_timestamp if strict else F.try_to_timestamp)(F.col(c), F.lit(pattern)))
+    return df.withColumn(c, F.to_timestamp(c, pattern) if strict else F.try_to_timestamp(F.col(c), F.lit(pattern)))
 
 
 def ordinal(c: str, order: list[str]) -> Column:
@@ -111,8 +112,8 @@ def clean(df: DataFrame, marital_map: dict = roles.MARITAL_MAP, order: list[str]
     Rows that become equal only by remapping or by the drop of the key go in the last step. With `key`, that column is kept
     and the last dedupe keeps its least value.
     """
-    df = remove_outliers(dedupe(drop_missing(df)))
-    df = parse_date(remap(df, "Marital_Status", marital_map))
+    # what remains is read three times: for shares, for levels and for the result
+    df = settle(parse_date(remap(remove_outliers(dedupe(drop_missing(df))), "Marital_Status", marital_map)))
     df = df.withColumn("Education_ord", ordinal("Education", order))
     df = one_hot(df, "Marital_Status", threshold=threshold)
     if key:

@@ -43,6 +43,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder, for work that reads it many times; cuts the lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession, "settled"))
+    return df.checkpoint()
+
+
 def round_trip(df: DataFrame, sep: str) -> DataFrame:
     """`df` written as delimited text and read again with its own schema."""
     path = write_delimited(df, scratch(df.sparkSession, "delimited"), sep)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TYPES = {
@@ -16,6 +16,16 @@ PRIORITIES = {
 LAST_DAY = "2001-08-02"
 
 
+def amount() -> Column:
+    """What a line costs after discount, in 1/10000: whole numbers, so that sums do not depend on their order."""
+    return F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))
+
+
+def money(total: str) -> Column:
+    """A sum of amounts, rounded to cents."""
+    return F.floor((F.col(total) + 50) / 100) / 100.0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,7 +39,7 @@ def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
     spent = (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_orderkey")
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("spent"))
+        .agg(F.sum(amount()).alias("spent"))
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return (
@@ -38,16 +48,16 @@ def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.date_diff(F.lit(LAST_DAY).cast("date"), F.max("o_orderdate").cast("date")).cast("long").alias("recency_days"),
             F.count("*").alias("frequency"),
-            F.round(F.sum("spent"), 2).alias("monetary"),
+            F.sum("spent").alias("spent"),
         )
+        .select("c_custkey", "recency_days", "frequency", money("spent").alias("monetary"))
     )
 
 
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each customer: the raw table's columns, nulls in Income included. Amounts are rounded to cents."""
-    amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    by_order = lines.groupBy("l_orderkey").agg(*[F.sum(F.when(F.col("p_type") == k, amount)).alias(v) for k, v in TYPES.items()])
+    by_order = lines.groupBy("l_orderkey").agg(*[F.sum(F.when(F.col("p_type") == k, amount())).alias(v) for k, v in TYPES.items()])
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     day = F.col("o_orderdate").cast("date")
     by_customer = (
@@ -56,7 +66,7 @@ def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.date_format(F.min(day), "dd-MM-yyyy").alias("Dt_Customer"),
             F.date_diff(F.lit(LAST_DAY).cast("date"), F.max(day)).cast("long").alias("Recency"),
-            *[F.round(F.sum(v), 2).alias(v) for v in TYPES.values()],
+            *[F.sum(v).alias(v) for v in TYPES.values()],
             *[F.count_if(F.col("o_orderpriority") == k).alias(v) for k, v in PRIORITIES.items()],
         )
     )
@@ -74,7 +84,7 @@ def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(key / 3) % 2).cast("long").alias("Teenhome"),
         "Dt_Customer",
         "Recency",
-        *[F.coalesce(v, F.lit(0.0)).alias(v) for v in TYPES.values()],
+        *[F.coalesce(money(v), F.lit(0.0)).alias(v) for v in TYPES.values()],
         *[F.coalesce(v, F.lit(0)).alias(v) for v in PRIORITIES.values()],
         *[flag(key % 7 == i).alias(f"AcceptedCmp{i}") for i in range(1, 6)],
         flag(key % 50 == 0).alias("Complain"),
