@@ -161,6 +161,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").union(e.select("b", "a")).toDF("a", "b")
     edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if edges.isEmpty():
+        return edges.toDF("v", "c")
     last = None
     while True:
         # large star: neighbours above a vertex link to the least vertex around it
@@ -179,6 +181,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components `parts` (v, c) after further `edges` (a, b)."""
+    edges = settle(edges)
+    if edges.isEmpty():
+        return parts
+    return settle(components(parts.select(F.col("v").alias("a"), F.col("c").alias("b")).union(edges)))
+
+
 def _bands(found: DataFrame) -> DataFrame:
     """(bucket, band, doc_id) for the bands of every sketch."""
     width = 8 * ROWS_A_BAND  # hexadecimal digits
@@ -257,21 +267,23 @@ def classes(docs: DataFrame) -> DataFrame:
     star = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
     good = settle(align(star, texts))
     # buckets that still hold several components
-    joined = lambda parts, more: components(parts.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
     parts = settle(components(good))
     members = settle(mixed_buckets(linked, parts))
-    signed = texts.join(members.select("doc_id").distinct(), F.col("t_id") == F.col("doc_id"), "left_semi")
-    signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
-    signed = settle(signed.join(reps.select("rep", "sketch"), F.col("s_id") == F.col("rep")).drop("rep"))
-    compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
-    parts = settle(joined(parts, compare(members, True)))
-    last = compare(mixed_buckets(members.drop("c"), parts), False)
+    if not members.isEmpty():
+        signed = texts.join(members.select("doc_id").distinct(), F.col("t_id") == F.col("doc_id"), "left_semi")
+        signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
+        signed = settle(signed.join(reps.select("rep", "sketch"), F.col("s_id") == F.col("rep")).drop("rep"))
+        compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
+        parts = joined(parts, compare(members, True))
+        members = settle(mixed_buckets(members.drop("c"), parts))
+        if not members.isEmpty():
+            parts = joined(parts, compare(members, False))
 
     # an id that stands for several texts ties their representatives
     held = found.join(reps.select("text_key", "rep"), "text_key").select("doc_id", "rep")
     held = settle(held.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2"), F.count("*").alias("n_rows")))
     ties = found.join(held.filter("rep <> rep2").select("doc_id", F.col("rep").alias("a")), "doc_id").join(reps, "text_key")
-    parts = joined(parts, last.union(ties.select("a", F.col("rep").alias("b"))))
+    parts = joined(parts, ties.select("a", F.col("rep").alias("b")))
     named = held.join(parts, F.col("rep") == F.col("v"), "left")
     return named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), "n_rows")
 
