@@ -12,9 +12,9 @@ Groups of any size are handled without listing their pairs: equal texts are one
 members to its most central one, the member that meets most others in all its buckets, and connected components are formed.
 What remains are buckets whose members are in several components. Their members are compared across components in blocks of
 `BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a few hundredths, and only pairs that may reach
-the threshold are aligned. A first pass aligns each row with its best partner in a block alone, which joins most of a large
-group; a second takes all pairs that are then still in different components. A pair is compared in the first band that it
-shares, and nowhere else. So every pair that shares a band ends up in one class, or has been compared.
+the threshold are aligned. A first pass takes each row in its largest bucket alone, and there aligns it with its best partner
+in a block, which joins most of a large group; a second takes all pairs that are then still in different components, each in
+the first band that the pair shares. So every pair that shares a band ends up in one class, or has been compared.
 
 Rows are identified by doc_id. Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if
 they are equal, as are empty texts; null texts and rows with a null id are in no class (class_id is their own id, `kept` is
@@ -40,7 +40,7 @@ SKETCHES = BANDS * ROWS_A_BAND
 #: Bytes of a signature, and the least estimate at which a pair is aligned: four standard errors below the threshold.
 BINS = 512
 ESTIMATE = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / BINS) ** 0.5
-BLOCK = 256
+BLOCK = 512
 SEEDS = aw.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -213,9 +213,10 @@ def _block_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
                 continue
             share = ((y == row) & filled).sum(axis=1) / (filled | (row > 0)).sum(axis=1)
             hit = np.nonzero((share >= ESTIMATE) & far)[0]
-            hit = hit[(bands_y[hit, :band] != bands[:band]).all(axis=1)]  # no earlier band is shared
-            if best and len(hit):
-                hit = hit[share[hit].argmax()][None]
+            if best:
+                hit = hit[share[hit].argsort()[-1:]]
+            else:
+                hit = hit[(bands_y[hit, :band] != bands[:band]).all(axis=1)]  # no earlier band is shared
             out += [(min(i, j), max(i, j)) for j in ids[hit]]
     return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
 
@@ -274,7 +275,8 @@ def classes(docs: DataFrame) -> DataFrame:
         signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
         signed = settle(signed.join(reps.select("rep", "sketch"), F.col("s_id") == F.col("rep")).drop("rep"))
         compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
-        parts = joined(parts, compare(members, True))
+        largest = members.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("x")).select("doc_id", "x.bucket")
+        parts = joined(parts, compare(members.join(settle(largest), ["doc_id", "bucket"], "left_semi"), True))
         members = settle(mixed_buckets(members.drop("c"), parts))
         if not members.isEmpty():
             parts = joined(parts, compare(members, False))
