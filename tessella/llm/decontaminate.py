@@ -6,8 +6,8 @@ item, only the item is sampled: the share of its sketch that the document has es
 document's size. Documents whose estimate is not clearly too low are candidates, and for these the share of all the item's
 shingles in the document is counted.
 
-The items' shingles are broadcast only if they are at most `BROADCAST_ROWS` rows, counted beforehand; beyond that the join
-shuffles. Shingles are five words; an item of fewer words is one shingle of its own length, and documents get shingles of that
+The items' shingles, and the candidates, are broadcast only if they are at most `BROADCAST_ROWS` rows, counted beforehand; beyond
+that the join shuffles. Shingles are five words; an item of fewer words is one shingle of its own length, and documents get shingles of that
 length too. Nulls and edges: a null or empty text has no shingles and never matches; null ids are carried along as they are;
 rows that repeat an id are one document (or item). Empty tables give empty results.
 """
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SHINGLE, SIMILAR, once, windows, words
+from tessella.llm.common import SHINGLE, SIMILAR, once, settle, windows, words
 
 #: Upper bound of a size partition -> sketch size. Larger items take the last.
 SKETCH = {16: 16, 64: 24, 256: 32, 1 << 30: 64}
@@ -63,22 +63,22 @@ def document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """(doc_id, item_id, n_found, n_shingles, containment) for every item contained in a document to `threshold` or more."""
-    wanted = item_shingles(items.select("item_id", "text"))
+    wanted = settle(item_shingles(items.select("item_id", "text")))
     lengths = _lengths(items) or [SHINGLE]
-    small = wanted.count() <= BROADCAST_ROWS
-    sized = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    sized = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
     found = document_shingles(docs.select("doc_id", "text"), lengths)
 
     sketch = wanted.filter("in_sketch").select("item_id", "shingle", "n_sketch")
-    candidates = (
+    candidates = settle(
         found.join(sized(sketch), "shingle")
         .groupBy("doc_id", "item_id", "n_sketch")
         .agg(F.count_distinct("shingle").alias("n"))
         .filter(F.col("n") >= threshold * SLACK * F.col("n_sketch"))
         .select(F.col("doc_id").alias("cand_id"), "item_id")
     )
+    picked = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
     ids = candidates.select("cand_id").distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(picked(ids), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left_semi")
     whole = wanted.select("item_id", "shingle", "n_shingles")
     counted = (
         document_shingles(texts, lengths)
@@ -87,7 +87,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILA
         .agg(F.count_distinct("shingle").alias("n_found"))
     )
     same = counted["doc_id"].eqNullSafe(candidates["cand_id"]) & counted["item_id"].eqNullSafe(candidates["item_id"])
-    exact = counted.join(candidates, same, "left_semi").filter(F.col("n_found") >= threshold * F.col("n_shingles"))
+    exact = counted.join(picked(candidates), same, "left_semi").filter(F.col("n_found") >= threshold * F.col("n_shingles"))
     return exact.select("doc_id", "item_id", "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
