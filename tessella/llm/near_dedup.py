@@ -10,11 +10,11 @@ subsequence is the longest increasing run of matched places, found in n log n.
 
 Groups of any size are handled without listing their pairs: equal texts are one class first. Then each band's bucket links its
 members to its most central one, the member that meets most others in all its buckets, and connected components are formed.
-What remains are buckets whose members are in several components. Their members are compared across components in blocks of
-`BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a few hundredths, and only pairs that may reach
-the threshold are aligned. A first pass takes each row in its largest bucket alone, and there aligns it with its best partner
-in a block, which joins most of a large group; a second takes all pairs that are then still in different components, each in
-the first band that the pair shares. So every pair that shares a band ends up in one class, or has been compared.
+What remains are buckets whose members are in several components. Their members outside of the bucket's largest component are
+compared with all of the bucket in blocks of `BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a
+few hundredths, and only pairs that may reach the threshold are aligned. A first pass takes each row in its largest bucket
+alone, and there aligns it with its best partner in its own block, which joins most of a large group; a second takes all pairs
+that are then still in different components, each in the first band that the pair shares. So every pair that shares a band ends up in one class, or has been compared.
 
 Rows are identified by doc_id. Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if
 they are equal, as are empty texts; null texts and rows with a null id are in no class (class_id is their own id, `kept` is
@@ -40,7 +40,7 @@ SKETCHES = BANDS * ROWS_A_BAND
 #: Bytes of a signature, and the least estimate at which a pair is aligned: four standard errors below the threshold.
 BINS = 512
 ESTIMATE = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / BINS) ** 0.5
-BLOCK = 512
+BLOCK = 1024
 SEEDS = aw.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -224,26 +224,32 @@ def _block_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
 def across(members: DataFrame, best: bool) -> DataFrame:
     """Pairs (a, b) of different components `c` within a bucket that may be similar.
 
-    `members`: bucket, band, n (its rows), doc_id, c, signature, sketch. A bucket's rows are dealt into blocks of about BLOCK rows;
-    each pair of blocks is one group, so no task sees a whole bucket.
+    `members`: bucket, band, n (its rows), doc_id, c, main (its largest component), m (its rows outside of that), signature,
+    sketch. Of two rows in different components one is outside the main one, so those rows are held against all. Both are dealt
+    into blocks of about BLOCK rows; each pair of blocks is one group, so no task sees a whole bucket. With `best` a row meets
+    the one block that it falls into itself.
     """
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
     wanted = ["bucket", "band", "doc_id", "c", "signature", "sketch"]
-    dealt = rows.select(*wanted, "block", F.explode(others).alias("other"))
-    pair = [F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")]
-    first = dealt.filter("block <= other").select(*wanted, *pair, F.lit(0).alias("side"))
-    second = dealt.filter("block >= other").select(*wanted, *pair, F.lit(1).alias("side"))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    outside = members.filter("c <> main")
+    if best:
+        outside = outside.select(*wanted, block("n").alias("x"), block("n").alias("y"), F.lit(0).alias("side"))
+        rows = members.select(*wanted, block("n").alias("x"), block("n").alias("y"), F.lit(1).alias("side"))
+    else:
+        outside = outside.select(*wanted, block("m").alias("x"), every("n").alias("y"), F.lit(0).alias("side"))
+        rows = members.select(*wanted, every("m").alias("x"), block("n").alias("y"), F.lit(1).alias("side"))
     pairs = lambda rows: _block_pairs(rows, best)
-    return first.union(second).groupBy("bucket", "band", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
+    return outside.union(rows).groupBy("bucket", "band", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
 
 
 def mixed_buckets(linked: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of `linked` in buckets that hold several components, with their component `c`."""
+    """The rows of `linked` in buckets that hold several components, with their component `c`, the bucket's largest, `main`, and its `m` rows outside of that."""
     known = linked.join(parts, F.col("doc_id") == F.col("v"), "left").select(*linked.columns, F.coalesce("c", "doc_id").alias("c"))
-    mixed = known.groupBy("bucket").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("bucket")
-    return known.join(settle(mixed), "bucket", "left_semi")
+    shares = known.groupBy("bucket", "c").agg(F.count("*").alias("share"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("share", "c")).alias("x"), F.sum("share").alias("rows"))
+    mixed = mixed.select("bucket", F.col("x.c").alias("main"), (F.col("rows") - F.col("x.share")).alias("m")).filter("m > 0")
+    return known.join(settle(mixed), "bucket")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -277,7 +283,7 @@ def classes(docs: DataFrame) -> DataFrame:
         compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
         largest = members.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("x")).select("doc_id", "x.bucket")
         parts = joined(parts, compare(members.join(settle(largest), ["doc_id", "bucket"], "left_semi"), True))
-        members = settle(mixed_buckets(members.drop("c"), parts))
+        members = settle(mixed_buckets(members.drop("c", "main", "m"), parts))
         if not members.isEmpty():
             parts = joined(parts, compare(members, False))
 

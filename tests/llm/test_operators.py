@@ -110,13 +110,15 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.with_classes(empty).count() == 0
 
 
-def test_near_dedup_finds_what_brute_force_finds(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
+def test_near_dedup_finds_what_brute_force_finds(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     made = []
     for g in range(12):
         base = prose(100, 100 + g).split()
         for k in range(12):
             ws = list(base)
-            for p in np.random.default_rng(g * 50 + k).choice(100, k % 4, replace=False):
+            for p in np.random.default_rng(g * 50 + k).choice(100, k % 5, replace=False):
                 ws[p] = f"x{g}{k}{p}"
             made.append((len(made), " ".join(ws)))
     sets = {}
