@@ -1,16 +1,17 @@
 """Scores texts with a hidden Markov model: Baum-Welch counts aggregated across partitions, scaled forward recursion.
 
-Tokens are the words of the text with A-Z lowered, then one end token. They fall into `CLASSES` classes by a hash; the latent
-states emit classes, and a class emits a token by its count: P(text) = P(classes) * product of P(token | class), with
-P(token | class) = (c + 1) / (N_class + V_class + 1). So the model's size is fixed (states x classes), whatever the
-vocabulary, and the likelihood of the whole text is exact: the forward recursion runs over all its tokens, scaled at each.
+Tokens are the words of the text with A-Z lowered, then one end token. The latent states emit tokens: state s emits token w with
+(E[w, s] + 1 / STATES) / (E[s] + (V + 1) / STATES), where E are expected counts and V is the number of known tokens; all unknown
+tokens together are one more token without counts. So every word has a profile of its own, whatever the vocabulary, and the
+likelihood of the whole text is exact: the forward recursion runs over all its tokens, scaled at each.
 
-Training passes over every training text. Each task runs the forward-backward recursion and sends expected counts, one row for
-each class that it met; Spark adds them up. Long texts are cut into stretches of `STRETCH` tokens for training only, which
-bounds memory; the state distribution after a cut starts anew.
+Training passes over every training text until a round gains less than `GAIN` of the log likelihood. Each task runs the
+forward-backward recursion over whole texts and sends expected counts, one row for each token that it met; Spark adds them up.
+Of a text of more than `BLOCK_TOKENS` tokens only the forward vector at every `STRETCH` tokens is kept, and the stretches are
+computed again on the way back, which bounds memory and changes no count.
 
-Token counts follow a vocabulary of any size: the most frequent `FREQUENT` tokens, a fixed number, are broadcast, and all
-other tokens of a document are joined with the count table by a shuffle.
+Token counts follow a vocabulary of any size: the most frequent `FREQUENT` tokens, a fixed number, are broadcast with their
+expected counts, and all other tokens of a document are joined with the written table of counts by a shuffle, in every round.
 
 Nulls and edges: a null text is an empty one (its only token is the end). A null id counts as training and is not held out.
 Every row gives one row, repeated ids included. Without training rows N and V are 0, and all tokens are unknown. Empty tables
@@ -19,21 +20,24 @@ give empty results.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrow_words as aw
-from tessella.llm.common import settle
+from tessella.llm.common import scratch, settle
 
 STATES = 6
+#: Size of the emission matrix in the tests of the recursion; the model has a row for every token.
 CLASSES = 1 << 13
-ROUNDS = 4
+#: Training ends with a round that gains less than this share of the log likelihood.
+GAIN = 1e-3
+#: Tokens between the kept forward vectors of a text that is longer than a block.
 STRETCH = 256
 #: Tokens of a block that run through the recursion in step.
 BLOCK_TOKENS = 60_000
@@ -47,11 +51,6 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def classes_of(tokens: list[str]) -> np.ndarray:
-    """The class of each token; Spark's crc32(token) % CLASSES gives the same."""
-    return np.fromiter((zlib.crc32(t.encode()) % CLASSES for t in tokens), dtype=np.int64, count=len(tokens))
-
-
 def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct tokens, codes, offsets) with an end token after each text."""
     distinct, codes, offsets = aw.split(pc.ascii_lower(pc.fill_null(texts, "")))
@@ -73,16 +72,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
-def blocks(offsets: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(sequence numbers, starts, lengths) of sequences of like length; unless `whole`, long ones are cut into stretches."""
+def blocks(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sequence numbers, starts, lengths) of sequences of like length; only a single sequence has more than BLOCK_TOKENS."""
     starts, lengths = offsets[:-1], np.diff(offsets)
     numbers = np.arange(len(starts))
-    if not whole:
-        parts = -(-lengths // STRETCH)
-        numbers = np.repeat(numbers, parts)
-        within = np.arange(len(numbers)) - np.repeat(np.cumsum(parts) - parts, parts)
-        starts = starts[numbers] + within * STRETCH
-        lengths = np.minimum(STRETCH, offsets[1:][numbers] - starts)
     order = np.argsort(-lengths, kind="stable")
     i = 0
     while i < len(order):
@@ -95,14 +88,17 @@ def blocks(offsets: np.ndarray, whole: bool) -> Iterator[tuple[np.ndarray, np.nd
         i += len(part)
 
 
-def forward(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, keep: bool = False):
-    """log10 P(classes) of sequences (longest first) of `obs`; with `keep`, also the scaled forward values and scales."""
+def forward(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, keep: bool = False, before=None):
+    """log10 P(tokens) of sequences (longest first) of `obs`; with `keep`, also the scaled forward values and scales.
+
+    `before`: the forward values of the token before, where the sequences are not the start of their texts.
+    """
     start, step, emit = model
     total = np.zeros(len(starts))
     n, longest = len(starts), int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")  # sequences that have a token at each step
     values, scales = [], []
-    value = np.broadcast_to(start, (n, len(start)))
+    value = np.broadcast_to(start, (n, len(start))) if before is None else before @ step
     for t in range(longest):
         k = active[t]
         if t:
@@ -117,153 +113,233 @@ def forward(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tup
     return (total, values, scales) if keep else total
 
 
-def expected(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, into: tuple) -> float:
-    """Adds the expected counts of start, step and emission to `into`; gives the log10 likelihood."""
+def _backward(obs, starts, values, scales, model, into, after=None, first=True):
+    """Adds the counts of a block; gives what the token before it needs. `after`: the same of the token behind it."""
     start, step, emit = model
-    total, values, scales = forward(obs, starts, lengths, model, keep=True)
-    longest, back = len(values), None
-    for t in range(longest - 1, -1, -1):
+    ahead = after
+    for t in range(len(values) - 1, -1, -1):
         k = len(values[t])
         now = np.ones((k, len(start)))
-        if back is not None:
-            j = len(back)
-            ahead = back * emit[obs[starts[:j] + t + 1]] / scales[t + 1][:, None]
+        if ahead is not None:
+            j = len(ahead)
             into[1][:] += (values[t][:j].T @ ahead) * step
             now[:j] = ahead @ step.T
+        ahead = now * emit[obs[starts[:k] + t]] / scales[t][:, None]
         posterior = values[t] * now
         posterior /= posterior.sum(axis=1, keepdims=True)
         values[t] = posterior
-        back = now
-    into[0][:] += values[0].sum(axis=0)
+    if first:
+        into[0][:] += values[0].sum(axis=0)
     seen = np.concatenate([obs[starts[: len(v)] + t] for t, v in enumerate(values)])
     weight = np.concatenate(values)
     for s in range(len(start)):
-        into[2][:, s] += np.bincount(seen, weights=weight[:, s], minlength=CLASSES)
-    return float(total.sum())
+        into[2][:, s] += np.bincount(seen, weights=weight[:, s], minlength=len(emit))
+    return ahead
 
 
-def first_model(n_class: np.ndarray) -> tuple:
-    """Sticky states that emit by the class counts, each with a different tilt."""
-    rng = np.random.default_rng(7)
-    share = (n_class + 1.0) / (n_class + 1.0).sum()
-    emit = share[:, None] * rng.uniform(0.5, 1.5, (CLASSES, STATES))
-    step = np.full((STATES, STATES), 0.05 / (STATES - 1))
-    np.fill_diagonal(step, 0.95)
-    return np.full(STATES, 1 / STATES), step, emit / emit.sum(axis=0)
+def expected(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, into: tuple) -> float:
+    """Adds the expected counts of start, step and emission to `into`; gives the log10 likelihood."""
+    if lengths[0] <= BLOCK_TOKENS:
+        total, values, scales = forward(obs, starts, lengths, model, keep=True)
+        _backward(obs, starts, values, scales, model, into)
+        return float(total.sum())
+    # one long sequence: forward values at the ends of stretches first, then every stretch again from the last one back
+    cuts = np.arange(0, lengths[0], STRETCH)
+    part = lambda c: (obs, starts + c, np.minimum(STRETCH, lengths - c), model, True)
+    likelihood, before, after = 0.0, [None], None
+    for c in cuts:
+        total, values, _ = forward(*part(c), before[-1])
+        likelihood += float(total.sum())
+        before.append(values[-1])
+    for c, entering in zip(cuts[::-1], before[-2::-1]):
+        _, values, scales = forward(*part(c), entering)
+        seen = np.unique(obs[starts[0] + c : starts[0] + c + len(values)])  # only the stretch's tokens are added to
+        own = (into[0], into[1], np.zeros((len(seen), len(model[0]))))
+        local = np.searchsorted(seen, obs[starts[0] + c : starts[0] + c + len(values)])
+        after = _backward(local, np.zeros(1, dtype=np.int64), values, scales, (model[0], model[1], model[2][seen]), own, after, c == 0)
+        into[2][seen] += own[2]
+    return likelihood
 
 
-def _train_step(spark, docs: DataFrame, model: tuple, n_class: np.ndarray) -> tuple[tuple, float]:
-    held = spark.sparkContext.broadcast(model)
+NAMES = [f"x{s}" for s in range(STATES)]
+ENTRY = "array<struct<token: string, " + ", ".join(f"{x}: double" for x in NAMES) + ">>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
-        into = (np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES)))
-        likelihood = 0.0
-        for batch in batches:
-            for piece in aw.pieces(batch, "text"):
-                distinct, codes, offsets = tokenized(piece.column("text"))
-                obs = classes_of(distinct.to_pylist())[codes]
-                for _, starts, lengths in blocks(offsets, whole=False):
-                    likelihood += expected(obs, starts, lengths, model, into)
-        keys = [f"e{i}" for i in np.nonzero(into[2].any(axis=1))[0]]
-        rows = into[2][into[2].any(axis=1)]
-        keys += ["start", *[f"s{i}" for i in range(STATES)], "likelihood"]
-        rows = np.concatenate([rows, into[0][None], into[1], np.full((1, STATES), likelihood)])
-        columns = [pa.array(keys), *[pa.array(np.ascontiguousarray(rows[:, s])) for s in range(STATES)]]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", *[f"x{s}" for s in range(STATES)]])
-
-    names = [f"x{s}" for s in range(STATES)]
-    sent = docs.select("text").mapInArrow(count, "key string, " + ", ".join(f"{x} double" for x in names))
-    # at most CLASSES + STATES + 2 rows
-    got = {r[0]: np.array(r[1:]) for r in sent.groupBy("key").agg(*[F.sum(x).alias(x) for x in names]).collect()}
-    share = (n_class + 1.0) / (n_class + 1.0).sum()
-    emit = np.array([got.get(f"e{i}", np.zeros(STATES)) for i in range(CLASSES)]) + 5.0 * share[:, None]
-    start = got["start"] + 1e-3
-    step = np.array([got[f"s{i}"] for i in range(STATES)]) + 1e-3
-    held.unpersist()
-    return (start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(got["likelihood"][0])
-
-
-def train(docs: DataFrame, n_class: np.ndarray, rounds: int = ROUNDS) -> tuple:
-    """The model (start, step, emit) after `rounds` of Baum-Welch over all texts of `docs`."""
-    model = first_model(n_class)
-    if n_class.sum():
-        for _ in range(rounds):
-            model, _ = _train_step(docs.sparkSession, docs, model, n_class)
-    return model
-
-
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = rows.filter("NOT held_out").select("text")
-    counts = settle(token_counts(training))
-    by_class = counts.groupBy((F.crc32("token") % CLASSES).alias("k")).agg(F.sum("n"), F.count("*")).collect()  # CLASSES rows
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for k, n, v in by_class:
-        n_class[k], v_class[k] = n, v
-    n_all, v_all = int(n_class.sum()), int(v_class.sum())
-    model = train(training, n_class, rounds)
-
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().combine_chunks()  # FREQUENT rows at most
-    known = spark.sparkContext.broadcast((top.column("token").combine_chunks(), top.column("n").to_numpy().astype(np.float64)))
-    held = spark.sparkContext.broadcast((model, n_class + v_class + 1))
+
+def emission(counts: np.ndarray, totals: np.ndarray, v_all: int) -> np.ndarray:
+    """P(token | state) from expected counts by token and state; a token without counts is the unknown one."""
+    return (counts + 1 / STATES) / (totals + (v_all + 1) / STATES)
+
+
+def first_counts(tokens: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The counts of tokens dealt over the states, for each token with a different tilt."""
+    seeds = aw.hashes(tokens)[:, None] + np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    tilt = 0.5 + (aw.mixed(seeds) >> np.uint64(11)) / float(1 << 53)
+    return n[:, None] * tilt / tilt.sum(axis=1, keepdims=True)
+
+
+def _columns(x: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(x[:, s])) for s in range(STATES)]
+
+
+def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = first_counts(batch.column("token"), batch.column("n").to_numpy().astype(np.float64))
+        yield pa.RecordBatch.from_arrays([batch.column("token"), *_columns(x)], names=["token", *NAMES])
+
+
+def _looked_up(piece: pa.RecordBatch, distinct: pa.Array, tokens: pa.Array, frequent: np.ndarray):
+    """(place among the frequent tokens or -1, expected counts) of every distinct token of a piece."""
+    place = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=tokens), -1), dtype=np.int64)
+    counts = np.zeros((len(distinct), STATES))
+    counts[place >= 0] = frequent[place[place >= 0]]
+    own, *xs = piece.column("found").flatten().flatten()
+    if len(own):
+        at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=own), -1), dtype=np.int64)
+        counts[at >= 0] = np.stack([np.asarray(x) for x in xs], axis=1)[at[at >= 0]]
+    return place, counts
+
+
+class Vocabulary:
+    """The expected counts: of frequent tokens as an array, of all others as a table of files."""
+
+    def __init__(self, rows: DataFrame, counts: DataFrame, v_all: int):
+        self.spark, self.v_all, self.path = rows.sparkSession, v_all, None
+        top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().combine_chunks()  # FREQUENT rows at most
+        self.tokens = top.column("token").combine_chunks() if top.num_rows else pa.array([], pa.string())
+        self.tokens = pa.concat_arrays(self.tokens.chunks) if isinstance(self.tokens, pa.ChunkedArray) else self.tokens
+        self.tokens = self.tokens.cast(pa.string())
+        self.frequent = first_counts(self.tokens, top.column("n").to_numpy().astype(np.float64)) if top.num_rows else np.zeros((0, STATES))
+        self.keep(counts.mapInArrow(_first, "token string, " + ", ".join(f"{x} double" for x in NAMES)))
+        sums = self.table().agg(*[F.sum(x) for x in NAMES]).first()
+        step = np.full((STATES, STATES), 0.05 / (STATES - 1))
+        np.fill_diagonal(step, 0.95)
+        self.start, self.step, self.totals = np.full(STATES, 1 / STATES), step, np.array([x or 0.0 for x in sums])
+        known = self.spark.sparkContext.broadcast(self.tokens)
+
+        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for piece in aw.pieces(batch, "text"):
+                    distinct, codes, offsets = tokenized(piece.column("text"))
+                    out = np.asarray(pc.is_null(pc.index_in(distinct, value_set=known.value)))
+                    missing = np.nonzero(out[codes])[0]
+                    owner = np.searchsorted(offsets, missing, side="right") - 1
+                    pair = np.unique(owner * np.int64(len(distinct)) + codes[missing])
+                    starts = np.searchsorted(pair // len(distinct), np.arange(piece.num_rows + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), distinct.take(pa.array(pair % len(distinct))))
+                    yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=[*piece.schema.names, "rare"])
+
+        # dealt by row once, so that a round moves only the tokens and their counts
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+        self.rows = rows.mapInArrow(rare, f"{schema}, rare array<string>").repartition(parts, "row").persist(StorageLevel.DISK_ONLY)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def keep(self, counts: DataFrame) -> None:
+        """Write the table anew; the one before goes."""
+        old, self.path = self.path, scratch(self.spark, "emission")
+        counts.write.parquet(self.path)
+        if old:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def with_counts(self, rows: DataFrame) -> DataFrame:
+        """`rows` with `found`: the expected counts of each text's tokens beyond the frequent ones."""
+        found = rows.select("row", F.explode("rare").alias("token")).join(self.table(), "token")
+        found = found.groupBy("row").agg(F.collect_list(F.struct("token", *NAMES)).alias("found"))
+        none = F.from_json(F.lit("[]"), ENTRY)
+        return rows.drop("rare").join(found, "row", "left").withColumn("found", F.coalesce("found", none))
+
+    def model(self) -> tuple:
+        return self.tokens, self.frequent, self.start, self.step, self.totals, self.v_all
+
+    def round(self) -> float:
+        """One round of Baum-Welch over all training texts; gives the log10 likelihood before it."""
+        held = self.spark.sparkContext.broadcast(self.model())
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tokens, frequent, start, step, totals, v_all = held.value
+            common, ends, steps = np.zeros(frequent.shape), np.zeros(STATES), np.zeros((STATES, STATES))
+            likelihood = 0.0
+            names = ["key", "token", *NAMES]
+            for batch in batches:
+                for piece in aw.pieces(batch, "text"):
+                    distinct, codes, offsets = tokenized(piece.column("text"))
+                    place, counts = _looked_up(piece, distinct, tokens, frequent)
+                    into = (ends, steps, np.zeros(counts.shape))
+                    for _, starts, lengths in blocks(offsets):
+                        likelihood += expected(codes, starts, lengths, (start, step, emission(counts, totals, v_all)), into)
+                    common[place[place >= 0]] += into[2][place >= 0]
+                    rare = np.nonzero((place < 0) & into[2].any(axis=1))[0]
+                    own = distinct.take(pa.array(rare))
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rare), pa.int64()), own, *_columns(into[2][rare])], names=names)
+            met = np.nonzero(common.any(axis=1))[0]
+            keys = np.concatenate([met, [-1], -2 - np.arange(STATES), [-2 - STATES]])
+            sums = np.concatenate([common[met], ends[None], steps, np.full((1, STATES), likelihood)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.string()), *_columns(sums)], names=names)
+
+        sent = self.with_counts(self.rows.filter("NOT held_out").select("row", "text", "rare")).mapInArrow(
+            count, "key long, token string, " + ", ".join(f"{x} double" for x in NAMES)
+        )
+        self.keep(sent.groupBy("key", "token").agg(*[F.sum(x).alias(x) for x in NAMES]))
+        got = self.table().filter("key IS NOT NULL").drop("token").toArrow()  # FREQUENT + STATES + 2 rows at most
+        key, x = got.column("key").to_numpy(), np.stack([got.column(n).to_numpy() for n in NAMES], axis=1)
+        self.frequent = np.zeros(self.frequent.shape)
+        self.frequent[key[key >= 0]] = x[key >= 0]
+        special = {int(k): v for k, v in zip(key[key < 0], x[key < 0])}
+        rare = self.table().filter("key IS NULL").agg(*[F.sum(n) for n in NAMES]).first()
+        self.totals = self.frequent.sum(axis=0) + np.array([v or 0.0 for v in rare])
+        start = special[-1] + 1e-3
+        step = np.array([special[-2 - s] for s in range(STATES)]) + 1e-3
+        self.start, self.step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
+        held.unpersist()
+        self.spark._jvm.System.gc()  # lets Spark drop the shuffle files of the round
+        return float(special[-2 - STATES][0])
+
+    def train(self, rounds: int | None) -> list[float]:
+        """Rounds until one gains too little, or `rounds` of them; gives the log10 likelihoods before each."""
+        gone: list[float] = []
+        while (rounds is None or len(gone) < rounds) and not (len(gone) > 1 and gone[-1] - gone[-2] < GAIN * abs(gone[-2])):
+            gone.append(self.round())
+        return gone
+
+
+def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; `rounds`: a fixed number of them."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    counts = settle(token_counts(rows.filter("NOT held_out")))
+    n_all, v_all = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
+    known = Vocabulary(rows, counts, v_all)
+    if n_all:
+        known.train(rounds)
+    held = docs.sparkSession.sparkContext.broadcast(known.model())
     base_size = n_all + v_all + 1
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (tokens, frequent), (model, class_size) = known.value, held.value
-        tokens = pa.chunked_array(tokens).combine_chunks() if isinstance(tokens, pa.ChunkedArray) else tokens
+        tokens, frequent, start, step, totals, v_all = held.value
         for batch in batches:
             for piece in aw.pieces(batch, "text"):
                 distinct, codes, offsets = tokenized(piece.column("text"))
-                place = pc.index_in(distinct, value_set=tokens)
-                hit = np.asarray(place.is_valid())
-                count = np.zeros(len(distinct))
-                count[hit] = frequent[np.asarray(place.drop_null())]
-                kind = classes_of(distinct.to_pylist())
-                base = np.where(hit, np.log10((count + 1) / base_size), 0.0)
-                own = np.where(hit, np.log10((count + 1) / class_size[kind]), 0.0)
+                _, counts = _looked_up(piece, distinct, tokens, frequent)
+                c = np.rint(counts.sum(axis=1))  # the states of an occurrence add up to one
+                model = (start, step, emission(counts, totals, v_all))
                 add = lambda x: np.add.reduceat(x[codes], offsets[:-1])  # noqa: B023, E731
                 likelihood = np.zeros(piece.num_rows)
-                for which, starts, lengths in blocks(offsets, whole=True):
-                    likelihood[which] = forward(kind[codes], starts, lengths, model)
-                # tokens beyond the frequent ones, once for each text, to be joined with their counts
-                missing = np.nonzero(~hit[codes])[0]
-                owner = np.searchsorted(offsets, missing, side="right") - 1
-                pair, times = np.unique(owner * np.int64(len(distinct)) + codes[missing], return_counts=True)
-                owner, code = pair // len(distinct), pair % len(distinct)
-                starts = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-                entries = pa.StructArray.from_arrays([distinct.take(pa.array(code)), pa.array(times)], names=["token", "times"])
-                missed = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), entries)
+                for which, starts, lengths in blocks(offsets):
+                    likelihood[which] = forward(codes, starts, lengths, model)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(offsets)),
-                        pa.array(add(hit.astype(np.int64))), pa.array(add(base)), pa.array(likelihood + add(own)), missed,
+                        piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(offsets)), pa.array(add((c > 0).astype(np.int64))),
+                        pa.array(np.full(piece.num_rows, n_all)), pa.array(add(np.log10((c + 1) / base_size))), pa.array(likelihood),
                     ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "missed"],
+                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    judged = rows.mapInArrow(
-        judge,
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, own double, missed array<struct<token: string, times: long>>",
-    )
-    judged = settle(judged.withColumn("row", F.monotonically_increasing_id()))
-    rare = judged.select("row", F.explode("missed").alias("m")).select("row", "m.token", "m.times").join(counts, "token", "left")
-    c, kind = F.coalesce("n", F.lit(0)), F.crc32("token") % CLASSES
-    sizes = spark.createDataFrame([(i, float(x)) for i, x in enumerate(n_class + v_class + 1)], "k long, size double")
-    rare = rare.withColumn("c", c).join(F.broadcast(sizes), kind == F.col("k"))  # CLASSES rows
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("r_known"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(base_size)))).alias("r_base"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.col("size"))).alias("r_own"),
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    judged = known.with_counts(known.rows).mapInArrow(
+        judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    both = judged.drop("missed").join(rare, "row", "left")
-    return both.select(
-        "doc_id", "held_out", "n_tokens",
-        (F.col("n_known") + F.coalesce("r_known", F.lit(0))).alias("n_known"),
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("r_base", F.lit(0.0))).alias("base_score"),
-        (F.col("own") + F.coalesce("r_own", F.lit(0.0))).alias("score"),
-    )
+    judged = settle(judged)
+    known.rows.unpersist()
+    return judged

@@ -180,6 +180,68 @@ def test_lm_scores(docs, empty):
     assert hmm_score.score(empty, rounds=1).count() == 0
 
 
+def test_hmm_states_emit_words_and_texts_are_whole(spark, monkeypatch):
+    """Score after training against a plain Baum-Welch over whole texts; most words are not among the broadcast ones."""
+    monkeypatch.setattr(hmm_score, "FREQUENT", 40)
+    S = hmm_score.STATES
+    made = [(i, prose(20 + 300 * (i % 3), 700 + i)) for i in range(14)] + [(50, f"{prose(30, 800)} unheard of"), (51, None)]
+    seqs = {i: [*(t or "").split(), ""] for i, t in made}
+    train = {i: s for i, s in seqs.items() if not __import__("zlib").crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for s in train.values() for w in s)
+    assert 0 < len(train) < len(seqs) and len(c) > 200
+    words, n = list(c), np.array([float(x) for x in c.values()])
+    E = dict(zip(words, hmm_score.first_counts(__import__("pyarrow").array(words), n)))
+    start, step = np.full(S, 1 / S), np.where(np.eye(S) > 0, 0.95, 0.05 / (S - 1))
+
+    def emit(w):
+        return (E.get(w, np.zeros(S)) + 1 / S) / (sum(E.values()) + (len(c) + 1) / S)
+
+    def alphas(seq):
+        out, log, value = [], 0.0, start
+        for t, w in enumerate(seq):
+            value = (value @ step if t else value) * table.get(w, other)
+            log += np.log10(value.sum())
+            value = value / value.sum()
+            out.append(value)
+        return out, log
+
+    for _ in range(3):
+        table, other = {w: emit(w) for w in c}, emit("not there")
+        new, s0, s1 = {w: np.zeros(S) for w in c}, np.zeros(S), np.zeros((S, S))
+        for seq in train.values():
+            a, _ = alphas(seq)
+            beta = np.ones(S)
+            for t in range(len(seq) - 1, -1, -1):
+                if t < len(seq) - 1:
+                    ahead = table[seq[t + 1]] * beta
+                    pair = a[t][:, None] * step * ahead[None]
+                    s1 += pair / pair.sum()
+                    beta = step @ ahead
+                    beta /= beta.sum()
+                post = a[t] * beta
+                new[seq[t]] += post / post.sum()
+            s0 += post / post.sum()
+        E, start, step = new, (s0 + 1e-3) / (s0 + 1e-3).sum(), (s1 + 1e-3) / (s1 + 1e-3).sum(axis=1, keepdims=True)
+    table, other = {w: emit(w) for w in c}, emit("not there")
+    got = {r["doc_id"]: r["score"] for r in hmm_score.score(spark.createDataFrame(made, "doc_id long, text string"), rounds=3).collect()}
+    assert all(got[i] == pytest.approx(alphas(seq)[1], rel=1e-9) for i, seq in seqs.items())
+
+
+def test_hmm_counts_of_a_long_text_do_not_depend_on_stretches(monkeypatch):
+    rng = np.random.default_rng(3)
+    S, V, n = hmm_score.STATES, 50, 1000
+    norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
+    model = (norm(rng.random(S), 0), norm(rng.random((S, S)), 1), norm(rng.random((V, S)), 0))
+    obs, found = rng.integers(0, V, n), []
+    for limit in (n, n - 1):
+        monkeypatch.setattr(hmm_score, "BLOCK_TOKENS", limit)
+        into = (np.zeros(S), np.zeros((S, S)), np.zeros((V, S)))
+        found.append((hmm_score.expected(obs, np.array([0]), np.array([n]), model, into), into))
+    assert found[0][0] == pytest.approx(found[1][0])
+    assert all(np.allclose(a, b) for a, b in zip(found[0][1], found[1][1]))
+    assert found[1][1][0].sum() == pytest.approx(1) and found[1][1][2].sum() == pytest.approx(n)
+
+
 def test_token_counts(docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
