@@ -17,8 +17,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go from all documents but one; n_chars follows the text."""
-    cleaned = line_dedup.remove_boilerplate(docs)
+    """Boilerplate lines of any length go from all documents but one; n_chars follows the text."""
+    cleaned = line_dedup.remove_boilerplate(docs, min_words=1)
     return line_dedup.with_length(cleaned)
 
 

@@ -6,7 +6,7 @@ lines get an exact distinct count of their sites. A boilerplate line stays in th
 goes everywhere else.
 
 Lines are split at newlines and compared without the white space at their ends, by a 64-bit hash. Lines of fewer than
-`min_words` words are never boilerplate. Nulls and edges: a null text has no lines and stays null; a null site counts as one
+`min_words` words are never boilerplate; 1 looks at every line that has a word. Nulls and edges: a null text has no lines and stays null; a null site counts as one
 site of its own; rows with a null id are counted but keep all their lines; rows that repeat an id count as one document.
 A text whose lines all go becomes empty, its row stays. Empty tables give empty results.
 """

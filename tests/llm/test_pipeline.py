@@ -22,3 +22,12 @@ def test_stages(spark):
             assert near_dedup.with_classes(out).filter("NOT kept").count() == 0
         if name == "decontamination":
             assert decontaminate.contained_items(out, table(spark, SF, "benchmark")).count() == 0
+
+
+def test_short_boilerplate_lines_go(spark):
+    made = [(i, f"Log in\nbody {i} has words\n\nHome\nonce {i}", f"s{i % 6}") for i in range(12)] + [(50, "Home\nfew sites", "s1"), (51, "few\nbody", "s2")]
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in made], "doc_id long, text string, source string, n_chars int")
+    out = {r["doc_id"]: r for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert out[0]["text"] == made[0][1]
+    assert all(out[i]["text"] == f"body {i} has words\n\nonce {i}" and out[i]["n_chars"] == len(out[i]["text"]) for i in range(1, 12))
+    assert out[50]["text"] == "few sites" and out[51]["text"] == "few\nbody"
