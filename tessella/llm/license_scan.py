@@ -4,7 +4,8 @@ Words are compared without case and punctuation. A document is aligned with a te
 `WIDTH` times the template's length has enough of its words; most documents have no such stretch and are passed over by one
 matrix product for a batch. In the stretch, words that are unique to both sides are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between are aligned in the same way, after equal words at their ends. Coverage is
-the share of the template's words that are aligned; a match covers `COVERED` of them or more.
+the share of the template's words that are aligned; a match covers `COVERED` of them or more, has all the words that tell the
+template's license from others, and none of those that make another license of it.
 
 Nulls and edges: a null or empty text has no match. Every row gives one row: the best license (by coverage, then by length of
 the template), or null, and all matches in text order with their word places. Empty tables give empty results.
@@ -16,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,29 +28,93 @@ from tessella.llm import arrow_words as aw
 COVERED = 0.8
 WIDTH = 1.5
 
-#: Fixed values: (license, wording) of public license texts and notices.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+    "met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+)
+_BSD_THIRD = (
+    "*Neither the name of the copyright holder nor the names of its contributors may be used to *endorse or *promote products derived from this "
+    "software without specific prior written permission. "
+)
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_PROGRAM = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the *GNU {kind}*General Public License as published "
+    "by the Free Software Foundation, {version} of the License, or (at your option) any later version."
+)
+_WORK = "This work is licensed under the *GNU {kind}*General *Public License, version *{version}."
+_CC = "This work is licensed under a *Creative *Commons *{kind} *4.0 International License."
+#: Words that make another license of a GPL or a Creative Commons one.
+_NOT_GPL = "lesser library affero"
+_NOT_CC = "noncommercial non-commercial sharealike share-alike noderivatives noderivs no-derivatives no-derivs"
+
+
+def _whole(name: str) -> str:
+    return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
+
+
+#: Fixed values: (license, wording, contrary words) of public license texts and notices. A word with a star must be aligned, and
+#: no contrary word may stand between the first and the last word aligned.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
+    ("Apache-2.0", "Licensed under the *Apache License, Version *2.0."),
+    ("Apache-2.0", "Licensed under the *Apache License, Version *2.0 (the \"License\"); you may not use this file except in compliance with the "
      "License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
      "in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
      "either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("MIT", "Released under the MIT License."),
+    ("MIT", "Released under the *MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
+     "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+     "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
+     "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED "
+     "TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+     "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR "
+     "IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
      "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
      "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
      "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial "
      "portions of the Software."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-     "conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
-     "disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
-     "in the documentation and/or other materials provided with the distribution."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-     "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+    ("BSD-2-Clause", _BSD + _BSD_END, "neither endorse promote"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any *purpose with or without *fee is hereby granted, provided that "
+     "the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL "
+     "WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+     "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN "
+     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the *Mozilla Public License, v. *2.0. If a copy of the MPL was not distributed with "
+     "this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Licensed under the *Mozilla Public License, Version *2.0."),
+    ("GPL-3.0", _WORK.format(kind="", version=3), _NOT_GPL),
+    ("GPL-3.0", _PROGRAM.format(what="program", kind="", version="either version *3"), _NOT_GPL),
+    ("GPL-2.0", _WORK.format(kind="", version=2), _NOT_GPL),
+    ("GPL-2.0", _PROGRAM.format(what="program", kind="", version="either version *2"), _NOT_GPL),
+    ("LGPL-3.0", _WORK.format(kind="*Lesser ", version=3)),
+    ("LGPL-3.0", _PROGRAM.format(what="library", kind="*Lesser ", version="either version *3")),
+    ("LGPL-2.1", _WORK.format(kind="*Lesser ", version=2.1)),
+    ("LGPL-2.1", _PROGRAM.format(what="library", kind="*Lesser ", version="either version *2.1")),
+    ("AGPL-3.0", _WORK.format(kind="*Affero ", version=3)),
+    ("AGPL-3.0", _PROGRAM.format(what="program", kind="*Affero ", version="either version *3")),
+    *[(f"CC-{k}-4.0", f"Licensed under *CC *{k} *4.0.", _NOT_CC) for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
+    *[(f"CC-{k}-4.0", f"Licensed under *CC-{k} *4.0.", _NOT_CC) for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
+    ("CC-BY-4.0", _CC.format(kind="Attribution"), _NOT_CC),
+    ("CC-BY-SA-4.0", _CC.format(kind="Attribution-ShareAlike"), _NOT_CC),
+    ("CC-BY-NC-4.0", _CC.format(kind="Attribution-NonCommercial"), _NOT_CC),
+    ("CC-BY-ND-4.0", _CC.format(kind="Attribution-NoDerivatives"), _NOT_CC),
+    ("CC-BY-NC-SA-4.0", _CC.format(kind="Attribution-NonCommercial-ShareAlike"), _NOT_CC),
+    ("CC-BY-NC-ND-4.0", _CC.format(kind="Attribution-NonCommercial-NoDerivatives"), _NOT_CC),
     ("all-rights-reserved", "All rights reserved."),
+    ("Apache-2.0", _whole("Apache-2.0")), ("GPL-3.0", _whole("GPL-3")), ("GPL-2.0", _whole("GPL-2")), ("LGPL-3.0", _whole("LGPL-3")),
+    ("LGPL-2.1", _whole("LGPL-2.1")), ("MPL-2.0", _whole("MPL-2.0")),
 )
 
 _PLAIN = re.compile(r"\w+(?:[.'-]\w+)*")
@@ -101,9 +167,13 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 class Templates:
     def __init__(self, templates=TEMPLATES):
-        self.names = [name for name, _ in templates]
-        self.words = [[p for w in text.split() if (p := plain(w))] for _, text in templates]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        self.names = [t[0] for t in templates]
+        split = [[(p, w.startswith("*")) for w in t[1].split() if (p := plain(w))] for t in templates]
+        self.words = [[p for p, _ in ws] for ws in split]
+        contrary = [[plain(w) for w in t[2].split()] if len(t) > 2 else [] for t in templates]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for ws in [*self.words, *contrary] for w in ws}))}
+        self.musts = [{j for j, (_, must) in enumerate(ws) if must} for ws in split]
+        self.contrary = [np.array([self.vocabulary[w] for w in ws if w not in own], dtype=np.int64) for ws, own in zip(contrary, self.words)]
         self.coded = [[self.vocabulary[w] for w in ws] for ws in self.words]
         self.has = np.zeros((len(self.vocabulary), len(templates)), dtype=np.float32)
         for t, codes in enumerate(self.coded):
@@ -127,8 +197,9 @@ class Templates:
                 first = ours[start]
                 pairs = patience(words[first : first + width].tolist(), wanted)
                 coverage = len(pairs) / len(wanted)
-                if coverage >= COVERED:
-                    end = first + pairs[-1][0] + 1
+                end = first + pairs[-1][0] + 1 if pairs else first
+                stands = self.musts[t] <= {j for _, j in pairs} and not np.isin(words[first:end], self.contrary[t]).any()
+                if coverage >= COVERED and stands:
                     out.append((first + pairs[0][0], end, coverage))
                     skip = bisect_left(ours, end)
             for k in range(start, skip):

@@ -263,6 +263,27 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.patience(list("abcd"), list("xabyd")) == [(0, 1), (1, 2), (3, 4)]
 
 
+def test_licenses_are_told_apart(spark):
+    L = license_scan
+    bsd2, bsd3 = L._BSD + L._BSD_END, L._BSD + L._BSD_THIRD.replace("*", "") + L._BSD_END
+    work = "This work is licensed under the GNU {} Public License, version {}."
+    near = [
+        ("Released under the BSD License.", None), ("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY 3.0.", None),
+        (work.format("General", 2), "GPL-2.0"), (work.format("General", 3), "GPL-3.0"), (work.format("Lesser General", 3), "LGPL-3.0"),
+        (work.format("Affero General", 3), "AGPL-3.0"), (work.format("Library General", 3), None),
+        ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under the Mozilla Public License, Version 2.0.", "MPL-2.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", None),
+        (bsd2, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), (L.TEMPLATES[3][1], "MIT"), (L.TEMPLATES[4][1], "MIT"), (L._BSD, None),
+        (L._whole("GPL-3"), "GPL-3.0"), (L._whole("GPL-2"), "GPL-2.0"), (L._whole("LGPL-2.1"), "LGPL-2.1"), (L._whole("LGPL-3"), "LGPL-3.0"),
+        (L._whole("Apache-2.0"), "Apache-2.0"), (L._whole("MPL-2.0"), "MPL-2.0"),
+    ]
+    made = [(i, f"{prose(40, i)} {t} {prose(40, i + 1)}") for i, (t, _) in enumerate(near)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(near)] == near
+
+
 def test_wildcard_automaton():
     patterns = ["a*b", "*ab*", "a?c", "*", "abc", "*a*b*c", "", "?*", "x" * 70 + "*", "*.com#/*.exe"]
     letters = np.array(list("abcx.#/"))
