@@ -5,7 +5,8 @@ headers, footers, asides, forms, scripts, styles and elements whose class or id
 the like is not content; where a page has an article (or main) element, text outside it is not content either. Other blocks
 are classified in the first pass by link density, length and stop-word density as good, bad, or short and undecided; in the
 second pass undecided blocks take the label of the nearest decided neighbours, good where they differ or there are none
-inside a stated article.
+inside a stated article. On a page without a stated article that has no good block, as when all its paragraphs are short, the
+blocks of sufficient length and stop-word density ("near") are the good ones of the first pass.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 Nulls and edges: a null or empty page has an empty text; a tag that the page's end cuts off is no text; every row gives one
@@ -142,6 +143,8 @@ def main_text(page: str | None) -> str:
     if stated:
         # a long block inside the article is part of it in any language; what links dominate is decided by its neighbours
         labels = ["good" if x in ("near", "good") or (x == "bad" and n <= MAX_LINKS * len(t)) else "short" for x, (t, n, _) in zip(labels, found)]
+    elif "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]
     first = [x if x in ("good", "bad") else None for x in labels]
     before, after, last = [None] * len(first), [None] * len(first), None
     for i, x in enumerate(first):

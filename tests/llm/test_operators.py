@@ -330,3 +330,11 @@ def test_html_extraction(spark):
     assert got[1]["text"] == f"Café & co {body} {body} end" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] == "" == got[3]["text"] and len(got) == 4
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_html_page_of_short_paragraphs():
+    lines = [f"The {w} is on the mat and it was there for a long time with all of the others that they have." for w in ("cat", "dog", "hen")]
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Section number {i} of the site</a></li>" for i in range(5)) + "</ul>"
+    assert all(len(x) <= 200 for x in lines)
+    assert html_extract.main_text(f"<body>{menu}{''.join(f'<p>{x}</p>' for x in lines)}{menu}</body>") == " ".join(lines)
+    assert html_extract.main_text(f"<body>{menu}<p>Tiny</p>{menu}</body>") == ""
