@@ -88,7 +88,7 @@ def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: i
     return min(tried)[1]
 
 
-def ml_kmeans(df: DataFrame, features: list[str], k: int, starts: int = 3, seed: int = 42) -> tuple[DataFrame, float]:
+def ml_kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42) -> tuple[DataFrame, float]:
     """(df with `cluster`, inertia) by Spark ML's K-Means, best of several seeds."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler

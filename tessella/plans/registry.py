@@ -112,7 +112,7 @@ def lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = io.settle(points(spark, sf_dir))
-    return cluster.sizes(cluster.assign(df, AXES, cluster.kmeans(df, AXES, roles.TRAINED_K["rfm"], starts=2)))
+    return cluster.sizes(cluster.assign(df, AXES, cluster.kmeans(df, AXES, roles.TRAINED_K["rfm"])))
 
 
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

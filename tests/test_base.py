@@ -134,3 +134,16 @@ def test_empty_table(spark):
     assert one(profile.duplicate_counts(empty, ["a"]))["surplus"] == 0
     assert scale.scaled(empty, ["a"]).count() == 0
     assert one(empty.agg(F.count("*").alias("n")))["n"] == 0
+
+
+def test_kmeans_queries_make_ten_starts(spark, monkeypatch):
+    import pyspark.ml.clustering as ml
+
+    seeds, fit = [], ml.KMeans.fit
+    monkeypatch.setattr(cluster, "seeded_centers", lambda df, features, k, seed, key: seeds.append(seed) or registry.CENTERS[:k])
+    monkeypatch.setattr(cluster, "lloyd", lambda df, features, centers, **_: centers)
+    monkeypatch.setattr(ml.KMeans, "fit", lambda self, df: seeds.append(self.getSeed()) or fit(self, df))
+    for name in ("kmeans_restarts", "kmeans_ml"):
+        seeds.clear()
+        registry.QUERIES[name](spark, SF)
+        assert seeds == list(range(42, 52))
