@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and the ASCII controls from tab to carriage return.
@@ -60,10 +60,13 @@ def fresh(name: str, taken: list[str]) -> str:
 
 
 def _shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where the session has none."""
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only for a local session that has none."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -76,3 +79,29 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute `df` once and keep it in the shared folder; cuts the lineage."""
     _shared(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, or a folder of them."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Tables:
+    """Intermediate tables in the shared folder, which go when the block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.n = spark, scratch(spark, name), 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.root)
+
+    def write(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """`df` written as Parquet and read again, which cuts the lineage; and its number of rows, counted in the same job."""
+        self.n += 1
+        path, seen = f"{self.root}/{self.n}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), int(seen.get["n"])

@@ -8,65 +8,71 @@ Similarity is that of an alignment: with L the longest common subsequence of the
 around the diagonal, L / (n1 + n2 - L). It is 0.8 or more for near duplicates. As no labelled shingle repeats in a text, the
 subsequence is the longest increasing run of matched places, found in n log n.
 
-Groups of any size are handled without listing their pairs: equal texts are one class first. Then each band's bucket links its
-members to its most central one, the member that meets most others in all its buckets, and connected components are formed.
-What remains are buckets whose members are in several components. Their members outside of the bucket's largest component are
-compared with all of the bucket in blocks of `BLOCK` rows by signatures of `BINS` bytes, which estimate the similarity to a
-few hundredths, and only pairs that may reach the threshold are aligned. A first pass takes each row in its largest bucket
-alone, and there aligns it with its best partner in its own block, which joins most of a large group; a second takes all pairs
-that are then still in different components, each in the first band that the pair shares. So every pair that shares a band ends up in one class, or has been compared.
-
-Rows are identified by doc_id. Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if
-they are equal, as are empty texts; null texts and rows with a null id are in no class (class_id is their own id, `kept` is
-true); rows that repeat an id are one document, and if their texts differ they tie those texts' classes together. Empty
-tables give empty results. The class is named by its least id, which is the document that is kept.
+Equal texts are one vertex: texts are known by a 128-bit digest, whatever the ids of their rows. Groups of any size are handled
+without listing their pairs. Each band's bucket first links its members to its most central one, the member that meets most
+others in all its buckets, and connected components are formed. What remains are buckets whose members are in several
+components. Their members outside of the bucket's largest component are held against all of the bucket in blocks: sketches
+and bin signatures, which estimate the similarity to a few hundredths, rule out most pairs, the others are aligned where they
+stand, and a block sends only the links that join components. A first pass takes each text in its largest bucket and there in
+one block, which joins most of a large group; a second takes all pairs that are then still in different components, each in
+the first band that the pair shares. So every pair that shares a band ends up in one class, or has been compared.
+
+Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if they are equal, as are empty
+texts; null texts are in no class (class_id is their own id, `kept` is true). The class is named by its least id that is not
+null, and is null where it has none. Ids may be of any type that can be ordered, and may repeat: rows of one id belong to the
+classes of their own texts. The row of the least (id, digest) of a class is kept, ids that are null last; rows equal in id and
+text are interchangeable, `kept` is true for all of them, and keep_one() leaves one. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrow_words as aw
-from tessella.llm.common import SIMILAR, fresh, settle
+from tessella.llm.common import SIMILAR, Tables, fresh, settle
 
 BANDS, ROWS_A_BAND = 16, 2
 SKETCHES = BANDS * ROWS_A_BAND
-#: Bytes of a signature, and the least estimate at which a pair is aligned: four standard errors below the threshold.
-BINS = 512
+#: Bins of a signature, and the least estimate at which a pair is aligned: four standard errors below the threshold.
+BINS = 1024
 ESTIMATE = SIMILAR - 4 * (SIMILAR * (1 - SIMILAR) / BINS) ** 0.5
-BLOCK = 1024
-SEEDS = aw.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Similar texts agree in a sketch with a chance of SIMILAR ** 2 at least; below this number of agreements it is one in 10^5.
+AGREE = 9
+#: Texts, and shingles, of a block on average.
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+MULTIPLIERS = aw.mixed(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit number for each random order: the two least shingles, in the order in which they stand in the text."""
+    """One 32-bit number for each random order: the two least shingles, in the order in which they stand in the text."""
     if len(shingles) == 1:
-        return aw.mixed(shingles ^ SEEDS)
-    least = [np.empty((SKETCHES, 0), dtype=np.uint64), np.empty((SKETCHES, 0), dtype=np.int64)]
+        return aw.mixed(shingles * MULTIPLIERS).astype(np.uint32)
+    least, places = np.empty((SKETCHES, 0), dtype=np.uint64), np.empty((SKETCHES, 0), dtype=np.int64)
     for start in range(0, len(shingles), 4096):
-        part = aw.mixed(shingles[None, start : start + 4096] ^ SEEDS[:, None])
+        part = shingles[None, start : start + 4096] * MULTIPLIERS[:, None]
         for _ in range(2 if part.shape[1] > 1 else 1):
             at = part.argmin(axis=1)[:, None]
-            least[0] = np.concatenate([least[0], np.take_along_axis(part, at, 1)], axis=1)
-            least[1] = np.concatenate([least[1], at + start], axis=1)
-            np.put_along_axis(part, at, np.uint64(0xFFFFFFFFFFFFFFFF), 1)
-    two = np.argsort(least[0], axis=1, kind="stable")[:, :2]
-    places = np.take_along_axis(least[1], two, 1)
-    two = np.take_along_axis(two, np.argsort(places, axis=1), 1)
-    first, second = np.take_along_axis(least[0], two, 1).T
-    return aw.mixed(aw.mixed(first) + second)
+            least = np.concatenate([least, np.take_along_axis(part, at, 1)], axis=1)
+            places = np.concatenate([places, at + start], axis=1)
+            np.put_along_axis(part, at, LAST, 1)
+    two = np.argsort(least, axis=1, kind="stable")[:, :2]
+    two = np.take_along_axis(two, np.argsort(np.take_along_axis(places, two, 1), axis=1), 1)
+    first, second = np.take_along_axis(least, two, 1).T
+    return aw.mixed(aw.mixed(first) + second).astype(np.uint32)
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """A byte for each bin: of the least shingle that falls into it, 1 to 255; 0 for an empty bin."""
     out = np.zeros(BINS, dtype=np.uint8)
-    ordered = np.sort(shingles)[::-1]  # the least of a bin is written last
+    ordered = np.sort(shingles)[::-1].astype(np.uint64)  # the least of a bin is written last
     scrambled = aw.mixed(ordered)
     out[(scrambled % np.uint64(BINS)).astype(np.int64)] = (scrambled >> np.uint64(32)) % np.uint64(255) + np.uint64(1)
     return out
@@ -77,21 +83,29 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in aw.pieces(batch, "text"):
             distinct, codes, offsets = aw.split(piece.column("text"))
             word_hashes = aw.hashes(distinct)[codes] if len(codes) else np.empty(0, dtype=np.uint64)
-            found = []
+            windows = aw.shingle_hashes(word_hashes)
+            found, kept, sizes = [], [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                s = aw.labelled(aw.shingle_hashes(word_hashes[a:b]))
-                found.append(sketch(s).astype(np.uint32).tobytes() if len(s) else None)
+                s = aw.labelled(windows[a : max(a, b - aw.SHINGLE + 1)])
+                found.append(sketch(s).tobytes() if len(s) else None)
+                kept.append(s.astype(np.uint32).tobytes() if len(s) else None)
+                sizes.append(len(s))
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), piece.column("text_key"), pa.array(found, type=pa.binary())], names=["doc_id", "text_key", "sketch"]
+                [*piece.columns[:-1], pa.array(sizes, pa.int32()), pa.array(found, pa.binary()), pa.array(kept, pa.binary())],
+                names=["doc_id", "text_key", "size", "sketch", "shingles"],
             )
 
 
+def text_key(text: Column) -> Column:
+    """A 128-bit digest of the text."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, sketch); text_key is a 128-bit digest of the text, sketch is null for texts without shingles."""
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("text_key"), "text"
-    )
-    return rows.mapInArrow(_sketches, "doc_id long, text_key binary, sketch binary")
+    """(doc_id, text_key, size, sketch, shingles) of every row with a text; sketch and shingles (32-bit numbers, in text order) are null for texts without shingles."""
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_sketches, f"doc_id {kind}, text_key binary, size int, sketch binary, shingles binary")
 
 
 def increasing(places: np.ndarray) -> int:
@@ -99,8 +113,6 @@ def increasing(places: np.ndarray) -> int:
     if len(places) < 2 or (places[1:] > places[:-1]).all():
         return len(places)
     tops: list[int] = []
-    from bisect import bisect_left
-
     for p in places.tolist():
         i = bisect_left(tops, p)
         tops[i : i + 1] = [p]
@@ -112,203 +124,247 @@ def aligned(a: np.ndarray, b: np.ndarray, threshold: float = SIMILAR) -> float:
     n = len(a) + len(b)
     if not len(a) or not len(b) or min(len(a), len(b)) < threshold * max(len(a), len(b)):
         return 0.0
-    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if len(common) < threshold * (n - len(common)):
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    at = np.minimum(np.searchsorted(ranked, b), len(a) - 1)
+    j = np.nonzero(ranked[at] == b)[0]
+    if len(j) < threshold * (n - len(j)):
         return 0.0
+    i = order[at[j]]
     band = n * (1 - threshold) / (1 + threshold)  # more unmatched shingles than this, and the similarity is too low
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    length = increasing(j[np.argsort(i)])
+    length = increasing(i[np.abs(i - j) <= band])
     return length / (n - length)
 
 
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=np.uint32)
+
+
 def _aligned_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in aw.pieces(batch, "text_a", aw.PIECE // 2):
-            texts = pa.concat_arrays([piece.column("text_a"), piece.column("text_b")])
-            distinct, codes, offsets = aw.split(texts)
-            word_hashes = aw.hashes(distinct)[codes] if len(codes) else np.empty(0, dtype=np.uint64)
-            n, good = piece.num_rows, []
-            shingles = lambda k: aw.labelled(aw.shingle_hashes(word_hashes[offsets[k] : offsets[k + 1]]))  # noqa: B023, E731
-            for k in range(n):
-                good.append(aligned(shingles(k), shingles(n + k)) >= SIMILAR)
-            mask = pa.array(good, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([piece.column("a").filter(mask), piece.column("b").filter(mask)], names=["a", "b"])
+        one, other = batch.column("shingles_a"), batch.column("shingles_b")
+        good = [aligned(_numbers(x.as_buffer()), _numbers(y.as_buffer())) >= SIMILAR for x, y in zip(one, other)]
+        mask = pa.array(good, type=pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
 def align(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b) whose `texts` (t_id, text) are similar."""
-    left = pairs.join(texts, pairs["a"] == F.col("t_id")).select("a", "b", F.col("text").alias("text_a"))
-    both = left.join(texts, left["b"] == F.col("t_id")).select("a", "b", "text_a", F.col("text").alias("text_b"))
-    return both.mapInArrow(_aligned_pairs, "a long, b long")
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in aw.pieces(batch, "text"):
-            distinct, codes, offsets = aw.split(piece.column("text"))
-            word_hashes = aw.hashes(distinct)[codes] if len(codes) else np.empty(0, dtype=np.uint64)
-            each = zip(offsets[:-1].tolist(), offsets[1:].tolist())
-            found = [signature(aw.labelled(aw.shingle_hashes(word_hashes[a:b]))).tobytes() for a, b in each]
-            yield pa.RecordBatch.from_arrays([piece.column("t_id"), pa.array(found, type=pa.binary())], names=["s_id", "signature"])
+    """Those of `pairs` (a, b) whose `texts` (key, shingles) are similar."""
+    left = pairs.join(texts, F.col("a") == F.col("key")).select("a", "b", F.col("shingles").alias("shingles_a"))
+    both = left.join(texts, F.col("b") == F.col("key")).select("a", "b", "shingles_a", F.col("shingles").alias("shingles_b"))
+    return both.mapInArrow(_aligned_pairs, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(v, c) for every vertex of `edges` (a, b): c is the least vertex connected with it.
+def components(edges: DataFrame, tables: Tables) -> DataFrame | None:
+    """(v, c) for every vertex of `edges` (a, b): c is the least vertex connected with it. None if there are no edges.
 
-    Each round every vertex and its label link to the least label around (large star, then small star), until nothing moves.
-    Rounds grow with the logarithm of the longest chain; each is written out, so a lost executor costs one round.
+    Each round every vertex moves to the least vertex around it, and edges move along, so that the graph shrinks; vertices are
+    digests, in random order, so this takes a number of rounds that grows with the logarithm of the size. A round writes two
+    tables, and a lost executor costs part of one.
     """
-    both = lambda e: e.select("a", "b").union(e.select("b", "a")).toDF("a", "b")
-    edges = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if edges.isEmpty():
-        return edges.toDF("v", "c")
-    last = None
-    while True:
-        # large star: neighbours above a vertex link to the least vertex around it
-        around = both(edges)
-        least = settle(around.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = around.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: a vertex and its neighbours below link to the least of them
-        below = settle(large.filter("a <> b").distinct())
-        least = settle(below.groupBy("a").agg(F.min("b").alias("m")))
-        small = below.join(least, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
-        edges = settle(small.filter("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        if now == last:
-            return edges.select(F.col("a").alias("v"), F.col("b").alias("c")).union(edges.select("b", "b").distinct())
-        last = now
-
-
-def joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
-    """The components `parts` (v, c) after further `edges` (a, b)."""
-    edges = settle(edges)
-    if edges.isEmpty():
+    edges, n = tables.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    moves = []
+    while n:
+        around = edges.union(edges.select("b", "a"))
+        move, _ = tables.write(around.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.col("v")).alias("p")))
+        moves.append(move)
+        to_a, to_b = move.toDF("va", "pa"), move.toDF("vb", "pb")
+        moved = edges.join(to_a, F.col("a") == F.col("va")).select("pa", "b").join(to_b, F.col("b") == F.col("vb"))
+        moved = moved.select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).filter("a <> b").distinct()
+        edges, n = tables.write(moved)
+    if not moves:
+        return None
+    out = moves[-1].toDF("v", "c")
+    for move in moves[-2::-1]:
+        out = move.join(out.toDF("next", "c"), F.col("p") == F.col("next"), "left").select("v", F.coalesce("c", "p").alias("c"))
+    return tables.write(out)[0]
+
+
+def relabel(parts: DataFrame, edges: DataFrame, tables: Tables) -> DataFrame:
+    """The components `parts` (key, c) after further `edges` (a, b) between components."""
+    found = components(edges, tables)
+    if found is None:
         return parts
-    return settle(components(parts.select(F.col("v").alias("a"), F.col("c").alias("b")).union(edges)))
+    moved = parts.join(found.toDF("v", "to"), F.col("c") == F.col("v"), "left")
+    return tables.write(moved.select("key", F.coalesce("to", "c").alias("c")))[0]
 
 
-def _bands(found: DataFrame) -> DataFrame:
-    """(bucket, band, doc_id) for the bands of every sketch."""
+def _bands(reps: DataFrame) -> DataFrame:
+    """(bucket, band, key, size) for the bands of every sketch."""
     width = 8 * ROWS_A_BAND  # hexadecimal digits
     numbers = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.hex("sketch"), i * width + 1, F.lit(width))),
     )
-    return found.select("doc_id", F.posexplode(numbers).alias("band", "bucket"))
+    return reps.select("key", "size", F.posexplode(numbers).alias("band", "bucket"))
 
 
-def _block_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """Pairs of one block against another (or itself) that are in different components and may be similar; with `best`, for each row the most similar alone."""
-    one, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    out: list[tuple[int, int]] = []
-    if len(one) and len(other):
-        unpack = lambda side, column, kind: np.frombuffer(b"".join(side[column]), dtype=kind).reshape(len(side), -1)
-        x, y = unpack(one, "signature", np.uint8), unpack(other, "signature", np.uint8)
-        bands_x, bands_y = unpack(one, "sketch", np.uint64), unpack(other, "sketch", np.uint64)
-        ids, comps, filled, band = other["doc_id"].to_numpy(), other["c"].to_numpy(), y > 0, int(rows["band"].iloc[0])
-        for row, bands, i, c in zip(x, bands_x, one["doc_id"].to_numpy(), one["c"].to_numpy()):
-            if not (far := comps != c).any():
-                continue
-            share = ((y == row) & filled).sum(axis=1) / (filled | (row > 0)).sum(axis=1)
-            hit = np.nonzero((share >= ESTIMATE) & far)[0]
-            if best:
-                hit = hit[share[hit].argsort()[-1:]]
-            else:
-                hit = hit[(bands_y[hit, :band] != bands[:band]).all(axis=1)]  # no earlier band is shared
-            out += [(min(i, j), max(i, j)) for j in ids[hit]]
-    return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+def _shares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimates of the similarity of the signature x to the signatures y."""
+    def total(same: np.ndarray) -> np.ndarray:
+        lanes = same.view(np.uint64).reshape(len(same), -1, 64).sum(axis=2)  # bytes up to 64 each
+        halves = (lanes & np.uint64(0x00FF00FF00FF00FF)) + ((lanes >> np.uint64(8)) & np.uint64(0x00FF00FF00FF00FF))
+        return ((halves * np.uint64(0x0001000100010001)) >> np.uint64(48)).sum(axis=1).astype(np.int64)
+
+    neither = total((y | x) == 0)
+    return (total(y == x) - neither) / np.maximum(BINS - neither, 1)
 
 
-def across(members: DataFrame, best: bool) -> DataFrame:
-    """Pairs (a, b) of different components `c` within a bucket that may be similar.
+def block_links(rows: pd.DataFrame, every_pair: bool) -> pd.DataFrame:
+    """Links (a, b) between components that similar texts of one block and another (or itself) make; never two that say the same.
 
-    `members`: bucket, band, n (its rows), doc_id, c, main (its largest component), m (its rows outside of that), signature,
-    sketch. Of two rows in different components one is outside the main one, so those rows are held against all. Both are dealt
-    into blocks of about BLOCK rows; each pair of blocks is one group, so no task sees a whole bucket. With `best` a row meets
-    the one block that it falls into itself.
+    With `every_pair` false, pairs that share an earlier band are compared too.
+    """
+    one, other = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    out: list[tuple[bytes, bytes]] = []
+    if len(one) and len(other):
+        names = sorted({*one["c"], *other["c"]})
+        parent, number = list(range(len(names))), {c: i for i, c in enumerate(names)}
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        unpack = lambda side: np.frombuffer(b"".join(side["sketch"]), dtype=np.uint32).reshape(len(side), -1)
+        x, y, band = unpack(one), unpack(other), int(rows["band"].iloc[0])
+        pair = lambda z: np.ascontiguousarray(z).view(np.uint64)  # a band is two sketches
+        bands_x, bands_y = pair(x), pair(y)
+        comps = np.array([number[c] for c in other["c"]])
+        ours, theirs = list(map(_numbers, one["shingles"])), list(map(_numbers, other["shingles"]))
+        sizes, signed = np.array([len(s) for s in theirs]), None
+        for k, (row, bands, mine, c) in enumerate(zip(x, bands_x, ours, one["c"])):
+            c, n = number[c], len(mine)
+            fits = (np.minimum(sizes, n) >= SIMILAR * np.maximum(sizes, n)) & (comps != c)
+            hit = np.nonzero(fits & ((y == row).sum(axis=1) >= AGREE))[0]
+            if every_pair and band and len(hit):
+                hit = hit[(bands_y[hit, :band] != bands[:band]).all(axis=1)]  # no earlier band is shared
+            if not len(hit):
+                continue
+            if signed is None:
+                signed = np.stack([signature(s) for s in theirs])
+            share = _shares(signature(mine), signed[hit])
+            order = np.argsort(-share, kind="stable")
+            for j in hit[order[share[order] >= ESTIMATE]].tolist():
+                p, q = root(c), root(int(comps[j]))
+                if p != q and aligned(mine, theirs[j]) >= SIMILAR:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((names[c], names[comps[j]]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def across(members: DataFrame, every_pair: bool) -> DataFrame:
+    """Links (a, b) between components within buckets.
+
+    `members`: bucket, band, key, c, main (the bucket's largest component), blocks (of all its texts), outer (of those outside
+    of the main component), sketch, shingles. Of two texts in different components one is outside the main one, so those are
+    held against all. Both are dealt into blocks of about BLOCK texts; each pair of blocks is one group, so no task sees a
+    whole bucket. With `every_pair` false a text meets the one block that it falls into itself.
     """
-    wanted = ["bucket", "band", "doc_id", "c", "signature", "sketch"]
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
+    wanted = ["bucket", "band", "c", "sketch", "shingles"]
+    block = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     outside = members.filter("c <> main")
-    if best:
-        outside = outside.select(*wanted, block("n").alias("x"), block("n").alias("y"), F.lit(0).alias("side"))
-        rows = members.select(*wanted, block("n").alias("x"), block("n").alias("y"), F.lit(1).alias("side"))
+    if every_pair:
+        outside = outside.select(*wanted, block("outer").alias("x"), every("blocks").alias("y"), F.lit(0).alias("side"))
+        rows = members.select(*wanted, every("outer").alias("x"), block("blocks").alias("y"), F.lit(1).alias("side"))
     else:
-        outside = outside.select(*wanted, block("m").alias("x"), every("n").alias("y"), F.lit(0).alias("side"))
-        rows = members.select(*wanted, every("m").alias("x"), block("n").alias("y"), F.lit(1).alias("side"))
-    pairs = lambda rows: _block_pairs(rows, best)
-    return outside.union(rows).groupBy("bucket", "band", "x", "y").applyInPandas(pairs, "a long, b long").distinct()
-
-
-def mixed_buckets(linked: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows of `linked` in buckets that hold several components, with their component `c`, the bucket's largest, `main`, and its `m` rows outside of that."""
-    known = linked.join(parts, F.col("doc_id") == F.col("v"), "left").select(*linked.columns, F.coalesce("c", "doc_id").alias("c"))
-    shares = known.groupBy("bucket", "c").agg(F.count("*").alias("share"))
-    mixed = shares.groupBy("bucket").agg(F.max(F.struct("share", "c")).alias("x"), F.sum("share").alias("rows"))
-    mixed = mixed.select("bucket", F.col("x.c").alias("main"), (F.col("rows") - F.col("x.share")).alias("m")).filter("m > 0")
-    return known.join(settle(mixed), "bucket")
+        outside = outside.select(*wanted, block("blocks").alias("x"), block("blocks").alias("y"), F.lit(0).alias("side"))
+        rows = members.select(*wanted, block("blocks").alias("x"), block("blocks").alias("y"), F.lit(1).alias("side"))
+    links = lambda rows: block_links(rows, every_pair)
+    return outside.union(rows).groupBy("bucket", "x", "y").applyInPandas(links, "a binary, b binary")
+
+
+def mixed_buckets(linked: DataFrame, parts: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
+    """The rows of `linked` in buckets that hold several components, with `c`, `main`, `blocks` and `outer` as across() has them, and their number."""
+    known = linked.select("bucket", "band", "key", "size").join(parts, "key")
+    shares = known.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("size").alias("held"))
+    mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "held", "c")).alias("x"), F.sum("n").alias("n"), F.sum("held").alias("held"))
+    blocks = lambda n, held: F.greatest(F.ceil(n / BLOCK), F.ceil(held / BLOCK_SHINGLES), F.lit(1))
+    mixed = mixed.filter(F.col("n") > F.col("x.n")).select(
+        "bucket", F.col("x.c").alias("main"), blocks(F.col("n"), F.col("held")).alias("blocks"),
+        blocks(F.col("n") - F.col("x.n"), F.col("held") - F.col("x.held")).alias("outer"), "n",
+    )
+    mixed, found = tables.write(mixed)
+    return tables.write(known.join(mixed, "bucket")) if found else (known, 0)
+
+
+def _parts(reps: DataFrame, shingled: DataFrame, tables: Tables) -> DataFrame | None:
+    """(key, c): the component of every text that shares a bucket. None if there are no such texts."""
+    bands = _bands(reps.filter("sketch IS NOT NULL"))
+    shared, n = tables.write(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    if not n:
+        return None
+    linked, _ = tables.write(bands.join(shared, "bucket").select("bucket", "band", "key", "size", "n"))
+    central, _ = tables.write(linked.groupBy("key").agg(F.sum("n").alias("met")))
+    texts = shingled.join(central, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+    texts, _ = tables.write(texts.join(reps.select("key", "sketch"), "key"))
+
+    leaders = linked.join(central, "key").groupBy("bucket").agg(F.max(F.struct("met", "key", "size")).alias("x"))
+    leaders, _ = tables.write(leaders.select("bucket", F.col("x.key").alias("leader"), F.col("x.size").alias("leader_size")))
+    star = linked.join(leaders, "bucket").filter("key <> leader")
+    star = star.filter(F.least("size", "leader_size") >= SIMILAR * F.greatest("size", "leader_size"))
+    star = star.select(F.least("key", "leader").alias("a"), F.greatest("key", "leader").alias("b")).distinct()
+    parts = tables.write(central.select("key", F.col("key").alias("c")))[0]
+    parts = relabel(parts, align(star, texts.select("key", "shingles")), tables)
+
+    for every_pair in (False, True):
+        members, n = mixed_buckets(linked, parts, tables)
+        if not n:
+            break
+        if not every_pair:
+            largest = members.groupBy("key").agg(F.max(F.struct("n", "bucket")).alias("x")).select("key", "x.bucket")
+            members = members.join(tables.write(largest)[0], ["key", "bucket"], "left_semi")
+        links = across(members.join(texts, "key"), every_pair)
+        parts = relabel(parts, links, tables)
+    return parts
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, n_rows) for every distinct non-null id with a text; class_id is the least id of the class.
+    """(doc_id, text_key, class_id, n_rows, kept) for every distinct (id, text) with a text; n_rows is the number of such rows.
 
     Aggregates that hot keys are joined with are written out first: both sides of the join then come from a shuffle, and Spark
     splits the hot key among tasks.
     """
-    found = settle(sketches(docs))
-    reps = settle(found.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")))
-
-    bands = _bands(reps.filter("sketch IS NOT NULL").select(F.col("rep").alias("doc_id"), "sketch"))
-    shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    linked = settle(bands.join(shared, "bucket").select("bucket", "band", "n", "doc_id"))
-    central = settle(linked.groupBy("doc_id").agg(F.sum("n").alias("met")))
-    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("t_id"), "text")
-    texts = settle(texts.join(central, F.col("t_id") == F.col("doc_id"), "left_semi").dropDuplicates(["t_id"]))
-
-    leaders = linked.join(central, "doc_id").groupBy("bucket").agg(F.max(F.struct("met", "doc_id")).alias("x"))
-    leaders = settle(leaders.select("bucket", F.col("x.doc_id").alias("leader")))
-    star = linked.join(leaders, "bucket").filter("doc_id <> leader")
-    star = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    good = settle(align(star, texts))
-    # buckets that still hold several components
-    parts = settle(components(good))
-    members = settle(mixed_buckets(linked, parts))
-    if not members.isEmpty():
-        signed = texts.join(members.select("doc_id").distinct(), F.col("t_id") == F.col("doc_id"), "left_semi")
-        signed = signed.select("t_id", "text").mapInArrow(_signatures, "s_id long, signature binary")
-        signed = settle(signed.join(reps.select("rep", "sketch"), F.col("s_id") == F.col("rep")).drop("rep"))
-        compare = lambda members, best: align(across(members.join(signed, F.col("doc_id") == F.col("s_id")).drop("s_id"), best), texts)
-        largest = members.groupBy("doc_id").agg(F.max(F.struct("n", "bucket")).alias("x")).select("doc_id", "x.bucket")
-        parts = joined(parts, compare(members.join(settle(largest), ["doc_id", "bucket"], "left_semi"), True))
-        members = settle(mixed_buckets(members.drop("c", "main", "m"), parts))
-        if not members.isEmpty():
-            parts = joined(parts, compare(members, False))
-
-    # an id that stands for several texts ties their representatives
-    held = found.join(reps.select("text_key", "rep"), "text_key").select("doc_id", "rep")
-    held = settle(held.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("rep2"), F.count("*").alias("n_rows")))
-    ties = found.join(held.filter("rep <> rep2").select("doc_id", F.col("rep").alias("a")), "doc_id").join(reps, "text_key")
-    parts = joined(parts, ties.select("a", F.col("rep").alias("b")))
-    named = held.join(parts, F.col("rep") == F.col("v"), "left")
-    return named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), "n_rows")
+    with Tables(docs.sparkSession, "near_dedup") as tables:
+        found, _ = tables.write(sketches(docs))
+        held, _ = tables.write(found.groupBy("doc_id", F.col("text_key").alias("key")).agg(F.count("*").alias("n_rows")))
+        ids = held.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
+        any_row = found.groupBy(F.col("text_key").alias("key")).agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+        reps, _ = tables.write(any_row.join(ids, "key"))
+        parts = _parts(reps, found.select(F.col("text_key").alias("key"), "shingles"), tables)
+        if parts is None:
+            parts = reps.select("key", F.col("key").alias("c"))
+        known = reps.select("key", "least").join(parts, "key", "left").select("key", "least", F.coalesce("c", "key").alias("c"))
+        named = known.groupBy("c").agg(F.min(F.struct(F.col("least.none"), F.col("least.doc_id"), "key")).alias("first"))
+        named = known.select("key", "c").join(tables.write(named)[0], "c").select("key", "first")
+        rows = held.join(tables.write(named)[0], "key")
+        kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+        return settle(rows.select("doc_id", F.col("key").alias("text_key"), F.col("first.doc_id").alias("class_id"), "n_rows", kept.alias("kept")))
+
+
+def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with `found` by id and text; `found` keeps its other columns under its own names."""
+    own, key = (fresh(c, [*docs.columns, *found.columns]) for c in ("found_id", "found_key"))
+    found = found.withColumnsRenamed({"doc_id": own, "text_key": key})
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[own]) & (text_key(docs["text"]) == found[key]), how).drop(own, key)
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
-    """`docs` with `class_id`, `kept` and `n_rows` (rows of that id) added, renamed where `docs` has them."""
-    own, name, kept, n_rows = (fresh(c, docs.columns) for c in ("class_doc", "class_id", "kept", "n_rows"))
-    found = settle(classes(docs)).toDF(own, name, n_rows)
-    joined = docs.join(found, docs["doc_id"].cast("long") == F.col(own), "left").drop(own)
-    joined = joined.withColumn(name, F.when(F.col("text").isNull(), F.col("doc_id")).otherwise(F.coalesce(name, "doc_id")))
-    return joined.withColumn(kept, F.col(name).eqNullSafe(F.col("doc_id")))
+    """`docs` with `class_id`, `n_rows` (rows of that id and text) and `kept` added, renamed where `docs` has them."""
+    names = {c: fresh(c, docs.columns) for c in ("class_id", "n_rows", "kept")}
+    joined = _matched(docs, classes(docs).withColumnsRenamed(names), "left")
+    none = F.col("text").isNull()
+    joined = joined.withColumn(names["class_id"], F.when(none, F.col("doc_id")).otherwise(F.col(names["class_id"])))
+    return joined.withColumn(names["kept"], F.when(none, F.lit(True)).otherwise(F.col(names["kept"])))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, with all its columns; of rows equal in id and text, one."""
-    kept, n_rows, content = (fresh(c, docs.columns) for c in ("kept", "n_rows", "content"))
-    rows = with_classes(docs).filter(F.col(kept))
-    single = F.col(n_rows).isNull() | (F.col(n_rows) == 1) | F.col("text").isNull()
-    repeated = rows.filter(~single).withColumn(content, F.sha2("text", 256)).dropDuplicates(["doc_id", content])
-    return rows.filter(single).select(*docs.columns).union(repeated.select(*docs.columns))
+    """One document of each class, with all its columns; of rows equal in id and text, one. Rows without a text stay."""
+    found = classes(docs)
+    repeated = found.filter("kept AND n_rows > 1").select("doc_id", "text_key")
+    going = found.filter("NOT kept").select("doc_id", "text_key").union(repeated)
+    content = fresh("content", docs.columns)
+    again = _matched(docs, repeated, "left_semi").withColumn(content, F.sha2("text", 256)).dropDuplicates(["doc_id", content]).drop(content)
+    return _matched(docs, going, "left_anti").union(again)
