@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -91,7 +92,7 @@ class Tables:
     """Intermediate tables in the shared folder, which go when the block ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, scratch(spark, name), 0
+        self.spark, self.root, self.paths = spark, scratch(spark, name), {}
 
     def __enter__(self) -> Tables:
         return self
@@ -101,7 +102,17 @@ class Tables:
 
     def write(self, df: DataFrame) -> tuple[DataFrame, int]:
         """`df` written as Parquet and read again, which cuts the lineage; and its number of rows, counted in the same job."""
-        self.n += 1
-        path, seen = f"{self.root}/{self.n}", Observation()
+        path, seen = f"{self.root}/{uuid.uuid4().hex}", Observation()
         df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), int(seen.get["n"])
+        written = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(written)] = path
+        return written, int(seen.get["n"])
+
+    def drop(self, written: DataFrame) -> None:
+        """Delete a table before the block ends."""
+        remove(self.spark, self.paths.pop(id(written)))
+
+    def release(self) -> None:
+        """Let Spark drop the shuffle files of finished jobs, which it does when their plans are collected as garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()

@@ -5,13 +5,15 @@ Tokens are the words of the text with A-Z lowered, then one end token. The laten
 tokens together are one more token without counts. So every word has a profile of its own, whatever the vocabulary, and the
 likelihood of the whole text is exact: the forward recursion runs over all its tokens, scaled at each.
 
-Training passes over every training text until a round gains less than `GAIN` of the log likelihood. Each task runs the
-forward-backward recursion over whole texts and sends expected counts, one row for each token that it met; Spark adds them up.
-Of a text of more than `BLOCK_TOKENS` tokens only the forward vector at every `STRETCH` tokens is kept, and the stretches are
-computed again on the way back, which bounds memory and changes no count.
+Texts are encoded once, in chunks of about `CHUNK` bytes: a chunk holds the codes of its tokens and its own vocabulary, whose
+tokens get numbers and training counts by one exchange. Training passes over every training text until a round gains less than
+`GAIN` of the log likelihood. In a round each chunk runs the forward-backward recursion over whole texts and sends the expected
+counts of its tokens, packed by ranges of token numbers; the counts of a range are added up and go back to the chunks that
+asked. The most frequent `FREQUENT` tokens, a fixed number, are added up by task first and broadcast. Expected counts travel as
+48-bit numbers and are added up as 64-bit ones.
 
-Token counts follow a vocabulary of any size: the most frequent `FREQUENT` tokens, a fixed number, are broadcast with their
-expected counts, and all other tokens of a document are joined with the written table of counts by a shuffle, in every round.
+A text of more than `SEGMENT` tokens is cut into segments that run through the recursion side by side: the product of a
+segment's transition matrices tells what enters the next one, forwards and backwards, so that the cut changes no value.
 
 Nulls and edges: a null text is an empty one (its only token is the end). A null id counts as training and is not held out.
 Every row gives one row, repeated ids included. Without training rows N and V are 0, and all tokens are unknown. Empty tables
@@ -25,144 +27,178 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm import arrow_words as aw
-from tessella.llm.common import scratch, settle
+from tessella.llm.common import Tables, settle
 
 STATES = 6
 #: Size of the emission matrix in the tests of the recursion; the model has a row for every token.
 CLASSES = 1 << 13
 #: Training ends with a round that gains less than this share of the log likelihood.
 GAIN = 1e-3
-#: Tokens between the kept forward vectors of a text that is longer than a block.
-STRETCH = 256
-#: Tokens of a block that run through the recursion in step.
-BLOCK_TOKENS = 60_000
+#: Bytes of text in a chunk; a longer text is a chunk of its own.
+CHUNK = 4_000_000
+#: Most tokens of a segment, and tokens that run through the recursion at once.
+SEGMENT, BLOCK_TOKENS = 512, 1_000_000
 FREQUENT = 200_000
+#: Tokens of chunks that one range of token numbers has, about; and frequent tokens that are added up together.
+RANGE, SLICE = 400_000, 256
 #: The end token; no word is empty.
 END = ""
 HELD_OUT, FOLDS = 2, 7
+Batches = Iterator[pa.RecordBatch]
 
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct tokens, codes, offsets) with an end token after each text."""
-    distinct, codes, offsets = aw.split(pc.ascii_lower(pc.fill_null(texts, "")))
-    distinct = pa.concat_arrays([distinct.cast(pa.string()), pa.array([END])])
-    codes = np.insert(codes, offsets[1:], len(distinct) - 1)
-    return distinct, codes, offsets + np.arange(len(offsets))
+# The recursion
 
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in aw.pieces(batch, "text"):
-            distinct, codes, _ = tokenized(piece.column("text"))
-            n = np.bincount(codes, minlength=len(distinct))
-            yield pa.RecordBatch.from_arrays([distinct, pa.array(n)], names=["token", "n"])
-
-
-def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, n) over `docs` (text); tasks send one row for each distinct token of a piece."""
-    return docs.select("text").mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 0")
+def _times(lengths: np.ndarray) -> list[int]:
+    """How many sequences have a token at each step, for descending lengths."""
+    return np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right").tolist()
 
 
-def blocks(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(sequence numbers, starts, lengths) of sequences of like length; only a single sequence has more than BLOCK_TOKENS."""
-    starts, lengths = offsets[:-1], np.diff(offsets)
-    numbers = np.arange(len(starts))
-    order = np.argsort(-lengths, kind="stable")
-    i = 0
-    while i < len(order):
-        # sequences of at least half the longest's length, so that little of the block is idle
-        size = max(1, int(BLOCK_TOKENS // max(1, lengths[order[i]])))
-        part = order[i : i + size]
-        if len(part) > 64:
-            part = part[: max(64, int((lengths[part] * 2 >= lengths[part[0]]).sum()))]
-        yield numbers[part], starts[part], lengths[part]
-        i += len(part)
+def _in_step(codes: np.ndarray, starts: np.ndarray, active: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The codes of all first tokens, of all second ones and so on; and the sequence of each token in that order."""
+    step = np.repeat(np.arange(len(active)), active)
+    places = np.cumsum([0, *active])
+    which = np.arange(places[-1]) - places[step]
+    ordered = codes[starts[which] + step]
+    return [ordered[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())], which
 
 
-def forward(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, keep: bool = False, before=None):
-    """log10 P(tokens) of sequences (longest first) of `obs`; with `keep`, also the scaled forward values and scales.
+def _forward(emit: np.ndarray, codes: list[np.ndarray], step: np.ndarray, entering: np.ndarray):
+    """(scaled forward values, emissions, scales) of tokens in step; `emit` and all of these by state first.
 
-    `before`: the forward values of the token before, where the sequences are not the start of their texts.
+    `entering`: the states before the first emission, by sequence.
     """
-    start, step, emit = model
-    total = np.zeros(len(starts))
-    n, longest = len(starts), int(lengths[0])
-    active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right")  # sequences that have a token at each step
-    values, scales = [], []
-    value = np.broadcast_to(start, (n, len(start))) if before is None else before @ step
-    for t in range(longest):
-        k = active[t]
-        if t:
-            value = value[:k] @ step
-        value = value[:k] * emit[obs[starts[:k] + t]]
-        scale = value.sum(axis=1)
-        value = value / scale[:, None]
-        total[:k] += np.log10(scale)
-        if keep:
-            values.append(value)
-            scales.append(scale)
-    return (total, values, scales) if keep else total
-
-
-def _backward(obs, starts, values, scales, model, into, after=None, first=True):
-    """Adds the counts of a block; gives what the token before it needs. `after`: the same of the token behind it."""
-    start, step, emit = model
-    ahead = after
+    values, emitted, scales, turn, now = [], [], [], np.ascontiguousarray(step.T), entering
+    for t, own in enumerate(codes):
+        E = emit.take(own, axis=1)
+        now = (turn @ now[:, : len(own)] if t else entering) * E
+        scale = np.add.reduce(now, axis=0)
+        now /= scale
+        values.append(now)
+        emitted.append(E)
+        scales.append(scale)
+    return values, emitted, scales
+
+
+def _backward(values, emitted, scales, step, after, pairs) -> np.ndarray:
+    """Turns `values` into the chance of each state at each token; gives what the token before each sequence gets.
+
+    `after`: what the last token of each sequence gets from behind, scaled so that its states' chances add up to one. The
+    chances of two states in turn are added to `pairs`.
+    """
+    ahead = np.empty((len(step), 0))
     for t in range(len(values) - 1, -1, -1):
-        k = len(values[t])
-        now = np.ones((k, len(start)))
-        if ahead is not None:
-            j = len(ahead)
-            into[1][:] += (values[t][:j].T @ ahead) * step
-            now[:j] = ahead @ step.T
-        ahead = now * emit[obs[starts[:k] + t]] / scales[t][:, None]
-        posterior = values[t] * now
-        posterior /= posterior.sum(axis=1, keepdims=True)
-        values[t] = posterior
-    if first:
-        into[0][:] += values[0].sum(axis=0)
-    seen = np.concatenate([obs[starts[: len(v)] + t] for t, v in enumerate(values)])
-    weight = np.concatenate(values)
-    for s in range(len(start)):
-        into[2][:, s] += np.bincount(seen, weights=weight[:, s], minlength=len(emit))
+        k, j = values[t].shape[1], ahead.shape[1]
+        now = step @ ahead if j == k else np.concatenate([step @ ahead, after[:, j:k]], axis=1)
+        ahead = emitted[t]
+        ahead *= now
+        ahead /= scales[t]
+        if t:
+            pairs += values[t - 1][:, :k] @ ahead.T
+        values[t] *= now
     return ahead
 
 
+def _products(emit: np.ndarray, codes: list[np.ndarray], step: np.ndarray) -> np.ndarray:
+    """(state after, state before, segment): the products of the transition matrices of segments of equal length, each scaled."""
+    states, n, turn = len(step), len(codes[0]), np.ascontiguousarray(step.T)
+    now = np.repeat(np.eye(states)[:, :, None], n, axis=2)
+    for own in codes:
+        now = (turn @ now.reshape(states, -1)).reshape(states, states, n)
+        now *= emit.take(own, axis=1)[:, None]
+        now /= np.add.reduce(now.reshape(-1, n), axis=0)
+    return now
+
+
+def _parted(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """`order`, by descending lengths, in parts of about BLOCK_TOKENS tokens."""
+    total = np.cumsum(lengths[order])
+    cuts = np.searchsorted(total, np.arange(BLOCK_TOKENS, total[-1] if len(total) else 0, BLOCK_TOKENS))
+    yield from (p for p in np.split(order, np.unique(cuts)) if len(p))
+
+
+def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, into: tuple | None = None) -> np.ndarray:
+    """log10 P(tokens) of sequences of `obs`, none of them empty; adds the expected counts of start, step and emission to `into`."""
+    start, step, emit = model
+    emit = np.ascontiguousarray(emit.T)
+    states, total = len(start), np.zeros(len(starts))
+    head = (lengths - 1) % SEGMENT + 1  # the first segment is what the others, which are full, leave
+    more = (lengths - head) // SEGMENT
+    base = np.cumsum(more) - more  # of each sequence's full segments
+    owner = np.repeat(np.arange(len(starts)), more)
+    at = starts[owner] + head[owner] + (np.arange(len(owner)) - base[owner]) * SEGMENT
+    long = np.nonzero(more)[0]
+    parts = list(_parted(np.arange(len(owner)), np.full(len(owner), SEGMENT)))
+    product = np.empty((states, states, len(owner)))
+    for part in parts:
+        product[:, :, part] = _products(emit, _in_step(obs, at[part], [len(part)] * SEGMENT)[0], step)
+    # what the last token of each segment gets from behind
+    behind, behind_head = np.ones((states, len(owner))), np.ones((states, len(starts)))
+    for j in range(int(more.max(initial=0)) - 1, -1, -1):
+        here = long[more[long] > j]
+        got = np.einsum("oik,ok->ik", product[:, :, base[here] + j], behind[:, base[here] + j])
+        got /= got.sum(axis=0)
+        if j:
+            behind[:, base[here] + j - 1] = got
+        else:
+            behind_head[:, here] = got
+
+    def through(codes, entering, after, first):
+        """(log10 of each token's scale, states at the last tokens, what the token before gets) of segments in step."""
+        values, emitted, scales = _forward(emit, codes, step, entering)
+        n = [*map(len, codes), 0]
+        ends = np.concatenate([v[:, stay:] for v, stay in zip(values[::-1], n[:0:-1])], axis=1)
+        logs, ahead = np.log10(np.concatenate(scales)), None
+        if into is not None:
+            pairs = np.zeros((states, states))
+            ahead = _backward(values, emitted, scales, step, after / (ends * after).sum(axis=0), pairs)
+            into[1][:] += pairs * step
+            seen, chance = np.concatenate(codes), np.concatenate(values, axis=1)
+            for s in range(states):
+                into[2][:, s] += np.bincount(seen, weights=chance[s], minlength=emit.shape[1])
+            if first:
+                into[0][:] += values[0].sum(axis=1)
+        return logs, ends, ahead
+
+    ended = np.empty((states, len(starts)))
+    for part in _parted(np.argsort(-head, kind="stable"), head):
+        codes, which = _in_step(obs, starts[part], _times(head[part]))
+        logs, ended[:, part], _ = through(codes, start[:, None], behind_head[:, part], True)
+        total[part] += np.bincount(which, weights=logs, minlength=len(part))
+    # the states at the last token before each full segment
+    before = np.empty((states, len(owner)))
+    for j in range(int(more.max(initial=0))):
+        here = long[more[long] > j]
+        before[:, base[here] + j] = ended[:, here]
+        got = np.einsum("oik,ik->ok", product[:, :, base[here] + j], ended[:, here])
+        ended[:, here] = got / got.sum(axis=0)
+    for part in parts:
+        codes, which = _in_step(obs, at[part], [len(part)] * SEGMENT)
+        logs, _, ahead = through(codes, step.T @ before[:, part], behind[:, part], False)
+        if into is not None:
+            into[1][:] += (before[:, part] @ ahead.T) * step
+        total += np.bincount(owner[part][which], weights=logs, minlength=len(starts))
+    return total
+
+
+def forward(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple) -> np.ndarray:
+    """log10 P(tokens) of sequences of `obs`."""
+    return run(obs, starts, lengths, model)
+
+
 def expected(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, into: tuple) -> float:
     """Adds the expected counts of start, step and emission to `into`; gives the log10 likelihood."""
-    if lengths[0] <= BLOCK_TOKENS:
-        total, values, scales = forward(obs, starts, lengths, model, keep=True)
-        _backward(obs, starts, values, scales, model, into)
-        return float(total.sum())
-    # one long sequence: forward values at the ends of stretches first, then every stretch again from the last one back
-    cuts = np.arange(0, lengths[0], STRETCH)
-    part = lambda c: (obs, starts + c, np.minimum(STRETCH, lengths - c), model, True)
-    likelihood, before, after = 0.0, [None], None
-    for c in cuts:
-        total, values, _ = forward(*part(c), before[-1])
-        likelihood += float(total.sum())
-        before.append(values[-1])
-    for c, entering in zip(cuts[::-1], before[-2::-1]):
-        _, values, scales = forward(*part(c), entering)
-        seen = np.unique(obs[starts[0] + c : starts[0] + c + len(values)])  # only the stretch's tokens are added to
-        own = (into[0], into[1], np.zeros((len(seen), len(model[0]))))
-        local = np.searchsorted(seen, obs[starts[0] + c : starts[0] + c + len(values)])
-        after = _backward(local, np.zeros(1, dtype=np.int64), values, scales, (model[0], model[1], model[2][seen]), own, after, c == 0)
-        into[2][seen] += own[2]
-    return likelihood
-
-
-NAMES = [f"x{s}" for s in range(STATES)]
-ENTRY = "array<struct<token: string, " + ", ".join(f"{x}: double" for x in NAMES) + ">>"
+    return float(run(obs, starts, lengths, model, into).sum())
 
 
 def emission(counts: np.ndarray, totals: np.ndarray, v_all: int) -> np.ndarray:
@@ -170,132 +206,338 @@ def emission(counts: np.ndarray, totals: np.ndarray, v_all: int) -> np.ndarray:
     return (counts + 1 / STATES) / (totals + (v_all + 1) / STATES)
 
 
-def first_counts(tokens: pa.Array, n: np.ndarray) -> np.ndarray:
-    """The counts of tokens dealt over the states, for each token with a different tilt."""
-    seeds = aw.hashes(tokens)[:, None] + np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _tilted(numbers: np.ndarray, n: np.ndarray) -> np.ndarray:
+    seeds = numbers[:, None] + np.arange(1, STATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     tilt = 0.5 + (aw.mixed(seeds) >> np.uint64(11)) / float(1 << 53)
     return n[:, None] * tilt / tilt.sum(axis=1, keepdims=True)
 
 
-def _columns(x: np.ndarray) -> list[pa.Array]:
-    return [pa.array(np.ascontiguousarray(x[:, s])) for s in range(STATES)]
+def first_counts(tokens: pa.Array, n: np.ndarray) -> np.ndarray:
+    """The counts of tokens dealt over the states, for each token with a different tilt."""
+    return _tilted(aw.hashes(tokens), n)
+
+
+# Texts as chunks
+
+
+def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct tokens, codes, offsets) with an end token after each text."""
+    distinct, codes, offsets = aw.split(pc.ascii_lower(pc.fill_null(texts, "")))
+    distinct = pa.concat_arrays([distinct.cast(pa.string()), pa.array([END])])
+    codes = np.insert(codes, offsets[1:], len(distinct) - 1)
+    return distinct, codes, offsets + np.arange(len(offsets))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers, compressed byte place by byte place."""
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kind, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(packed, decompressed_size=n * width, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(width, n).T).view(kind).reshape(n)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
 
+def _wanted(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
-def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """(chunk, held_out, doc_ids, n, lengths, codes, v, tokens, sizes, counts): texts of one kind as codes, with their vocabulary."""
+
+    def encode(batches: Batches) -> Batches:
+        made = TaskContext.get().partitionId() << 32
+        waiting: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+        size = {True: 0, False: 0}
+
+        def flush(out: bool) -> pa.RecordBatch:
+            nonlocal made
+            whole = pa.Table.from_batches(waiting[out]).combine_chunks()
+            texts, ids = (pa.concat_arrays(whole.column(c).chunks) for c in ("text", "doc_id"))
+            waiting[out], size[out] = [], 0
+            distinct, codes, offsets = tokenized(texts)
+            sizes = np.asarray(pc.binary_length(distinct), dtype=np.int32)
+            counts = np.bincount(codes, minlength=len(distinct)).astype(np.int32) * (not out)
+            made += 1
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([made]), pa.array([out]), lists, pa.array([len(codes)]), pa.array([_pack(np.diff(offsets).astype(np.int32))]),
+                    pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array(["".join(distinct.to_pylist()).encode()]),
+                    pa.array([sizes.tobytes()]), pa.array([counts.tobytes()]),
+                ],
+                names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "tokens", "sizes", "counts"],
+            )
+
+        for batch in batches:
+            for piece in aw.pieces(batch, "text", CHUNK):
+                for out in (True, False):
+                    mask = piece.column("held_out")
+                    part = piece.filter(mask if out else pc.invert(mask))
+                    if part.num_rows:
+                        waiting[out].append(part)
+                        size[out] += part.column("text").nbytes
+                        if size[out] >= CHUNK:
+                            yield flush(out)
+        for out in (True, False):
+            if waiting[out]:
+                yield flush(out)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    return rows.mapInArrow(
+        encode, f"chunk long, held_out boolean, doc_ids array<{kind}>, n long, lengths binary, codes binary, v long, tokens binary, sizes binary, counts binary"
+    )
+
+
+def _split_up(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) for every part that occurs."""
+    order = np.argsort(parts, kind="stable")
+    ranked = parts[order]
+    cuts = np.nonzero(np.diff(ranked))[0] + 1
+    for places in np.split(order, cuts):
+        if len(places):
+            yield int(parts[places[0]]), places
+
+
+OFFER = "part int, chunk long, idx binary, tokens binary, sizes binary, counts binary"
+LOOKUP = "chunk long, idx binary, ids binary, n binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
+
+
+def _strings(data: bytes, sizes: bytes) -> pa.Array:
+    sizes = np.frombuffer(sizes, dtype=np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _numbered(parts: int):
+    """Functions that offer the tokens of chunks by range, and that number them and add up their counts in a range."""
+
+    def offer(batches: Batches) -> Batches:
+        for batch in batches:
+            for chunk, tokens, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "sizes", "counts"))):
+                held = _strings(tokens, sizes)
+                counts, rows = np.frombuffer(counts, dtype=np.int32), []
+                for part, places in _split_up((aw.hashes(held) % np.uint64(parts)).astype(np.int64)):
+                    own = held.take(pa.array(places))
+                    own_sizes = np.asarray(pc.binary_length(own), dtype=np.int32)
+                    rows.append((part, chunk, places.astype(np.int32).tobytes(), "".join(own.to_pylist()).encode(), own_sizes.tobytes(), counts[places].tobytes()))
+                yield _rows(rows, _wanted(OFFER))
+
+    def number(table: pa.Table) -> pa.Table:
+        chunks, idx, tokens, sizes, counts = (table.column(c).to_pylist() for c in ("chunk", "idx", "tokens", "sizes", "counts"))
+        each = [len(x) // 4 for x in idx]
+        coded = pa.concat_arrays([_strings(t, s) for t, s in zip(tokens, sizes)]).dictionary_encode()
+        codes, n = np.asarray(coded.indices), np.frombuffer(b"".join(counts), dtype=np.int32)
+        total = np.rint(np.bincount(codes, weights=n, minlength=len(coded.dictionary))).astype(np.int64)
+        ids = aw.hashes(coded.dictionary)
+        while len(same := np.setdiff1d(np.arange(len(ids)), np.unique(ids, return_index=True)[1])):
+            ids[same] += np.uint64(parts)  # two tokens of one hash: the second gets another number of the same range
+        cuts, rows = np.cumsum([0, *each]), []
+        for k, chunk in enumerate(chunks):
+            own = codes[cuts[k] : cuts[k + 1]]
+            rows.append((chunk, idx[k], ids[own].tobytes(), total[own].tobytes(), *[None] * (2 + STATES)))
+        known = total > 0
+        sums = _tilted(ids[known], total[known].astype(np.float64)).sum(axis=0)
+        rows.append((None, None, ids[known].tobytes(), total[known].tobytes(), int(total.sum()), int(known.sum()), *sums.tolist()))
+        return pa.Table.from_batches([_rows(rows, _wanted(LOOKUP))])
+
+    return offer, number
+
+
+def _looked_up(batches: Batches) -> Batches:
+    """Chunks with the numbers and training counts of their tokens."""
     for batch in batches:
-        x = first_counts(batch.column("token"), batch.column("n").to_numpy().astype(np.float64))
-        yield pa.RecordBatch.from_arrays([batch.column("token"), *_columns(x)], names=["token", *NAMES])
-
-
-def _looked_up(piece: pa.RecordBatch, distinct: pa.Array, tokens: pa.Array, frequent: np.ndarray):
-    """(place among the frequent tokens or -1, expected counts) of every distinct token of a piece."""
-    place = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=tokens), -1), dtype=np.int64)
-    counts = np.zeros((len(distinct), STATES))
-    counts[place >= 0] = frequent[place[place >= 0]]
-    own, *xs = piece.column("found").flatten().flatten()
-    if len(own):
-        at = np.asarray(pc.fill_null(pc.index_in(distinct, value_set=own), -1), dtype=np.int64)
-        counts[at >= 0] = np.stack([np.asarray(x) for x in xs], axis=1)[at[at >= 0]]
-    return place, counts
-
-
-class Vocabulary:
-    """The expected counts: of frequent tokens as an array, of all others as a table of files."""
-
-    def __init__(self, rows: DataFrame, counts: DataFrame, v_all: int):
-        self.spark, self.v_all, self.path = rows.sparkSession, v_all, None
-        top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow().combine_chunks()  # FREQUENT rows at most
-        self.tokens = top.column("token").combine_chunks() if top.num_rows else pa.array([], pa.string())
-        self.tokens = pa.concat_arrays(self.tokens.chunks) if isinstance(self.tokens, pa.ChunkedArray) else self.tokens
-        self.tokens = self.tokens.cast(pa.string())
-        self.frequent = first_counts(self.tokens, top.column("n").to_numpy().astype(np.float64)) if top.num_rows else np.zeros((0, STATES))
-        self.keep(counts.mapInArrow(_first, "token string, " + ", ".join(f"{x} double" for x in NAMES)))
-        sums = self.table().agg(*[F.sum(x) for x in NAMES]).first()
-        step = np.full((STATES, STATES), 0.05 / (STATES - 1))
-        np.fill_diagonal(step, 0.95)
-        self.start, self.step, self.totals = np.full(STATES, 1 / STATES), step, np.array([x or 0.0 for x in sums])
-        known = self.spark.sparkContext.broadcast(self.tokens)
-
-        def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for piece in aw.pieces(batch, "text"):
-                    distinct, codes, offsets = tokenized(piece.column("text"))
-                    out = np.asarray(pc.is_null(pc.index_in(distinct, value_set=known.value)))
-                    missing = np.nonzero(out[codes])[0]
-                    owner = np.searchsorted(offsets, missing, side="right") - 1
-                    pair = np.unique(owner * np.int64(len(distinct)) + codes[missing])
-                    starts = np.searchsorted(pair // len(distinct), np.arange(piece.num_rows + 1))
-                    lists = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), distinct.take(pa.array(pair % len(distinct))))
-                    yield pa.RecordBatch.from_arrays([*piece.columns, lists], names=[*piece.schema.names, "rare"])
-
-        # dealt by row once, so that a round moves only the tokens and their counts
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        self.rows = rows.mapInArrow(rare, f"{schema}, rare array<string>").repartition(parts, "row").persist(StorageLevel.DISK_ONLY)
-
-    def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
-
-    def keep(self, counts: DataFrame) -> None:
-        """Write the table anew; the one before goes."""
-        old, self.path = self.path, scratch(self.spark, "emission")
-        counts.write.parquet(self.path)
-        if old:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(old)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def with_counts(self, rows: DataFrame) -> DataFrame:
-        """`rows` with `found`: the expected counts of each text's tokens beyond the frequent ones."""
-        found = rows.select("row", F.explode("rare").alias("token")).join(self.table(), "token")
-        found = found.groupBy("row").agg(F.collect_list(F.struct("token", *NAMES)).alias("found"))
-        none = F.from_json(F.lit("[]"), ENTRY)
-        return rows.drop("rare").join(found, "row", "left").withColumn("found", F.coalesce("found", none))
+        ids, counts = [], []
+        for v, found in zip(batch.column("v").to_pylist(), batch.column("found")):
+            number, n = np.zeros(v, dtype=np.uint64), np.zeros(v, dtype=np.int64)
+            for x in found.as_py():
+                at = np.frombuffer(x["idx"], dtype=np.int32)
+                number[at], n[at] = np.frombuffer(x["ids"], dtype=np.uint64), np.frombuffer(x["n"], dtype=np.int64)
+            ids.append(number.tobytes())
+            counts.append(_pack(n))
+        kept = [batch.column(c) for c in ("chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v")]
+        yield pa.RecordBatch.from_arrays(
+            [*kept, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
+            names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "ids", "counts"],
+        )
+
+
+def _most_frequent(batches: Batches) -> Batches:
+    for batch in batches:
+        for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
+            ids, n = np.frombuffer(ids, dtype=np.int64), np.frombuffer(n, dtype=np.int64)
+            top = np.lexsort((ids, -n))[:FREQUENT]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(n[top])], names=["id", "n"])
+
+
+# Training
+
+SENT = "part int, chunk long, ids binary, idx binary, x binary"
+SUMS = "part int, chunk long, idx binary, x binary, " + ", ".join(f"x{s} double" for s in range(STATES))
+
+
+def _short(x: np.ndarray) -> bytes:
+    """The upper six bytes of each 64-bit number, 37 bits of precision, byte place by byte place."""
+    rounded = np.ascontiguousarray(x, dtype=np.float64).reshape(-1).view(np.uint64) + np.uint64(1 << 15)
+    return np.ascontiguousarray(rounded.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    """The numbers of _short(), by token and state."""
+    out = np.zeros((len(x) // 6, 8), dtype=np.uint8)
+    out[:, 2:] = np.frombuffer(x, dtype=np.uint8).reshape(6, -1).T
+    return out.view(np.float64).reshape(-1, STATES)
+
+
+def _added(ranges: int):
+    """A function that adds up what chunks send: key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nothing = key[0].as_py(), [None] * STATES
+        total, asked = 0.0, []
+        sums = np.zeros((SLICE, STATES))
+        for batch in batches:
+            for chunk, ids, idx, x in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "idx", "x"))):
+                if part < 0:
+                    total = total + np.frombuffer(x, dtype=np.float64)
+                elif part >= ranges:
+                    sums[np.frombuffer(idx, dtype=np.int32)] += _wide(x)
+                else:
+                    asked.append((chunk, ids, idx, x))
+        if part < 0:
+            rows = [(part, None, None, total.tobytes(), *nothing)]
+        elif part >= ranges:
+            rows = [(part, None, None, sums.tobytes(), *nothing)]
+        else:
+            numbers = [np.frombuffer(a[1], dtype=np.uint64) for a in asked]
+            distinct, codes = np.unique(np.concatenate(numbers), return_inverse=True)
+            # chunks that only ask send no counts
+            given = np.concatenate([_wide(a[3]) if a[3] else np.zeros((len(n), STATES)) for a, n in zip(asked, numbers)])
+            own = np.stack([np.bincount(codes, weights=given[:, s], minlength=len(distinct)) for s in range(STATES)], axis=1)
+            cuts = np.cumsum([0, *map(len, numbers)])
+            rows = [(part, a[0], a[2], _short(own[codes[cuts[k] : cuts[k + 1]]]), *nothing) for k, a in enumerate(asked)]
+            rows.append((part, None, None, None, *own.sum(axis=0).tolist()))
+        yield _rows(rows, _wanted(SUMS))
+
+    return add
+
+
+class Chunk:
+    """A row of the table of chunks, with the model's counts for its tokens."""
+
+    def __init__(self, row: dict, model: tuple):
+        known, frequent, _, _, totals, v_all, first = model
+        self.codes = _unpack(row["codes"], np.int32, row["n"])
+        self.lengths = _unpack(row["lengths"], np.int32, len(row["doc_ids"])).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids, self.n = np.frombuffer(row["ids"], dtype=np.uint64), _unpack(row["counts"], np.int64, row["v"])
+        place = np.minimum(np.searchsorted(known, self.ids), max(len(known) - 1, 0))
+        there = (known[place] == self.ids) & (self.n > 0) if len(known) else np.zeros(len(self.ids), dtype=bool)
+        self.place = np.where(there, place, -1)
+        self.rare = np.nonzero(~there & (self.n > 0))[0]
+        counts = np.zeros((len(self.ids), STATES))
+        counts[there] = frequent[place[there]]
+        if first:
+            counts[self.rare] = _tilted(self.ids[self.rare], self.n[self.rare].astype(np.float64))
+        for x in row.get("found") or []:
+            counts[np.frombuffer(x["idx"], dtype=np.int32)] = _wide(x["x"])
+        self.emit = emission(counts, totals, v_all)
+
+
+class Model:
+    """The chunks, and the expected counts: of frequent tokens here, of all others as a table that has them by chunk."""
+
+    def __init__(self, docs: DataFrame, tables: Tables):
+        self.spark, self.tables, self.counts = docs.sparkSession, tables, None
+        chunks, n_chunks = tables.write(_chunks(docs))
+        # a chunk has some 100,000 distinct tokens at most, in most languages; longer texts only make ranges larger
+        self.ranges = max(1, -(-n_chunks * CHUNK // (40 * RANGE)))
+        offer, number = _numbered(self.ranges)
+        offers = chunks.select("chunk", "tokens", "sizes", "counts").mapInArrow(offer, OFFER)
+        found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
+        own = found.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("idx", "ids", "n")).alias("found"))
+        kept = chunks.drop("tokens", "sizes", "counts")
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+        self.chunks, _ = tables.write(kept.join(own, "chunk").mapInArrow(_looked_up, f"{schema}, ids binary, counts binary"))
+
+        words = found.filter("chunk IS NULL")
+        all_ = words.agg(F.sum("n_all"), F.sum("v_all"), *[F.sum(f"x{s}") for s in range(STATES)]).first()
+        self.n_all, self.v_all, self.totals = int(all_[0] or 0), int(all_[1] or 0), np.array([x or 0.0 for x in all_[2:]])
+        top = words.select("ids", "n").mapInArrow(_most_frequent, "id long, n long").orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
+        ids = top.column("id").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(ids)
+        self.known, self.frequent = ids[order], _tilted(ids[order], top.column("n").to_numpy().astype(np.float64)[order])
+        self.start, self.step = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.05 / (STATES - 1))
+        np.fill_diagonal(self.step, 0.95)
+        tables.drop(chunks)
+        tables.drop(found)
 
     def model(self) -> tuple:
-        return self.tokens, self.frequent, self.start, self.step, self.totals, self.v_all
+        return self.known, self.frequent, self.start, self.step, self.totals, self.v_all, self.counts is None
+
+    def with_counts(self) -> DataFrame:
+        """The chunks with `found`: the expected counts of their tokens beyond the frequent ones."""
+        if self.counts is None:
+            return self.chunks
+        found = self.counts.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("idx", "x")).alias("found"))
+        return self.chunks.join(found, "chunk", "left")
 
     def round(self) -> float:
         """One round of Baum-Welch over all training texts; gives the log10 likelihood before it."""
-        held = self.spark.sparkContext.broadcast(self.model())
+        held, ranges = self.spark.sparkContext.broadcast(self.model()), self.ranges
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens, frequent, start, step, totals, v_all = held.value
-            common, ends, steps = np.zeros(frequent.shape), np.zeros(STATES), np.zeros((STATES, STATES))
-            likelihood = 0.0
-            names = ["key", "token", *NAMES]
+        def count(batches: Batches) -> Batches:
+            model = held.value
+            start, step = model[2], model[3]
+            common, ends, steps, likelihood = np.zeros(model[1].shape), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
             for batch in batches:
-                for piece in aw.pieces(batch, "text"):
-                    distinct, codes, offsets = tokenized(piece.column("text"))
-                    place, counts = _looked_up(piece, distinct, tokens, frequent)
-                    into = (ends, steps, np.zeros(counts.shape))
-                    for _, starts, lengths in blocks(offsets):
-                        likelihood += expected(codes, starts, lengths, (start, step, emission(counts, totals, v_all)), into)
-                    common[place[place >= 0]] += into[2][place >= 0]
-                    rare = np.nonzero((place < 0) & into[2].any(axis=1))[0]
-                    own = distinct.take(pa.array(rare))
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(rare), pa.int64()), own, *_columns(into[2][rare])], names=names)
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    chunk, counts = Chunk(row, model), None
+                    if not row["held_out"]:
+                        counts = np.zeros(chunk.emit.shape)
+                        likelihood += expected(chunk.codes, chunk.starts, chunk.lengths, (start, step, chunk.emit), (ends, steps, counts))
+                        here = np.nonzero(chunk.place >= 0)[0]
+                        common[chunk.place[here]] += counts[here]
+                    rows = []
+                    for part, at in _split_up((chunk.ids[chunk.rare] % np.uint64(ranges)).astype(np.int64)):
+                        at = chunk.rare[at]
+                        x = b"" if counts is None else _short(counts[at])
+                        rows.append((part, row["chunk"], chunk.ids[at].tobytes(), at.astype(np.int32).tobytes(), x))
+                    yield _rows(rows, _wanted(SENT))
             met = np.nonzero(common.any(axis=1))[0]
-            keys = np.concatenate([met, [-1], -2 - np.arange(STATES), [-2 - STATES]])
-            sums = np.concatenate([common[met], ends[None], steps, np.full((1, STATES), likelihood)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.string()), *_columns(sums)], names=names)
-
-        sent = self.with_counts(self.rows.filter("NOT held_out").select("row", "text", "rare")).mapInArrow(
-            count, "key long, token string, " + ", ".join(f"{x} double" for x in NAMES)
-        )
-        self.keep(sent.groupBy("key", "token").agg(*[F.sum(x).alias(x) for x in NAMES]))
-        got = self.table().filter("key IS NOT NULL").drop("token").toArrow()  # FREQUENT + STATES + 2 rows at most
-        key, x = got.column("key").to_numpy(), np.stack([got.column(n).to_numpy() for n in NAMES], axis=1)
-        self.frequent = np.zeros(self.frequent.shape)
-        self.frequent[key[key >= 0]] = x[key >= 0]
-        special = {int(k): v for k, v in zip(key[key < 0], x[key < 0])}
-        rare = self.table().filter("key IS NULL").agg(*[F.sum(n) for n in NAMES]).first()
-        self.totals = self.frequent.sum(axis=0) + np.array([v or 0.0 for v in rare])
-        start = special[-1] + 1e-3
-        step = np.array([special[-2 - s] for s in range(STATES)]) + 1e-3
+            rows = [(-1, None, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes())]
+            for piece, at in _split_up(met // SLICE):
+                at = met[at]
+                rows.append((ranges + piece, None, None, (at % SLICE).astype(np.int32).tobytes(), _short(common[at])))
+            yield _rows(rows, _wanted(SENT))
+
+        sent = self.with_counts().mapInArrow(count, SENT)
+        counts, _ = self.tables.write(sent.groupBy("part").applyInArrow(_added(ranges), SUMS))
+        if self.counts is not None:
+            self.tables.drop(self.counts)
+        self.counts = counts
+        got = counts.filter("chunk IS NULL AND x IS NOT NULL").select("part", "x").collect()  # one row for SLICE frequent tokens
+        rare = counts.agg(*[F.sum(f"x{s}") for s in range(STATES)]).first()
+        sums = {r["part"]: np.frombuffer(r["x"], dtype=np.float64) for r in got}
+        frequent = np.zeros((-(-len(self.frequent) // SLICE) * SLICE, STATES))
+        for part, x in sums.items():
+            if part >= 0:
+                frequent[(part - ranges) * SLICE : (part - ranges + 1) * SLICE] = x.reshape(-1, STATES)
+        self.frequent = frequent[: len(self.frequent)]
+        self.totals = self.frequent.sum(axis=0) + np.array([x or 0.0 for x in rare])
+        start, step = sums[-1][:STATES] + 1e-3, sums[-1][STATES:-1].reshape(STATES, STATES) + 1e-3
         self.start, self.step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
         held.unpersist()
-        self.spark._jvm.System.gc()  # lets Spark drop the shuffle files of the round
-        return float(special[-2 - STATES][0])
+        self.tables.release()
+        return float(sums[-1][-1])
 
     def train(self, rounds: int | None) -> list[float]:
         """Rounds until one gains too little, or `rounds` of them; gives the log10 likelihoods before each."""
@@ -307,39 +549,32 @@ class Vocabulary:
 
 def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; `rounds`: a fixed number of them."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = settle(token_counts(rows.filter("NOT held_out")))
-    n_all, v_all = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
-    known = Vocabulary(rows, counts, v_all)
-    if n_all:
-        known.train(rounds)
-    held = docs.sparkSession.sparkContext.broadcast(known.model())
-    base_size = n_all + v_all + 1
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, frequent, start, step, totals, v_all = held.value
-        for batch in batches:
-            for piece in aw.pieces(batch, "text"):
-                distinct, codes, offsets = tokenized(piece.column("text"))
-                _, counts = _looked_up(piece, distinct, tokens, frequent)
-                c = np.rint(counts.sum(axis=1))  # the states of an occurrence add up to one
-                model = (start, step, emission(counts, totals, v_all))
-                add = lambda x: np.add.reduceat(x[codes], offsets[:-1])  # noqa: B023, E731
-                likelihood = np.zeros(piece.num_rows)
-                for which, starts, lengths in blocks(offsets):
-                    likelihood[which] = forward(codes, starts, lengths, model)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column("doc_id"), piece.column("held_out"), pa.array(np.diff(offsets)), pa.array(add((c > 0).astype(np.int64))),
-                        pa.array(np.full(piece.num_rows, n_all)), pa.array(add(np.log10((c + 1) / base_size))), pa.array(likelihood),
-                    ],
-                    names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    judged = known.with_counts(known.rows).mapInArrow(
-        judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    )
-    judged = settle(judged)
-    known.rows.unpersist()
-    return judged
+    with Tables(docs.sparkSession, "lm") as tables:
+        trained = Model(docs, tables)
+        if trained.n_all:
+            trained.train(rounds)
+        held, n_all, base_size = docs.sparkSession.sparkContext.broadcast(trained.model()), trained.n_all, trained.n_all + trained.v_all + 1
+
+        def judge(batches: Batches) -> Batches:
+            model = held.value
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    one = batch.slice(i, 1)
+                    row = one.to_pylist()[0]
+                    chunk = Chunk(row, model)
+                    add = lambda x: np.add.reduceat(x[chunk.codes], chunk.starts)  # noqa: B023, E731
+                    size = len(chunk.lengths)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            one.column("doc_ids").flatten(), pa.array(np.full(size, row["held_out"])), pa.array(chunk.lengths),
+                            pa.array(add((chunk.n > 0).astype(np.int64))), pa.array(np.full(size, n_all)),
+                            pa.array(add(np.log10((chunk.n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[2], model[3], chunk.emit))),
+                        ],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                    )
+
+        judged = trained.with_counts().mapInArrow(
+            judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        )
+        return settle(judged)

@@ -227,19 +227,55 @@ def test_hmm_states_emit_words_and_texts_are_whole(spark, monkeypatch):
     assert all(got[i] == pytest.approx(alphas(seq)[1], rel=1e-9) for i, seq in seqs.items())
 
 
-def test_hmm_counts_of_a_long_text_do_not_depend_on_stretches(monkeypatch):
+def test_hmm_counts_of_a_long_text_do_not_depend_on_segments(monkeypatch):
+    """Counts of start, step and emission against a plain forward-backward, whatever the segments and blocks that texts are cut into."""
     rng = np.random.default_rng(3)
-    S, V, n = hmm_score.STATES, 50, 1000
+    S, V = hmm_score.STATES, 50
     norm = lambda x, axis: x / x.sum(axis=axis, keepdims=True)
     model = (norm(rng.random(S), 0), norm(rng.random((S, S)), 1), norm(rng.random((V, S)), 0))
-    obs, found = rng.integers(0, V, n), []
-    for limit in (n, n - 1):
-        monkeypatch.setattr(hmm_score, "BLOCK_TOKENS", limit)
+    lengths = np.array([1000, 1, 64, 65, 128, 300])
+    starts = np.cumsum(lengths) - lengths
+    obs = rng.integers(0, V, lengths.sum())
+    want, likelihood = (np.zeros(S), np.zeros((S, S)), np.zeros((V, S))), []
+    for a, n in zip(starts, lengths):
+        seq, value, alphas, log = obs[a : a + n], model[0], [], 0.0
+        for t, w in enumerate(seq):
+            value = (value @ model[1] if t else value) * model[2][w]
+            log += np.log10(value.sum())
+            value = value / value.sum()
+            alphas.append(value)
+        likelihood.append(log)
+        beta = np.ones(S)
+        for t in range(n - 1, -1, -1):
+            if t < n - 1:
+                ahead = model[2][seq[t + 1]] * beta
+                pair = alphas[t][:, None] * model[1] * ahead[None]
+                want[1][:] += pair / pair.sum()
+                beta = model[1] @ ahead
+                beta /= beta.sum()
+            post = alphas[t] * beta / (alphas[t] * beta).sum()
+            want[2][seq[t]] += post
+        want[0][:] += post
+    for segment, block in ((10**6, 10**6), (64, 10**6), (64, 100), (1, 50)):
+        monkeypatch.setattr(hmm_score, "SEGMENT", segment)
+        monkeypatch.setattr(hmm_score, "BLOCK_TOKENS", block)
         into = (np.zeros(S), np.zeros((S, S)), np.zeros((V, S)))
-        found.append((hmm_score.expected(obs, np.array([0]), np.array([n]), model, into), into))
-    assert found[0][0] == pytest.approx(found[1][0])
-    assert all(np.allclose(a, b) for a, b in zip(found[0][1], found[1][1]))
-    assert found[1][1][0].sum() == pytest.approx(1) and found[1][1][2].sum() == pytest.approx(n)
+        assert hmm_score.expected(obs, starts, lengths, model, into) == pytest.approx(sum(likelihood))
+        assert hmm_score.forward(obs, starts, lengths, model) == pytest.approx(likelihood)
+        assert all(np.allclose(a, b) for a, b in zip(into, want))
+
+
+def test_hmm_tokens_of_one_hash_keep_apart(spark, monkeypatch):
+    """Numbers and counts of tokens stay exact where hashes collide, and whatever the chunks."""
+    monkeypatch.setattr(aw, "hashes", lambda x: np.array([len(w) for w in x.to_pylist()], dtype=np.uint64))
+    monkeypatch.setattr(hmm_score, "CHUNK", 40)
+    made = [(i, " ".join(prose(12, i).split())) for i in range(30)]
+    held = lambda i: __import__("zlib").crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in made if not held(i) for w in [*t.split(), ""])
+    n, v = sum(c.values()), len(c)
+    got = {r["doc_id"]: r for r in hmm_score.score(spark.createDataFrame(made, "doc_id long, text string"), rounds=1).collect()}
+    for i, t in made:
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in [*t.split(), ""]))
 
 
 def test_token_counts(docs, empty):
