@@ -1,16 +1,21 @@
 """Main text of web pages by two-pass block rules: stop words, length and links classify blocks, neighbours decide the rest.
 
-A page is cut into blocks at block-level tags. The structure that a page states decides first: text inside navigation,
-headers, footers, asides, forms, scripts, styles and elements whose class or id names an advert, menu, notice, comments and
-the like is not content; where a page has an article (or main) element, text outside it is not content either. Other blocks
-are classified in the first pass by link density, length and stop-word density as good, bad, or short and undecided; in the
-second pass undecided blocks take the label of the nearest decided neighbours, good where they differ or there are none
-inside a stated article. On a page without a stated article that has no good block, as when all its paragraphs are short, the
-blocks of sufficient length and stop-word density ("near") are the good ones of the first pass.
+A page is cut into blocks at block-level tags, with HTML's rules for end tags that may be left out. Text inside navigation,
+headers, footers, asides, forms, scripts, styles and elements whose class or id names an advert, menu, notice, comments and the
+like is no block. The first pass labels every block: "bad" where links make up much of it, "good" where it is long and has many
+stop words, "near" where it has less of that, "short" else. A stated article (or main) element is one more sign: inside it, less
+length and fewer stop words are enough. On a page that has hardly any of the listed stop words, as in other languages, length
+and links decide alone. In the second pass near and short blocks take the label of the nearest decided neighbours.
+Where these differ, near blocks are good, and short ones inside an article or heading a good block;
+where there are none, all are, if no bad block stands near them.
+
+What stands outside of an article is left out, unless good blocks are there alone. Where no block is good, as when all paragraphs
+of a page are short, near blocks are the good ones.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
-Nulls and edges: a null or empty page has an empty text; a tag that the page's end cuts off is no text; every row gives one
-row. Empty tables give empty results.
+Nulls and edges: a null or empty page has an empty text; a tag that the page's end cuts off is no text, and neither is what
+follows an unclosed comment or script; a quote that is not closed ends with its tag. The time is linear in the page's length.
+Every row gives one row; other columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,13 +37,36 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title nav header footer aside form button select textarea script style noscript template iframe object svg menu dialog".split())
-RAW = frozenset("script style textarea title noscript template iframe".split())
-#: Words in a class or id that name what is not the article.
+RAW = {name: re.compile(rf"</{name}\b", re.I) for name in "script style textarea title noscript template iframe".split()}
+IN_HEAD = frozenset("base link meta title style script noscript template head html".split())
+CLOSES_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr li main menu nav ol p pre section table ul".split()
+)
+_P = (("p",), ("button", "table", "td", "th", "caption", "object", "template"))
+_LI, _DD = (("li",), ("ul", "ol", "menu")), (("dd", "dt"), ("dl",))
+#: A start tag -> which open elements it closes, if they stand within the last open element of the second list.
+CLOSES = {
+    **dict.fromkeys(CLOSES_P, (_P,)),
+    "li": (_LI, _P),
+    **dict.fromkeys(("dd", "dt"), (_DD, _P)),
+    **dict.fromkeys(("td", "th"), ((("td", "th", "caption"), ("table", "tr")),)),
+    "tr": ((("tr", "caption"), ("table",)),),
+    **dict.fromkeys(("thead", "tbody", "tfoot"), ((("thead", "tbody", "tfoot", "tr", "caption"), ("table",)),)),
+    "option": ((("option",), ("select", "optgroup")),),
+    "optgroup": ((("optgroup", "option"), ("select",)),),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Words of a class or id that name what is not the article.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header "
-    "login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav "
+    "navbar navigation newsletter pager pagination popup promo replies sidebar signup sponsor sponsored subscribe".split()
 )
+#: Words that do so only if no word names the article: "share", but not "post-share".
+WEAK = frozenset("copyright footer header notice notices related reply share sharing skip social toolbar widget".split())
+ARTICLE = frozenset("article body content entry main page post story text".split())
+#: Words that make a name a state: "comments-enabled" says something of the article, not of comments.
+STATES = frozenset("active closed disabled enabled free has hidden no off on open with without".split())
 #: Frequent function words of the languages at hand.
 STOP = frozenset(
     "the of and to a in is that it for was on are with be by this as at from or an have not they which one you were all there would "
@@ -47,121 +75,180 @@ STOP = frozenset(
     "el los las y del una por con no se para su al lo como más o pero sus le ha me si sin".split()
 )
 MAX_LINKS, SHORT, LONG, LOW, HIGH = 0.2, 70, 200, 0.15, 0.3
+#: Below this share of stop words in all its blocks, a page is in no listed language.
+KNOWN = 0.05
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
+TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+PLAIN = re.compile(r"[^<>\"']*>")
+NEXT = re.compile(r">|=\s*([\"'])")
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 GAP = re.compile(r"\s+")
 
 
-def _named(attributes: str) -> bool:
-    return any(w in NAMES for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def _names(attributes: str) -> bool:
+    """Whether the class, id or role of a tag names what is not the article."""
+    for m in NAMED.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            words = set(re.split(r"[^a-z]+", token))
+            if not words & STATES and (words & NAMES or (words & WEAK and not words & ARTICLE)):
+                return True
+    return False
+
+
+def _tag_end(page: str, at: int) -> int:
+    """The place after the tag whose attributes begin at `at`; -1 if the page ends before."""
+    m = PLAIN.match(page, at)
+    if m:
+        return m.end()
+    size = len(page)
+    while m := NEXT.search(page, at):
+        if not m[1]:
+            return m.end()
+        shut = page.find(m[1], m.end())
+        if shut < 0 or (shut + 1 < size and page[shut + 1] not in " \t\r\n\f/>"):
+            return page.find(">", m.end()) + 1 or -1  # the quote is not closed
+        at = shut + 1
+    return -1
+
 
+class Block:
+    __slots__ = ("text", "linked", "inside", "heading", "label")
 
-def blocks(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """(text, characters in links, inside a stated article) of every block that the structure does not rule out; whether there is an article."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements; whether each starts something hidden
+    def __init__(self, text: str, linked: int, inside: bool, heading: bool):
+        self.text, self.linked, self.inside, self.heading, self.label = text, linked, inside, heading, ""
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page that no element or name rules out, in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, bool]] = []  # open elements; whether each hides its content; whether it is an article
+    places: dict[str, list[int]] = {}  # of the open elements, by name
     text: list[str] = []
     hidden = links = linked = inside = at = 0
-    stated = False
 
     def flush() -> None:
         nonlocal linked
         joined = GAP.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append((joined, linked, inside > 0))
+            out.append(Block(joined, linked, inside > 0, any(places.get(h) for h in HEADINGS)))
         text.clear()
         linked = 0
 
+    def close(to: int) -> None:
+        nonlocal hidden, links, inside
+        while len(stack) > to:
+            name, hides, article = stack.pop()
+            places[name].pop()
+            hidden -= hides
+            links -= name == "a"
+            inside -= article
+
+    last = lambda names: max((places[n][-1] for n in names if places.get(n)), default=-1)
     size = len(page)
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TAG.search(page, at)
         piece = page[at : m.start() if m else size]
         if not hidden and piece:
             text.append(piece)
-            linked += len(piece) if links else 0
+            linked += len(" ".join(piece.split())) if links else 0
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        if m[1] or m[2]:
+            end = page.find("-->" if m[1] else ">", at)
+            at = end + (3 if m[1] else 1) if end >= 0 else size
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        end = _tag_end(page, at)
+        if end < 0:
+            break
+        attributes, at, name = page[at : end - 1], end, m[4].lower()
         if name in BLOCKS and not hidden:
             flush()
-        if not closing:
-            if name in VOID or (m[3] and m[3].endswith("/") and name not in BLOCKS):
-                continue
-            hides = name in HIDDEN or (name not in ("body", "html", "article", "main") and _named(m[3] or ""))
-            if name == "p" and stack and stack[-1][0] == "p":
-                hidden -= stack.pop()[1]
-            stack.append((name, hides))
-            hidden += hides
-            links += name == "a"
-            if name in ("article", "main") and not hidden:
-                inside += 1
-                stated = True
-            if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.start() if end else size
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    for gone, hides in stack[i:]:
-                        hidden -= hides
-                        links -= gone == "a"
-                        if gone in ("article", "main") and not hidden:
-                            inside = max(0, inside - 1)
-                    del stack[i:]
-                    break
+        if m[3]:
+            if places.get(name):
+                close(places[name][-1])
+            continue
+        if places.get("head") and name not in IN_HEAD:
+            close(places["head"][-1])
+        for gone, within in CLOSES.get(name, ()):
+            border = last(within)
+            found = [places[g][-1] for g in gone if places.get(g) and places[g][-1] > border]
+            if found:
+                close(min(found))
+        if name in VOID or (name == "svg" and attributes.endswith("/")):
+            continue
+        hides = name in HIDDEN or (name not in ("body", "html", "article", "main") and bool(attributes) and _names(attributes))
+        article = name in ("article", "main") and not hidden
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, hides, article))
+        hidden += hides
+        links += name == "a"
+        inside += article
+        if name in RAW:
+            m = RAW[name].search(page, at)
+            at = m.start() if m else size
     flush()
-    return out, stated
+    return out
 
 
-def label(text: str, linked: int) -> str:
-    """good, bad, or near (long enough, few stop words) or short: undecided."""
-    if linked > MAX_LINKS * len(text):
-        return "bad"
-    if "\xa9" in text:
-        return "bad"
+def density(text: str) -> float:
+    """The share of stop words."""
     words = text.lower().split()
-    density = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-    if len(text) < SHORT:
+    return sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+
+
+def label(block: Block, share: float, known: bool) -> str:
+    """good, bad, or near or short, which are undecided. `share`: of stop words; `known`: whether the page's language is listed."""
+    size, inside = len(block.text), block.inside
+    if block.linked > MAX_LINKS * size:
+        return "short" if block.heading else "bad"
+    if size < LONG and not inside and ("\xa9" in block.text or block.text.lower().startswith("copyright")):
+        return "bad"
+    if size < SHORT:
         return "short"
-    if density >= HIGH:
-        return "good" if len(text) > LONG else "near"
-    if density >= LOW:
-        return "near"
-    return "bad" if len(text) > LONG else "short"
+    if not known:
+        return "good" if inside or size > LONG else "near"
+    if share >= HIGH:
+        return "good" if inside or size > LONG else "near"
+    if share >= LOW:
+        return "good" if inside and size > LONG else "near"
+    return "near" if inside else "bad" if size > LONG else "short"
 
 
-def main_text(page: str | None) -> str:
-    found, stated = blocks(page or "")
-    if stated:
-        # the page itself says what its article is; only navigation-like blocks inside it are in doubt
-        found = [b for b in found if b[2]]
-    labels = [label(t, n) for t, n, _ in found]
-    if stated:
-        # a long block inside the article is part of it in any language; what links dominate is decided by its neighbours
-        labels = ["good" if x in ("near", "good") or (x == "bad" and n <= MAX_LINKS * len(t)) else "short" for x, (t, n, _) in zip(labels, found)]
-    elif "good" not in labels:
-        labels = ["good" if x == "near" else x for x in labels]
-    first = [x if x in ("good", "bad") else None for x in labels]
-    before, after, last = [None] * len(first), [None] * len(first), None
-    for i, x in enumerate(first):
-        before[i] = last
-        last = x or last
-    last = None
-    for i in range(len(first) - 1, -1, -1):
-        after[i] = last
-        last = first[i] or last
-    keep = []
-    for x, kind, a, b in zip(first, labels, before, after):
-        around = {a, b} - {None}
+def _second_pass(found: list[Block]) -> None:
+    """Decide near and short blocks by their nearest decided neighbours."""
+    first = [b.label if b.label in ("good", "bad") else None for b in found]
+    before, after = [None] * len(found), [None] * len(found)
+    for order, near in ((range(len(found)), before), (range(len(found) - 1, -1, -1), after)):
+        last = None
+        for i in order:
+            near[i] = last
+            last = first[i] or last
+    for b, x, a, z in zip(found, first, before, after):
         if x is None:
-            # undecided: both neighbours' label if they agree; where they differ, the longer ("near") blocks are content
-            x = around.pop() if len(around) == 1 else "good" if stated or (around and kind == "near") else "bad"
-        keep.append(x == "good")
-    return " ".join(t for (t, _, _), k in zip(found, keep) if k)
+            around = {a, z} - {None}
+            if len(around) == 1:
+                b.label = around.pop()
+            else:
+                # nothing decided, or different neighbours
+                b.label = "good" if not around or b.label == "near" or b.inside or (b.heading and z == "good") else "bad"
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    shares = [density(b.text) for b in found]
+    n_words = [len(b.text.split()) for b in found]
+    known = sum(s * n for s, n in zip(shares, n_words)) >= KNOWN * sum(n_words)
+    for b, share in zip(found, shares):
+        b.label = label(b, share, known)
+    article = [b for b in found if b.inside]
+    if any(b.label != "bad" for b in article) and (any(b.label == "good" for b in article) or not any(b.label == "good" for b in found)):
+        found = article
+    if not any(b.label == "good" for b in found):
+        for b in found:
+            b.label = "good" if b.label == "near" else b.label
+    _second_pass(found)
+    return " ".join(b.text for b in found if b.label == "good")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

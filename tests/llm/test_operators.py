@@ -374,3 +374,78 @@ def test_html_page_of_short_paragraphs():
     assert all(len(x) <= 200 for x in lines)
     assert html_extract.main_text(f"<body>{menu}{''.join(f'<p>{x}</p>' for x in lines)}{menu}</body>") == " ".join(lines)
     assert html_extract.main_text(f"<body>{menu}<p>Tiny</p>{menu}</body>") == ""
+
+
+SENTENCE = "The {} of the house was in that place and it is with them as you were"
+
+
+def made_page(seed, stated):
+    """A page of blocks of known kind, and the text of those that are content."""
+    rng = np.random.default_rng(seed)
+    say = lambda n: " ".join(SENTENCE.format(f"w{rng.integers(10**6)}") for _ in range(n)) + "."
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{i}'>Section number {i}" for i in range(4)) + "</ul>"
+    noise = [
+        menu, lambda: f"<div class='ad box'>{say(3)}</div>", lambda: f"<aside><p>{say(4)}</aside>", lambda: f"<form>{say(2)}<input></form>",
+        lambda: "<script>if (a < b) { t = '<p>" + say(3) + "</p>' }</script>", lambda: f"<div id=comments><p>{say(4)}<p>{say(4)}</div>", lambda: f"<!-- {say(3)} -->",
+    ]
+    body, want = [f"<h1>Title {seed}</h1><p>{(first := say(5))}</p>"], [f"Title {seed}", first]
+    for _ in range(rng.integers(3, 9)):
+        kind, text = rng.integers(4), say(int(rng.integers(4, 7)))
+        if rng.random() < 0.4 and (kind or stated):  # without an article, a short block beside a menu is not content
+            body.append(noise[rng.integers(len(noise))]())
+        if kind == 0:
+            text = "Short one."
+            body += [f"<p>{text}", f"<p>{(more := say(5))}"]
+            want += [text, more]
+        else:
+            body.append([f"<p>{text}</p>", f"<div><b>{text}</b></div>", f"<p>{text}"][kind - 1])
+            want.append(text)
+    inner = "\n".join(body)
+    page = f"<html><head><title>t{menu()}</title><body><nav>{menu()}</nav>" + (f"<article>{inner}</article>" if stated else f"<div>{inner}</div>")
+    return page + f"<footer>{say(3)}</footer>", " ".join(want)
+
+
+@pytest.mark.parametrize("stated", [True, False])
+def test_html_pages_of_known_blocks(spark, stated):
+    made = [(i, "same url", *made_page(i, stated)) for i in range(60)]
+    made += made[:3]  # repeated rows
+    df = spark.createDataFrame(made, "page_id long, url string, html string, text string").withColumnRenamed("text", "n_chars")
+    want = sorted((i, t) for i, _, _, t in made)
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.extract(df).collect()) == want
+
+
+def test_html_signs_decide(monkeypatch):
+    pages = [made_page(i, False) for i in range(20)]
+    monkeypatch.setattr(html_extract, "_second_pass", lambda found: None)
+    assert any(html_extract.main_text(p) != t for p, t in pages)
+    monkeypatch.undo()
+    plain = "<p>" + "Shoes boots jackets trousers, red green blue; size small, medium, large; kilo price 20, 30, 40, new offers daily. " * 3
+    mixed = f"<div>{plain}</div>" + "".join(f"<p>{SENTENCE.format(i)} {SENTENCE.format(i)} {SENTENCE.format(i)} {SENTENCE.format(i)}.</p>" for i in range(3))
+    assert "boots" not in html_extract.main_text(mixed)
+    monkeypatch.setattr(html_extract, "STOP", frozenset())
+    assert "boots" in html_extract.main_text(mixed)
+
+
+def test_html_as_it_comes():
+    long = "The cat is on the mat and it was there for a long time with all of the others that came to be here."
+    text = html_extract.main_text
+    assert text(f"<html><head><title>t</title><body><p>{long}") == long  # no end tags
+    assert text(f'<article><p class="share">Share<h2>Head</h2><div>{long}</div></article>') == f"Head {long}"
+    assert text(f"<article><ul><li class=share>Share</ul><p>{long}</article>") == long
+    assert text(f'<article><p>{long}</p><div class="ad">x</article><div class="box">{long}</div>') == long  # an advert left open
+    assert text(f'<body class="comments-enabled"><article class="post-social-share"><div class="article-header"><h1>Kept</h1></div><p>{long}</article>') == f"Kept {long}"
+    for other in ("\u4e2d\u6587\u6587\u672c\u5185\u5bb9\u5f88\u957f\u3002" * 30, "\u0420\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442 \u0434\u043b\u0438\u043d\u043d\u044b\u0439. " * 20):
+        assert text(f"<ul><li><a href=/>Home</a></ul><p>{other}</p>") == other.strip()
+    assert text(f"<p>{long} \xa9 is a sign. {long} {long}</p>") == f"{long} \xa9 is a sign. {long} {long}"
+    assert text(f"<p>{long} <a href=\"x title='y>link</a> {long} {long}") == f"{long} link {long} {long}"  # quotes that are not closed
+    assert text(f"<table><tr><td>{long}<td>{long}<tr><td>{long}</table>") == f"{long} {long} {long}"
+    assert text(f"<p>{long}</p><!-- {long}") == long == text(f"<p>{long}</p><script> {long}") and text("<p>cut <b") == "cut"
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40000 + "</i>" * 40000, "<a " * 40000 + '"', '<a "' * 40000, "<li><ul>" + "<b>" * 20000 + "<li></li>" * 20000, "<!--" * 40000, "<p><a href='x" * 20000])
+def test_html_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_extract.main_text(page)
+    assert time.process_time() - began < 5
