@@ -92,7 +92,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(len(s))
             yield pa.RecordBatch.from_arrays(
                 [*piece.columns[:-1], pa.array(sizes, pa.int32()), pa.array(found, pa.binary()), pa.array(kept, pa.binary())],
-                names=["doc_id", "text_key", "size", "sketch", "shingles"],
+                names=["row", "doc_id", "text_key", "size", "sketch", "shingles"],
             )
 
 
@@ -102,10 +102,11 @@ def text_key(text: Column) -> Column:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, size, sketch, shingles) of every row with a text; sketch and shingles (32-bit numbers, in text order) are null for texts without shingles."""
-    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+    """(row, doc_id, text_key, size, sketch, shingles) of every row with a text, numbered; sketch and shingles (32-bit numbers, in text order) are null for texts without shingles."""
+    rows = docs.filter(F.col("text").isNotNull())
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_key(F.col("text")).alias("text_key"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_sketches, f"doc_id {kind}, text_key binary, size int, sketch binary, shingles binary")
+    return rows.mapInArrow(_sketches, f"row long, doc_id {kind}, text_key binary, size int, sketch binary, shingles binary")
 
 
 def increasing(places: np.ndarray) -> int:
@@ -291,15 +292,15 @@ def mixed_buckets(linked: DataFrame, parts: DataFrame, tables: Tables) -> tuple[
 
 
 def _parts(reps: DataFrame, shingled: DataFrame, tables: Tables) -> DataFrame | None:
-    """(key, c): the component of every text that shares a bucket. None if there are no such texts."""
+    """(key, c): the component of every text that shares a bucket. None if there are no such texts. `shingled`: row, shingles."""
     bands = _bands(reps.filter("sketch IS NOT NULL"))
     shared, n = tables.write(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     if not n:
         return None
     linked, _ = tables.write(bands.join(shared, "bucket").select("bucket", "band", "key", "size", "n"))
     central, _ = tables.write(linked.groupBy("key").agg(F.sum("n").alias("met")))
-    texts = shingled.join(central, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    texts, _ = tables.write(texts.join(reps.select("key", "sketch"), "key"))
+    wanted = reps.select("row", "key", "sketch").join(central, "key", "left_semi")
+    texts, _ = tables.write(shingled.join(wanted, "row").select("key", "sketch", "shingles"))
 
     leaders = linked.join(central, "key").groupBy("bucket").agg(F.max(F.struct("met", "key", "size")).alias("x"))
     leaders, _ = tables.write(leaders.select("bucket", F.col("x.key").alias("leader"), F.col("x.size").alias("leader_size")))
@@ -329,11 +330,12 @@ def classes(docs: DataFrame) -> DataFrame:
     """
     with Tables(docs.sparkSession, "near_dedup") as tables:
         found, _ = tables.write(sketches(docs))
-        held, _ = tables.write(found.groupBy("doc_id", F.col("text_key").alias("key")).agg(F.count("*").alias("n_rows")))
-        ids = held.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least"))
-        any_row = found.groupBy(F.col("text_key").alias("key")).agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"))
-        reps, _ = tables.write(any_row.join(ids, "key"))
-        parts = _parts(reps, found.select(F.col("text_key").alias("key"), "shingles"), tables)
+        held = found.groupBy("doc_id", F.col("text_key").alias("key")).agg(F.count("*").alias("n_rows"), F.min("row").alias("row"))
+        held, _ = tables.write(held)
+        least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id"))
+        ids = held.groupBy("key").agg(least.alias("least"), F.min("row").alias("row"))
+        reps, _ = tables.write(ids.join(found.select("row", "sketch", "size"), "row"))
+        parts = _parts(reps, found.select("row", "shingles"), tables)
         if parts is None:
             parts = reps.select("key", F.col("key").alias("c"))
         known = reps.select("key", "least").join(parts, "key", "left").select("key", "least", F.coalesce("c", "key").alias("c"))
@@ -346,18 +348,19 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def _matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
     """`docs` joined with `found` by id and text; `found` keeps its other columns under its own names."""
-    own, key = (fresh(c, [*docs.columns, *found.columns]) for c in ("found_id", "found_key"))
+    own, key, mine = (fresh(c, [*docs.columns, *found.columns]) for c in ("found_id", "found_key", "own_key"))
     found = found.withColumnsRenamed({"doc_id": own, "text_key": key})
-    return docs.join(found, docs["doc_id"].eqNullSafe(found[own]) & (text_key(docs["text"]) == found[key]), how).drop(own, key)
+    docs = docs.withColumn(mine, text_key(F.col("text")))  # a column of its own, so that the text need not move with it
+    return docs.join(found, docs["doc_id"].eqNullSafe(found[own]) & (docs[mine] == found[key]), how).drop(own, key, mine)
 
 
 def with_classes(docs: DataFrame) -> DataFrame:
     """`docs` with `class_id`, `n_rows` (rows of that id and text) and `kept` added, renamed where `docs` has them."""
     names = {c: fresh(c, docs.columns) for c in ("class_id", "n_rows", "kept")}
-    joined = _matched(docs, classes(docs).withColumnsRenamed(names), "left")
-    none = F.col("text").isNull()
-    joined = joined.withColumn(names["class_id"], F.when(none, F.col("doc_id")).otherwise(F.col(names["class_id"])))
-    return joined.withColumn(names["kept"], F.when(none, F.lit(True)).otherwise(F.col(names["kept"])))
+    none = fresh("no_text", [*docs.columns, *names.values()])
+    joined = _matched(docs.withColumn(none, F.col("text").isNull()), classes(docs).withColumnsRenamed(names), "left")
+    joined = joined.withColumn(names["class_id"], F.when(F.col(none), F.col("doc_id")).otherwise(F.col(names["class_id"])))
+    return joined.withColumn(names["kept"], F.when(F.col(none), F.lit(True)).otherwise(F.col(names["kept"]))).drop(none)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
