@@ -40,12 +40,14 @@ CLASSES = 1 << 13
 #: Training ends with a round that gains less than this share of the log likelihood.
 GAIN = 1e-3
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 4_000_000
+CHUNK = 3_000_000
 #: Most tokens of a segment, and tokens that run through the recursion at once.
 SEGMENT, BLOCK_TOKENS = 512, 1_000_000
 FREQUENT = 200_000
 #: Tokens of chunks that one range of token numbers has, about; and frequent tokens that are added up together.
 RANGE, SLICE = 400_000, 256
+#: Distinct tokens of a chunk, about; more of them only make ranges larger.
+DISTINCT = 100_000
 #: The end token; no word is empty.
 END = ""
 HELD_OUT, FOLDS = 2, 7
@@ -68,26 +70,53 @@ def _in_step(codes: np.ndarray, starts: np.ndarray, active: list[int]) -> tuple[
     """The codes of all first tokens, of all second ones and so on; and the sequence of each token in that order."""
     step = np.repeat(np.arange(len(active)), active)
     places = np.cumsum([0, *active])
-    which = np.arange(places[-1]) - places[step]
+    which = np.arange(places[-1]) - np.repeat(places[:-1], active)
     ordered = codes[starts[which] + step]
     return [ordered[a:b] for a, b in zip(places[:-1].tolist(), places[1:].tolist())], which
 
 
-def _forward(emit: np.ndarray, codes: list[np.ndarray], step: np.ndarray, entering: np.ndarray):
-    """(scaled forward values, emissions, scales) of tokens in step; `emit` and all of these by state first.
+class Room:
+    """Arrays that are used again for every block, as fresh memory costs as much time as the recursion itself."""
 
-    `entering`: the states before the first emission, by sequence.
-    """
-    values, emitted, scales, turn, now = [], [], [], np.ascontiguousarray(step.T), entering
-    for t, own in enumerate(codes):
-        E = emit.take(own, axis=1)
-        now = (turn @ now[:, : len(own)] if t else entering) * E
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def give(self, name: str, *shape: int) -> np.ndarray:
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size)
+        return self.held[name][:size].reshape(shape)
+
+    def steps(self, name: str, states: int, codes: list[np.ndarray]) -> list[np.ndarray]:
+        """An array (states, sequences) for each step."""
+        whole, at, out = self.give(name, states * sum(map(len, codes))), 0, []
+        for own in codes:
+            out.append(whole[at : at + states * len(own)].reshape(states, -1))
+            at += states * len(own)
+        return out
+
+
+ROOM = Room()
+
+
+def _emitted(emit: np.ndarray, codes: list[np.ndarray]) -> list[np.ndarray]:
+    """The emissions of tokens in step, by state first."""
+    out = ROOM.steps("emitted", emit.shape[1], codes)
+    for own, E in zip(codes, out):
+        E[:] = emit.take(own, axis=0).T
+    return out
+
+
+def _forward(emitted: list[np.ndarray], step: np.ndarray, entering: np.ndarray):
+    """(scaled forward values, by state first; scales) of tokens in step; `entering`: the states before the first emission, by sequence."""
+    values = ROOM.steps("values", len(step), [E[0] for E in emitted])
+    scales, turn = [], np.ascontiguousarray(step.T)
+    for t, (now, E) in enumerate(zip(values, emitted)):
+        np.multiply(turn @ values[t - 1][:, : E.shape[1]] if t else entering, E, out=now)
         scale = np.add.reduce(now, axis=0)
         now /= scale
-        values.append(now)
-        emitted.append(E)
         scales.append(scale)
-    return values, emitted, scales
+    return values, scales
 
 
 def _backward(values, emitted, scales, step, after, pairs) -> np.ndarray:
@@ -109,14 +138,15 @@ def _backward(values, emitted, scales, step, after, pairs) -> np.ndarray:
     return ahead
 
 
-def _products(emit: np.ndarray, codes: list[np.ndarray], step: np.ndarray) -> np.ndarray:
+def _products(emitted: list[np.ndarray], step: np.ndarray) -> np.ndarray:
     """(state after, state before, segment): the products of the transition matrices of segments of equal length, each scaled."""
-    states, n, turn = len(step), len(codes[0]), np.ascontiguousarray(step.T)
+    states, n, turn = len(step), emitted[0].shape[1], np.ascontiguousarray(step.T)
     now = np.repeat(np.eye(states)[:, :, None], n, axis=2)
-    for own in codes:
+    for t, E in enumerate(emitted):
         now = (turn @ now.reshape(states, -1)).reshape(states, states, n)
-        now *= emit.take(own, axis=1)[:, None]
-        now /= np.add.reduce(now.reshape(-1, n), axis=0)
+        now *= E[:, None]
+        if t % 8 == 7:  # eight emissions are far from what 64 bits can hold
+            now /= np.add.reduce(now.reshape(-1, n), axis=0)
     return now
 
 
@@ -130,7 +160,6 @@ def _parted(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
 def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple, into: tuple | None = None) -> np.ndarray:
     """log10 P(tokens) of sequences of `obs`, none of them empty; adds the expected counts of start, step and emission to `into`."""
     start, step, emit = model
-    emit = np.ascontiguousarray(emit.T)
     states, total = len(start), np.zeros(len(starts))
     head = (lengths - 1) % SEGMENT + 1  # the first segment is what the others, which are full, leave
     more = (lengths - head) // SEGMENT
@@ -141,7 +170,7 @@ def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple,
     parts = list(_parted(np.arange(len(owner)), np.full(len(owner), SEGMENT)))
     product = np.empty((states, states, len(owner)))
     for part in parts:
-        product[:, :, part] = _products(emit, _in_step(obs, at[part], [len(part)] * SEGMENT)[0], step)
+        product[:, :, part] = _products(_emitted(emit, _in_step(obs, at[part], [len(part)] * SEGMENT)[0]), step)
     # what the last token of each segment gets from behind
     behind, behind_head = np.ones((states, len(owner))), np.ones((states, len(starts)))
     for j in range(int(more.max(initial=0)) - 1, -1, -1):
@@ -155,7 +184,8 @@ def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple,
 
     def through(codes, entering, after, first):
         """(log10 of each token's scale, states at the last tokens, what the token before gets) of segments in step."""
-        values, emitted, scales = _forward(emit, codes, step, entering)
+        emitted = _emitted(emit, codes)
+        values, scales = _forward(emitted, step, entering)
         n = [*map(len, codes), 0]
         ends = np.concatenate([v[:, stay:] for v, stay in zip(values[::-1], n[:0:-1])], axis=1)
         logs, ahead = np.log10(np.concatenate(scales)), None
@@ -163,9 +193,10 @@ def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple,
             pairs = np.zeros((states, states))
             ahead = _backward(values, emitted, scales, step, after / (ends * after).sum(axis=0), pairs)
             into[1][:] += pairs * step
-            seen, chance = np.concatenate(codes), np.concatenate(values, axis=1)
+            seen = np.concatenate(codes)
+            chance = np.concatenate(values, axis=1, out=ROOM.give("chance", states, len(seen)))
             for s in range(states):
-                into[2][:, s] += np.bincount(seen, weights=chance[s], minlength=emit.shape[1])
+                into[2][:, s] += np.bincount(seen, weights=chance[s], minlength=len(emit))
             if first:
                 into[0][:] += values[0].sum(axis=1)
         return logs, ends, ahead
@@ -434,7 +465,7 @@ class Chunk:
 
     def __init__(self, row: dict, model: tuple):
         known, frequent, _, _, totals, v_all, first = model
-        self.codes = _unpack(row["codes"], np.int32, row["n"])
+        self.codes = _unpack(row["codes"], np.int32, row["n"]).astype(np.int64)
         self.lengths = _unpack(row["lengths"], np.int32, len(row["doc_ids"])).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.ids, self.n = np.frombuffer(row["ids"], dtype=np.uint64), _unpack(row["counts"], np.int64, row["v"])
@@ -457,8 +488,7 @@ class Model:
     def __init__(self, docs: DataFrame, tables: Tables):
         self.spark, self.tables, self.counts = docs.sparkSession, tables, None
         chunks, n_chunks = tables.write(_chunks(docs))
-        # a chunk has some 100,000 distinct tokens at most, in most languages; longer texts only make ranges larger
-        self.ranges = max(1, -(-n_chunks * CHUNK // (40 * RANGE)))
+        self.ranges = max(1, -(-n_chunks * DISTINCT // RANGE))
         offer, number = _numbered(self.ranges)
         offers = chunks.select("chunk", "tokens", "sizes", "counts").mapInArrow(offer, OFFER)
         found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
