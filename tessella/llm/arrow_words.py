@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -13,6 +12,7 @@ from tessella.llm.common import SHINGLE
 
 #: Characters of text that are worked on at once.
 PIECE = 8_000_000
+BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
@@ -41,9 +41,36 @@ def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, np.asarray(coded.indices, dtype=np.int64), offsets
 
 
-def hashes(distinct: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each string, the same in every process."""
-    return pd.util.hash_array(distinct.to_numpy(zero_copy_only=False).astype(object), categorize=False).astype(np.uint64)
+def contents(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of an array of strings, offsets of each)."""
+    strings = strings.cast(pa.large_binary())
+    _, offsets, data = strings.buffers()
+    if not len(strings) or data is None:
+        return np.empty(0, dtype=np.uint8), np.zeros(len(strings) + 1, dtype=np.int64)
+    offsets = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(n - 1, 0), base, dtype=np.uint64))])
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string, the same in every process: its bytes as a polynomial, scrambled."""
+    data, offsets = contents(strings)
+    starts, sizes = offsets[:-1], np.diff(offsets)
+    total = np.zeros(len(strings), dtype=np.uint64)
+    there = np.nonzero(sizes)[0]
+    near = _powers(4096, BASE)
+    far = _powers(int(sizes.max(initial=0)) // 4096 + 1, np.uint64(pow(int(BASE), 4096, 1 << 64)))
+    for a in range(0, len(data), PIECE // 2):
+        b = min(len(data), a + PIECE // 2)
+        part = there[np.searchsorted(offsets[there + 1], a, side="right") : np.searchsorted(starts[there], b)]
+        begins, ends = np.maximum(starts[part], a), np.minimum(offsets[part + 1], b)
+        place = np.arange(a, b) - np.repeat(starts[part], ends - begins)
+        weight = near[place] if len(far) == 1 else near[place % 4096] * far[place // 4096]
+        total[part] += np.add.reduceat((data[a:b].astype(np.uint64) + np.uint64(1)) * weight, begins - a)
+    return mixed(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

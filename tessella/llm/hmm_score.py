@@ -45,9 +45,9 @@ CHUNK = 3_000_000
 SEGMENT, BLOCK_TOKENS = 512, 1_000_000
 FREQUENT = 200_000
 #: Tokens of chunks that one range of token numbers has, about; and frequent tokens that are added up together.
-RANGE, SLICE = 400_000, 256
+RANGE, SLICE = 250_000, 256
 #: Distinct tokens of a chunk, about; more of them only make ranges larger.
-DISTINCT = 100_000
+DISTINCT = 80_000
 #: The end token; no word is empty.
 END = ""
 HELD_OUT, FOLDS = 2, 7
@@ -261,7 +261,7 @@ def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 def _pack(x: np.ndarray) -> bytes:
     """Numbers, compressed byte place by byte place."""
-    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(packed: bytes, kind, n: int) -> np.ndarray:
@@ -293,14 +293,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
             texts, ids = (pa.concat_arrays(whole.column(c).chunks) for c in ("text", "doc_id"))
             waiting[out], size[out] = [], 0
             distinct, codes, offsets = tokenized(texts)
-            sizes = np.asarray(pc.binary_length(distinct), dtype=np.int32)
+            tokens, at = aw.contents(distinct)
+            sizes = np.diff(at).astype(np.int32)
             counts = np.bincount(codes, minlength=len(distinct)).astype(np.int32) * (not out)
             made += 1
+            pa.default_memory_pool().release_unused()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([made]), pa.array([out]), lists, pa.array([len(codes)]), pa.array([_pack(np.diff(offsets).astype(np.int32))]),
-                    pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array(["".join(distinct.to_pylist()).encode()]),
+                    pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array([tokens.tobytes()]),
                     pa.array([sizes.tobytes()]), pa.array([counts.tobytes()]),
                 ],
                 names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "tokens", "sizes", "counts"],
@@ -338,7 +340,7 @@ def _split_up(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 OFFER = "part int, chunk long, idx binary, tokens binary, sizes binary, counts binary"
-LOOKUP = "chunk long, idx binary, ids binary, n binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
+LOOKUP = "part int, chunk long, idx binary, codes binary, n binary, seeds binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
 
 
 def _strings(data: bytes, sizes: bytes) -> pa.Array:
@@ -348,7 +350,7 @@ def _strings(data: bytes, sizes: bytes) -> pa.Array:
 
 
 def _numbered(parts: int):
-    """Functions that offer the tokens of chunks by range, and that number them and add up their counts in a range."""
+    """Functions that offer the tokens of chunks by range, and that number the tokens of a range and add up their counts."""
 
     def offer(batches: Batches) -> Batches:
         for batch in batches:
@@ -356,62 +358,74 @@ def _numbered(parts: int):
                 held = _strings(tokens, sizes)
                 counts, rows = np.frombuffer(counts, dtype=np.int32), []
                 for part, places in _split_up((aw.hashes(held) % np.uint64(parts)).astype(np.int64)):
-                    own = held.take(pa.array(places))
-                    own_sizes = np.asarray(pc.binary_length(own), dtype=np.int32)
-                    rows.append((part, chunk, places.astype(np.int32).tobytes(), "".join(own.to_pylist()).encode(), own_sizes.tobytes(), counts[places].tobytes()))
+                    own, at = aw.contents(held.take(pa.array(places)))
+                    rows.append((part, chunk, places.astype(np.int32).tobytes(), own.tobytes(), np.diff(at).astype(np.int32).tobytes(), counts[places].tobytes()))
                 yield _rows(rows, _wanted(OFFER))
 
     def number(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
         chunks, idx, tokens, sizes, counts = (table.column(c).to_pylist() for c in ("chunk", "idx", "tokens", "sizes", "counts"))
-        each = [len(x) // 4 for x in idx]
         coded = pa.concat_arrays([_strings(t, s) for t, s in zip(tokens, sizes)]).dictionary_encode()
-        codes, n = np.asarray(coded.indices), np.frombuffer(b"".join(counts), dtype=np.int32)
+        codes, n = np.asarray(coded.indices, dtype=np.int32), np.frombuffer(b"".join(counts), dtype=np.int32)
         total = np.rint(np.bincount(codes, weights=n, minlength=len(coded.dictionary))).astype(np.int64)
-        ids = aw.hashes(coded.dictionary)
-        while len(same := np.setdiff1d(np.arange(len(ids)), np.unique(ids, return_index=True)[1])):
-            ids[same] += np.uint64(parts)  # two tokens of one hash: the second gets another number of the same range
-        cuts, rows = np.cumsum([0, *each]), []
+        cuts, rows = np.cumsum([0, *(len(x) // 4 for x in idx)]), []
         for k, chunk in enumerate(chunks):
             own = codes[cuts[k] : cuts[k + 1]]
-            rows.append((chunk, idx[k], ids[own].tobytes(), total[own].tobytes(), *[None] * (2 + STATES)))
-        known = total > 0
-        sums = _tilted(ids[known], total[known].astype(np.float64)).sum(axis=0)
-        rows.append((None, None, ids[known].tobytes(), total[known].tobytes(), int(total.sum()), int(known.sum()), *sums.tolist()))
+            rows.append((part, chunk, idx[k], own.tobytes(), total[own].tobytes(), None, *[None] * (2 + STATES)))
+        known = np.nonzero(total)[0]
+        seeds = aw.hashes(coded.dictionary.take(pa.array(known)))
+        sums = _tilted(seeds, total[known].astype(np.float64)).sum(axis=0)
+        rows.append((part, None, None, known.astype(np.int32).tobytes(), total[known].tobytes(), seeds.tobytes(), int(total.sum()), len(known), *sums.tolist()))
         return pa.Table.from_batches([_rows(rows, _wanted(LOOKUP))])
 
     return offer, number
 
 
-def _looked_up(batches: Batches) -> Batches:
-    """Chunks with the numbers and training counts of their tokens."""
-    for batch in batches:
-        ids, counts = [], []
-        for v, found in zip(batch.column("v").to_pylist(), batch.column("found")):
-            number, n = np.zeros(v, dtype=np.uint64), np.zeros(v, dtype=np.int64)
-            for x in found.as_py():
-                at = np.frombuffer(x["idx"], dtype=np.int32)
-                number[at], n[at] = np.frombuffer(x["ids"], dtype=np.uint64), np.frombuffer(x["n"], dtype=np.int64)
-            ids.append(number.tobytes())
-            counts.append(_pack(n))
-        kept = [batch.column(c) for c in ("chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v")]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(ids, pa.binary()), pa.array(counts, pa.binary())],
-            names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "ids", "counts"],
-        )
+KEPT = "place binary, counts binary, n_rare long, rare_at binary, rare_part binary, rare_code binary, seeds binary"
+
+
+def _looked_up(parts: int, known):
+    """A function that gives chunks the places of their tokens among the frequent ones, and the numbers of all others."""
+
+    def look_up(batches: Batches) -> Batches:
+        frequent = known.value
+        for batch in batches:
+            rows = []
+            for v, tokens, sizes, found in zip(*(batch.column(c).to_pylist() for c in ("v", "tokens", "sizes", "found"))):
+                part, code, n = np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int64)
+                for x in found:
+                    at = np.frombuffer(x["idx"], dtype=np.int32)
+                    part[at], code[at], n[at] = x["part"], np.frombuffer(x["codes"], dtype=np.int32), np.frombuffer(x["n"], dtype=np.int64)
+                number = code.astype(np.int64) * parts + part
+                place = np.full(v, -1, dtype=np.int32)
+                if len(frequent):
+                    near = np.minimum(np.searchsorted(frequent, number), len(frequent) - 1)
+                    place = np.where(frequent[near] == number, near, -1).astype(np.int32)
+                rare = np.nonzero((place < 0) & (n > 0))[0]
+                rare = rare[np.argsort(part[rare], kind="stable")]
+                seeds = aw.hashes(_strings(tokens, sizes).take(pa.array(rare)))
+                rows.append((_pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), code[rare].tobytes(), seeds.tobytes()))
+            kept = [batch.column(c) for c in ("chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v")]
+            more = _rows(rows, _wanted(KEPT))
+            yield pa.RecordBatch.from_arrays([*kept, *more.columns], names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", *more.schema.names])
+
+    return look_up
 
 
 def _most_frequent(batches: Batches) -> Batches:
     for batch in batches:
-        for ids, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist()):
-            ids, n = np.frombuffer(ids, dtype=np.int64), np.frombuffer(n, dtype=np.int64)
-            top = np.lexsort((ids, -n))[:FREQUENT]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(n[top])], names=["id", "n"])
+        for part, codes, n, seeds in zip(*(batch.column(c).to_pylist() for c in ("part", "codes", "n", "seeds"))):
+            codes, n, seeds = np.frombuffer(codes, dtype=np.int32), np.frombuffer(n, dtype=np.int64), np.frombuffer(seeds, dtype=np.int64)
+            top = np.lexsort((seeds, -n))[:FREQUENT]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(top), part, dtype=np.int32)), pa.array(codes[top]), pa.array(n[top]), pa.array(seeds[top])], names=["part", "code", "n", "seed"]
+            )
 
 
 # Training
 
-SENT = "part int, chunk long, ids binary, idx binary, x binary"
-SUMS = "part int, chunk long, idx binary, x binary, " + ", ".join(f"x{s} double" for s in range(STATES))
+SENT = "part int, chunk long, codes binary, x binary"
+SUMS = "part int, chunk long, x binary, " + ", ".join(f"x{s} double" for s in range(STATES))
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -428,33 +442,31 @@ def _wide(x: bytes) -> np.ndarray:
 
 
 def _added(ranges: int):
-    """A function that adds up what chunks send: key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
+    """A function that adds up what chunks send: for key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nothing = key[0].as_py(), [None] * STATES
         total, asked = 0.0, []
         sums = np.zeros((SLICE, STATES))
         for batch in batches:
-            for chunk, ids, idx, x in zip(*(batch.column(c).to_pylist() for c in ("chunk", "ids", "idx", "x"))):
+            for chunk, codes, x in zip(*(batch.column(c).to_pylist() for c in ("chunk", "codes", "x"))):
                 if part < 0:
                     total = total + np.frombuffer(x, dtype=np.float64)
                 elif part >= ranges:
-                    sums[np.frombuffer(idx, dtype=np.int32)] += _wide(x)
+                    sums[np.frombuffer(codes, dtype=np.int32)] += _wide(x)
                 else:
-                    asked.append((chunk, ids, idx, x))
+                    asked.append((chunk, np.frombuffer(codes, dtype=np.int32), x))
         if part < 0:
-            rows = [(part, None, None, total.tobytes(), *nothing)]
+            rows = [(part, None, total.tobytes(), *nothing)]
         elif part >= ranges:
-            rows = [(part, None, None, sums.tobytes(), *nothing)]
+            rows = [(part, None, sums.tobytes(), *nothing)]
         else:
-            numbers = [np.frombuffer(a[1], dtype=np.uint64) for a in asked]
-            distinct, codes = np.unique(np.concatenate(numbers), return_inverse=True)
-            # chunks that only ask send no counts
-            given = np.concatenate([_wide(a[3]) if a[3] else np.zeros((len(n), STATES)) for a, n in zip(asked, numbers)])
-            own = np.stack([np.bincount(codes, weights=given[:, s], minlength=len(distinct)) for s in range(STATES)], axis=1)
-            cuts = np.cumsum([0, *map(len, numbers)])
-            rows = [(part, a[0], a[2], _short(own[codes[cuts[k] : cuts[k + 1]]]), *nothing) for k, a in enumerate(asked)]
-            rows.append((part, None, None, None, *own.sum(axis=0).tolist()))
+            own = np.zeros((max(int(a[1].max()) for a in asked) + 1, STATES))
+            for _, codes, x in asked:
+                if x:  # chunks of held-out texts only ask
+                    own[codes] += _wide(x)  # a chunk has a token once
+            rows = [(part, chunk, _short(own[codes]), *nothing) for chunk, codes, _ in asked]
+            rows.append((part, None, None, *own.sum(axis=0).tolist()))
         yield _rows(rows, _wanted(SUMS))
 
     return add
@@ -464,21 +476,24 @@ class Chunk:
     """A row of the table of chunks, with the model's counts for its tokens."""
 
     def __init__(self, row: dict, model: tuple):
-        known, frequent, _, _, totals, v_all, first = model
+        frequent, _, _, totals, v_all, first = model
         self.codes = _unpack(row["codes"], np.int32, row["n"]).astype(np.int64)
         self.lengths = _unpack(row["lengths"], np.int32, len(row["doc_ids"])).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids, self.n = np.frombuffer(row["ids"], dtype=np.uint64), _unpack(row["counts"], np.int64, row["v"])
-        place = np.minimum(np.searchsorted(known, self.ids), max(len(known) - 1, 0))
-        there = (known[place] == self.ids) & (self.n > 0) if len(known) else np.zeros(len(self.ids), dtype=bool)
-        self.place = np.where(there, place, -1)
-        self.rare = np.nonzero(~there & (self.n > 0))[0]
-        counts = np.zeros((len(self.ids), STATES))
-        counts[there] = frequent[place[there]]
+        self.place = _unpack(row["place"], np.int32, row["v"])
+        self.n = _unpack(row["counts"], np.int64, row["v"])
+        # tokens beyond the frequent ones: their places, in the order of their ranges
+        self.rare, part = _unpack(row["rare_at"], np.int32, row["n_rare"]), _unpack(row["rare_part"], np.int32, row["n_rare"])
+        self.code = np.frombuffer(row["rare_code"], dtype=np.int32)
+        cuts = np.nonzero(np.diff(part, prepend=-1, append=-1))[0] if len(part) else np.zeros(1, dtype=np.int64)
+        self.ranges = {int(part[a]): slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
+        counts = np.zeros((row["v"], STATES))
+        there = np.nonzero(self.place >= 0)[0]
+        counts[there] = frequent.take(self.place[there], axis=0)
         if first:
-            counts[self.rare] = _tilted(self.ids[self.rare], self.n[self.rare].astype(np.float64))
+            counts[self.rare] = _tilted(np.frombuffer(row["seeds"], dtype=np.uint64), self.n[self.rare].astype(np.float64))
         for x in row.get("found") or []:
-            counts[np.frombuffer(x["idx"], dtype=np.int32)] = _wide(x["x"])
+            counts[self.rare[self.ranges[x["part"]]]] = _wide(x["x"])
         self.emit = emission(counts, totals, v_all)
 
 
@@ -492,32 +507,37 @@ class Model:
         offer, number = _numbered(self.ranges)
         offers = chunks.select("chunk", "tokens", "sizes", "counts").mapInArrow(offer, OFFER)
         found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
-        own = found.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("idx", "ids", "n")).alias("found"))
-        kept = chunks.drop("tokens", "sizes", "counts")
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
-        self.chunks, _ = tables.write(kept.join(own, "chunk").mapInArrow(_looked_up, f"{schema}, ids binary, counts binary"))
 
         words = found.filter("chunk IS NULL")
         all_ = words.agg(F.sum("n_all"), F.sum("v_all"), *[F.sum(f"x{s}") for s in range(STATES)]).first()
         self.n_all, self.v_all, self.totals = int(all_[0] or 0), int(all_[1] or 0), np.array([x or 0.0 for x in all_[2:]])
-        top = words.select("ids", "n").mapInArrow(_most_frequent, "id long, n long").orderBy(F.desc("n"), "id").limit(FREQUENT).toArrow()
-        ids = top.column("id").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(ids)
-        self.known, self.frequent = ids[order], _tilted(ids[order], top.column("n").to_numpy().astype(np.float64)[order])
+        top = words.select("part", "codes", "n", "seeds").mapInArrow(_most_frequent, "part int, code int, n long, seed long")
+        top = top.orderBy(F.desc("n"), "seed", "part", "code").limit(FREQUENT).toArrow()
+        part, code, n, seed = (top.column(c).to_numpy().astype(np.int64) for c in ("part", "code", "n", "seed"))
+        number = code * self.ranges + part
+        order = np.argsort(number)
+        self.frequent = _tilted(seed[order].view(np.uint64), n[order].astype(np.float64))
         self.start, self.step = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.05 / (STATES - 1))
         np.fill_diagonal(self.step, 0.95)
+
+        known = self.spark.sparkContext.broadcast(number[order])
+        own = found.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "idx", "codes", "n")).alias("found"))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name not in ("tokens", "sizes", "counts"))
+        self.chunks, _ = tables.write(chunks.drop("counts").join(own, "chunk").mapInArrow(_looked_up(self.ranges, known), f"{schema}, {KEPT}"))
+        known.unpersist()
         tables.drop(chunks)
         tables.drop(found)
+        tables.release()
 
     def model(self) -> tuple:
-        return self.known, self.frequent, self.start, self.step, self.totals, self.v_all, self.counts is None
+        return self.frequent, self.start, self.step, self.totals, self.v_all, self.counts is None
 
     def with_counts(self) -> DataFrame:
         """The chunks with `found`: the expected counts of their tokens beyond the frequent ones."""
         if self.counts is None:
             return self.chunks
-        found = self.counts.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("idx", "x")).alias("found"))
-        return self.chunks.join(found, "chunk", "left")
+        found = self.counts.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "x")).alias("found"))
+        return self.chunks.drop("seeds").join(found, "chunk", "left")
 
     def round(self) -> float:
         """One round of Baum-Welch over all training texts; gives the log10 likelihood before it."""
@@ -525,8 +545,8 @@ class Model:
 
         def count(batches: Batches) -> Batches:
             model = held.value
-            start, step = model[2], model[3]
-            common, ends, steps, likelihood = np.zeros(model[1].shape), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
+            start, step = model[1], model[2]
+            common, ends, steps, likelihood = np.zeros(model[0].shape), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = batch.slice(i, 1).to_pylist()[0]
@@ -536,17 +556,14 @@ class Model:
                         likelihood += expected(chunk.codes, chunk.starts, chunk.lengths, (start, step, chunk.emit), (ends, steps, counts))
                         here = np.nonzero(chunk.place >= 0)[0]
                         common[chunk.place[here]] += counts[here]
-                    rows = []
-                    for part, at in _split_up((chunk.ids[chunk.rare] % np.uint64(ranges)).astype(np.int64)):
-                        at = chunk.rare[at]
-                        x = b"" if counts is None else _short(counts[at])
-                        rows.append((part, row["chunk"], chunk.ids[at].tobytes(), at.astype(np.int32).tobytes(), x))
-                    yield _rows(rows, _wanted(SENT))
+                        counts = counts[chunk.rare]
+                    x = lambda at: b"" if counts is None else _short(counts[at])  # noqa: B023, E731
+                    yield _rows([(part, row["chunk"], chunk.code[at].tobytes(), x(at)) for part, at in chunk.ranges.items()], _wanted(SENT))
+                    pa.default_memory_pool().release_unused()
             met = np.nonzero(common.any(axis=1))[0]
-            rows = [(-1, None, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes())]
+            rows = [(-1, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes())]
             for piece, at in _split_up(met // SLICE):
-                at = met[at]
-                rows.append((ranges + piece, None, None, (at % SLICE).astype(np.int32).tobytes(), _short(common[at])))
+                rows.append((ranges + piece, None, (met[at] % SLICE).astype(np.int32).tobytes(), _short(common[met[at]])))
             yield _rows(rows, _wanted(SENT))
 
         sent = self.with_counts().mapInArrow(count, SENT)
@@ -599,7 +616,7 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
                         [
                             one.column("doc_ids").flatten(), pa.array(np.full(size, row["held_out"])), pa.array(chunk.lengths),
                             pa.array(add((chunk.n > 0).astype(np.int64))), pa.array(np.full(size, n_all)),
-                            pa.array(add(np.log10((chunk.n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[2], model[3], chunk.emit))),
+                            pa.array(add(np.log10((chunk.n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[1], model[2], chunk.emit))),
                         ],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )
