@@ -6,10 +6,13 @@ item, only the item is sampled: the share of its sketch that the document has es
 document's size. Documents whose estimate is not clearly too low are candidates, and for these the share of all the item's
 shingles in the document is counted.
 
-The items' shingles, and the candidates, are broadcast only if they are at most `BROADCAST_ROWS` rows, counted beforehand; beyond
-that the join shuffles. Shingles are five words; an item of fewer words is one shingle of its own length, and documents get shingles of that
-length too. Nulls and edges: a null or empty text has no shingles and never matches; null ids are carried along as they are;
-rows that repeat an id are one document (or item). Empty tables give empty results.
+The items' shingles, and the candidates, are broadcast only if they are at most `BROADCAST_ROWS` rows, counted beforehand;
+beyond that the join shuffles. Shingles are five words; an item of fewer words is one shingle of its own length, and documents
+get shingles of that length too.
+
+Nulls and edges: a document is an id with a text, and so is an item: rows of one id, or of none, but with different texts are
+judged each by itself, and rows equal in both are one. A null or empty text has no shingles and never matches. Empty tables give
+empty results.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SHINGLE, SIMILAR, once, settle, windows, words
+from tessella.llm.common import SHINGLE, SIMILAR, fresh, once, settle, windows, words
 
 #: Upper bound of a size partition -> sketch size. Larger items take the last.
 SKETCH = {16: 16, 64: 24, 256: 32, 1 << 30: 64}
@@ -37,61 +40,68 @@ def _shingles(ws: str, lengths: list[int]) -> Column:
     return F.array_distinct(F.concat(*[windows(ws, k) for k in lengths]))
 
 
+def _key(text: Column) -> Column:
+    """A 128-bit digest of the text, which tells rows of one id apart."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def item_shingles(items: DataFrame) -> DataFrame:
-    """(item_id, shingle, in_sketch, n_sketch, n_shingles): every distinct shingle of every item, marked where the sketch has it."""
-    rows = items.select("item_id", once(words(F.col("text"))).alias("ws"))
+    """(item_id, item_key, shingle, in_sketch, n_sketch, n_shingles): every distinct shingle of every item, marked where the sketch has it."""
+    rows = items.select("item_id", _key(F.col("text")).alias("item_key"), once(words(F.col("text"))).alias("ws"))
     # an item of fewer words than a shingle is one shingle of all its words
     own = F.when(F.size("ws") >= SHINGLE, _shingles("ws", [SHINGLE]))
     for k in range(1, SHINGLE):
         own = own.when(F.size("ws") == k, windows("ws", k))
-    rows = rows.select("item_id", once(own).alias("shingles")).filter(F.size("shingles") > 0)
-    rows = rows.groupBy("item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shingles")))).alias("shingles"))
+    rows = rows.select("item_id", "item_key", once(F.array_sort(own)).alias("shingles")).filter(F.size("shingles") > 0)
+    rows = rows.groupBy("item_id", "item_key").agg(F.first("shingles").alias("shingles"))
     size = F.size("shingles")
     k = F.lit(None)
     for bound, sketch in reversed(SKETCH.items()):
         k = F.when(size <= bound, F.lit(sketch)).otherwise(k)
-    rows = rows.select("item_id", "shingles", size.cast("long").alias("n_shingles"), F.least(k, size).cast("long").alias("n_sketch"))
-    exploded = rows.select("item_id", "n_shingles", "n_sketch", F.posexplode("shingles").alias("at", "shingle"))
-    return exploded.select("item_id", "shingle", (F.col("at") < F.col("n_sketch")).alias("in_sketch"), "n_sketch", "n_shingles")
+    rows = rows.select("item_id", "item_key", "shingles", size.cast("long").alias("n_shingles"), F.least(k, size).cast("long").alias("n_sketch"))
+    exploded = rows.select("item_id", "item_key", "n_shingles", "n_sketch", F.posexplode("shingles").alias("at", "shingle"))
+    return exploded.select("item_id", "item_key", "shingle", (F.col("at") < F.col("n_sketch")).alias("in_sketch"), "n_sketch", "n_shingles")
 
 
 def document_shingles(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, shingle) for every distinct shingle of every row."""
-    rows = docs.select("doc_id", once(words(F.col("text"))).alias("ws"))
-    return rows.select("doc_id", F.explode_outer(once(_shingles("ws", lengths))).alias("shingle")).filter("shingle IS NOT NULL")
+    """(doc_id, doc_key, shingle) for every distinct shingle of every row of `docs` (doc_id, doc_key, text)."""
+    rows = docs.select("doc_id", "doc_key", once(words(F.col("text"))).alias("ws"))
+    found = rows.select("doc_id", "doc_key", F.explode_outer(once(_shingles("ws", lengths))).alias("shingle"))
+    return found.filter("shingle IS NOT NULL")
 
 
-def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """(doc_id, item_id, n_found, n_shingles, containment) for every item contained in a document to `threshold` or more."""
+def _contained(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, doc_key, item_id, item_key, n_found, n_shingles) for every item contained in a document to `threshold` or more."""
     wanted = settle(item_shingles(items.select("item_id", "text")))
     lengths = _lengths(items) or [SHINGLE]
     sized = F.broadcast if wanted.count() <= BROADCAST_ROWS else lambda df: df
-    found = document_shingles(docs.select("doc_id", "text"), lengths)
-
-    sketch = wanted.filter("in_sketch").select("item_id", "shingle", "n_sketch")
-    candidates = settle(
-        found.join(sized(sketch), "shingle")
-        .groupBy("doc_id", "item_id", "n_sketch")
-        .agg(F.count_distinct("shingle").alias("n"))
-        .filter(F.col("n") >= threshold * SLACK * F.col("n_sketch"))
-        .select(F.col("doc_id").alias("cand_id"), "item_id")
-    )
+    docs = docs.select("doc_id", _key(F.col("text")).alias("doc_key"), "text")
+    names = ["doc_id", "doc_key", "item_id", "item_key"]
+
+    sketch = wanted.filter("in_sketch").select("item_id", "item_key", "shingle", "n_sketch")
+    candidates = document_shingles(docs, lengths).join(sized(sketch), "shingle").groupBy(*names, "n_sketch")
+    candidates = candidates.agg(F.count_distinct("shingle").alias("n")).filter(F.col("n") >= threshold * SLACK * F.col("n_sketch"))
+    candidates = settle(candidates.select(*[F.col(c).alias(f"cand_{c}") for c in names]))
     picked = F.broadcast if candidates.count() <= BROADCAST_ROWS else lambda df: df
-    ids = candidates.select("cand_id").distinct()
-    texts = docs.select("doc_id", "text").join(picked(ids), F.col("doc_id").eqNullSafe(F.col("cand_id")), "left_semi")
-    whole = wanted.select("item_id", "shingle", "n_shingles")
-    counted = (
-        document_shingles(texts, lengths)
-        .join(sized(whole), "shingle")
-        .groupBy("doc_id", "item_id", "n_shingles")
-        .agg(F.count_distinct("shingle").alias("n_found"))
-    )
-    same = counted["doc_id"].eqNullSafe(candidates["cand_id"]) & counted["item_id"].eqNullSafe(candidates["item_id"])
-    exact = counted.join(picked(candidates), same, "left_semi").filter(F.col("n_found") >= threshold * F.col("n_shingles"))
-    return exact.select("doc_id", "item_id", "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
+    same = lambda df, columns: [df[c].eqNullSafe(F.col(f"cand_{c}")) for c in columns]
+    ids = candidates.select("cand_doc_id", "cand_doc_key").distinct()
+    texts = docs.join(picked(ids), same(docs, names[:2]), "left_semi")
+    whole = wanted.select("item_id", "item_key", "shingle", "n_shingles")
+    counted = document_shingles(texts, lengths).join(sized(whole), "shingle").groupBy(*names, "n_shingles")
+    counted = counted.agg(F.count_distinct("shingle").alias("n_found"))
+    exact = counted.join(picked(candidates), same(counted, names), "left_semi").filter(F.col("n_found") >= threshold * F.col("n_shingles"))
+    return exact.select(*names, "n_found", "n_shingles")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(doc_id, item_id, n_found, n_shingles, containment) for every item contained in a document to `threshold` or more."""
+    found = _contained(docs, items, threshold)
+    return found.select("doc_id", "item_id", "n_found", "n_shingles", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """The documents that contain no test item, with all their columns. Rows with a null id stay only if no such row leaks."""
-    leaks = contained_items(docs, items, threshold).select(F.col("doc_id").alias("leak_id")).distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["leak_id"]), "left_anti")
+    """The documents that contain no test item, with all their columns."""
+    own, leak_id, leak_key = (fresh(c, docs.columns) for c in ("own_key", "leak_id", "leak_key"))
+    leaks = _contained(docs, items, threshold).select(F.col("doc_id").alias(leak_id), F.col("doc_key").alias(leak_key)).distinct()
+    docs = docs.withColumn(own, _key(F.col("text")))
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks[leak_id]) & (docs[own] == leaks[leak_key]), "left_anti").drop(own)
