@@ -1,8 +1,8 @@
 """Finds license texts and notices in documents by patience alignment with templates.
 
 Words are compared without case and punctuation. A document is aligned with a template only where a stretch of at most
-`WIDTH` times the template's length has enough of its words; most documents have no such stretch and are passed over by one
-matrix product for a batch. In the stretch, words that are unique to both sides are anchors, the longest increasing
+`WIDTH` times the template's length has enough of its words, repeats counted, to be a match at all; most documents have no such
+stretch and are passed over by one matrix product for a batch. In the stretch, words that are unique to both sides are anchors, the longest increasing
 subsequence of anchors stands, and the gaps between are aligned in the same way, after equal words at their ends. Coverage is
 the share of the template's words that are aligned; a match covers `COVERED` of them or more, has all the words that tell the
 template's license from others, and none of those that make another license of it.
@@ -175,25 +175,28 @@ class Templates:
         self.musts = [{j for j, (_, must) in enumerate(ws) if must} for ws in split]
         self.contrary = [np.array([self.vocabulary[w] for w in ws if w not in own], dtype=np.int64) for ws, own in zip(contrary, self.words)]
         self.coded = [[self.vocabulary[w] for w in ws] for ws in self.words]
+        #: How often each template has each word. What a text lacks of them cannot be aligned.
         self.has = np.zeros((len(self.vocabulary), len(templates)), dtype=np.float32)
         for t, codes in enumerate(self.coded):
-            self.has[codes, t] = 1
-        self.distinct = self.has.sum(axis=0)
+            np.add.at(self.has[:, t], codes, 1)
+        self.sizes = self.has.sum(axis=0)
 
     def matches(self, words: np.ndarray, t: int) -> list[tuple[int, int, float]]:
         """(first word, word after the last, coverage) of the matches of template t; `words`: vocabulary codes, -1 for others."""
         wanted = self.coded[t]
-        width, need = max(int(WIDTH * len(wanted)), len(wanted) + 2), COVERED * self.distinct[t] - 1e-6
+        width, need = max(int(WIDTH * len(wanted)), len(wanted) + 2), COVERED * len(wanted) - 1e-6
         ours = np.nonzero((words >= 0) & (self.has[np.maximum(words, 0), t] > 0))[0].tolist()
-        codes = words[ours].tolist()
-        out, n, count = [], 0, Counter()
+        codes, most = words[ours].tolist(), Counter(wanted)
+        # `common`: words that the stretch and the template share, repeats counted
+        out, n, count, common = [], 0, Counter(), 0
         start = 0
         while start < len(ours):
             while n < len(ours) and ours[n] < ours[start] + width:
+                common += count[codes[n]] < most[codes[n]]
                 count[codes[n]] += 1
                 n += 1
             skip = start + 1
-            if sum(1 for v in count.values() if v > 0) >= need:
+            if common >= need:
                 first = ours[start]
                 pairs = patience(words[first : first + width].tolist(), wanted)
                 coverage = len(pairs) / len(wanted)
@@ -204,6 +207,7 @@ class Templates:
                     skip = bisect_left(ours, end)
             for k in range(start, skip):
                 count[codes[k]] -= 1
+                common -= count[codes[k]] < most[codes[k]]
             start = skip
         return out
 
@@ -221,7 +225,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                 owner = np.repeat(np.arange(piece.num_rows), np.diff(offsets))
                 seen = np.zeros((piece.num_rows, len(known.vocabulary)), dtype=np.float32)
                 seen[owner[words >= 0], words[words >= 0]] = 1
-                likely = seen @ known.has >= COVERED * known.distinct - 1e-6
+                likely = seen @ known.has >= COVERED * known.sizes - 1e-3
                 rows = []
                 for i in range(piece.num_rows):
                     found = []
