@@ -99,24 +99,27 @@ b AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
-#: Exact containment of every item in every document, by shingle text (no item has fewer than five words here).
+#: Exact containment of every item in every document, by shingle text (no item has fewer than five words here). Rows equal in id
+#: and text are one document.
 _OP1 = rf"""
-WITH g AS (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS w
-  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM (SELECT doc_id, {_WORDS} AS ws FROM documents))),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM (SELECT DISTINCT doc_id, text FROM documents)),
+i AS (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS ws FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+g AS (
+  SELECT DISTINCT r, doc_id, array_to_string(ws[i:i + 4], ' ') AS w
+  FROM (SELECT r, doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM d)),
 q AS (
-  SELECT DISTINCT item_id, array_to_string(ws[i:i + 4], ' ') AS w
-  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark))),
-n AS (SELECT item_id, count(*) AS n_shingles FROM q GROUP BY item_id)
+  SELECT DISTINCT q, item_id, array_to_string(ws[i:i + 4], ' ') AS w
+  FROM (SELECT q, item_id, ws, unnest(range(1, greatest(len(ws) - 3, 1))) AS i FROM i)),
+n AS (SELECT q, count(*) AS n_shingles FROM q GROUP BY q)
 SELECT doc_id, item_id, count(*) AS n_found, n_shingles, count(*) / n_shingles AS containment
-FROM g JOIN q USING (w) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
+FROM g JOIN q USING (w) JOIN n USING (q) GROUP BY r, doc_id, q, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles
 """
 
-#: Exact distinct sites of every line.
+#: Exact distinct sites of every line that has a word; no site is a site of its own.
 _OP5 = r"""
 WITH l AS (
-  SELECT r, doc_id, coalesce(source, '') AS site, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 3 AS long
+  SELECT r, doc_id, coalesce('=' || source, '') AS site, i, line, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare,
+         regexp_matches(line, '[^\x20\x09-\x0D]') AS long
   FROM (SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
         FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
 b AS (SELECT bare, min(doc_id) AS keeper FROM l WHERE long GROUP BY bare HAVING count(DISTINCT site) >= 5),
@@ -128,7 +131,7 @@ FROM m GROUP BY r, doc_id
 
 _OP9 = rf"""
 WITH d AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS k, md5(coalesce(text, '')) AS t FROM documents),
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS k, md5(coalesce(text, '')) AS t FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS w
   FROM d GROUP BY source),

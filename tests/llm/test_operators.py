@@ -89,16 +89,56 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contained_items(empty, items).count() == 0 and decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(TEXTS)
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    leak = prose(30, 50)
+    docs = spark.createDataFrame(
+        [(None, f"{prose(60, 51)} {leak} {prose(60, 52)}"), (None, prose(90, 53)), (7, f"{leak} more"), (7, prose(40, 54)), (7, f"{leak} more"), (8, None), (9, prose(40, 55))],
+        "doc_id long, text string",
+    )
+    items = spark.createDataFrame([(None, leak), (None, prose(400, 56)), (1, prose(40, 54)), (1, prose(300, 57)), (1, prose(40, 54))], "item_id long, text string")
+    found = rows(decontaminate.contained_items(docs, items), "doc_id", "item_id", "containment")
+    assert found == sorted([(None, None, 1.0), (7, None, 1.0), (7, 1, 1.0)], key=repr)
+    assert rows(decontaminate.drop_contaminated(docs, items), "doc_id") == sorted([(None,), (8,), (9,)], key=repr)
+
+
 def test_line_dedup(spark, docs, empty):
     made = spark.createDataFrame([(i, f"Shared footer line here \nbody {i} has words\nok", f"s{i % 7}") for i in range(20)] + [(None, "Shared footer line here", "s1"), (99, None, "s2")], "doc_id long, text string, source string")
     out = {r["doc_id"]: r for r in line_dedup.remove_boilerplate(made, counts=True).collect()}
-    assert out[0]["text"].startswith("Shared footer") and out[5]["text"] == "body 5 has words\nok" and out[5]["n_removed"] == 1
+    assert out[0]["text"].startswith("Shared footer") and out[5]["text"] == "body 5 has words" and out[5]["n_removed"] == 2
     assert out[None]["text"] == "Shared footer line here" and out[99]["text"] is None and len(out) == 22
+    longer = {r["doc_id"]: r["text"] for r in line_dedup.remove_boilerplate(made, min_words=3).collect()}
+    assert longer[5] == "body 5 has words\nok"
     same = line_dedup.remove_boilerplate(docs)
     assert same.columns == docs.columns and rows(same, "doc_id", "text") == sorted(((i, t) for i, t, _ in TEXTS), key=repr)
     assert line_dedup.remove_boilerplate(empty).count() == 0
 
 
+@pytest.mark.parametrize("bound", [line_dedup.BROADCAST_ROWS, 0])
+def test_line_dedup_against_a_plain_version(spark, monkeypatch, bound):
+    """Null and empty sites, null and repeated ids, repeated rows, lines around the threshold, a line everywhere, a dotted column."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", bound)
+    rng = np.random.default_rng(11)
+    sites = [None, "", "=", *(f"s{i}" for i in range(6))]
+    made = []
+    for i in range(300):
+        lines = [f"line {rng.zipf(1.4) % 60}" for _ in range(rng.integers(0, 9))] + ["everywhere"]
+        made.append((None if i % 41 == 0 else int(i // 1.1), "\n".join(lines) if i % 50 else None, sites[rng.integers(len(sites))]))
+    made += made[5:9]
+    on, keeper = {}, {}
+    for i, t, s in made:
+        for x in {y.strip() for y in (t or "").split("\n") if y.strip()}:
+            on.setdefault(x, set()).add((s is None, s))
+            if i is not None:
+                keeper[x] = min(keeper.get(x, i), i)
+    gone = lambda i, x: i is not None and len(on.get(x.strip(), ())) >= 5 and keeper[x.strip()] != i
+    want = [(i, t and "\n".join(x for x in t.split("\n") if not gone(i, x)), s) for i, t, s in made]
+    df = spark.createDataFrame([(i, t, s, "x") for i, t, s in made], "doc_id long, text string, source string, `a.b` string").repartition(4)
+    got = line_dedup.remove_boilerplate(df, counts=True)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted(((r["doc_id"], r["text"], r["source"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert sum(r["n_removed"] for r in got.collect()) == sum(gone(i, x) for i, t, _ in made for x in (t or "").split("\n"))
+
+
 def test_near_dedup(spark, docs, empty):
     got = near_dedup.with_classes(docs)
     names = got.columns[len(docs.columns) :]
@@ -110,6 +150,21 @@ def test_near_dedup(spark, docs, empty):
     assert near_dedup.with_classes(empty).count() == 0
 
 
+def test_near_dedup_of_rows_that_share_an_id(spark):
+    """An id with several texts, null ids, ids that are strings, equal rows, and a column with a dot."""
+    a, b, c = prose(80, 60), prose(80, 61), prose(80, 62)
+    near = b + " more"
+    made = [("5", a, 0), ("5", b, 1), ("9", near, 2), (None, c, 3), (None, c + " more", 4), (None, a, 5), ("7", c, 6), ("7", c, 7), ("8", None, 8), (None, "", 9), ("8", None, 10)]
+    df = spark.createDataFrame(made, "doc_id string, text string, `n.x` int")
+    got = {r["n.x"]: (r["class_id"], r["kept"]) for r in near_dedup.with_classes(df).collect()}
+    assert got[0] == ("5", True) and got[5] == ("5", False)
+    assert got[1] == ("5", True) and got[2] == ("5", False)
+    assert got[3] == ("7", False) and got[4] == ("7", False) and got[6] == got[7] == ("7", True)
+    assert got[8] == got[10] == ("8", True) and got[9] == (None, True)
+    kept = sorted(r["n.x"] for r in near_dedup.keep_one(df).collect())
+    assert kept in ([0, 1, 6, 8, 9, 10], [0, 1, 7, 8, 9, 10])
+
+
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 3])
 def test_near_dedup_finds_what_brute_force_finds(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
@@ -320,6 +375,29 @@ def test_licenses_are_told_apart(spark):
     assert [(t, got[i]) for i, (t, _) in enumerate(near)] == near
 
 
+def test_licenses_against_every_stretch(spark):
+    """Wordings with words left out, down to just above and below the least coverage, among all stretches of a text."""
+    known, rng = license_scan.Templates(), np.random.default_rng(8)
+    made, want = [], {}
+    for t in [i for i, ws in enumerate(known.words) if 20 < len(ws) < 400][:14]:
+        for share in (0.17, 0.19, 0.21, 0.23):
+            ws = list(known.words[t])
+            once = [j for j, w in enumerate(ws) if j not in known.musts[t] and ws.count(w) == 1]  # words that the template has once
+            rest = [j for j in range(len(ws)) if j not in known.musts[t] and j not in once]
+            out = set([*rng.permutation(once), *rng.permutation(rest)][: int(share * len(ws))])
+            text = f"{prose(9, t)} {' '.join(w for j, w in enumerate(ws) if j not in out)} {prose(9, t + 1)}"
+            words = np.array([known.vocabulary.get(license_scan.plain(w), -1) for w in text.split()])
+            width = max(int(license_scan.WIDTH * len(ws)), len(ws) + 2)
+            best = max(len(license_scan.patience(words[i : i + width].tolist(), known.coded[t])) for i in range(len(words))) / len(ws)
+            want[len(made)] = (t, best)
+            made.append((len(made), text))
+    assert sum(c >= 0.8 for _, c in want.values()) > 10 and sum(c < 0.8 for _, c in want.values()) > 10
+    got = {r["doc_id"]: r["matches"] for r in license_scan.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    for i, (t, best) in want.items():
+        found = [m["coverage"] for m in got[i] if m["license"] == known.names[t]]
+        assert max(found, default=0) >= best if best >= 0.8 else all(c >= 0.8 for c in found), (known.names[t], best)
+
+
 def test_wildcard_automaton():
     patterns = ["a*b", "*ab*", "a?c", "*", "abc", "*a*b*c", "", "?*", "x" * 70 + "*", "*.com#/*.exe"]
     letters = np.array(list("abcx.#/"))
@@ -355,6 +433,40 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(docs).count() == len(TEXTS) and mixing.mix(empty).count() == 0 and mixing.mixture(docs).count() > 0
 
 
+def test_mixture_takes_exact_budgets(spark, monkeypatch):
+    """Equal rows share what is left of the budget; the rows of mixture() are those of mix()."""
+    monkeypatch.setattr(mixing, "COPIES", 3)
+    text = prose(100, 1)
+    made = [(1, text, "a", "x")] * 8 + [(2, prose(50, 2), "a", "y"), (None, text, "b", "z"), (None, text, "b", "z"), (3, None, None, ""), (4, prose(700, 3), None, ""), (5, prose(30, 4), "b", "")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, copy string").repartition(3)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(made) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    budget = {}
+    for r in got:
+        budget[r["source"]] = budget.get(r["source"], 0) + r["taken"]
+        assert r["source_size"] == sum(len((t or "").split()) for _, t, s, _ in made if s == r["source"])
+    assert all(budget[r["source"]] == int(r["target"]) for r in got)
+    out = mixing.mixture(df)
+    assert out.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    assert rows(out, "doc_id", "source", "taken") == sorted(((r["doc_id"], r["source"], r["taken"]) for r in got if r["taken"]), key=repr)
+    # targets by hand: weights a 5, b 2, none 1; what sources cannot take thrice is shared anew
+    sizes, weight, left = {"a": 850, "b": 230, None: 700}, {"a": 5, "b": 2, None: 1}, 1780.0
+    target, open_ = {}, set(sizes)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if unit * weight[s] >= 3 * sizes[s]}
+        for s in full or open_:
+            target[s] = min(unit * weight[s], 3.0 * sizes[s])
+        if not full:
+            break
+        left -= sum(target[s] for s in full)
+        open_ -= full
+    assert all(r["target"] == pytest.approx(target[r["source"]]) for r in got)
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1)
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+
+
 def test_html_extraction(spark):
     long = "The cat is on the mat and it was there for a long time with all of the others. " * 4
     page = f"""<html><head><title>t</title><script>var x = "<p>no</p>";</script></head><body><nav><a href=x>Home</a></nav>
