@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
 from tessella.sources.io import settle
 
+#: Rare categories that are broadcast.
+FEW_CATEGORIES = 100_000
+
 
 def drop_missing(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
@@ -63,11 +64,20 @@ def ordinal(c: str, order: list[str]) -> Column:
     return (F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(c)), F.lit(0)) - 1).cast("int")
 
 
+def rare_levels(df: DataFrame, c: str, threshold: float = roles.RARE) -> DataFrame:
+    """(category): the categories of a smaller share of all rows than `threshold`."""
+    counts = df.groupBy(F.col(c).alias("category")).agg(F.count("*").alias("_n"))
+    all_ = counts.agg(F.sum("_n").alias("_all"))
+    return counts.crossJoin(F.broadcast(all_)).filter((F.col("_n") / F.col("_all") < threshold) & F.col("category").isNotNull()).select("category")
+
+
 def group_rare(df: DataFrame, c: str, threshold: float = roles.RARE, other: str = "Other") -> DataFrame:
-    """Categories of a smaller share of all rows than `threshold` become `other`. One count for each category is joined."""
-    counts = df.groupBy(F.col(c).alias("_category")).agg(F.count("*").alias("_n"))
-    share = F.col("_n") / F.sum("_n").over(Window.partitionBy(F.lit(0)))
-    rare = counts.withColumn("_rare", share < threshold).filter(F.col("_rare") & F.col("_category").isNotNull()).select("_category")
+    """Categories of a smaller share of all rows than `threshold` become `other`.
+
+    The rare ones are counted first and broadcast if they are few, so that the rows need no exchange.
+    """
+    rare = settle(rare_levels(df, c, threshold).withColumnRenamed("category", "_category"))
+    rare = F.broadcast(rare) if rare.count() <= FEW_CATEGORIES else rare
     joined = df.join(rare, F.col(c) == F.col("_category"), "left")
     return joined.withColumn(c, F.when(F.col("_category").isNotNull(), F.lit(other)).otherwise(F.col(c))).drop("_category")
 
@@ -133,7 +143,3 @@ def category_sets(before: DataFrame, after: DataFrame, c: str) -> DataFrame:
     """Each category with the side it is on: before, after or both."""
     side = F.when(F.col("n_after") == 0, "before").when(F.col("n_before") == 0, "after").otherwise("both")
     return category_changes(before, after, c).select("category", side.alias("side"))
-
-
-def add(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, map(F.col, columns))

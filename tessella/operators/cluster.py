@@ -1,7 +1,13 @@
-"""K-Means on column expressions, choice of K, and measures of a clustering. Centres are a few rows on the driver; points never are."""
+"""K-Means on column expressions, choice of K, and measures of a clustering. Centres are a few rows on the driver; points never are.
+
+Edges: an empty table, or fewer rows than centres, raises ValueError where centres are to be found; measures of an empty
+clustering are null.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -49,7 +55,10 @@ def lloyd(df: DataFrame, features: list[str], centers: list[list[float]], rounds
 
 def random_centers(df: DataFrame, features: list[str], k: int, seed: int, key: str = "ID") -> list[list[float]]:
     """k distinct rows in the order of a keyed hash."""
-    return [list(r) for r in df.orderBy(F.xxhash64(F.lit(seed), key), key).select(*features).limit(k).collect()]
+    rows = [list(r) for r in df.orderBy(F.xxhash64(F.lit(seed), key), key).select(*features).limit(k).collect()]
+    if len(rows) < k:
+        raise ValueError(f"{len(rows)} rows are too few for {k} centres")
+    return rows
 
 
 def seeding_weights(df: DataFrame, features: list[str], centers: list[list[float]], key: str = "ID") -> DataFrame:
@@ -67,25 +76,114 @@ def seeding_weights(df: DataFrame, features: list[str], centers: list[list[float
     return joined.select(key, "d2", (F.col("d2") / F.col("_all")).alias("p"), ((F.col("_before") + F.sum("d2").over(within)) / F.col("_all")).alias("cum"))
 
 
-def seeded_centers(df: DataFrame, features: list[str], k: int, seed: int, key: str = "ID") -> list[list[float]]:
-    """k-means++: each next centre is drawn by its squared distance to those chosen."""
-    rng = np.random.default_rng(seed)
-    centers = random_centers(df, features, 1, seed, key)
-    while len(centers) < k:
-        weights = seeding_weights(df, features, centers, key)
-        draw = float(rng.random())
-        picked = weights.orderBy(F.col("cum") < draw, F.when(F.col("cum") >= draw, F.col("cum")), F.desc("cum")).limit(1)
-        centers.append(list(df.join(picked.select(key), key, "left_semi").select(*features).first()))
+def _scramble(x: np.ndarray) -> np.ndarray:
+    """A hash of 64-bit numbers (the finalizer of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _square(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances (row, centre)."""
+    return ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
+
+
+def seed_many(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
+    """k-means++ centres for each of `models` (k, seed), one pass over the rows for each place among the centres.
+
+    A draw by squared distance takes the row of the greatest d2 / -log(u), where u is a hash of the key, seed and place: each
+    task sends its best row of each model.
+    """
+    centers = [np.empty((0, len(features))) for _ in models]
+    schema = "model int, score double, " + ", ".join(f"f{i} double" for i in range(len(features)))
+    for place in range(max(k for k, _ in models)):
+        todo = [(m, seed, centers[m]) for m, (k, seed) in enumerate(models) if place < k]
+
+        def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                x, keys = rows[features].to_numpy(dtype=float), rows[key].to_numpy(dtype=np.int64).view(np.uint64)
+                best = []
+                for m, seed, have in todo:  # noqa: B023
+                    salt = _scramble(np.array([seed * 1000 + place], dtype=np.uint64))  # noqa: B023
+                    u = ((_scramble(keys ^ salt) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                    score = (_square(x, have).min(axis=1) if len(have) else np.ones(len(x))) / -np.log(u)
+                    i = int(score.argmax())
+                    best.append((m, score[i], *x[i]))
+                yield pd.DataFrame(best, columns=["model", "score", *[f"f{i}" for i in range(len(features))]])
+
+        names = [f"f{i}" for i in range(len(features))]
+        found = df.select(key, *features).mapInPandas(draw, schema).groupBy("model").agg(F.max(F.struct("score", *names)).alias("x"))
+        got = {r["model"]: r["x"] for r in found.collect()}  # one row for each model
+        if len(got) < len(todo) or any(r["score"] <= 0 for r in got.values()):
+            raise ValueError("the rows are too few, or too alike, for so many centres")
+        for m, _, have in todo:
+            centers[m] = np.vstack([have, [got[m][n] for n in names]])
     return centers
 
 
+def lloyd_many(df: DataFrame, features: list[str], centers: list[np.ndarray], rounds: int = 300, tolerance: float = 1e-4) -> list[tuple[np.ndarray, float, int]]:
+    """(centres, inertia, rounds) of Lloyd's iteration from each of several starts, all of them in one pass over the rows a round.
+
+    A task sends sizes, sums and the farthest row of each cluster. A centre that loses all its points takes the row that is
+    farthest from its own.
+    """
+    names, far = [f"s{i}" for i in range(len(features))], [f"f{i}" for i in range(len(features))]
+    schema = "model int, cluster int, n double, cost double, away double, " + ", ".join(f"{x} double" for x in names + far)
+    out: list[tuple[np.ndarray, float, int]] = [(c, float("nan"), 0) for c in centers]
+    moving, final = set(range(len(centers))), set()
+    for n_round in range(rounds + 1):
+        if not moving | final:
+            break
+        now = {m: out[m][0] for m in moving | final}
+
+        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x, found = batch[features].to_numpy(dtype=float), []
+                for m, c in now.items():  # noqa: B023
+                    d = _square(x, c)
+                    own = d.argmin(axis=1)
+                    d2 = d[np.arange(len(x)), own]
+                    for k in np.unique(own):
+                        at = np.nonzero(own == k)[0]
+                        i = at[d2[at].argmax()]
+                        found.append((m, k, len(at), d2[at].sum(), d2[i], *x[at].sum(axis=0), *x[i]))
+                yield pd.DataFrame(found, columns=["model", "cluster", "n", "cost", "away", *names, *far])
+
+        all_ = df.select(*features).mapInPandas(sums, schema).groupBy("model", "cluster")
+        all_ = all_.agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), F.max(F.struct("away", *far)).alias("far"), *[F.sum(x).alias(x) for x in names])
+        got: dict[int, dict] = {}
+        for r in all_.collect():  # one row for each centre
+            got.setdefault(r["model"], {})[r["cluster"]] = r
+        if not got:
+            raise ValueError("no rows to cluster")
+        settled = set()
+        for m, rows in got.items():
+            cost = sum(r["cost"] for r in rows.values())
+            if m in final or n_round == rounds:
+                out[m] = (out[m][0], cost, out[m][2])
+                final.discard(m)
+                moving.discard(m)
+                continue
+            spare = sorted((r["far"] for r in rows.values()), reverse=True)
+            new = np.array([[rows[k][x] / rows[k]["n"] for x in names] if k in rows else list(spare.pop(0))[1:] for k in range(len(out[m][0]))])
+            if float(np.linalg.norm(new - out[m][0])) < tolerance:
+                settled.add(m)
+            out[m] = (new, cost, n_round + 1)
+        moving -= settled
+        final |= settled  # one more pass for the inertia of the last centres
+    return out
+
+
+def best_starts(df: DataFrame, features: list[str], ks: list[int], starts: int = 10, seed: int = 42, key: str = "ID") -> dict[int, tuple[np.ndarray, float, int]]:
+    """k -> (centres, inertia, rounds) of the best of several k-means++ starts by inertia."""
+    models = [(k, seed + i) for k in ks for i in range(starts)]
+    found = lloyd_many(df, features, seed_many(df, features, models, key))
+    return {k: min((r for (own, _), r in zip(models, found) if own == k), key=lambda r: r[1]) for k in ks}
+
+
 def kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42, key: str = "ID") -> list[list[float]]:
-    """The best of several starts by inertia, each with a seed of its own."""
-    tried = []
-    for i in range(starts):
-        centers = lloyd(df, features, seeded_centers(df, features, k, seed + i, key), key=key)
-        tried.append((inertia(assign(df, features, centers)).first()[0], centers))
-    return min(tried)[1]
+    """The centres of the best of several starts by inertia."""
+    return best_starts(df, features, [k], starts, seed, key)[k][0].tolist()
 
 
 def ml_kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed: int = 42) -> tuple[DataFrame, float]:
@@ -99,13 +197,22 @@ def ml_kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed
     return best.transform(vectors).drop("_v"), best.summary.trainingCost
 
 
-def sweep(df: DataFrame, features: list[str], ks: range = range(2, 11), seed: int = 42) -> DataFrame:
-    """(k, wcss, silhouette) for each k; the silhouette here is the squared-distance one, which is linear in the rows."""
+def measured(df: DataFrame, features: list[str], centers: dict[int, list[list[float]]], exact: bool = True, key: str = "ID") -> DataFrame:
+    """(k, wcss, silhouette, davies_bouldin) of given centres for each k. With `exact` the silhouette is the Euclidean one, which
+    is quadratic in the rows; else the one under squared distance, which is linear."""
     rows = []
-    for k in ks:
-        labelled, cost = ml_kmeans(df, features, k, 1, seed)
-        rows.append((k, float(cost), squared_silhouette(labelled, features).first()[0]))
-    return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double")
+    for k, c in centers.items():
+        labelled = assign(df, features, c)
+        mean = silhouettes(labelled, features, key).agg(F.avg("s")) if exact else squared_silhouette(labelled, features)
+        row = inertia(labelled).crossJoin(F.broadcast(mean.toDF("silhouette"))).crossJoin(F.broadcast(davies_bouldin(labelled, features)))
+        rows.append((k, *map(float, row.first())))
+    return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double, davies_bouldin double")
+
+
+def sweep(df: DataFrame, features: list[str], ks: range = range(2, 11), seed: int = 42, starts: int = 10, exact: bool = True, key: str = "ID") -> DataFrame:
+    """(k, wcss, silhouette, davies_bouldin) of the best of several starts for each k; all starts of all k share their passes."""
+    found = best_starts(df, features, list(ks), starts, seed, key)
+    return measured(df, features, {k: c.tolist() for k, (c, _, _) in found.items()}, exact, key)
 
 
 def elbow(curve: DataFrame) -> DataFrame:

@@ -7,13 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import quantile, tall
+from tessella.functions.stats import quantiles, tall
 from tessella.operators.profile import duplicate_counts
 
-STATISTICS = {
-    "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "p25": lambda c: quantile(c, 0.25),
-    "p50": lambda c: quantile(c, 0.5), "p75": lambda c: quantile(c, 0.75), "max": lambda c: F.max(c).cast("double"),
-}
+STATISTICS = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
 
 def _cells(df: DataFrame):
@@ -32,8 +29,12 @@ def summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """(column, statistic, value) in long form, from one pass."""
-    wide = tall(df, columns, STATISTICS, "column")
+    """(column, statistic, value) in long form."""
+    at = quantiles(df, columns, [0.25, 0.5, 0.75])
+    wide = tall(df, columns, {
+        "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "p25": lambda c: at(c, 0.25),
+        "p50": lambda c: at(c, 0.5), "p75": lambda c: at(c, 0.75), "max": lambda c: F.max(c).cast("double"),
+    }, "column")
     pairs = ", ".join(f"'{s}', {s}" for s in STATISTICS)
     return wide.selectExpr("column", f"stack({len(STATISTICS)}, {pairs}) AS (statistic, {name})")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
-from tessella.functions.stats import quantile, row_sum
+from tessella.functions.stats import quantiles, row_sum
 
 PREFERENCES = [f"{c}_Preference" for c in ("Wine", "Fruit", "Meat", "Fish", "Sweet", "Gold")]
 #: Ties of the dominant product go to the first of these.
@@ -31,13 +31,8 @@ def income_per_member() -> Column:
     return F.col("Income") / (2 + F.col("TotalChildren"))
 
 
-def marital_score(weights: dict[str, int], prefix: str = "Marital_") -> Column:
-    """Sum of dummy columns by weight; categories without a weight count 0."""
-    return sum((F.col(f"{prefix}{v}") * w for v, w in weights.items() if w), F.lit(0))
-
-
 def marital_score_of(c: str, weights: dict[str, int]) -> Column:
-    """The same score from the category itself."""
+    """The weight of a category; without one it counts 0."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col(c)], F.lit(0))
 
 
@@ -54,12 +49,11 @@ def life_stage() -> Column:
 
 
 def with_dependency_ratio(df: DataFrame) -> DataFrame:
-    """Children against income per member, cut at the exact 99th percentile; one row is broadcast."""
+    """Children against income per member, cut at the exact 99th percentile."""
     ratio_ = F.col("TotalChildren") * 10000.0 / (F.col("Income_per_Family_Member") + 1e-6)
     raw = df.withColumn("_ratio", ratio_)
-    cut = raw.agg(quantile("_ratio", 0.99).alias("_cut"))
-    capped = F.when(F.col("_ratio").isNotNull(), F.least("_ratio", "_cut"))
-    return raw.crossJoin(F.broadcast(cut)).withColumn("Dependency_Ratio", capped).drop("_ratio", "_cut")
+    cut = quantiles(raw, ["_ratio"], [0.99])("_ratio", 0.99)
+    return raw.withColumn("Dependency_Ratio", F.when(F.col("_ratio").isNotNull(), F.least("_ratio", cut))).drop("_ratio")
 
 
 def demographic(df: DataFrame, marital_weight: dict[str, int], order: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella import roles
-from tessella.functions.stats import quantile, tall, unpivot
+from tessella.functions.stats import quantiles, tall, unpivot
 
 
 def others(df: DataFrame, key: str = roles.ID) -> list[str]:
@@ -43,8 +43,11 @@ def duplicate_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, columns: list[str], key: str = roles.ID) -> DataFrame:
-    """Groups of rows equal in `columns`: the number of rows and the keys of the members."""
-    return df.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("first_key"), F.array_sort(F.collect_list(key)).alias("members")).filter("n > 1")
+    """The members of groups of rows equal in `columns`, one row for each: (n, first_key, member). A group of any size is never one row."""
+    found = df.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).filter("n > 1")
+    found = found.select(F.struct(*columns).alias("_alike"), "n", "first_key")
+    rows = df.select(F.struct(*columns).alias("_own"), F.col(key).alias("member"))
+    return rows.join(found, F.col("_own").eqNullSafe(F.col("_alike"))).select("n", "first_key", "member")
 
 
 def duplicate_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -73,11 +76,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def frequencies(df: DataFrame, c: str, all_up_to: int = 15, top: int = 10) -> DataFrame:
     """Counts and shares of the non-null values: all if there are few, else the most frequent. Shares are of all rows."""
     counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(F.lit(0))
-    ranked = counts.withColumns(
-        {"total": F.sum("n").over(w), "n_values": F.count("value").over(w), "rank": F.row_number().over(Window.orderBy(F.col("value").isNull(), F.desc("n"), "value"))}
-    )
-    shown = ranked.filter(F.col("value").isNotNull() & ((F.col("n_values") <= all_up_to) | (F.col("rank") <= top)))
+    facts = counts.agg(F.sum("n").alias("total"), F.count("value").alias("n_values"))
+    # the first all_up_to of an order are kept in each task; no task orders all values
+    first = counts.filter("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(max(all_up_to, top))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
+    shown = first.withColumn("rank", rank).crossJoin(F.broadcast(facts))
+    shown = shown.filter((F.col("n_values") <= all_up_to) | (F.col("rank") <= top))
     return shown.select("value", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
 
 
@@ -96,9 +100,17 @@ def basic_info(df: DataFrame) -> DataFrame:
     )
 
 
+def column_info(df: DataFrame) -> DataFrame:
+    """(column, type, n_missing, n_distinct) of every column."""
+    found = tall(df, df.columns, {"n_missing": lambda c: F.count_if(F.col(c).isNull()), "n_distinct": lambda c: F.count_distinct(F.col(c))}, "column")
+    kind = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])[F.col("column")]
+    return found.select("column", kind.alias("type"), "n_missing", "n_distinct")
+
+
 def outlier_bounds(df: DataFrame, columns: list[str], floor: bool = True, factor: float = roles.IQR_FACTOR) -> DataFrame:
     """q1, q3 and bounds of each column; with `floor`, the lower bound is at least 0."""
-    q = tall(df, columns, {"q1": lambda c: quantile(c, 0.25), "q3": lambda c: quantile(c, 0.75)}, "column")
+    at = quantiles(df, columns, [0.25, 0.75])
+    q = tall(df, columns, {"q1": lambda c: at(c, 0.25), "q3": lambda c: at(c, 0.75)}, "column")
     low = F.col("q1") - factor * (F.col("q3") - F.col("q1"))
     return q.withColumns({"low": F.greatest(low, F.lit(0.0)) if floor else low, "high": F.col("q3") + factor * (F.col("q3") - F.col("q1"))})
 

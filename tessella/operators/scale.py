@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import quantile, skew_adjusted, tall, with_constants
+from tessella.functions.stats import quantiles, skew_adjusted, tall, with_constants
 
 STANDARD, ROBUST = "standard", "robust"
 TIGHT = 1e-10
 
 
-def _centre_and_spread(c: str, kind: str) -> tuple[Column, Column]:
+def _centre_and_spread(df: DataFrame, columns: list[str], kind: str) -> tuple[Callable[[str], Column], Callable[[str], Column]]:
     if kind == STANDARD:
-        return F.avg(c), F.stddev_pop(c)
-    return quantile(c, 0.5), quantile(c, 0.75) - quantile(c, 0.25)
+        return F.avg, F.stddev_pop
+    at = quantiles(df, columns, [0.25, 0.5, 0.75])
+    return (lambda c: at(c, 0.5)), (lambda c: at(c, 0.75) - at(c, 0.25))
 
 
 def scaled(df: DataFrame, columns: list[str], kind: str = STANDARD) -> DataFrame:
     """(x - centre) / spread; a spread of zero counts as one. The constants are one broadcast row."""
+    centre, spread = _centre_and_spread(df, columns, kind)
     facts = {}
     for i, c in enumerate(columns):
-        facts[f"_c{i}"], facts[f"_s{i}"] = _centre_and_spread(c, kind)
+        facts[f"_c{i}"], facts[f"_s{i}"] = centre(c), spread(c)
     joined = with_constants(df, facts)
     value = lambda i, c: (F.col(c) - F.col(f"_c{i}")) / F.when(F.col(f"_s{i}") == 0, 1.0).otherwise(F.col(f"_s{i}"))
     return joined.withColumns({c: value(i, c) for i, c in enumerate(columns)}).drop(*facts)
 
 
 def stats(df: DataFrame, columns: list[str], population: bool = False) -> DataFrame:
-    """The metrics of each feature before (sample) or after (population) scaling, from one pass."""
+    """The metrics of each feature before (sample) or after (population) scaling."""
+    at = quantiles(df, columns, [0.25, 0.5, 0.75])
     return tall(df, columns, {
         "n": F.count, "mean": F.avg, "std": F.stddev_pop if population else F.stddev_samp, "least": F.min, "greatest": F.max,
-        "median": lambda c: quantile(c, 0.5), "iqr": lambda c: quantile(c, 0.75) - quantile(c, 0.25), "skew": skew_adjusted,
+        "median": lambda c: at(c, 0.5), "iqr": lambda c: at(c, 0.75) - at(c, 0.25), "skew": skew_adjusted,
         "n_missing": lambda c: F.count_if(F.col(c).isNull()),
     })
 
 
 def validated(df: DataFrame, columns: list[str], kind: str = STANDARD, tolerance: float = TIGHT) -> DataFrame:
     """(feature, centred, unit_spread, n_missing): whether the scaled features are as they should be."""
-    found = tall(df, columns, {
-        "centre": lambda c: _centre_and_spread(c, kind)[0], "spread": lambda c: _centre_and_spread(c, kind)[1], "n_missing": lambda c: F.count_if(F.col(c).isNull()),
-    })
+    centre, spread = _centre_and_spread(df, columns, kind)
+    found = tall(df, columns, {"centre": centre, "spread": spread, "n_missing": lambda c: F.count_if(F.col(c).isNull())})
     return found.select("feature", (F.abs("centre") < tolerance).alias("centred"), (F.abs(F.col("spread") - 1) < tolerance).alias("unit_spread"), "n_missing")
 
 
@@ -49,3 +53,8 @@ def preserved(before: DataFrame, after: DataFrame, columns: list[str], key: str)
     old = before.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = after.join(old, F.col(key) == F.col("_key"), "full_outer")
     return joined.agg(*[F.coalesce(F.bool_and(F.col(c).eqNullSafe(F.col(f"_{c}"))), F.lit(True)).alias(c) for c in columns])
+
+
+def split_features(columns: list[str], candidates: list[str]) -> tuple[list[str], list[str]]:
+    """(clustering features, reference columns): columns among the candidates, in their own order, and all others."""
+    return [c for c in columns if c in candidates], [c for c in columns if c not in candidates]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessella import roles
-from tessella.plans.registry import AXES, CURVE, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
+from tessella.plans.registry import AXES, CURVE_CENTERS, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
 from tessella.sources.tables import LAST_DAY, PRIORITIES, TYPES
 
 
@@ -19,8 +19,9 @@ lo AS (SELECT l_orderkey, {", ".join(f"sum(CASE WHEN p_type = '{k}' THEN {_AMOUN
 bc AS (SELECT o_custkey, strftime(min(o_orderdate::DATE), '%d-%m-%Y') AS Dt_Customer, date_diff('day', max(o_orderdate::DATE), DATE '{LAST_DAY}') AS Recency,
        {", ".join(f"{_CENTS.format(f'sum({v})')} AS {v}" for v in TYPES.values())}, {", ".join(f"count(*) FILTER (o_orderpriority = '{k}') AS {v}" for k, v in PRIORITIES.items())}
        FROM orders LEFT JOIN lo ON o_orderkey = l_orderkey GROUP BY o_custkey),
-b AS (SELECT c_custkey AS ID, CASE WHEN c_custkey % 499 = 0 THEN 1890 ELSE 1996 - c_custkey * 37 % 60 END AS Year_Birth, r_name AS Education,
-      c_mktsegment AS Marital_Status, CASE WHEN c_custkey % 93 <> 0 THEN c_acctbal END AS Income, c_custkey % 3 AS Kidhome, (c_custkey // 3) % 2 AS Teenhome,
+b AS (SELECT c_custkey AS ID, CASE WHEN c_custkey % 499 = 0 THEN 1890 WHEN c_custkey % 397 = 0 THEN 2010 ELSE 1996 - c_custkey * 37 % 60 END AS Year_Birth, r_name AS Education,
+      CASE WHEN c_custkey % 149 = 0 THEN 'ALONE' ELSE c_mktsegment END AS Marital_Status,
+      CASE WHEN c_custkey % 93 <> 0 THEN CASE WHEN c_custkey % 211 = 0 THEN 600000.0 + c_custkey ELSE c_acctbal END END AS Income, c_custkey % 3 AS Kidhome, (c_custkey // 3) % 2 AS Teenhome,
       Dt_Customer, Recency, {_each(TYPES.values(), "coalesce({0}, 0) AS {0}")}, {_each(PRIORITIES.values(), "coalesce({0}, 0) AS {0}")},
       {", ".join(f"(c_custkey % 7 = {i})::BIGINT AS AcceptedCmp{i}" for i in range(1, 6))}, (c_custkey % 50 = 0)::BIGINT AS Complain,
       (c_custkey % 6 = 0)::BIGINT AS Response, 3::BIGINT AS Z_CostContact, 11::BIGINT AS Z_Revenue
@@ -29,10 +30,12 @@ _ALL = _BEHAVIOUR + ", r AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE ID
 _NO_NULL = " AND ".join(f"{c} IS NOT NULL" for c in FEATURES)
 _MAPPED = "CASE Marital_Status WHEN 'FURNITURE' THEN 'HOUSEHOLD' ELSE Marital_Status END"
 _CODE = "CASE Education WHEN 'AFRICA' THEN 0 WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 WHEN 'MIDDLE EAST' THEN 4 END"
+#: The rare category of the stand-in table becomes Other.
+_GROUPED = f"CASE {_MAPPED} WHEN 'ALONE' THEN 'Other' ELSE {_MAPPED} END"
 _KEPT = [c for c in FEATURES if c not in roles.DROPPED and c != "Dt_Customer"]
 _ALL += f""",
 cl AS (SELECT DISTINCT {", ".join(_KEPT)}, strptime(Dt_Customer, '%d-%m-%Y') AS Dt_Customer, ({_CODE})::INT AS Education_ord,
-       {", ".join(f"({_MAPPED} = '{d[8:]}')::INT AS {d}" for d in DUMMIES)}
+       {", ".join(f"({_GROUPED} = '{d[8:]}')::INT AS {d}" for d in DUMMIES)}
        FROM r WHERE {_NO_NULL} AND NOT coalesce(Income >= 500000, false) AND NOT coalesce(Year_Birth < 1900, false))"""
 _SPENT = " + ".join(roles.SPENDING)
 _BOUGHT = " + ".join(roles.CHANNELS)
@@ -143,7 +146,24 @@ def _step(source: str, centers: str) -> str:
 
 _FIXED = "(VALUES (0, -1.0, -1.0, -1.0), (1, 0.0, 0.0, 0.0), (2, 1.0, 1.0, 1.0)) AS v(cluster, " + ", ".join(AXES) + ")"
 _LLOYD = f", c0 AS (SELECT * FROM {_FIXED}), c1 AS ({_step('z', 'c0')}), c2 AS ({_step('z', 'c1')})"
-_CURVE = f"WITH c AS (SELECT k::INT AS k, wcss::DOUBLE AS wcss, silhouette::DOUBLE AS silhouette FROM (VALUES {', '.join(map(str, CURVE))}) AS v(k, wcss, silhouette))"
+
+
+def _near(k: int) -> str:
+    """Rows with the nearest of the given centres for k, and the squared distance to it."""
+    ds = ", ".join(" + ".join(f"({a} - ({x})) * ({a} - ({x}))" for a, x in zip(AXES, c)) for c in CURVE_CENTERS[k])
+    return f"SELECT ID, {', '.join(AXES)}, list_position(ds, list_min(ds)) - 1 AS cluster, list_min(ds) AS d2 FROM (SELECT *, [{ds}] AS ds FROM z)"
+
+
+def _measures(k: int) -> str:
+    """Sub-queries: the clustering of k, and the mean Euclidean silhouette of its rows."""
+    return f"""
+n{k} AS ({_near(k)}),
+d{k} AS (SELECT x.ID, x.cluster, y.cluster AS other, sum(sqrt({_DIST})) AS total, count(*) AS n FROM n{k} x CROSS JOIN n{k} y GROUP BY ALL),
+ab{k} AS (SELECT ID, max(CASE WHEN cluster = other AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN cluster <> other THEN total / n END) AS b FROM d{k} GROUP BY ID),
+m{k} AS (SELECT {k}::INT AS k, (SELECT sum(d2) FROM n{k}) AS wcss, avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab{k})"""
+
+
+_CURVE = "," + ",".join(map(_measures, CURVE_CENTERS)) + f", c AS ({' UNION ALL '.join(f'SELECT * FROM m{k}' for k in CURVE_CENTERS)})"
 _CURVE += """, u AS (SELECT k, silhouette, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ())::DOUBLE AS x, (wcss - min(wcss) OVER ()) / (max(wcss) OVER () - min(wcss) OVER ()) AS y FROM c),
 e AS (SELECT arg_min(x, k) AS x0, arg_min(y, k) AS y0, arg_max(x, k) AS x1, arg_max(y, k) AS y1 FROM u),
 t AS (SELECT k, silhouette, abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)) / sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS distance FROM u, e)"""
@@ -194,6 +214,7 @@ SQL: dict[str, str] = {
     "scan_tsv": "SELECT * FROM nation",
     "scan_csv": "SELECT * FROM customer",
     "sink_csv_roundtrip": "SELECT * FROM region",
+    "sink_stamped": "SELECT * FROM region",
     "feature_report": q("""SELECT "column" AS section, statistic AS key, value FROM (""" + " UNION ALL ".join(_describe(c, "f", "value") for c in [*AXES, "AvgPerPurchase"]) + ")", 6, "value"),
     "archive_features": q(f"SELECT ID, {', '.join(roles.BINARY)}, Education, Marital_Status FROM b"),
     "project_features": q("SELECT ID, Product_HHI, Store_Preference, NumWebVisitsMonth AS Web_Engagement FROM f", 6, "Product_HHI Store_Preference"),
@@ -211,14 +232,18 @@ SQL: dict[str, str] = {
     "dup_size_hist": q(f"SELECT n, count(*) AS n_groups, n * count(*) AS n_rows FROM {_groups(FEATURES)} WHERE n > 1 GROUP BY n"),
     "dup_ids": q("SELECT ID, count(*) AS n FROM r GROUP BY ID HAVING count(*) > 1"),
     "dup_hidden": q(_HIDDEN),
-    "duplicate_group_members": q(f"SELECT count(*) AS n, min(ID) AS first_key, list_sort(list(ID)) AS members FROM r GROUP BY {', '.join(FEATURES)} HAVING count(*) > 1"),
+    "duplicate_group_members": q(f"SELECT * FROM (SELECT count(*) OVER w AS n, min(ID) OVER w AS first_key, ID AS member FROM r WINDOW w AS (PARTITION BY {', '.join(FEATURES)})) WHERE n > 1"),
     "dedupe_features": q(f"SELECT min(ID) AS ID, Year_Birth, Income FROM r GROUP BY {', '.join(FEATURES)}"),
     "dup_rows_sorted": q(f"SELECT ID, n, copy::INT AS copy FROM (SELECT ID, count(*) OVER w AS n, row_number() OVER w AS copy FROM r WINDOW w AS (PARTITION BY {', '.join(RAW)})) WHERE n > 1"),
     "dup_documents": _dups(["text"], "documents"),
     "categorical_freq": q(_FREQ.format("Education", "b")),
     "cardinality_class": q(_union(_CARD, ["Education", "Marital_Status", "Dt_Customer"])),
-    "basic_info": q("SELECT count(*) AS n_rows, 29::BIGINT AS n_columns, 26::BIGINT AS n_other, 3::BIGINT AS n_text FROM b"),
-    "validate_clean": q(f"SELECT 0::BIGINT AS n_missing, 0::BIGINT AS n_irregular, 0::BIGINT AS too_old, count(*) FILTER (Year_Birth > 2006) AS too_young, 0::BIGINT AS suspicious_income, true AS date_ok, true AS all_passed FROM b WHERE {_NO_NULL}"),
+    "basic_info": q(f"SELECT count(*) AS n_rows, max(len(ts)) AS n_columns, max(len(list_filter(ts, lambda t: t <> 'VARCHAR'))) AS n_other, max(len(list_filter(ts, lambda t: t = 'VARCHAR'))) AS n_text FROM (SELECT [{', '.join(f'typeof({c})' for c in RAW)}] AS ts FROM b)"),
+    "column_info": q(_union("SELECT '{0}' AS \"column\", CASE any_value(typeof({0})) WHEN 'VARCHAR' THEN 'string' ELSE lower(any_value(typeof({0}))) END AS type, count(*) - count({0}) AS n_missing, count(DISTINCT {0}) AS n_distinct FROM b", RAW)),
+    "validate_clean": q(f"""SELECT *, n_missing = 0 AND n_irregular = 0 AND date_ok AS all_passed FROM (
+        SELECT {' + '.join(f'count(*) - count({c})' for c in RAW)} AS n_missing, count(*) FILTER ({_MAPPED} = 'FURNITURE') AS n_irregular, count(*) FILTER (Year_Birth < 1900) AS too_old,
+        count(*) FILTER (Year_Birth > 2006) AS too_young, count(*) FILTER (Income >= 500000) AS suspicious_income, bool_and(strptime(Dt_Customer, '%d-%m-%Y') IS NOT NULL) AS date_ok
+        FROM b WHERE {_NO_NULL} AND NOT Income >= 500000 AND NOT Year_Birth < 1900)"""),
     "validate_features": q(_union("SELECT '{0}' AS feature, count(*) - count({0}) AS n_missing, count(*) FILTER (isinf({0}::DOUBLE)) AS n_infinite, var_samp({0}) AS variance, coalesce(var_samp({0}) < 0.01, false) AS low_variance FROM f", AXES), 0, "variance"),
     "quality_summary": q(f"SELECT n_rows, missing_cells, round(100.0 * missing_cells / (n_rows * 29), 2) AS missing_pct, h.*, kd.surplus AS duplicate_keys FROM (SELECT count(*) AS n_rows, {_NULLS(RAW)} AS missing_cells FROM r), ({_HIDDEN}) h, ({_dups(['ID'])}) kd"),
     "outlier_binary": q(_union(_BIN, [*roles.BINARY, "Kidhome"])),
@@ -237,11 +262,11 @@ SQL: dict[str, str] = {
     "parse_date": q("SELECT ID, strptime(Dt_Customer, '%d-%m-%Y') AS Dt_Customer FROM b"),
     "ordinal_encode": q(f"SELECT ID, Education, CASE WHEN Education <> 'MIDDLE EAST' THEN ({_CODE})::INT END AS Education_ord FROM b"),
     "rare_group": "WITH n AS (SELECT c_custkey, n_name, count(*) OVER (PARTITION BY n_name) / count(*) OVER () AS share FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, CASE WHEN share < 0.04 THEN 'Other' ELSE n_name END AS n_name FROM n",
-    "onehot_marital": q(f"SELECT ID, {', '.join(f'''({_MAPPED} = '{d[8:]}')::INT AS {d}''' for d in DUMMIES)} FROM b"),
+    "onehot_marital": q(f"SELECT ID, {', '.join(f'''({_GROUPED} = '{d[8:]}')::INT AS {d}''' for d in DUMMIES)} FROM b"),
     "detect_binary": q(_union("""SELECT '{0}' AS "column", coalesce(bool_and({0} IN (0, 1)), false) AS is_binary FROM b""", _INTS)),
     "binary_cast": q("SELECT ID, (Kidhome = 1)::INT AS Kidhome_bin FROM b"),
     "clean_pipeline": q("SELECT * FROM cl"),
-    "audit_onehot": q(f"SELECT {', '.join(f'''count(*) FILTER ({_MAPPED} = '{d[8:]}') AS {d}''' for d in DUMMIES)} FROM b"),
+    "audit_onehot": q(f"SELECT {', '.join(f'''count(*) FILTER ({_GROUPED} = '{d[8:]}') AS {d}''' for d in DUMMIES)} FROM b"),
     "audit_ordinal": q(f"SELECT Education, min({_CODE})::INT AS code FROM b GROUP BY Education"),
     "count_by_year": q("SELECT year(strptime(Dt_Customer, '%d-%m-%Y')) AS year, count(*) AS n FROM b GROUP BY 1"),
     "count_by_month": q("SELECT month(strptime(Dt_Customer, '%d-%m-%Y')) AS month, count(*) AS n FROM b GROUP BY 1"),
@@ -272,6 +297,9 @@ SQL: dict[str, str] = {
     "skew_adjusted": "SELECT 'c_acctbal' AS feature, round(skewness(c_acctbal), 6) AS skew FROM customer",
     "value_counts_pct": _FREQ.format("event_type", "events"),
     "distinct_values": q("SELECT count(DISTINCT Education) AS n, list_sort(list(DISTINCT Education)) AS found FROM b"),
+    "kde": """WITH g AS (SELECT min(value) AS lo, max(value) AS hi, stddev_samp(value) * pow(count(value), -0.2) AS h, count(value) AS n FROM events),
+        x AS (SELECT lo + i * (hi - lo) / 49 AS x, h, n FROM g, (SELECT unnest(range(50)) AS i))
+        SELECT round(x, 6) + 0.0 AS x, round(sum(exp(-0.5 * pow((x - value) / h, 2)) / (n * h * sqrt(2 * pi()))), 6) + 0.0 AS density FROM x, events WHERE value IS NOT NULL GROUP BY x.x""",
     "histogram_bins": """WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events), c AS (SELECT least(floor((value - lo) / ((hi - lo) / 30)), 29)::BIGINT AS bin, count(*) AS n FROM events, m GROUP BY 1)
         SELECT g AS bin, round(lo + g * ((hi - lo) / 30), 6) AS low, round(lo + (g + 1) * ((hi - lo) / 30), 6) AS high, coalesce(n, 0) AS n FROM m, (SELECT unnest(range(30)) AS g) LEFT JOIN c ON bin = g""",
     "boxplot_stats": q(_union("""SELECT '{0}' AS feature, q1, median, q3, min(v) FILTER (i) AS whisker_low, max(v) FILTER (i) AS whisker_high, count(*) FILTER (NOT i) AS n_outside FROM
@@ -280,15 +308,16 @@ SQL: dict[str, str] = {
     "scale_robust": q(f"SELECT ID, {_each(AXES, '({0} - quantile_cont({0}::DOUBLE, 0.5) OVER ()) / (quantile_cont({0}::DOUBLE, 0.75) OVER () - quantile_cont({0}::DOUBLE, 0.25) OVER ()) AS {0}')} FROM f", 6, " ".join(AXES)),
     "pre_scale_stats": q(" UNION ALL ".join(_STATS.format(c, "stddev_samp", "f") for c in AXES), 4, "mean std median iqr skew"),
     "post_scale_stats": q(" UNION ALL ".join(_STATS.format(c, "stddev_pop", "z") for c in AXES), 6, "mean std least greatest median iqr skew"),
-    "validate_scaling": q(_union("SELECT '{0}' AS feature, true AS centred, true AS unit_spread, 0::BIGINT AS n_missing", AXES)),
-    "scaling_preserves": "SELECT true AS Education, true AS Income",
+    "validate_scaling": q(_union("SELECT '{0}' AS feature, abs(avg({0})) < 1e-10 AS centred, abs(stddev_pop({0}) - 1) < 1e-10 AS unit_spread, count(*) - count({0}) AS n_missing FROM z", AXES)),
+    "scaling_preserves": q("SELECT bool_and(x.Education IS NOT DISTINCT FROM y.Education) AS Education, bool_and(x.Income IS NOT DISTINCT FROM y.Income) AS Income FROM f x FULL JOIN f y USING (ID)"),
     "assign_clusters": q("SELECT ID, cluster FROM k"),
     "update_centroids": q(f"SELECT cluster, count(*) AS n, {_CENTER} FROM k GROUP BY cluster", 6, " ".join(AXES)),
     "inertia": q("SELECT sum(d2) AS inertia FROM k", 4, "inertia"),
     "kmeanspp_weights": q("SELECT ID, d2, d2 / sum(d2) OVER () AS p, sum(d2) OVER (ORDER BY ID) / sum(d2) OVER () AS cum FROM k", 6, "d2 p cum"),
     "kmeans_lloyd_fixed": q(_step("z", "c2"), 6, " ".join(AXES), _LLOYD),
-    "elbow_point": _CURVE + " SELECT k, round(distance, 6) + 0.0 AS distance FROM t",
-    "vote_k": _CURVE + " SELECT arg_max(k, distance) AS elbow_k, arg_max(k, silhouette) AS silhouette_k, arg_max(k, distance) AS chosen_k FROM t",
+    "k_curve": q("SELECT k, wcss, silhouette FROM c", 4, "wcss silhouette", _CURVE),
+    "elbow_point": q("SELECT k, distance FROM t", 6, "distance", _CURVE),
+    "vote_k": q("SELECT arg_max(k, distance) AS elbow_k, arg_max(k, silhouette) AS silhouette_k, arg_max(k, distance) AS chosen_k FROM t", more=_CURVE),
     "silhouette_exact": q("SELECT avg(s) AS silhouette FROM s", 6, "silhouette", "," + _SIL),
     "negative_silhouette": q("SELECT count(*) FILTER (s < 0) AS n, round(100.0 * count(*) FILTER (s < 0) / count(*), 4) AS pct FROM s", 6, "", "," + _SIL),
     "squared_silhouette": q("SELECT avg(s) AS silhouette FROM s", 6, "silhouette", "," + _SSIL),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ AXES = ["Recency", "TotalPurchases", "Total_Spent"]
 CENTERS = [[-1.0, -1.0, -1.0], [0.0, 0.0, 0.0], [1.0, 1.0, 1.0]]
 DESCRIBED = ["Income", "Year_Birth", "MntWines", "MntMeatProducts"]
 LAMBDAS = [-1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
-#: A curve of k and its measures, for the choice of K.
-CURVE = [(2, 1000.0, 0.30), (3, 620.0, 0.42), (4, 450.0, 0.40), (5, 400.0, 0.33), (6, 370.0, 0.31), (7, 350.0, 0.29)]
+#: Given centres for each k: the curve of k and its measures then has one right result.
+CURVE_CENTERS = {k: [[-1.5 + 3.0 * i / (k - 1)] * len(AXES) for i in range(k)] for k in range(2, 8)}
 
 behaviour, raw, table = tables.behaviour, tables.raw_behaviour, tables.table
 
@@ -60,8 +61,21 @@ def clustered(spark: SparkSession, sf_dir: str, more: Callable[[SparkSession, st
     return more(spark, sf_dir).join(labelled(spark, sf_dir).select("ID", "cluster"), "ID")
 
 
-def curve(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CURVE, "k int, wcss double, silhouette double")
+def curve(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
+    return cluster.measured(io.settle(points(spark, sf_dir)), AXES, CURVE_CENTERS, exact)
+
+
+def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(family, cluster, n, pct, inertia): K-Means of each family as it is finally trained, on robust-scaled features."""
+    made = {"demographic": family, "product_channel": products, "rfm": buying}
+    out = []
+    for name, columns in roles.CLUSTERED.items():
+        df = made[name](spark, sf_dir).select("ID", *columns).na.drop("any")
+        df = io.settle(scale.scaled(df, columns, scale.ROBUST))
+        centers, cost, _ = cluster.best_starts(df, columns, [roles.TRAINED_K[name]])[roles.TRAINED_K[name]]
+        found = cluster.sizes(cluster.assign(df, columns, centers.tolist()))
+        out.append(found.select(F.lit(name).alias("family"), F.col("cluster").cast("long").alias("cluster"), "n", "pct", F.lit(cost).alias("inertia")))
+    return out[0].union(out[1]).union(out[2])
 
 
 def power_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,12 +130,26 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = io.settle(labelled(spark, sf_dir))
-    parts = [cluster.inertia(df), cluster.davies_bouldin(df, AXES), cluster.calinski_harabasz(df, AXES), cluster.balance(df), cluster.squared_silhouette(df, AXES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.crossJoin(F.broadcast(p))  # one row each
-    return out
+    """(section, key, value): what the report of a clustering holds, for Lloyd's iteration from the given centres."""
+    df = io.settle(points(spark, sf_dir))
+    (centers, cost, rounds), = cluster.lloyd_many(df, AXES, [np.array(CENTERS)])
+    found = io.settle(cluster.assign(df, AXES, centers.tolist()))
+    mean = lambda x: float(x.first()[0])
+    rows = [
+        ("quality", "inertia", cost), ("quality", "rounds", float(rounds)), ("quality", "silhouette", mean(cluster.silhouettes(found, AXES).agg(F.avg("s")))),
+        ("quality", "davies_bouldin", mean(cluster.davies_bouldin(found, AXES))), ("quality", "calinski_harabasz", mean(cluster.calinski_harabasz(found, AXES))),
+        ("quality", "balance", mean(cluster.balance(found))),
+    ]
+    rows += [("size", str(r["cluster"]), float(r["n"])) for r in cluster.sizes(found).collect()]
+    rows += [("centre", f"{i} {a}", float(x)) for i, c in enumerate(centers) for a, x in zip(AXES, c)]
+    rows += [("explained", f"PC{i + 1}", float(x)) for i, x in enumerate(transform.principal(df, AXES, 3)[2])]
+    return spark.createDataFrame(rows, "section string, key string, value double")
+
+
+def stamped(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table written under a name with the time, and read again."""
+    path = io.write_delimited(df, io.scratch(spark, "stamped"), stamped=True)
+    return io.read_delimited(spark, path, df.schema)
 
 
 def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +159,10 @@ def feature_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encoding_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = raw(spark, sf_dir)
-    dummies = [f"Marital_{v}" for v in clean.levels(clean.group_rare(clean.remap(df, "Marital_Status", MAP), "Marital_Status"), "Marital_Status")]
-    return spark.range(1).select(F.lit(io.encoding_report(MAP, ORDER, dummies, [])).alias("report"))
+    df = clean.remap(raw(spark, sf_dir).select("Marital_Status"), "Marital_Status", MAP)
+    dummies = [f"Marital_{v}" for v in clean.levels(clean.group_rare(df, "Marital_Status"), "Marital_Status")]
+    rare = [r[0] for r in clean.rare_levels(df, "Marital_Status").orderBy("category").collect()]
+    return spark.range(1).select(F.lit(io.encoding_report(MAP, ORDER, dummies, rare)).alias("report"))
 
 
 def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,11 +181,16 @@ def missing_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.group_rare(table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name"), "n_name", 0.04)
 
 
+def quantile_table(df: DataFrame, columns: list[str]) -> DataFrame:
+    at = stats.quantiles(df, columns, [0.25, 0.5, 0.99])
+    return stats.tall(df, columns, {"p25": lambda c: at(c, 0.25), "p50": lambda c: at(c, 0.5), "p99": lambda c: at(c, 0.99)})
+
+
 def cols(df: DataFrame, *names: str) -> DataFrame:
     return rounded(df.select(*names))
 
 
-DUMMIES = ["Marital_AUTOMOBILE", "Marital_BUILDING", "Marital_HOUSEHOLD", "Marital_MACHINERY"]
+DUMMIES = ["Marital_AUTOMOBILE", "Marital_BUILDING", "Marital_HOUSEHOLD", "Marital_MACHINERY", "Marital_Other"]
 FEATURES = roles.FEATURES
 SPENT = ["MntWines", "MntMeatProducts"]
 
@@ -166,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "behaviour_table": behaviour,
     "scan_tsv": lambda s, d: io.round_trip(table(s, d, "nation"), "\t"),
     "scan_csv": lambda s, d: io.round_trip(table(s, d, "customer"), ","),
+    "sink_stamped": lambda s, d: stamped(s, table(s, d, "region")),
     "sink_csv_roundtrip": lambda s, d: io.round_trip(table(s, d, "region"), ","),
     "encoding_report_json": encoding_report,
     "feature_report": feature_report,
@@ -187,13 +222,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dup_size_hist": lambda s, d: profile.duplicate_sizes(raw(s, d), FEATURES),
     "dup_ids": lambda s, d: profile.duplicate_keys(raw(s, d)),
     "dup_hidden": lambda s, d: profile.hidden_duplicates(raw(s, d)),
-    "duplicate_group_members": lambda s, d: profile.duplicate_groups(raw(s, d), FEATURES).select("n", "first_key", "members"),
+    "duplicate_group_members": lambda s, d: profile.duplicate_groups(raw(s, d), FEATURES),
     "dedupe_features": lambda s, d: clean.dedupe(raw(s, d)).select("ID", "Year_Birth", "Income"),
     "dup_rows_sorted": lambda s, d: profile.duplicate_rows(raw(s, d)).select("ID", "n", "copy"),
     "dup_documents": lambda s, d: profile.duplicate_counts(table(s, d, "documents"), ["text"]),
     "categorical_freq": lambda s, d: profile.frequencies(behaviour(s, d), "Education"),
     "cardinality_class": lambda s, d: profile.cardinality(behaviour(s, d), ["Education", "Marital_Status", "Dt_Customer"]),
     "basic_info": lambda s, d: profile.basic_info(behaviour(s, d)),
+    "column_info": lambda s, d: profile.column_info(behaviour(s, d)),
     "validate_clean": lambda s, d: profile.validate_clean(clean.parse_date(clean.remap(clean.remove_outliers(clean.drop_missing(behaviour(s, d))), "Marital_Status", MAP)), list(MAP)),
     "validate_features": lambda s, d: rounded(profile.validate_features(buying(s, d), AXES), 0),
     "quality_summary": lambda s, d: profile.quality_summary(raw(s, d)),
@@ -267,11 +303,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # statistics
     "describe_stats": lambda s, d: rounded(compare.described(behaviour(s, d), DESCRIBED, "value"), 6),
     "std_samp_pop": lambda s, d: rounded(stats.tall(behaviour(s, d), SPENT, {"samp": F.stddev_samp, "pop": F.stddev_pop, "var": F.var_samp}), 1),
-    "quantiles_exact": lambda s, d: rounded(stats.tall(behaviour(s, d), SPENT, {"p25": lambda c: stats.quantile(c, 0.25), "p50": lambda c: stats.quantile(c, 0.5), "p99": lambda c: stats.quantile(c, 0.99)})),
+    "quantiles_exact": lambda s, d: rounded(quantile_table(behaviour(s, d), SPENT)),
     "skew_adjusted": lambda s, d: rounded(stats.tall(table(s, d, "customer"), ["c_acctbal"], {"skew": stats.skew_adjusted})),
     "value_counts_pct": lambda s, d: profile.frequencies(table(s, d, "events"), "event_type"),
     "distinct_values": lambda s, d: behaviour(s, d).agg(F.count_distinct("Education").alias("n"), F.sort_array(F.collect_set("Education")).alias("found")),
     "histogram_bins": lambda s, d: rounded(stats.histogram(table(s, d, "events"), "value", 30)),
+    "kde": lambda s, d: rounded(stats.density(table(s, d, "events"), "value", 50)),
     "boxplot_stats": lambda s, d: rounded(stats.boxplot(behaviour(s, d), SPENT)),
     # scaling
     "scale_standard": lambda s, d: rounded(points(s, d)),
@@ -290,8 +327,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_restarts": kmeans,
     "kmeans_ml": lambda s, d: cluster.sizes(cluster.ml_kmeans(io.settle(points(s, d)), AXES, roles.TRAINED_K["rfm"])[0]),
     "k_sweep": lambda s, d: cluster.sweep(io.settle(points(s, d)), AXES),
-    "elbow_point": lambda s, d: rounded(cluster.elbow(curve(s))),
-    "vote_k": lambda s, d: cluster.vote(curve(s)),
+    "k_curve": lambda s, d: rounded(curve(s, d).drop("davies_bouldin"), 4),
+    "elbow_point": lambda s, d: rounded(cluster.elbow(curve(s, d, exact=False))),
+    "vote_k": lambda s, d: cluster.vote(curve(s, d)),
+    "trained_families": lambda s, d: rounded(trained(s, d)),
     "silhouette_exact": lambda s, d: rounded(cluster.silhouettes(labelled(s, d), AXES).agg(F.avg("s").alias("silhouette"))),
     "negative_silhouette": lambda s, d: cluster.silhouettes(labelled(s, d), AXES).agg(F.count_if(F.col("s") < 0).alias("n"), F.round(100.0 * F.count_if(F.col("s") < 0) / F.count("*"), 4).alias("pct")),
     "squared_silhouette": lambda s, d: rounded(cluster.squared_silhouette(labelled(s, d), AXES)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Names of columns and categories, and thresholds, as the data and the results define them.
+
 ID = "ID"
 SPENDING = ["MntWines", "MntFruits", "MntMeatProducts", "MntFishProducts", "MntSweetProducts", "MntGoldProds"]
 CHANNELS = ["NumWebPurchases", "NumCatalogPurchases", "NumStorePurchases", "NumDealsPurchases"]
@@ -35,8 +37,13 @@ STAND_IN_MARITAL_MAP = {"FURNITURE": "HOUSEHOLD"}
 STAND_IN_EDUCATION_ORDER = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 STAND_IN_MARITAL_WEIGHT = {"AUTOMOBILE": 0, "BUILDING": 0, "HOUSEHOLD": 1, "MACHINERY": 2}
 
-#: K and features that each family is finally trained with, on robust-scaled inputs.
+#: K that each family is finally trained with, on robust-scaled inputs, and the features that clustering may use.
 TRAINED_K = {"demographic": 3, "product_channel": 4, "rfm": 2}
+CLUSTERED = {
+    "demographic": ["Age", "Income", "Dependency_Ratio"],
+    "product_channel": ["Total_Spent", "Product_HHI", "Store_Preference", "TotalPurchases"],
+    "rfm": ["Recency", "Income_per_Family_Member", "AvgPerPurchase", "TotalPurchases"],
+}
 
 
 def assert_columns(df, required: list[str]) -> None:

@@ -55,7 +55,10 @@ def rfm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each customer: the raw table's columns, nulls in Income included. Amounts are rounded to cents."""
+    """One row for each customer: the raw table's columns, nulls in Income included. Amounts are rounded to cents.
+
+    Some rows break each cleaning rule: births of 1890 and 2010, incomes beyond 600,000, a rare category.
+    """
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     by_order = lines.groupBy("l_orderkey").agg(*[F.sum(F.when(F.col("p_type") == k, amount())).alias(v) for k, v in TYPES.items()])
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -76,10 +79,10 @@ def behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = lambda c: c.cast("int").cast("long")
     return customers.join(by_customer, key == F.col("o_custkey"), "left").select(
         key.alias("ID"),
-        F.when(key % 499 == 0, 1890).otherwise(1996 - key * 37 % 60).cast("long").alias("Year_Birth"),
+        F.when(key % 499 == 0, 1890).when(key % 397 == 0, 2010).otherwise(1996 - key * 37 % 60).cast("long").alias("Year_Birth"),
         F.col("r_name").alias("Education"),
-        F.col("c_mktsegment").alias("Marital_Status"),
-        F.when(key % 93 != 0, F.col("c_acctbal")).alias("Income"),
+        F.when(key % 149 == 0, "ALONE").otherwise(F.col("c_mktsegment")).alias("Marital_Status"),
+        F.when(key % 93 != 0, F.when(key % 211 == 0, 600_000.0 + key).otherwise(F.col("c_acctbal"))).alias("Income"),
         (key % 3).alias("Kidhome"),
         (F.floor(key / 3) % 2).cast("long").alias("Teenhome"),
         "Dt_Customer",

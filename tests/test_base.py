@@ -49,7 +49,7 @@ def test_queries_match_their_sql(spark, name):
 
 def test_statistics_match_pandas(numbers):
     df, pdf = numbers
-    row = one(df.agg(stats.skew_adjusted("a").alias("s"), stats.skew_adjusted("flat").alias("f"), stats.quantile("a", 0.99).alias("q"), stats.correlation("a", "c").alias("r"), stats.correlation("a", "flat").alias("n")))
+    row = one(df.agg(stats.skew_adjusted("a").alias("s"), stats.skew_adjusted("flat").alias("f"), stats.quantiles(df, ["a"], [0.99])("a", 0.99).alias("q"), stats.correlation("a", "c").alias("r"), stats.correlation("a", "flat").alias("n")))
     assert row["s"] == pytest.approx(pdf["a"].skew()) and row["f"] == 0.0 and row["q"] == pytest.approx(pdf["a"].quantile(0.99))
     assert row["r"] == pytest.approx(pdf["a"].corr(pdf["c"])) and row["n"] is None
 
@@ -139,11 +139,121 @@ def test_empty_table(spark):
 def test_kmeans_queries_make_ten_starts(spark, monkeypatch):
     import pyspark.ml.clustering as ml
 
-    seeds, fit = [], ml.KMeans.fit
-    monkeypatch.setattr(cluster, "seeded_centers", lambda df, features, k, seed, key: seeds.append(seed) or registry.CENTERS[:k])
-    monkeypatch.setattr(cluster, "lloyd", lambda df, features, centers, **_: centers)
+    seeds, fit, many = [], ml.KMeans.fit, cluster.seed_many
+    monkeypatch.setattr(cluster, "seed_many", lambda df, features, models, key: seeds.extend(seed for _, seed in models) or many(df, features, models, key))
     monkeypatch.setattr(ml.KMeans, "fit", lambda self, df: seeds.append(self.getSeed()) or fit(self, df))
     for name in ("kmeans_restarts", "kmeans_ml"):
         seeds.clear()
         registry.QUERIES[name](spark, SF)
         assert seeds == list(range(42, 52))
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_quantiles_narrow_down_to_the_exact_value(spark, monkeypatch, few):
+    """Ties, a skewed column, nulls, a constant one and one without values; brackets are narrowed by several passes where few values may be fetched."""
+    monkeypatch.setattr(stats, "FEW", few)
+    monkeypatch.setattr(stats, "ACCURACY", 50)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"ties": rng.integers(0, 5, 3000).astype(float), "skewed": np.exp(rng.normal(0, 6, 3000)), "flat": 2.5, "holes": np.where(rng.random(3000) < 0.4, np.nan, rng.normal(size=3000))})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), "ties double, skewed double, flat double, holes double").withColumn("none", F.lit(None).cast("int"))
+    shares = [0.0, 0.001, 0.25, 0.5, 0.99, 1.0]
+    at = stats.quantiles(df, df.columns, shares)
+    row = df.limit(1).select(*[at(c, q).alias(f"{c}{i}") for c in df.columns for i, q in enumerate(shares)]).first()
+    for c in pdf.columns:
+        assert [row[f"{c}{i}"] for i in range(len(shares))] == pytest.approx(list(pdf[c].quantile(shares)), rel=1e-12)
+    assert row["none3"] is None
+    assert stats.quantiles(df.limit(0), ["ties"], [0.5])("ties", 0.5) is not None
+
+
+def test_sweep_against_numpy(spark):
+    """Inertia, silhouette and Davies-Bouldin of the chosen centres, and that ten starts find the planted groups."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.3, (40, 2)) for m in ((0, 0), (5, 5), (0, 6))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "ID long, a double, b double")
+    found = cluster.best_starts(df, ["a", "b"], [2, 3])
+    centers, cost, rounds = found[3]
+    assert rounds > 0 and sorted(np.round(centers).tolist()) == [[0, 0], [0, 6], [5, 5]]
+    d = ((x[:, None] - centers[None]) ** 2).sum(axis=2)
+    own = d.argmin(axis=1)
+    assert cost == pytest.approx(d.min(axis=1).sum()) and all(np.allclose(centers[k], x[own == k].mean(axis=0), atol=1e-3) for k in range(3))
+    row = {r["k"]: r for r in cluster.measured(df, ["a", "b"], {3: centers.tolist()}).collect()}[3]
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    s = []
+    for i, c in enumerate(own):
+        a = far[i, own == c].sum() / ((own == c).sum() - 1)
+        b = min(far[i, own == o].mean() for o in range(3) if o != c)
+        s.append((b - a) / max(a, b))
+    mid = np.array([x[own == k].mean(axis=0) for k in range(3)])
+    spread = [np.sqrt(((x[own == k] - mid[k]) ** 2).sum(axis=1)).mean() for k in range(3)]
+    db = np.mean([max((spread[i] + spread[j]) / np.linalg.norm(mid[i] - mid[j]) for j in range(3) if j != i) for i in range(3)])
+    assert row["silhouette"] == pytest.approx(np.mean(s)) and row["davies_bouldin"] == pytest.approx(db)
+    curve = cluster.sweep(df, ["a", "b"], range(2, 5), starts=3)
+    assert {r["k"]: r["wcss"] for r in curve.collect()}[3] == pytest.approx(cost, rel=1e-3) and cluster.vote(curve).first()["silhouette_k"] == 3
+
+
+def test_clustering_of_too_few_rows_is_refused(spark):
+    empty = spark.createDataFrame([], "ID long, a double")
+    two = spark.createDataFrame([(1, 1.0), (2, 1.0)], "ID long, a double")
+    for df, k in ((empty, 1), (two, 3), (two, 2)):
+        with pytest.raises(ValueError):
+            cluster.kmeans(df, ["a"], k)
+    with pytest.raises(ValueError):
+        cluster.random_centers(two, ["a"], 3, 1)
+    with pytest.raises(ValueError):
+        cluster.lloyd_many(empty, ["a"], [np.zeros((1, 1))])
+
+
+def test_components_against_numpy(numbers):
+    df, pdf = numbers
+    means, loadings, shares = transform.principal(df, ["a", "b", "c"], 3)
+    x = pdf[["a", "b", "c"]].to_numpy()
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(shares, values[::-1] / values.sum()) and np.allclose(np.abs(loadings), np.abs(vectors.T[::-1]), atol=1e-6)
+    got = transform.projected(df, ["a", "b", "c"], means, loadings).orderBy("ID").toPandas()
+    assert np.allclose(got[["PC1", "PC2", "PC3"]], (x - x.mean(axis=0)) @ np.array(loadings).T)
+
+
+def test_yeo_johnson_exponent_is_most_likely(numbers):
+    df, pdf = numbers
+    x = pdf["b"].to_numpy()
+
+    def llf(p):
+        y = np.where(x >= 0, ((np.maximum(x, 0) + 1) ** p - 1) / p if p else np.log1p(np.maximum(x, 0)), -(((1 - np.minimum(x, 0)) ** (2 - p) - 1) / (2 - p)) if p != 2 else -np.log1p(-np.minimum(x, 0)))
+        return (p - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum() - len(x) / 2 * np.log(y.var())
+
+    assert llf(transform.fit(df, "b", transform.YEO_JOHNSON)) >= max(llf(p) for p in np.linspace(-1, 3, 401)) - 1e-6
+
+
+def test_reports_and_schemas(spark, tmp_path):
+    import json
+
+    from tessella.operators import compare
+    from tessella.sources import io
+
+    report = json.loads(registry.QUERIES["encoding_report_json"](spark, "/root/testdata/sf0.01").first()[0])
+    assert report["marital_status_encoding"]["rare_categories"] == ["ALONE"] and "Marital_Other" in report["marital_status_encoding"]["dummy_columns"]
+    a, b = spark.createDataFrame([(1, "x")], "a long, b string"), spark.createDataFrame([(1.0, 2)], "a double, c long")
+    assert sorted(tuple(r) for r in compare.schema_diff(a, b).collect()) == [("a", "bigint", "double"), ("b", "string", None), ("c", None, "bigint")]
+    path = str(tmp_path / "out")
+    for v in ("old", "new"):
+        io.write_delimited(spark.createDataFrame([(1, v)], "a long, b string"), path)
+    assert [tuple(r) for r in io.read_delimited(spark, path, a.schema).collect()] == [(1, "new")] and [p.name for p in tmp_path.iterdir()] == ["out"]
+    with pytest.raises(Exception):
+        io.write_delimited(spark.range(1).select(F.raise_error(F.lit("stop")).alias("a")), path)
+    assert io.read_delimited(spark, path, a.schema).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    io.write_text(spark.createDataFrame([("s", "k", 1.5)], "section string, key string, value double"), str(tmp_path / "text"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "text")).collect()] == ["s | k | 1.5"]
+    assert scale.split_features(["x", "Product_HHI", "y"], ["y", "Product_HHI"]) == (["Product_HHI", "y"], ["x"])
+
+
+def test_trained_families_and_summary(spark):
+    rows = registry.QUERIES["trained_families"](spark, SF).collect()
+    assert {f: sum(r["family"] == f for r in rows) for f in roles.TRAINED_K} == roles.TRAINED_K
+    found = {(r["section"], r["key"]): r["value"] for r in registry.QUERIES["cluster_summary"](spark, SF).collect()}
+    assert found["explained", "PC1"] >= found["explained", "PC2"] >= found["explained", "PC3"] and found["quality", "rounds"] >= 1
+    assert sum(v for (s, _), v in found.items() if s == "explained") == pytest.approx(1) and -1 <= found["quality", "silhouette"] <= 1
+
+
+def test_transforms_lessen_skew(spark):
+    rows = registry.QUERIES["transform_report"](spark, SF).collect()
+    assert rows and all(abs(r["skew_after"]) <= abs(r["skew_before"]) + 1e-9 for r in rows)
