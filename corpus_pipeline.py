@@ -1,6 +1,11 @@
 """From raw documents to a training mix: five stages, each working on what the one before kept.
 
-Each stage is written as Parquet and read again, so a lost executor or driver costs one stage at most.
+Each stage is written as Parquet and read again, so a lost executor or driver costs one stage at most; what a stage has read goes
+when it is written.
+
+Nulls and edges, by stage: a null text has too few words and goes with the first; rows of a null id keep their boilerplate lines
+and otherwise take part like all others; rows equal in id and text become one with the near duplicates; columns that stages add
+are renamed where documents have them; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -8,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, line_dedup, mixing, near_dedup, quality_rules
-from tessella.llm.common import scratch, table
+from tessella.llm.common import remove, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        path = f"{scratch(spark, name)}"
+        path = scratch(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if read:
+            remove(spark, read)
+        read = path
     return docs
