@@ -1,9 +1,10 @@
 """Token counts of whole texts under a public byte-level BPE vocabulary: map-side two-tier lookup of pre-token lengths.
 
 A text is cut in front of every single space that a visible character follows. The vocabulary's own pre-tokenizer always ends
-a pre-token there, so the pieces are counted independently. Tier one is a broadcast table of the `FREQUENT` most frequent
-pieces with their token counts; its size is fixed. Tier two is a cache in the worker: a piece is encoded when it is first met.
-Pieces are never shuffled; only bounded lists of frequent pieces leave a task when tier one is built.
+a pre-token there, so the pieces are counted independently. Tier one is a broadcast table of `FREQUENT` pieces of at most `SHORT`
+bytes, about the most frequent ones, with their token counts; its size is fixed. Tier two is a cache in the worker: a piece is
+encoded when it is first met. Pieces of more than `SHORT` bytes, as texts without spaces are, are encoded each time and kept
+nowhere. Pieces are never shuffled; only bounded lists of frequent pieces leave a task when tier one is built.
 
 Texts where white space other than single spaces adjoins a space, or that hold a special token's string, are encoded whole.
 
@@ -29,6 +30,8 @@ FREQUENT = 65_536
 #: Pieces that a task names when tier one is built, and that a worker's cache holds before it starts anew.
 NAMED = 2_048
 CACHED = 500_000
+#: Bytes of the longest piece that is broadcast or cached.
+SHORT = 64
 #: White space as Unicode has it; a space next to any of it is irregular.
 WHITE = "\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 IRREGULAR = f" [{WHITE}]|[{WHITE}] | $"
@@ -85,8 +88,9 @@ def frequent_pieces(docs: DataFrame, path: str, limit: int = FREQUENT) -> list[s
             for piece in aw.pieces(batch, "text"):
                 texts = _texts(piece)
                 distinct, codes, _ = regular_pieces(texts.filter(pa.array(~irregular(texts, specials))))
-                n = np.bincount(codes, minlength=len(distinct))
+                n = np.bincount(codes, minlength=len(distinct)) * (np.asarray(pc.binary_length(distinct)) <= SHORT)
                 top = np.argsort(-n, kind="stable")[:NAMED]
+                top = top[n[top] > 0]
                 for token, k in zip(distinct.take(pa.array(top)).to_pylist(), n[top].tolist()):
                     total[token] = total.get(token, 0) + k
         top = sorted(total, key=lambda x: (-total[x], x))[:NAMED]
@@ -115,10 +119,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                 hit = np.asarray(place.is_valid())
                 length = np.zeros(len(distinct), dtype=np.int64)
                 length[hit] = known[np.asarray(place.drop_null())]
-                missed = np.nonzero(~hit)[0]
+                long = np.asarray(pc.binary_length(distinct)) > SHORT
+                missed = np.nonzero(~hit & ~long)[0]
                 strings = distinct.take(pa.array(missed)).to_pylist()
                 new = [s for s in strings if s not in cache]
-                if tokenizer is None and (new or odd.any()):
+                if tokenizer is None and (new or odd.any() or long.any()):
                     tokenizer = _tokenizer(path)
                 if new:
                     if len(cache) + len(new) > CACHED:
@@ -128,6 +133,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
                         part = new[start : start + 10_000]
                         cache.update(zip(part, (len(e) for e in tokenizer.encode_batch(part, add_special_tokens=False))))
                 length[missed] = [cache[s] for s in strings]
+                for i in np.nonzero(long)[0].tolist():
+                    length[i] = len(tokenizer.encode(distinct[i].as_py(), add_special_tokens=False))
                 n = np.zeros(len(texts), dtype=np.int64)
                 if len(offsets) > 1:
                     n[~odd] = np.add.reduceat(length[codes], offsets[:-1])
