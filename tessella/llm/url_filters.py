@@ -2,8 +2,9 @@
 
 All patterns (`*` for any characters, `?` for one byte, the rest literal, the whole string must match) are packed into the bits
 of a few 64-bit words, one bit for each literal position. A byte of the URL moves every pattern at once: shift, keep the bits
-whose position takes this byte, add the bits that stay because a `*` follows them (Shift-And). A batch of URLs runs in step,
-longest first, so a task does a few numpy operations for each position of its longest URL and drops URLs that have ended.
+whose position takes this byte, add the bits that stay because a `*` follows them (Shift-And). URLs run in step, longest first, so
+a task does a few numpy operations for each position of its longest URL and drops URLs that have ended; as many run at once as
+keep the state at `STATE` words, whatever the number of patterns. Patterns and rules may come from a table, `MOST` at most.
 
 The string that is matched is the canonical URL host#path. Neither host nor path can hold `#`, so a rule's host part cannot
 match inside a path. A rule (host, path) is two patterns, for its host and for its subdomains.
@@ -37,6 +38,8 @@ BLOCKED = (
     "*adult-*#*", "*casino*#*", "*cheap-pills*#*", "*free-bets*#*", "*spam-farm*#*", "*ads-track*#*",
     "ads.*#*", "adserver.*#*", "*.doubleclick.*#*", "*#*/wp-login.php", "*#*.exe",
 )
+#: 64-bit words of state of the URLs that run at once; and patterns that a table may have.
+STATE, MOST = 1 << 21, 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -113,6 +116,14 @@ def host_and_path(url):
     return F.translate(host, UPPER, LOWER), F.substr(rest, F.length(host) + 1)
 
 
+def listed(patterns: DataFrame) -> list[tuple[str, ...]]:
+    """The rows of a table of rules (verdict, host and path) or of patterns, in the order of its columns; ValueError beyond `MOST`."""
+    rows = patterns.distinct().orderBy(*patterns.columns).limit(MOST + 1).collect()
+    if len(rows) > MOST:
+        raise ValueError(f"more than {MOST} patterns")
+    return [tuple(r) for r in rows]
+
+
 def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED) -> DataFrame:
     """page_id, host, path, rule, verdict, pattern for every row; `pattern` is the first blocking pattern where no rule fits."""
     patterns, texts = [], [text for _, text in rules]
@@ -129,7 +140,9 @@ def judge(pages: DataFrame, rules=RULES, blocked=BLOCKED) -> DataFrame:
             _, offsets, data = joined.buffers()
             offsets = np.frombuffer(offsets, dtype=np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
             data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
-            hit = automaton.match(data, offsets[:-1], np.diff(offsets))
+            size = max(1, STATE // automaton.words)
+            parts = [slice(a, a + size) for a in range(0, len(joined), size)]
+            hit = np.concatenate([automaton.match(data, offsets[:-1][p], np.diff(offsets)[p]) for p in parts] or [np.zeros((0, len(automaton.last)), dtype=bool)])
             rule = np.full(len(joined), -1)
             for i in by_length:
                 rule[hit[:, 2 * i] | hit[:, 2 * i + 1]] = i
