@@ -1,7 +1,7 @@
 """Quality rules as a ledger: every rule is evaluated once and leaves one failure bit.
 
-`ledger` adds the measurements and `failed_bits` to each document; policies are masks over the bits, so a new policy version,
-or the question what one rule alone rejects, reads only the ledger and never the texts again.
+`ledger` adds the measurements and `failed_bits` to each document, `stored` keeps that as a table; policies are masks over the
+bits, so a new policy version, or the question what one rule alone rejects, reads only the table and never the texts again.
 
 Nulls and edges: a null text counts as an empty one (no words, fails `few_words`). Empty tables give empty results. Every row
 of the input gives one row of the output, repeated rows and null ids included. Other columns of the input are not touched;
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SHINGLE, SPACES, WORD, fresh, once, windows, words
+from tessella.llm.common import SHINGLE, SPACES, WORD, fresh, once, settle, windows, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -94,6 +94,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return df.withColumn("failed_bits", sum(bits[1:], bits[0]).cast("long"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of `docs`, written to the shared folder once and read from there."""
+    return settle(ledger(docs))
+
+
 def judged(entries: DataFrame, policy: str = CURRENT) -> DataFrame:
     """The ledger with base_failed and with `kept` under a policy. Base rules reject under every policy."""
     mask = POLICIES[policy] | BASE

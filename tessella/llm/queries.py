@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm import (
     decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, url_filters,
@@ -13,7 +14,14 @@ from tessella.llm.common import table
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    return quality_rules.judged(quality_rules.stored(table(spark, sf_dir, "documents")))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects, and rejects alone, from one stored ledger."""
+    entries = quality_rules.stored(table(spark, sf_dir, "documents"))
+    parts = [quality_rules.ablation(entries, p).select(F.lit(p).alias("policy"), "rule", "n_failed", "n_only") for p in quality_rules.POLICIES]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "quality_ablation": quality_ablation,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -99,6 +108,15 @@ b AS (
 SELECT *, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept FROM b
 """
 
+#: Bits of the ledger by policy: what each of its rules rejects, and what only it rejects.
+_ABLATION = f"""
+WITH l AS ({_OP2}),
+p AS (SELECT * FROM (VALUES ('base', 3), ('v1', 15), ('v2', 255)) AS v(policy, mask)),
+r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_words', 2), ('symbols', 4), ('repeated_lines', 8), ('short_words', 16), ('long_words', 32), ('shouting', 64), ('stutter', 128)) AS v(rule, bit))
+SELECT policy, rule, count(*) FILTER (failed_bits & bit <> 0) AS n_failed, count(*) FILTER (failed_bits & mask = bit) AS n_only
+FROM l, p, r WHERE mask & bit <> 0 GROUP BY policy, rule
+"""
+
 #: Exact containment of every item in every document, by shingle text (no item has fewer than five words here). Rows equal in id
 #: and text are one document.
 _OP1 = rf"""
@@ -186,4 +204,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": _OP5,
     "op8_url_filters": _OP8,
     "op9_mixing": _OP9,
+    "quality_ablation": _ABLATION,
 }

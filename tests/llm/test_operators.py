@@ -333,7 +333,7 @@ def test_hmm_tokens_of_one_hash_keep_apart(spark, monkeypatch):
         assert got[i]["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in [*t.split(), ""]))
 
 
-def test_token_counts(docs, empty):
+def test_token_counts(spark, docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
@@ -342,6 +342,10 @@ def test_token_counts(docs, empty):
     want = [(i, len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False)), len(t.encode(x or "", add_special_tokens=False)) > 1024) for i, x, _ in TEXTS]
     assert rows(token_counts.count_tokens(docs, path), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(want, key=repr)
     assert token_counts.count_tokens(empty, path).count() == 0
+    long = [(i, "".join(np.random.default_rng(i).choice(list("abc\u4e2d\u6587"), 3000)) + " end" * (i % 2), f"s{i}") for i in range(4)] * 2  # texts without spaces
+    want = sorted((i, len(t.encode(x, add_special_tokens=False))) for i, x, _ in long)
+    assert rows(token_counts.count_tokens(spark.createDataFrame(long, "doc_id long, text string, n_tokens string"), path), "doc_id", "n_tokens") == want
+    assert all(len(p.encode()) <= token_counts.SHORT for p in token_counts.frequent_pieces(docs, path))
 
 
 def test_license_scan(spark, docs, empty):
@@ -418,6 +422,19 @@ def test_url_filters(spark):
     assert url_filters.judge(pages.limit(0)).count() == 0
 
 
+def test_url_patterns_from_a_table(spark, monkeypatch):
+    """Repeated rows, a clashing column, a very long URL, blocks of a few URLs, and a bound on the table."""
+    monkeypatch.setattr(url_filters, "STATE", 8)
+    urls = ["http://a.org/x", "http://bad.org/y", "http://a.org/" + "z" * 20_000 + ".exe", None, "http://bad.org/y"]
+    pages = spark.createDataFrame([(i, u, "host") for i, u in enumerate(urls)] + [(1, urls[1], "host")], "page_id long, url string, host string")
+    patterns = [x[0] for x in url_filters.listed(spark.createDataFrame([("bad.*#*",), ("*#*.exe",), ("*#*.exe",)], "pattern string"))]
+    got = sorted((r["page_id"], r["verdict"]) for r in url_filters.judge(pages, blocked=patterns).collect())
+    assert got == [(0, "allow"), (1, "block"), (1, "block"), (2, "block"), (3, "allow"), (4, "block")]
+    monkeypatch.setattr(url_filters, "MOST", 1)
+    with pytest.raises(ValueError):
+        url_filters.listed(spark.createDataFrame([("a",), ("b",)], "pattern string"))
+
+
 def test_mixing(spark, docs, empty):
     made = spark.createDataFrame([(i, prose(10 + i % 5, i), "abc"[min(2, i % 4)]) for i in range(400)] + [(900, None, None), (901, "x y", None), (901, "x y", None)], "doc_id long, text string, source string")
     got = mixing.mix(made).collect()
