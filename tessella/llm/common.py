@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.io import scratch, settle
+
+__all__ = ["GAP", "SHINGLE", "SIMILAR", "SPACES", "WORD", "Tables", "fresh", "n_words", "once", "remove", "scratch", "settle", "table", "windows", "words"]
+
 #: White space between words: space and the ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,28 +63,6 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one only for a local session that has none."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path for an intermediate table in the shared folder."""
-    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Compute `df` once and keep it in the shared folder; cuts the lineage."""
-    _shared(df.sparkSession)
-    return df.checkpoint()
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table, or a folder of them."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -81,6 +81,9 @@ class Room:
     def __init__(self):
         self.held: dict[str, np.ndarray] = {}
 
+    def __reduce__(self):
+        return Room, ()  # tasks get rooms of their own, without the arrays
+
     def give(self, name: str, *shape: int) -> np.ndarray:
         size = int(np.prod(shape))
         if name not in self.held or self.held[name].size < size:
