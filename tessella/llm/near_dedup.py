@@ -19,7 +19,7 @@ the first band that the pair shares. So every pair that shares a band ends up in
 
 Nulls and edges: texts of fewer than five words have no shingles, and are duplicates only if they are equal, as are empty
 texts; null texts are in no class (class_id is their own id, `kept` is true). The class is named by its least id that is not
-null, and is null where it has none. Ids may be of any type that can be ordered, and may repeat: rows of one id belong to the
+null, and is null where it has none; where an id repeats with different texts, classes may share a name. Ids may be of any type that can be ordered, and may repeat: rows of one id belong to the
 classes of their own texts. The row of the least (id, digest) of a class is kept, ids that are null last; rows equal in id and
 text are interchangeable, `kept` is true for all of them, and keep_one() leaves one. Empty tables give empty results.
 """
@@ -80,7 +80,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for piece in aw.pieces(batch, "text"):
+        for piece in aw.pieces(batch, "text", aw.PIECE // 4):
             distinct, codes, offsets = aw.split(piece.column("text"))
             word_hashes = aw.hashes(distinct)[codes] if len(codes) else np.empty(0, dtype=np.uint64)
             windows = aw.shingle_hashes(word_hashes)
