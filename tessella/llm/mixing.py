@@ -24,7 +24,7 @@ from tessella.llm.common import fresh, n_words, settle
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 #: Rows of a source to a key range, on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 5_000
 SEED = "mix-1"
 MOST_SOURCES = 1_000_000
 #: Equal rows that one task writes out.
