@@ -10,7 +10,7 @@ tokens get numbers and training counts by one exchange. Training passes over eve
 `GAIN` of the log likelihood. In a round each chunk runs the forward-backward recursion over whole texts and sends the expected
 counts of its tokens, packed by ranges of token numbers; the counts of a range are added up and go back to the chunks that
 asked. The most frequent `FREQUENT` tokens, a fixed number, are added up by task first and broadcast. Expected counts travel as
-48-bit numbers and are added up as 64-bit ones.
+40-bit numbers, without the last state's, which the token's count tells, and are added up as 64-bit ones.
 
 A text of more than `SEGMENT` tokens is cut into segments that run through the recursion side by side: the product of a
 segment's transition matrices tells what enters the next one, forwards and backwards, so that the cut changes no value.
@@ -428,29 +428,34 @@ def _most_frequent(batches: Batches) -> Batches:
 # Training
 
 SENT = "part int, chunk long, codes binary, x binary"
-SUMS = "part int, chunk long, x binary, " + ", ".join(f"x{s} double" for s in range(STATES))
+SUMS = "part int, chunk long, x binary, " + ", ".join(f"x{s} double" for s in range(STATES - 1))
 
 
 def _short(x: np.ndarray) -> bytes:
-    """The upper six bytes of each 64-bit number, 37 bits of precision, byte place by byte place."""
-    rounded = np.ascontiguousarray(x, dtype=np.float64).reshape(-1).view(np.uint64) + np.uint64(1 << 15)
-    return np.ascontiguousarray(rounded.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes()
+    """All states' counts but the last one's: the upper five bytes of each 64-bit number, byte place by byte place."""
+    rounded = np.ascontiguousarray(x[:, : STATES - 1], dtype=np.float64).reshape(-1).view(np.uint64) + np.uint64(1 << 23)
+    return np.ascontiguousarray(rounded.view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes()
 
 
 def _wide(x: bytes) -> np.ndarray:
     """The numbers of _short(), by token and state."""
-    out = np.zeros((len(x) // 6, 8), dtype=np.uint8)
-    out[:, 2:] = np.frombuffer(x, dtype=np.uint8).reshape(6, -1).T
-    return out.view(np.float64).reshape(-1, STATES)
+    out = np.zeros((len(x) // 5, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(x, dtype=np.uint8).reshape(5, -1).T
+    return out.view(np.float64).reshape(-1, STATES - 1)
+
+
+def _all_states(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts with the last state's, given the counts of the tokens."""
+    return np.concatenate([x, np.maximum(n - x.sum(axis=-1), 0.0)[..., None]], axis=-1)
 
 
 def _added(ranges: int):
     """A function that adds up what chunks send: for key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nothing = key[0].as_py(), [None] * STATES
+        part, nothing = key[0].as_py(), [None] * (STATES - 1)
         total, asked = 0.0, []
-        sums = np.zeros((SLICE, STATES))
+        sums = np.zeros((SLICE, STATES - 1))
         for batch in batches:
             for chunk, codes, x in zip(*(batch.column(c).to_pylist() for c in ("chunk", "codes", "x"))):
                 if part < 0:
@@ -464,7 +469,7 @@ def _added(ranges: int):
         elif part >= ranges:
             rows = [(part, None, sums.tobytes(), *nothing)]
         else:
-            own = np.zeros((max(int(a[1].max()) for a in asked) + 1, STATES))
+            own = np.zeros((max(int(a[1].max()) for a in asked) + 1, STATES - 1))
             for _, codes, x in asked:
                 if x:  # chunks of held-out texts only ask
                     own[codes] += _wide(x)  # a chunk has a token once
@@ -496,7 +501,8 @@ class Chunk:
         if first:
             counts[self.rare] = _tilted(np.frombuffer(row["seeds"], dtype=np.uint64), self.n[self.rare].astype(np.float64))
         for x in row.get("found") or []:
-            counts[self.rare[self.ranges[x["part"]]]] = _wide(x["x"])
+            at = self.rare[self.ranges[x["part"]]]
+            counts[at] = _all_states(_wide(x["x"]), self.n[at])
         self.emit = emission(counts, totals, v_all)
 
 
@@ -519,7 +525,8 @@ class Model:
         part, code, n, seed = (top.column(c).to_numpy().astype(np.int64) for c in ("part", "code", "n", "seed"))
         number = code * self.ranges + part
         order = np.argsort(number)
-        self.frequent = _tilted(seed[order].view(np.uint64), n[order].astype(np.float64))
+        self.n = n[order].astype(np.float64)
+        self.frequent = _tilted(seed[order].view(np.uint64), self.n)
         self.start, self.step = np.full(STATES, 1 / STATES), np.full((STATES, STATES), 0.05 / (STATES - 1))
         np.fill_diagonal(self.step, 0.95)
 
@@ -575,18 +582,17 @@ class Model:
             self.tables.drop(self.counts)
         self.counts = counts
         got = counts.filter("chunk IS NULL AND x IS NOT NULL").select("part", "x").collect()  # one row for SLICE frequent tokens
-        rare = counts.agg(*[F.sum(f"x{s}") for s in range(STATES)]).first()
+        rare = np.array([v or 0.0 for v in counts.agg(*[F.sum(f"x{s}") for s in range(STATES - 1)]).first()])
         sums = {r["part"]: np.frombuffer(r["x"], dtype=np.float64) for r in got}
-        frequent = np.zeros((-(-len(self.frequent) // SLICE) * SLICE, STATES))
+        frequent = np.zeros((-(-len(self.n) // SLICE) * SLICE, STATES - 1))
         for part, x in sums.items():
             if part >= 0:
-                frequent[(part - ranges) * SLICE : (part - ranges + 1) * SLICE] = x.reshape(-1, STATES)
-        self.frequent = frequent[: len(self.frequent)]
-        self.totals = self.frequent.sum(axis=0) + np.array([x or 0.0 for x in rare])
+                frequent[(part - ranges) * SLICE : (part - ranges + 1) * SLICE] = x.reshape(-1, STATES - 1)
+        self.frequent = _all_states(frequent[: len(self.n)], self.n)
+        self.totals = self.frequent.sum(axis=0) + _all_states(rare, np.array(self.n_all - self.n.sum()))
         start, step = sums[-1][:STATES] + 1e-3, sums[-1][STATES:-1].reshape(STATES, STATES) + 1e-3
         self.start, self.step = start / start.sum(), step / step.sum(axis=1, keepdims=True)
         held.unpersist()
-        self.tables.release()
         return float(sums[-1][-1])
 
     def train(self, rounds: int | None) -> list[float]:
@@ -594,6 +600,7 @@ class Model:
         gone: list[float] = []
         while (rounds is None or len(gone) < rounds) and not (len(gone) > 1 and gone[-1] - gone[-2] < GAIN * abs(gone[-2])):
             gone.append(self.round())
+            self.tables.release()
         return gone
 
 
