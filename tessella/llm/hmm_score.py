@@ -432,15 +432,17 @@ SUMS = "part int, chunk long, x binary, " + ", ".join(f"x{s} double" for s in ra
 
 
 def _short(x: np.ndarray) -> bytes:
-    """All states' counts but the last one's: the upper five bytes of each 64-bit number, byte place by byte place."""
+    """All states' counts but the last one's: the upper five bytes of each 64-bit number, compressed byte place by byte place."""
     rounded = np.ascontiguousarray(x[:, : STATES - 1], dtype=np.float64).reshape(-1).view(np.uint64) + np.uint64(1 << 23)
-    return np.ascontiguousarray(rounded.view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes()
+    planes = np.ascontiguousarray(rounded.view(np.uint8).reshape(-1, 8)[:, 3:].T).tobytes()
+    return len(rounded).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _wide(x: bytes) -> np.ndarray:
     """The numbers of _short(), by token and state."""
-    out = np.zeros((len(x) // 5, 8), dtype=np.uint8)
-    out[:, 3:] = np.frombuffer(x, dtype=np.uint8).reshape(5, -1).T
+    n = int.from_bytes(x[:4], "little")
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, 3:] = np.frombuffer(pa.decompress(x[4:], decompressed_size=5 * n, codec="zstd", asbytes=True), dtype=np.uint8).reshape(5, -1).T
     return out.view(np.float64).reshape(-1, STATES - 1)
 
 
