@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import (
-    decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, url_filters,
+    conversation_repair, decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, source_audit,
+    token_counts, url_filters,
 )
 from tessella.llm.common import table
 
@@ -64,6 +65,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.audit_all(conversations, conversation_repair.damaged(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_mixing": op9_mixing,
     "op10_html_extraction": op10_html_extraction,
+    "op11_source_audit": op11_source_audit,
+    "op12_conversation_repair": op12_conversation_repair,
     "quality_ablation": quality_ablation,
 }
 
@@ -198,11 +210,105 @@ SELECT page_id, host, path, rule, pattern,
 FROM b
 """
 
+#: Shares of every kept term in every group, held pair by pair.
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, translate(unnest(ts), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY lang, source, term),
+t AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source),
+p AS (
+  SELECT t.lang, t.source, k.term, coalesce(n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v))::BIGINT AS p
+  FROM t JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+q AS (
+  SELECT lang, term, (1 + 1000000000::HUGEINT * (sum(n) + 2) // (sum(sum(n)) OVER (PARTITION BY lang) + 2 * any_value(v)))::BIGINT AS q
+  FROM c JOIN v USING (lang) GROUP BY lang, term),
+a AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY x.lang, x.source, y.source),
+e AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM e QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits from the end of each conversation back: for each of nothing, system, user, assistant the least of (cost,
+    letters, lines) that can follow. CRC-32 is computed from its table."""
+    entry = lambda c, a, t: f"{{'c': {c}, 'a': {a}, 't': {t}}}"
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    put = lambda x, roles: entry(f"{x}.c + {5 * len(roles)}", f"'{'I' * len(roles)}' || {x}.a", " || ".join([*[f"chr(10) || '{r}:'" for r in roles], f"{x}.t"]))
+    user, assistant = "d[3]", "d[4]"
+    closed = "[" + ", ".join([
+        least("d[1]", put(user, ["user"]), put(assistant, ["user", "assistant"])), least("d[2]", put(user, ["user"]), put(assistant, ["user", "assistant"])),
+        least(user, put(assistant, ["assistant"])), least(assistant, put(user, ["user"])),
+    ]) + "]"
+    never, done = entry("1000000000::BIGINT", "''", "''"), entry("0::BIGINT", "''", "''")
+
+    def edits(end: int) -> str:
+        to = {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}[end]
+        anew, name = (4, "assistant") if end == 3 else (3, "user")
+        out = [entry(f"e[{end}].c + 2", f"'D' || e[{end}].a", f"e[{end}].t")]
+        for initial, then in to.items():
+            out.append(f"CASE WHEN NOT gone AND x = '{initial}' THEN {entry(f'e[{then}].c + 5 * cut::INT', f"'K' || e[{then}].a", f"chr(10) || role || ':' || text || e[{then}].t")} ELSE {never} END")
+        out.append(f"CASE WHEN NOT gone THEN {entry(f'e[{anew}].c + 1 + 5 * cut::INT', f"'R' || e[{anew}].a", f"chr(10) || '{name}:' || text || e[{anew}].t")} ELSE {never} END")
+        return least(*out)
+
+    return rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda y: ascii(y)::BIGINT) AS b
+  FROM conversations),
+f AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 20 AS fault FROM o, crc),
+s AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE fault <> 0),
+w AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS later,
+         count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS x,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM s),
+r AS (
+  SELECT *, blank OR later AS gone, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au') AS illegal FROM w),
+z(conv_id, i, d) AS (
+  SELECT DISTINCT conv_id, n + 1, [{done}, {never}, {never}, {done}] FROM r
+  UNION ALL
+  SELECT r.conv_id, r.i, [{edits(1)}, {edits(2)}, {edits(3)}, {edits(4)}]
+  FROM (SELECT conv_id, i, {closed} AS e FROM z) y JOIN r ON r.conv_id IS NOT DISTINCT FROM y.conv_id AND r.i = y.i - 1),
+b AS (SELECT conv_id, ({closed})[1] AS e FROM z WHERE i = 1),
+m AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (later AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT gone) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM r GROUP BY conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit,
+       sha256(coalesce(substr(e.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN m ON m.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": _OP1,
     "op2_quality_rules": _OP2,
     "op5_line_dedup": _OP5,
     "op8_url_filters": _OP8,
     "op9_mixing": _OP9,
+    "op11_source_audit": _OP11,
+    "op12_conversation_repair": _repair_sql(),
     "quality_ablation": _ABLATION,
 }
