@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import (
-    conversation_repair, decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, source_audit,
+    conversation_repair, cross_polytope, decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, source_audit,
     token_counts, url_filters,
 )
 from tessella.llm.common import table
@@ -74,6 +74,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.audit_all(conversations, conversation_repair.damaged(conversations))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_extraction": op10_html_extraction,
     "op11_source_audit": op11_source_audit,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_nearest_neighbours": op13_nearest_neighbours,
     "quality_ablation": quality_ablation,
 }
 
