@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 from math import ceil, floor, pi
@@ -36,72 +37,80 @@ def skew_adjusted(c: str | Column) -> Column:
 
 
 def order_statistics(df: DataFrame, ranks: dict[str, set[int]]) -> dict[tuple[str, int], float]:
-    """(column, rank from 0) -> the value of that rank among the column's values, which are doubles without nulls.
+    """(column, rank from 0) -> the value of that rank among the column's values, which are doubles without nulls. NaN is the greatest.
 
-    Every rank has a bracket of values with known counts below and up to its ends. A quantile sketch of the values inside gives
-    a narrower one, whose counts are then taken exactly, so that the sketch's error costs another pass at most; brackets shrink
-    some thousandfold a pass, for all columns and ranks together. The last `FEW` values are fetched. Nothing holds all values.
+    Every rank has a bracket: two values that it lies strictly between, with the number of values up to the lower one and within. A
+    quantile sketch of the values inside gives two cuts, whose counts are then taken exactly: either the rank falls on a cut, or its
+    bracket loses at least the cuts' own values, so that it always ends. Brackets shrink some thousandfold a pass, for all columns and
+    ranks together. The last `FEW` values are fetched; nothing holds all values.
     """
-    ends = df.agg(*[f(c).alias(f"{n}_{i}") for i, c in enumerate(ranks) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]).first()
-    # lowest value, values below it, highest value, values up to it
-    open_ = {(c, r): [ends[f"lo_{i}"], 0, ends[f"hi_{i}"], ends[f"n_{i}"]] for i, (c, rs) in enumerate(ranks.items()) for r in rs}
+    sizes = df.agg(*[F.count_if(~F.isnan(c)).alias(f"n{i}") for i, c in enumerate(ranks)]).first()
     found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float | None, int, float | None, int]] = {}  # above, values up to it, below, values inside
+    for i, (c, rs) in enumerate(ranks.items()):
+        for r in rs:
+            if r < sizes[f"n{i}"]:
+                open_[c, r] = (None, 0, None, sizes[f"n{i}"])
+            else:
+                found[c, r] = math.nan
+    inside = lambda c, lo, hi: F.when(~F.isnan(c) & (F.lit(True) if lo is None else F.col(c) > lo) & (F.lit(True) if hi is None else F.col(c) < hi), F.col(c))
     while open_:
-        for at in [at for at, (lo, _, hi, _) in open_.items() if lo == hi]:
-            found[at] = open_.pop(at)[0]
-        if not open_:
-            break
-        asked, kinds = [], []
-        for i, ((c, r), (lo, below, hi, upto)) in enumerate(open_.items()):
-            inside = F.when(F.col(c).between(lo, hi), F.col(c))
-            few = upto - below <= FEW
-            place = (r - below + 0.5) / (upto - below)
+        asked, places = [], list(open_)
+        for i, (c, r) in enumerate(places):
+            lo, upto, hi, n = open_[c, r]
+            place = (r - upto + 0.5) / n
             around = [max(0.0, place - 2 / ACCURACY), min(1.0, place + 2 / ACCURACY)]
-            asked.append((F.sort_array(F.collect_list(inside)) if few else F.percentile_approx(inside, around, ACCURACY)).alias(f"x{i}"))
-            kinds.append(few)
+            asked.append((F.sort_array(F.collect_list(inside(c, lo, hi))) if n <= FEW else F.percentile_approx(inside(c, lo, hi), around, ACCURACY)).alias(f"x{i}"))
         got = df.agg(*asked).first()
         cuts: dict[tuple[str, int], list[float]] = {}
-        for i, (few, at) in enumerate(zip(kinds, list(open_))):
-            if few:
+        for i, at in enumerate(places):
+            if open_[at][3] <= FEW:
                 found[at] = got[f"x{i}"][at[1] - open_.pop(at)[1]]
             else:
                 cuts[at] = list(got[f"x{i}"])
         if cuts:
-            below = lambda c, x, i, j: [F.count_if(F.col(c) < x).alias(f"b{i}_{j}"), F.count_if(F.col(c) <= x).alias(f"u{i}_{j}")]
-            counts = df.agg(*[e for i, ((c, _), xs) in enumerate(cuts.items()) for j, x in enumerate(xs) for e in below(c, x, i, j)]).first()
+            counts = lambda c, x, i, j: [F.count_if(F.col(c) < x).alias(f"b{i}_{j}"), F.count_if(F.col(c) <= x).alias(f"u{i}_{j}")]
+            row = df.agg(*[e for i, ((c, _), xs) in enumerate(cuts.items()) for j, x in enumerate(xs) for e in counts(c, x, i, j)]).first()
             for i, (at, (x, y)) in enumerate(cuts.items()):
-                lo, least, hi, most = open_[at]
-                bx, ux, by, uy = (counts[f"{n}{i}_{j}"] for j in (0, 1) for n in "bu")
-                if at[1] < bx:
-                    open_[at] = [lo, least, x, ux]
-                elif at[1] < ux:
-                    open_[at] = [x, bx, x, ux]
-                elif at[1] < by:
-                    open_[at] = [x, bx, y, uy]
-                elif at[1] < uy:
-                    open_[at] = [y, by, y, uy]
+                (lo, upto, hi, n), rank = open_[at], at[1]
+                bx, ux, by, uy = (row[f"{name}{i}_{j}"] for j in (0, 1) for name in "bu")
+                if bx <= rank < ux or by <= rank < uy:
+                    found[at] = x if rank < ux else y
+                    del open_[at]
+                elif rank < bx:
+                    open_[at] = (lo, upto, x, bx - upto)
+                elif rank < by:
+                    open_[at] = (x, ux, y, by - ux)
                 else:
-                    open_[at] = [y, by, hi, most]
+                    open_[at] = (y, uy, hi, upto + n - uy)
     return found
 
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> Callable[[str, float], Column]:
-    """A function (column, share) -> the exact quantile with linear interpolation, as a literal; null for a column without values."""
+def quantile_values(df: DataFrame, columns: list[str], shares: list[float]) -> dict[tuple[str, float], float | None]:
+    """(column, share) -> the exact quantile with linear interpolation; None for a column without values."""
     columns = list(dict.fromkeys(columns))
     held = settle(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
     sizes = held.agg(*[F.count(f"c{i}") for i in range(len(columns))]).first()
-    at = {(c, q): q * (n - 1) for c, n in zip(columns, sizes) for q in shares if n}
-    ranks = {f"c{i}": {f(at[c, q]) for q in shares for f in (floor, ceil)} for i, c in enumerate(columns) if sizes[i]}
+    at = {(i, q): q * (n - 1) for i, n in enumerate(sizes) for q in shares if n}
+    ranks: dict[str, set[int]] = {}
+    for (i, _), h in at.items():
+        ranks.setdefault(f"c{i}", set()).update((floor(h), ceil(h)))
     found = order_statistics(held, ranks) if ranks else {}
 
-    def value(c: str, q: float) -> Column:
-        if (c, q) not in at:
-            return F.lit(None).cast("double")
-        h, name = at[c, q], f"c{columns.index(c)}"
-        low, high = found[name, floor(h)], found[name, ceil(h)]
-        return F.lit(float(low if floor(h) == ceil(h) else (ceil(h) - h) * low + (h - floor(h)) * high))
+    def value(i: int, q: float) -> float | None:
+        if (i, q) not in at:
+            return None
+        h = at[i, q]
+        low, high = found[f"c{i}", floor(h)], found[f"c{i}", ceil(h)]
+        return float(low if low == high or floor(h) == ceil(h) else (ceil(h) - h) * low + (h - floor(h)) * high)
+
+    return {(c, q): value(i, q) for i, c in enumerate(columns) for q in shares}
 
-    return value
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> Callable[[str, float], Column]:
+    """quantile_values() as a function (column, share) -> literal."""
+    found = quantile_values(df, columns, shares)
+    return lambda c, q: F.lit(found[c, q]).cast("double")
 
 
 def correlation(a: str, b: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
-from tessella.functions.stats import quantiles, row_sum
+from tessella.functions.stats import quantile_values, row_sum
 
 PREFERENCES = [f"{c}_Preference" for c in ("Wine", "Fruit", "Meat", "Fish", "Sweet", "Gold")]
 #: Ties of the dominant product go to the first of these.
@@ -48,22 +48,26 @@ def life_stage() -> Column:
     )
 
 
-def with_dependency_ratio(df: DataFrame) -> DataFrame:
-    """Children against income per member, cut at the exact 99th percentile."""
-    ratio_ = F.col("TotalChildren") * 10000.0 / (F.col("Income_per_Family_Member") + 1e-6)
-    raw = df.withColumn("_ratio", ratio_)
-    cut = quantiles(raw, ["_ratio"], [0.99])("_ratio", 0.99)
-    return raw.withColumn("Dependency_Ratio", F.when(F.col("_ratio").isNotNull(), F.least("_ratio", cut))).drop("_ratio")
+def dependency() -> Column:
+    """Children against income per member."""
+    return F.col("TotalChildren") * 10000.0 / (F.col("Income_per_Family_Member") + 1e-6)
 
 
-def demographic(df: DataFrame, marital_weight: dict[str, int], order: list[str]) -> DataFrame:
-    """df with the demographic features; needs Education and Marital_Status as categories."""
+def dependency_cut(df: DataFrame) -> float | None:
+    """The exact 99th percentile of dependency() over rows with demographic columns."""
+    return quantile_values(df.withColumn("_ratio", dependency()), ["_ratio"], [0.99])["_ratio", 0.99]
+
+
+def demographic(df: DataFrame, marital_weight: dict[str, int], order: list[str], cut: float | None = None) -> DataFrame:
+    """df with the demographic features; needs Education and Marital_Status as categories. The dependency ratio is cut at `cut`, or at
+    the 99th percentile of these rows."""
     from tessella.operators.clean import ordinal
 
     df = df.withColumn("Age", age()).withColumn("TotalChildren", children())
     df = df.withColumn("Income_per_Family_Member", income_per_member())
     df = df.withColumn("Marital_Encoded", marital_score_of("Marital_Status", marital_weight)).withColumn("Life_Stage", life_stage())
-    return with_dependency_ratio(df).withColumn("Education_ord", ordinal("Education", order))
+    most = F.lit(dependency_cut(df) if cut is None else cut).cast("double")
+    return df.withColumn("Dependency_Ratio", F.when(dependency().isNotNull(), F.least(dependency(), most))).withColumn("Education_ord", ordinal("Education", order))
 
 
 def hhi() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.stats import quantiles, skew_adjusted, tall, with_constants
+from tessella.functions.stats import quantile_values, quantiles, skew_adjusted, tall, with_constants
 
 STANDARD, ROBUST = "standard", "robust"
 TIGHT = 1e-10
@@ -20,6 +20,24 @@ def _centre_and_spread(df: DataFrame, columns: list[str], kind: str) -> tuple[Ca
     return (lambda c: at(c, 0.5)), (lambda c: at(c, 0.75) - at(c, 0.25))
 
 
+def fitted(df: DataFrame, columns: list[str], kind: str = ROBUST) -> dict[str, tuple[float, float]]:
+    """column -> (centre, spread), to scale other rows with; a spread of zero is one. A column without values has neither."""
+    if kind == STANDARD:
+        row = df.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("c", F.avg), ("s", F.stddev_pop))]).first()
+        found = {c: (row[f"c{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+    else:
+        at = quantile_values(df, columns, [0.25, 0.5, 0.75])
+        found = {c: (at[c, 0.5], None if at[c, 0.5] is None else at[c, 0.75] - at[c, 0.25]) for c in columns}
+    if missing := [c for c, (centre, _) in found.items() if centre is None]:
+        raise ValueError(f"columns without values: {missing}")
+    return {c: (float(centre), float(spread) or 1.0) for c, (centre, spread) in found.items()}
+
+
+def apply(df: DataFrame, state: dict[str, tuple[float, float]]) -> DataFrame:
+    """Columns scaled in place with a fitted state: row expressions only."""
+    return df.withColumns({c: (F.col(c) - F.lit(centre)) / F.lit(spread) for c, (centre, spread) in state.items()})
+
+
 def scaled(df: DataFrame, columns: list[str], kind: str = STANDARD) -> DataFrame:
     """(x - centre) / spread; a spread of zero counts as one. The constants are one broadcast row."""
     centre, spread = _centre_and_spread(df, columns, kind)

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
-from tessella.functions.stats import correlation_matrix, skew_adjusted, with_constants
+from tessella.functions.stats import correlation_matrix, skew_adjusted, tall, with_constants
 
 BOX_COX, YEO_JOHNSON, NONE = "box-cox", "yeo-johnson", "none"
+#: Exponents nearer to 0 are logarithms; grids are not widened beyond the other.
+_LEAST_POWER, _MOST_WIDTH = 1e-8, 1e6
 
 
 def box_cox(c: str, lam: float) -> Column:
@@ -44,32 +48,104 @@ def log_likelihoods(df: DataFrame, c: str, method: str, lambdas: list[float]) ->
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def fit(df: DataFrame, c: str, method: str, low: float = -5.0, high: float = 5.0, points: int = 17, passes: int = 6) -> float:
-    """The exponent of greatest likelihood: each pass is one aggregate over a grid, then the bracket shrinks around the best."""
-    best = 1.0
-    for _ in range(passes):
-        grid = np.linspace(low, high, points).tolist()
-        values = {r[0]: r[1] for r in log_likelihoods(df, c, method, grid).collect()}
-        best = max(grid, key=lambda x: (values[x] is not None and not math.isnan(values[x]), values[x] or 0.0))
-        step = (high - low) / (points - 1)
-        low, high = best - step, best + step
-    return best
+def _scaled_power(x: np.ndarray, method: str, lam: float, s: float) -> np.ndarray:
+    """The transform of each value times exp(-s), up to a constant."""
+    if method == BOX_COX:
+        return np.log(x) if abs(lam) < _LEAST_POWER else np.exp(lam * np.log(x) - s) / lam
+    none = math.exp(-s)
+    side = lambda power, log: log * none if abs(power) < _LEAST_POWER else (np.exp(power * log - s) - none) / power
+    up = x >= 0
+    return np.where(up, side(lam, np.log1p(np.where(up, x, 0.0))), -side(2 - lam, np.log1p(np.where(up, 0.0, -x))))
+
+
+def _log_scale(method: str, lam: float, low: float, high: float) -> float:
+    """s, so that no power of a value from low to high exceeds exp(s)."""
+    if method == BOX_COX:
+        return 0.0 if abs(lam) < _LEAST_POWER else lam * math.log(high if lam > 0 else low)
+    return max(0.0, lam * math.log1p(max(high, 0.0)), (2 - lam) * math.log1p(max(-low, 0.0)))
+
+
+def _spreads(df: DataFrame, methods: dict[str, str], grids: dict[str, np.ndarray], facts: dict[str, tuple]) -> dict[tuple[str, int], tuple[float, float]]:
+    """(column, place in its grid) -> (log scale, variance of the scaled transform). A task sends two sums for each."""
+    columns = list(grids)
+    scales = {(c, k): _log_scale(methods[c], float(lam), facts[c][1], facts[c][2]) for c in columns for k, lam in enumerate(grids[c])}
+    # sums are taken about the transform of the column's mean
+    about = {(c, k): float(_scaled_power(np.array([facts[c][4]]), methods[c], float(lam), scales[c, k])[0]) for c in columns for k, lam in enumerate(grids[c])}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], list[float]] = {}
+        for batch in batches:
+            for i, c in enumerate(columns):
+                x = batch.column(i).drop_null().to_numpy(zero_copy_only=False)
+                for k, lam in enumerate(grids[c]):
+                    v = _scaled_power(x, methods[c], float(lam), scales[c, k]) - about[c, k]
+                    own = sums.setdefault((i, k), [0.0, 0.0])
+                    own[0] += float(v.sum())
+                    own[1] += float((v * v).sum())
+        rows = [(i, k, *own) for (i, k), own in sums.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["i", "k", "s", "q"])
+
+    found = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "i long, k long, s double, q double")
+    found = found.groupBy("i", "k").agg(F.sum("s").alias("s"), F.sum("q").alias("q")).collect()  # the grids' points
+    return {(c := columns[r["i"]], r["k"]): (scales[c, r["k"]], (r["q"] - r["s"] ** 2 / facts[c][0]) / facts[c][0]) for r in found}
+
+
+def fit_many(df: DataFrame, methods: dict[str, str], points: int = 17, passes: int = 6) -> dict[str, float]:
+    """The exponent of greatest likelihood of each column (column -> method), all columns in the same passes.
+
+    A pass is one job over a grid for each column, around the best exponent of the pass before. Where the best is at an end of its
+    grid, the grid moves beyond that end and doubles instead of shrinking, so no optimum is out of reach. Values are scaled in log
+    space, so that powers do not overflow. A constant column, or one without values, has the exponent 1.
+    """
+    found = {c: 1.0 for c in methods}
+    if not methods:
+        return found
+    facts = df.agg(*[f(c).alias(f"{n}{i}") for i, (c, m) in enumerate(methods.items()) for n, f in (
+        ("n", F.count), ("l", lambda c: F.min(c).cast("double")), ("h", lambda c: F.max(c).cast("double")), ("j", lambda c, m=m: F.sum(_jacobian(c, m))), ("m", F.avg),
+    )]).first()
+    of = {c: tuple(facts[f"{n}{i}"] for n in "nlhjm") for i, c in enumerate(methods)}
+    brackets = {c: (-5.0, 5.0, passes) for c, (n, low, high, *_) in of.items() if n and low < high}
+    while brackets:
+        grids = {c: np.linspace(low, high, points) for c, (low, high, _) in brackets.items()}
+        spreads = _spreads(df, methods, grids, of)
+        for c, grid in grids.items():
+            n, j, left = of[c][0], of[c][3], brackets[c][2]
+            llf = [(lam - 1) * j - n / 2 * (2 * s + math.log(v)) if v > 0 else -math.inf for lam, (s, v) in zip(grid, (spreads[c, k] for k in range(points)))]
+            best, width = int(np.argmax(llf)), float(grid[-1] - grid[0])
+            found[c] = float(grid[best])
+            step = width / (points - 1)
+            if best in (0, points - 1) and width < _MOST_WIDTH:
+                brackets[c] = (found[c] - step, found[c] + 2 * width, left) if best else (found[c] - 2 * width, found[c] + step, left)
+            elif left > 1:
+                brackets[c] = (found[c] - step, found[c] + step, left - 1)
+            else:
+                del brackets[c]
+    return found
+
+
+def fit(df: DataFrame, c: str, method: str) -> float:
+    """fit_many() of one column."""
+    return fit_many(df, {c: method})[c]
 
 
 def decision(df: DataFrame, c: str, threshold: float) -> DataFrame:
     """skew, zeros, negatives and the transform that they call for; one row."""
-    facts = df.agg(skew_adjusted(c).alias("skew"), F.min(c).cast("double").alias("least"), F.count_if(F.col(c) == 0).alias("n_zero"))
+    return decisions(df, [c], threshold)
+
+
+def decisions(df: DataFrame, columns: list[str], threshold: float) -> DataFrame:
+    """decision() of each column, from one aggregate."""
+    found = tall(df, columns, {"skew": skew_adjusted, "least": lambda c: F.min(c).cast("double"), "n_zero": lambda c: F.count_if(F.col(c) == 0)})
     method = F.when(F.coalesce(F.abs("skew") < threshold, F.lit(True)), NONE).when((F.col("least") < 0) | (F.col("n_zero") > 0), YEO_JOHNSON).otherwise(BOX_COX)
-    return facts.select(F.lit(c).alias("feature"), "skew", (F.col("least") < 0).alias("has_negative"), "n_zero", method.alias("method"))
+    return found.select("feature", "skew", (F.col("least") < 0).alias("has_negative"), "n_zero", method.alias("method"))
 
 
 def plan(df: DataFrame, columns: list[str], threshold: float) -> dict[str, tuple[str, float | None]]:
-    """column -> (method, exponent): what transforming `df` will do."""
-    found = {}
-    for c in columns:
-        method = decision(df, c, threshold).first()["method"]
-        found[c] = (method, None if method == NONE else fit(df, c, method))
-    return found
+    """column -> (method, exponent): what transforming `df` will do. One row for each column comes to the driver."""
+    methods = {r["feature"]: r["method"] for r in decisions(df, columns, threshold).collect()}
+    fitted = fit_many(df, {c: m for c, m in methods.items() if m != NONE})
+    return {c: (methods[c], fitted.get(c)) for c in columns}
 
 
 def transformed(df: DataFrame, steps: dict[str, tuple[str, float | None]], suffix: str = "_Transformed") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessella import roles
-from tessella.plans.registry import AXES, CURVE_CENTERS, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
+from tessella.plans.registry import GIVEN, AXES, CURVE_CENTERS, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
 from tessella.sources.tables import LAST_DAY, PRIORITIES, TYPES
 
 
@@ -207,10 +207,34 @@ _FEATS = {
 }
 _WHOLE = {"Age", "Marital_Encoded", "Life_Stage", "TotalPurchases"}
 
+
+
+def _power(x: str, method: str, lam: float | None) -> str:
+    if method == "none":
+        return x
+    return f"CASE WHEN {x} >= 0 THEN (pow({x} + 1, {lam}) - 1) / {lam} WHEN {x} < 0 THEN -(pow(1 - {x}, {2 - lam}) - 1) / {2 - lam} END"
+
+
+def _scored(model) -> str:
+    """A given model over the raw table: one sub-query for each of its steps."""
+    made = "SELECT *, CASE WHEN dr IS NOT NULL THEN least(dr, {}) END AS ratio FROM f".format(model.cut or "NULL")
+    again = f"SELECT * FROM ({made}) WHERE ID % 50 = 0 UNION ALL SELECT * REPLACE (ID + 10000000 AS ID) FROM ({made}) WHERE ID % 20 = 0"
+    read = {"Dependency_Ratio": "ratio", "Web_Engagement": "NumWebVisitsMonth"}
+    at = {c: read.get(c, c) for c in [*model.columns, *(x for p in model.pairs for x in p[:2])]}
+    at |= {name: _power(read.get(c, c), method, lam) for c, name, method, lam in model.exponents}
+    at |= {name: f"(({at[a]} - {ma}) / {sa} + {sign} * ({at[b]} - {mb}) / {sb}) / sqrt(2)" for a, b, name, ma, sa, mb, sb, sign in model.pairs}
+    columns = ", ".join(f"(({at[c]}) - {centre}) / {spread} AS x{i}" for i, (c, (centre, spread)) in enumerate(model.scales.items()))
+    ds = ", ".join(" + ".join(f"(x{i} - ({v})) * (x{i} - ({v}))" for i, v in enumerate(c)) for c in model.centers)
+    return f"""SELECT '{model.family}' AS family, ID, CASE WHEN ds[1] IS NOT NULL THEN list_position(ds, list_min(ds)) - 1 END::BIGINT AS cluster,
+      round(CASE WHEN ds[1] IS NOT NULL THEN list_min(ds) END, 4) AS d2
+      FROM (SELECT ID, [{ds}] AS ds FROM (SELECT ID, {columns} FROM ({made} UNION ALL {again})))"""
+
+
 SQL: dict[str, str] = {
     "rfm_features": f"""SELECT o_custkey AS c_custkey, date_diff('day', max(o_orderdate::DATE), DATE '{LAST_DAY}') AS recency_days, count(*) AS frequency, {_CENTS.format("sum(spent)")} AS monetary
         FROM orders JOIN (SELECT l_orderkey, sum({_AMOUNT}) AS spent FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""",
     "behaviour_table": q("SELECT * FROM b"),
+    "family_scores": q(" UNION ALL ".join(map(_scored, GIVEN.values()))),
     "scan_tsv": "SELECT * FROM nation",
     "scan_csv": "SELECT * FROM customer",
     "sink_csv_roundtrip": "SELECT * FROM region",

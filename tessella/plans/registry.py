@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tessella import roles
 from tessella.functions import stats
 from tessella.operators import clean, cluster, compare, features, profile, scale, transform
+from tessella.operators import family as families
 from tessella.sources import io, tables
 
 MAP, ORDER, WEIGHT = roles.STAND_IN_MARITAL_MAP, roles.STAND_IN_EDUCATION_ORDER, roles.STAND_IN_MARITAL_WEIGHT
@@ -65,17 +67,79 @@ def curve(spark: SparkSession, sf_dir: str, exact: bool = True) -> DataFrame:
     return cluster.measured(io.settle(points(spark, sf_dir)), AXES, CURVE_CENTERS, exact)
 
 
+def _made(name: str) -> Callable[[DataFrame, float | None], DataFrame]:
+    if name == "demographic":
+        return lambda df, cut: features.demographic(df, WEIGHT, ORDER, cut)
+    return lambda df, cut: (features.product_channel if name == "product_channel" else features.rfm)(df)
+
+
+def _dependency_cut(df: DataFrame) -> float | None:
+    return features.dependency_cut(df.withColumn("TotalChildren", features.children()).withColumn("Income_per_Family_Member", features.income_per_member()))
+
+
+FAMILIES = {
+    name: families.Family(
+        name, _made(name), roles.TRANSFORMS[name], roles.SKEW[name], roles.CANDIDATES[name], roles.TRAINED_PAIRS[name], roles.REFERENCE[name],
+        _dependency_cut if name == "demographic" else None, roles.TRAINED_K[name],
+    )
+    for name in roles.TRAINED_K
+}
+#: Given models: scores of any rows then have one right result.
+GIVEN = {
+    "demographic": families.Model(
+        "demographic", 40.0, [("Age", "Age", "none", None), ("Income", "Income", "yeo-johnson", 0.9), ("Dependency_Ratio", "Dependency_Ratio", "yeo-johnson", 0.5)],
+        [], {"Age": (48.0, 30.0), "Income": (2100.0, 2500.0), "Dependency_Ratio": (1.5, 2.5)}, [[-0.5, 0.0, 0.0], [0.5, -0.5, 0.5], [0.0, 1.0, -0.5]],
+    ),
+    "product_channel": families.Model(
+        "product_channel", None, [("Total_Spent", "Total_Spent_Transformed", "yeo-johnson", 0.25)],
+        [("Total_Spent_Transformed", "TotalPurchases", "PC1_Total_TotalPurchases", 120.0, 30.0, 8.0, 5.0, 1.0)],
+        {"Product_HHI": (0.2, 0.1), "Store_Preference": (0.25, 0.25), "Web_Engagement": (2.0, 2.0), "PC1_Total_TotalPurchases": (0.1, 1.5)},
+        [[0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.5, -1.0], [0.0, 1.0, 0.5, 0.5], [-0.5, -0.5, 1.0, 1.0]],
+    ),
+    "rfm": families.Model(
+        "rfm", None, [("AvgPerPurchase", "AvgPerPurchase_Transformed", "yeo-johnson", 0.6), ("Income_per_Family_Member", "Income_per_Family_Member_Transformed", "yeo-johnson", 0.8)],
+        [("TotalPurchases", "Total_Spent", "PC1_TotalPurchases_Total", 8.0, 5.0, 1500000.0, 900000.0, 1.0),
+         ("AvgPerPurchase_Transformed", "Income", "PC1_AvgPerPurchase_Income", 2400.0, 600.0, 6000.0, 40000.0, -1.0)],
+        {"Recency": (60.0, 120.0), "Income_per_Family_Member_Transformed": (700.0, 800.0), "PC1_TotalPurchases_Total": (0.1, 1.4), "PC1_AvgPerPurchase_Income": (0.0, 1.1)},
+        [[0.5, 0.0, -0.5, 0.0], [-0.2, 0.3, 0.8, 0.2]],
+    ),
+}
+
+
+def fit_family(name: str, spark: SparkSession, sf_dir: str) -> tuple[families.Model, float]:
+    return families.fit(behaviour(spark, sf_dir), FAMILIES[name])
+
+
+def family_export(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The family's features with fitted exponents and components, as clustering gets them before scaling."""
+    return lambda s, d: rounded(families.export(behaviour(s, d), FAMILIES[name], fit_family(name, s, d)[0]))
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(family, cluster, n, pct, inertia): K-Means of each family as it is finally trained, on robust-scaled features."""
-    made = {"demographic": family, "product_channel": products, "rfm": buying}
+    """(family, cluster, n, pct, inertia): K-Means of each family as it is finally trained, on transformed, reduced and robust-scaled features."""
     out = []
-    for name, columns in roles.CLUSTERED.items():
-        df = made[name](spark, sf_dir).select("ID", *columns).na.drop("any")
-        df = io.settle(scale.scaled(df, columns, scale.ROBUST))
-        centers, cost, _ = cluster.best_starts(df, columns, [roles.TRAINED_K[name]])[roles.TRAINED_K[name]]
-        found = cluster.sizes(cluster.assign(df, columns, centers.tolist()))
+    for name, own in FAMILIES.items():
+        model, cost = fit_family(name, spark, sf_dir)
+        found = cluster.sizes(families.score(behaviour(spark, sf_dir), own, model).filter("cluster IS NOT NULL"))
         out.append(found.select(F.lit(name).alias("family"), F.col("cluster").cast("long").alias("cluster"), "n", "pct", F.lit(cost).alias("inertia")))
-    return out[0].union(out[1]).union(out[2])
+    return _stacked(out)
+
+
+def family_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fitted models as the table that they are saved in, written and read again."""
+    fitted_ = [fit_family(name, spark, sf_dir)[0] for name in FAMILIES]
+    return spark.read.parquet(families.save(spark, fitted_, io.scratch(spark, "models")))
+
+
+def family_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given models, through their table, applied to the raw table with its duplicates: (family, ID, cluster, d2)."""
+    models = families.load(families.table(spark, list(GIVEN.values())))
+    scored = [families.score(raw(spark, sf_dir), own, models[name]).select(F.lit(name).alias("family"), "ID", F.col("cluster").cast("long").alias("cluster"), F.round("d2", 4).alias("d2")) for name, own in FAMILIES.items()]
+    return _stacked(scored)
 
 
 def power_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +394,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k_curve": lambda s, d: rounded(curve(s, d).drop("davies_bouldin"), 4),
     "elbow_point": lambda s, d: rounded(cluster.elbow(curve(s, d, exact=False))),
     "vote_k": lambda s, d: cluster.vote(curve(s, d)),
+    "family_demographic": family_export("demographic"),
+    "family_product_channel": family_export("product_channel"),
+    "family_rfm": family_export("rfm"),
+    "family_models": family_models,
+    "family_scores": family_scores,
     "trained_families": lambda s, d: rounded(trained(s, d)),
     "silhouette_exact": lambda s, d: rounded(cluster.silhouettes(labelled(s, d), AXES).agg(F.avg("s").alias("silhouette"))),
     "negative_silhouette": lambda s, d: cluster.silhouettes(labelled(s, d), AXES).agg(F.count_if(F.col("s") < 0).alias("n"), F.round(100.0 * F.count_if(F.col("s") < 0) / F.count("*"), 4).alias("pct")),

@@ -37,12 +37,28 @@ STAND_IN_MARITAL_MAP = {"FURNITURE": "HOUSEHOLD"}
 STAND_IN_EDUCATION_ORDER = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 STAND_IN_MARITAL_WEIGHT = {"AUTOMOBILE": 0, "BUILDING": 0, "HOUSEHOLD": 1, "MACHINERY": 2}
 
-#: K that each family is finally trained with, on robust-scaled inputs, and the features that clustering may use.
+#: K that each family is finally trained with, on robust-scaled inputs; features that are transformed when skewed, with
+#: their new names; features that may be clustered; the pairs that the trained models replace by a component.
 TRAINED_K = {"demographic": 3, "product_channel": 4, "rfm": 2}
-CLUSTERED = {
+TRANSFORMS = {
+    "demographic": {"Age": "Age", "Income": "Income", "Dependency_Ratio": "Dependency_Ratio"},
+    "product_channel": {"Total_Spent": "Total_Spent_Transformed"},
+    "rfm": {"AvgPerPurchase": "AvgPerPurchase_Transformed", "Income_per_Family_Member": "Income_per_Family_Member_Transformed"},
+}
+CANDIDATES = {
     "demographic": ["Age", "Income", "Dependency_Ratio"],
-    "product_channel": ["Total_Spent", "Product_HHI", "Store_Preference", "TotalPurchases"],
-    "rfm": ["Recency", "Income_per_Family_Member", "AvgPerPurchase", "TotalPurchases"],
+    "product_channel": ["Total_Spent_Transformed", "TotalPurchases", "Product_HHI", "Store_Preference", "Web_Engagement"],
+    "rfm": ["Recency", "TotalPurchases", "Total_Spent", "AvgPerPurchase_Transformed", "Income", "Income_per_Family_Member_Transformed"],
+}
+TRAINED_PAIRS = {
+    "demographic": [],
+    "product_channel": [("Total_Spent_Transformed", "TotalPurchases")],
+    "rfm": [("TotalPurchases", "Total_Spent"), ("AvgPerPurchase_Transformed", "Income")],
+}
+REFERENCE = {
+    "demographic": ["Education_ord", "Life_Stage"],
+    "product_channel": ["Wine_Preference", "Meat_Preference", "Fish_Preference", "Fruit_Preference", "Sweet_Preference", "Gold_Preference", "Dominant_Product", "Top_Product_Share"],
+    "rfm": [],
 }
 
 

@@ -43,6 +43,10 @@ def write_delimited(df: DataFrame, path: str, sep: str = ",", stamped: bool = Fa
     return _published(df.sparkSession, path, lambda to: df.write.option("timestampFormat", "yyyy-MM-dd HH:mm:ss").csv(to, sep=sep, header=True))
 
 
+def write_table(df: DataFrame, path: str) -> str:
+    return _published(df.sparkSession, path, lambda to: df.write.parquet(to))
+
+
 def write_text(df: DataFrame, path: str) -> str:
     """A report (section, key, value) as text lines, in one file."""
     line = F.concat_ws(" | ", "section", "key", F.col("value").cast("string"))
