@@ -10,11 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.io import remove, scratch
+
 #: Rows of a block when all pairs of points are compared.
 BLOCK = 1024
+#: What rounding may have taken from a bound.
+_SLACK = 1e-9
 
 
 def squared_distances(features: list[str], centers: list[list[float]]) -> Column:
@@ -121,6 +126,83 @@ def seed_many(df: DataFrame, features: list[str], models: list[tuple[int, int]],
     return centers
 
 
+#: Rounds of seed_parallel(), and candidates that each of them adds for each centre.
+SEED_ROUNDS, OVERSAMPLE = 5, 2
+
+
+def _weighted_seeds(x: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of a few weighted candidates by k-means++, moved to the weighted means of what they are nearest to until they rest."""
+    rng = np.random.default_rng(seed)
+    centers = x[[rng.choice(len(x), p=weights / weights.sum())]]
+    while len(centers) < k:
+        chance = _square(x, centers).min(axis=1) * weights
+        centers = np.vstack([centers, x[rng.choice(len(x), p=chance / chance.sum())]])
+    for _ in range(100):
+        own = _square(x, centers).argmin(axis=1)
+        new = np.array([np.average(x[own == i], axis=0, weights=weights[own == i]) if (own == i).any() else centers[i] for i in range(k)])
+        if np.array_equal(new, centers):
+            break
+        centers = new
+    return centers
+
+
+def seed_parallel(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
+    """Centres for each of `models` (k, seed) by k-means||: SEED_ROUNDS + 2 passes over the rows, whatever k is.
+
+    The first pass takes one row; each round takes OVERSAMPLE * k further rows without replacement, the chance of a row being its squared
+    distance to those taken before (the greatest d2 / -log(u), where u is a hash of key, seed and round); a last pass weighs the
+    candidates by how many rows are nearest to them, and k-means++ over these few gives the centres. A task sends its best rows of each model.
+    Keys may be of any type; rows with equal keys share their chance. Fewer different rows than k raise ValueError.
+    """
+    names = [f"f{i}" for i in range(len(features))]
+    rows = df.select(F.xxhash64(key).alias("_h"), *[F.col(f).cast("double").alias(n) for f, n in zip(features, names)])
+    found = [np.empty((0, len(features))) for _ in models]
+    for turn in range(SEED_ROUNDS + 1):
+        wanted = [1 if turn == 0 else OVERSAMPLE * k for k, _ in models]
+        held = list(found)
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[np.ndarray | None] = [None] * len(models)
+            for batch in batches:
+                x = np.column_stack([batch.column(i + 1).to_numpy() for i in range(len(features))])
+                keys = batch.column(0).to_numpy().view(np.uint64)
+                for m, (_, seed) in enumerate(models):
+                    salt = _scramble(np.array([seed * 1000 + turn], dtype=np.uint64))  # noqa: B023
+                    u = ((_scramble(keys ^ salt) >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
+                    far = _square(x, held[m]).min(axis=1) if len(held[m]) else np.ones(len(x))  # noqa: B023
+                    score = far / -np.log(u)
+                    rows = np.column_stack([score, x])[score > 0]
+                    rows = rows if best[m] is None else np.vstack([best[m], rows])
+                    best[m] = rows[np.argsort(-rows[:, 0], kind="stable")[: wanted[m]]]  # noqa: B023
+            for m, rows in enumerate(best):
+                if rows is not None and len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array([m] * len(rows)), *map(pa.array, rows.T)], names=["model", "score", *names])
+
+        drawn = rows.mapInArrow(draw, "model long, score double, " + ", ".join(f"{n} double" for n in names))
+        most = F.create_map(*[F.lit(v) for m, w in enumerate(wanted) for v in (m, w)])[F.col("model")]
+        place = F.row_number().over(Window.partitionBy("model").orderBy(F.desc("score"), *names))
+        got = drawn.withColumn("_place", place).filter((F.col("_place") <= max(wanted)) & (F.col("_place") <= most)).collect()  # candidates of a round
+        for m in range(len(models)):
+            new = [[r[n] for n in names] for r in got if r["model"] == m]
+            found[m] = np.unique(np.vstack([found[m], new]), axis=0) if new else found[m]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros(len(c), dtype=np.int64) for c in found]
+        for batch in batches:
+            x = np.column_stack([batch.column(i + 1).to_numpy() for i in range(len(features))])
+            for m, c in enumerate(found):
+                sums[m] += np.bincount(_square(x, c).argmin(axis=1), minlength=len(c))
+        for m, n in enumerate(sums):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), m)), pa.array(np.arange(len(n))), pa.array(n)], names=["model", "candidate", "n"])
+
+    if any(len(c) < k for c, (k, _) in zip(found, models)):
+        raise ValueError("the rows are too few, or too alike, for so many centres")
+    weights = [np.zeros(len(c)) for c in found]
+    for r in rows.mapInArrow(weigh, "model long, candidate long, n long").groupBy("model", "candidate").agg(F.sum("n").alias("n")).collect():
+        weights[r["model"]][r["candidate"]] = r["n"]
+    return [_weighted_seeds(c, w, k, seed) for c, w, (k, seed) in zip(found, weights, models)]
+
+
 def lloyd_many(df: DataFrame, features: list[str], centers: list[np.ndarray], rounds: int = 300, tolerance: float = 1e-4) -> list[tuple[np.ndarray, float, int]]:
     """(centres, inertia, rounds) of Lloyd's iteration from each of several starts, all of them in one pass over the rows a round.
 
@@ -174,10 +256,79 @@ def lloyd_many(df: DataFrame, features: list[str], centers: list[np.ndarray], ro
     return out
 
 
+def lloyd_bounded(df: DataFrame, features: list[str], centers: list[list[float]], rounds: int = 300, tolerance: float = 1e-4) -> tuple[np.ndarray, float, list[int]]:
+    """(centres, inertia, distances computed in each round) of Lloyd's iteration that skips distances by bounds: the centres of lloyd_many().
+
+    Every row carries its cluster, an upper bound of the distance to its own centre and a lower bound of that to any other, in a table that
+    each round writes anew. Bounds move with the centres: where the upper one stays below the lower one, or below half the way from its
+    centre to the next, the row keeps its cluster and computes nothing; else its own distance is made exact, and only if that does not do
+    are all distances computed. A centre that loses all its points takes the row that is farthest from its own centre. A round's table goes when the next one is written.
+    """
+    names = [f"f{i}" for i in range(len(features))]
+    fields = ", ".join(f"{n} double" for n in names) + ", cluster int, upper double, lower double"
+    c, spent = np.array(centers, dtype=float), []
+    bare = df.select(*[F.col(f).cast("double").alias(n) for f, n in zip(features, names)])
+    state = bare.withColumns({"cluster": F.lit(-1), "upper": F.lit(0.0), "lower": F.lit(0.0)})
+    drift, path, spark = np.zeros(len(c)), None, df.sparkSession
+
+    def assigned(state: DataFrame, c: np.ndarray, drift: np.ndarray) -> tuple[DataFrame, str, int]:
+        half = _square(c, c)
+        np.fill_diagonal(half, np.inf)
+        half, away = np.sqrt(half.min(axis=1)) / 2 if len(c) > 1 else np.array([np.inf]), float(drift.max())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.column_stack([batch.column(i).to_numpy() for i in range(len(features))])
+                own, upper, lower = (batch.column(len(features) + i).to_numpy().copy() for i in range(3))
+                fresh, n = own < 0, np.zeros(len(x), dtype=np.int64)
+                upper += np.where(fresh, 0.0, drift[own])
+                lower -= away
+                loose = ~fresh & (upper * (1 + _SLACK) >= np.maximum(half[own], lower))
+                at = np.nonzero(loose)[0]
+                upper[at] = np.sqrt(((x[at] - c[own[at]]) ** 2).sum(axis=1))
+                n[at] += 1
+                at = np.nonzero(fresh | loose & (upper * (1 + _SLACK) >= np.maximum(half[own], lower)))[0]
+                if len(at):
+                    d = np.sqrt(_square(x[at], c))
+                    n[at] += d.shape[1]
+                    own[at] = d.argmin(axis=1)
+                    upper[at] = d.min(axis=1)
+                    lower[at] = np.partition(d, 1, axis=1)[:, 1] if d.shape[1] > 1 else np.inf
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(features))], pa.array(own), pa.array(upper), pa.array(lower), pa.array(n)], names=[*names, "cluster", "upper", "lower", "n"])
+
+        seen, to = Observation(), scratch(spark, "lloyd")
+        state.mapInArrow(run, fields + ", n long").observe(seen, F.sum("n").alias("n")).drop("n").write.parquet(to)
+        return spark.read.schema(fields).parquet(to), to, int(seen.get["n"] or 0)
+
+    try:
+        for _ in range(rounds):
+            state, new_path, n = assigned(state, c, drift)
+            path, old = new_path, path
+            if old:
+                remove(spark, old)
+            spent.append(n)
+            means = {r["cluster"]: [r[x] for x in names] for r in state.groupBy("cluster").agg(*[F.avg(x).alias(x) for x in names]).collect()}
+            if not means:
+                raise ValueError("no rows to cluster")
+            if empty := [i for i in range(len(c)) if i not in means]:
+                away = state.withColumn("_d", squared_distances(names, c.tolist())).groupBy("cluster").agg(F.max(F.struct(F.array_min("_d").alias("d2"), *names)).alias("x"))
+                spare = sorted((r["x"] for r in away.collect()), reverse=True)  # one row for each centre
+                means |= {i: list(x)[1:] for i, x in zip(empty, spare)}
+            new = np.array([means[i] for i in range(len(c))])
+            drift, moved, c = np.sqrt(((new - c) ** 2).sum(axis=1)), float(np.linalg.norm(new - c)), new
+            if moved < tolerance:
+                break
+        cost = bare.select(F.array_min(squared_distances(names, c.tolist())).alias("d2")).agg(F.sum("d2")).first()[0]
+    finally:
+        if path:
+            remove(spark, path)
+    return c, cost, spent
+
+
 def best_starts(df: DataFrame, features: list[str], ks: list[int], starts: int = 10, seed: int = 42, key: str = "ID") -> dict[int, tuple[np.ndarray, float, int]]:
-    """k -> (centres, inertia, rounds) of the best of several k-means++ starts by inertia."""
+    """k -> (centres, inertia, rounds) of the best of several k-means|| starts by inertia."""
     models = [(k, seed + i) for k in ks for i in range(starts)]
-    found = lloyd_many(df, features, seed_many(df, features, models, key))
+    found = lloyd_many(df, features, seed_parallel(df, features, models, key))
     return {k: min((r for (own, _), r in zip(models, found) if own == k), key=lambda r: r[1]) for k in ks}
 
 

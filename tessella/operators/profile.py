@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella import roles
 from tessella.functions.stats import quantiles, tall, unpivot
+from tessella.functions.values import distinct_counts, duplicates, top_values
 
 
 def others(df: DataFrame, key: str = roles.ID) -> list[str]:
@@ -34,12 +35,7 @@ def groups(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def duplicate_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """surplus: rows beyond the first of each group; in_groups: rows in groups of two or more."""
-    n = F.col("n")
-    return groups(df, columns).agg(
-        F.coalesce(F.sum(n - 1), F.lit(0)).alias("surplus"),
-        F.coalesce(F.sum(F.when(n > 1, n)), F.lit(0)).alias("in_groups"),
-        F.count_if(n > 1).alias("n_groups"),
-    )
+    return duplicates(df, {"rows": columns}).select("surplus", "in_groups", "n_groups")
 
 
 def duplicate_groups(df: DataFrame, columns: list[str], key: str = roles.ID) -> DataFrame:
@@ -60,11 +56,15 @@ def duplicate_keys(df: DataFrame, key: str = roles.ID) -> DataFrame:
     return groups(df, [key]).filter("n > 1")
 
 
+def _surplus(df: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """One row with the surplus of each set of columns, from one pass."""
+    return duplicates(df, sets).agg(*[F.max(F.when(F.col("name") == n, F.col("surplus"))).alias(n) for n in sets])
+
+
 def hidden_duplicates(df: DataFrame, key: str = roles.ID) -> DataFrame:
     """Rows that repeat another's features under another key."""
-    full = duplicate_counts(df, df.columns).select(F.col("surplus").alias("full_row"))
-    features = duplicate_counts(df, others(df, key)).select(F.col("surplus").alias("features"))
-    return full.crossJoin(F.broadcast(features)).withColumn("hidden", F.col("features") - F.col("full_row"))
+    found = _surplus(df, {"full_row": df.columns, "features": others(df, key)})
+    return found.withColumn("hidden", F.col("features") - F.col("full_row"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -75,19 +75,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def frequencies(df: DataFrame, c: str, all_up_to: int = 15, top: int = 10) -> DataFrame:
     """Counts and shares of the non-null values: all if there are few, else the most frequent. Shares are of all rows."""
-    counts = df.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-    facts = counts.agg(F.sum("n").alias("total"), F.count("value").alias("n_values"))
-    # the first all_up_to of an order are kept in each task; no task orders all values
-    first = counts.filter("value IS NOT NULL").orderBy(F.desc("n"), "value").limit(max(all_up_to, top))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))
-    shown = first.withColumn("rank", rank).crossJoin(F.broadcast(facts))
-    shown = shown.filter((F.col("n_values") <= all_up_to) | (F.col("rank") <= top))
+    first, _, more = top_values(df, c, max(all_up_to, top))
+    rank = F.row_number().over(Window.orderBy(F.desc("n"), "value"))  # of a few rows
+    shown = first.withColumn("rank", rank).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))
+    shown = shown.filter(F.col("rank") <= (top if more else all_up_to))
     return shown.select("value", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
 
 
 def cardinality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values of each column and the class of their ratio to the rows."""
-    counts = tall(df, columns, {"n_distinct": lambda c: F.count_distinct(F.col(c)), "n_rows": lambda c: F.count("*")}, "column")
+    counts = distinct_counts(df, columns).select("column", "n_distinct", "n_rows")
     ratio = F.try_divide(F.col("n_distinct"), F.col("n_rows"))
     kind = F.when(ratio > 0.9, "HIGH").when(ratio > 0.5, "MEDIUM").when(ratio > 0.1, "LOW").when(F.col("n_distinct") == 1, "CONSTANT").otherwise("CATEGORICAL")
     return counts.withColumn("class", kind)
@@ -102,9 +99,8 @@ def basic_info(df: DataFrame) -> DataFrame:
 
 def column_info(df: DataFrame) -> DataFrame:
     """(column, type, n_missing, n_distinct) of every column."""
-    found = tall(df, df.columns, {"n_missing": lambda c: F.count_if(F.col(c).isNull()), "n_distinct": lambda c: F.count_distinct(F.col(c))}, "column")
     kind = F.create_map(*[F.lit(x) for pair in df.dtypes for x in pair])[F.col("column")]
-    return found.select("column", kind.alias("type"), "n_missing", "n_distinct")
+    return distinct_counts(df, df.columns).select("column", kind.alias("type"), "n_missing", "n_distinct")
 
 
 def outlier_bounds(df: DataFrame, columns: list[str], floor: bool = True, factor: float = roles.IQR_FACTOR) -> DataFrame:
@@ -150,7 +146,8 @@ def birth_year_outliers(df: DataFrame, c: str = "Year_Birth") -> DataFrame:
 
 
 def constants(df: DataFrame, columns: list[str]) -> DataFrame:
-    found = tall(df, columns, {"n_distinct": lambda c: F.count_distinct(F.col(c)), "value": F.min}, "column")
+    least = tall(df, columns, {"value": F.min}, "column")
+    found = distinct_counts(df, columns).select("column", "n_distinct").join(F.broadcast(least), "column")  # a row for each column
     return found.withColumn("is_constant", F.col("n_distinct") == 1)
 
 
@@ -208,5 +205,6 @@ def quality_summary(df: DataFrame, key: str = roles.ID) -> DataFrame:
     cells = sum((F.count_if(F.col(c).isNull()) for c in df.columns[1:]), F.count_if(F.col(df.columns[0]).isNull()))
     size = df.agg(F.count("*").alias("n_rows"), cells.alias("missing_cells"))
     size = size.withColumn("missing_pct", F.round(F.try_divide(100.0 * F.col("missing_cells"), F.col("n_rows") * len(df.columns)), 2))
-    keys = duplicate_counts(df, [key]).select(F.col("surplus").alias("duplicate_keys"))
-    return size.crossJoin(F.broadcast(hidden_duplicates(df, key))).crossJoin(F.broadcast(keys))
+    found = _surplus(df, {"full_row": df.columns, "features": others(df, key), "duplicate_keys": [key]})
+    found = found.select("full_row", "features", (F.col("features") - F.col("full_row")).alias("hidden"), "duplicate_keys")
+    return size.crossJoin(F.broadcast(found))

@@ -338,6 +338,7 @@ SQL: dict[str, str] = {
     "update_centroids": q(f"SELECT cluster, count(*) AS n, {_CENTER} FROM k GROUP BY cluster", 6, " ".join(AXES)),
     "inertia": q("SELECT sum(d2) AS inertia FROM k", 4, "inertia"),
     "kmeanspp_weights": q("SELECT ID, d2, d2 / sum(d2) OVER () AS p, sum(d2) OVER (ORDER BY ID) / sum(d2) OVER () AS cum FROM k", 6, "d2 p cum"),
+    "kmeans_lloyd_bounded": q(_step("z", "c2"), 6, " ".join(AXES), _LLOYD),
     "kmeans_lloyd_fixed": q(_step("z", "c2"), 6, " ".join(AXES), _LLOYD),
     "k_curve": q("SELECT k, wcss, silhouette FROM c", 4, "wcss silhouette", _CURVE),
     "elbow_point": q("SELECT k, distance FROM t", 6, "distance", _CURVE),

@@ -188,6 +188,11 @@ def lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.update(cluster.assign(df, AXES, cluster.lloyd(df, AXES, CENTERS, 2)), AXES)
 
 
+def lloyd_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = io.settle(points(spark, sf_dir))
+    return cluster.update(cluster.assign(df, AXES, cluster.lloyd_bounded(df, AXES, CENTERS, 2)[0].tolist()), AXES)
+
+
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = io.settle(points(spark, sf_dir))
     return cluster.sizes(cluster.assign(df, AXES, cluster.kmeans(df, AXES, roles.TRAINED_K["rfm"])))
@@ -388,6 +393,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "init_random": lambda s, d: s.createDataFrame(cluster.random_centers(points(s, d), AXES, 3, 42), ", ".join(f"{c} double" for c in AXES)),
     "kmeanspp_weights": lambda s, d: rounded(cluster.seeding_weights(points(s, d), AXES, CENTERS)),
     "kmeans_lloyd_fixed": lambda s, d: rounded(lloyd(s, d)),
+    "kmeans_lloyd_bounded": lambda s, d: rounded(lloyd_bounded(s, d)),
     "kmeans_restarts": kmeans,
     "kmeans_ml": lambda s, d: cluster.sizes(cluster.ml_kmeans(io.settle(points(s, d)), AXES, roles.TRAINED_K["rfm"])[0]),
     "k_sweep": lambda s, d: cluster.sweep(io.settle(points(s, d)), AXES),

@@ -69,6 +69,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table, or a folder of them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, for work that reads it many times; cuts the lineage."""
     shared(df.sparkSession)
