@@ -7,11 +7,13 @@ is fitted: at most SAMPLE queries are searched exactly (one pass over all rows),
 the share RECALL of their neighbours. m follows the number of rows; where probes do not suffice, it is lowered, and one hash with all its
 codes holds every row, so the share is always reached on the sample.
 
-Rows go to groups of codes, with their vectors, once for each table; a query goes to each group that it probes, with the codes. Groups
-are split into blocks of about ROWS rows by their counted size, however many rows a code has. A block's rows come first and are held as
-one matrix, its queries stream past it. The probed rows' scores are computed anew in a fixed order of summation, so that equal vectors
-tie; each block gives a query its k best, and those of all blocks are ranked. Of equal vectors only the k + 1 of least id are kept, as no more can be among
-the k best. Queries that find fewer than k rows are searched exactly, block by block.
+Tables are searched one after the other. Rows go to groups of codes, with their vectors; a query goes to each group that it probes, with
+the codes. Groups are split into blocks of about ROWS rows by their counted size, however many rows a code has. A block's rows come
+first and are held as one matrix, its queries stream past it. The probed rows' scores are computed anew in a fixed order of summation, so
+that equal vectors tie. A block gives a query its k best, and of them only what reaches the k-th best score that the query has from the
+searches before, the first of which is one group, that of its nearest code; so what leaves the blocks does not grow with their number.
+Of equal vectors only the k + 1 of least id are kept, as no more can be among the k best. Queries that find fewer than k rows are
+searched exactly, block by block.
 
 Edges: rows with a null id, or a vector that is null, empty, zero or holds null, NaN or infinity, take no part. Rows equal in id and
 vector count once; a query does not find rows of its own id. A shorter vector counts as if it went on with zeros. Equal scores go by id. Without
@@ -32,7 +34,7 @@ from tessella.llm.arrow_words import mixed
 from tessella.llm.common import settle
 
 #: Tables; rows of a block; rows that a code should hold; queries that the fit searches exactly, and the share of their neighbours wanted.
-TABLES, ROWS, CODE_ROWS, SAMPLE, RECALL = 4, 4096, 65_536, 100, 0.95
+TABLES, ROWS, CODE_ROWS, SAMPLE, RECALL = 3, 4096, 65_536, 100, 0.95
 #: Probes of a table that the fit considers where a code has more than one hash.
 MOST_PROBES = 256
 #: Numbers that are worked on at once.
@@ -67,36 +69,30 @@ class Index:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0.0))
         return np.hstack([x, more[:, None]])
 
-    def codes(self, x: np.ndarray) -> np.ndarray:
-        """(row, table) -> code."""
-        x = self.lifted(x, False)
-        out = np.zeros((len(x), len(self.signs)), dtype=np.int64)
-        for t in range(out.shape[1]):
-            for h in range(self.signs.shape[1]):
-                out[:, t] = out[:, t] * (2 * self.width) + self._scores(x, t, h).argmax(axis=1)
+    def codes(self, x: np.ndarray, table: int) -> np.ndarray:
+        """The code of each row in a table."""
+        x, out = self.lifted(x, False), np.zeros(len(x), dtype=np.int64)
+        for h in range(self.signs.shape[1]):
+            out = out * (2 * self.width) + self._scores(x, table, h).argmax(axis=1)
         return out
 
-    def probed(self, x: np.ndarray, most: int) -> np.ndarray:
-        """(row, table, place) -> the codes nearest to a query, nearest first: by the sum over hashes of squared gaps to the best axis."""
+    def probed(self, x: np.ndarray, table: int, most: int) -> np.ndarray:
+        """(row, place) -> the codes of a table nearest to a query, nearest first: by the sum over hashes of squared gaps to the best axis."""
         x = self.lifted(x, True)
-        out = []
-        for t in range(len(self.signs)):
-            codes, gaps = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
-            for h in range(self.signs.shape[1]):
-                scores = self._scores(x, t, h)
-                axes = np.argsort(-scores, axis=1, kind="stable")[:, :most]
-                gap = (scores.max(axis=1, keepdims=True) - np.take_along_axis(scores, axes, axis=1)) ** 2
-                gaps = (gaps[:, :, None] + gap[:, None]).reshape(len(x), -1)
-                codes = (codes[:, :, None] * (2 * self.width) + axes[:, None]).reshape(len(x), -1)
-                best = np.argsort(gaps, axis=1, kind="stable")[:, :most]
-                gaps, codes = np.take_along_axis(gaps, best, axis=1), np.take_along_axis(codes, best, axis=1)
-            out.append(codes)
-        return np.stack(out, axis=1)
-
-    def group(self, codes: np.ndarray) -> np.ndarray:
-        """The group of codes (..., table) over all tables."""
-        own = (mixed(codes.astype(np.uint64)) % np.uint64(self.groups)).astype(np.int64)
-        return own + np.arange(len(self.signs)) * self.groups
+        codes, gaps = np.zeros((len(x), 1), dtype=np.int64), np.zeros((len(x), 1))
+        for h in range(self.signs.shape[1]):
+            scores = self._scores(x, table, h)
+            axes = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            gap = (scores.max(axis=1, keepdims=True) - np.take_along_axis(scores, axes, axis=1)) ** 2
+            gaps = (gaps[:, :, None] + gap[:, None]).reshape(len(x), -1)
+            codes = (codes[:, :, None] * (2 * self.width) + axes[:, None]).reshape(len(x), -1)
+            best = np.argsort(gaps, axis=1, kind="stable")[:, :most]
+            gaps, codes = np.take_along_axis(gaps, best, axis=1), np.take_along_axis(codes, best, axis=1)
+        return codes
+
+    def group(self, codes: np.ndarray, table: int) -> np.ndarray:
+        """The group of codes of a table."""
+        return (mixed(codes.astype(np.uint64)) % np.uint64(self.groups)).astype(np.int64) + table * self.groups
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -191,6 +187,8 @@ def _in_block(width: int, k: int, seen: bool):
                             probed[np.repeat(np.arange(len(queries)), sizes)[there], at[there]] = True
                             scores[~probed[:, code]] = -np.inf
                         scores[own[:, None] == ids[None]] = -np.inf
+                        floor = some.column("floor").to_numpy()
+                        scores[scores < (floor - 1e-9 * (1.0 + np.abs(np.where(np.isfinite(floor), floor, 0.0))))[:, None]] = -np.inf
                         q, r, exact = _best(scores, ids, rows, queries, k)
                         yield pa.RecordBatch.from_arrays([pa.array(some.column("q").to_numpy()[q]), pa.array(ids[r]), pa.array(exact)], schema=schema)
 
@@ -198,9 +196,10 @@ def _in_block(width: int, k: int, seen: bool):
 
 
 def _compared(rows: DataFrame, queries: DataFrame, width: int, k: int, seen: bool) -> DataFrame:
-    """(q, vec_id, score): the k best of each query in each block. Both have group, block, codes, vec_id, v; queries have q."""
-    names = ["group", "block", "side", "q", "vec_id", "codes", "v"]
-    sides = rows.withColumns({"side": F.lit(0), "q": F.lit(0).cast("long")}).select(names).union(queries.withColumn("side", F.lit(1)).select(names))
+    """(q, vec_id, score): the k best of each query in each block, from its `floor` on. Both have group, block, codes, vec_id, v; queries
+    have q and floor."""
+    names = ["group", "block", "side", "q", "floor", "vec_id", "codes", "v"]
+    sides = rows.withColumns({"side": F.lit(0), "q": F.lit(0).cast("long"), "floor": F.lit(0.0)}).select(names).union(queries.withColumn("side", F.lit(1)).select(names))
     dealt = sides.repartition("group", "block").sortWithinPartitions("group", "block", "side")
     return dealt.mapInArrow(_in_block(width, k, seen), "q long, vec_id long, score double")
 
@@ -217,7 +216,7 @@ def _blocks(n: int) -> int:
 
 def exact(rows: DataFrame, queries: DataFrame, n: int, width: int, k: int) -> DataFrame:
     """(q, vec_id, score, rank): each query against all rows, in blocks."""
-    none = {"group": F.lit(0).cast("long"), "codes": F.array(F.lit(0).cast("long"))}
+    none = {"group": F.lit(0).cast("long"), "codes": F.array(F.lit(0).cast("long")), "floor": F.lit(float("-inf"))}
     rows = rows.withColumns(none | {"block": F.pmod(F.xxhash64("vec_id"), F.lit(_blocks(n)))})
     queries = queries.withColumns(none | {"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_blocks(n) - 1).cast("long")))})
     return ranked(_compared(rows, queries, width, k, False), k)
@@ -225,12 +224,12 @@ def exact(rows: DataFrame, queries: DataFrame, n: int, width: int, k: int) -> Da
 
 def _hits(index: Index, width: int, queries: np.ndarray, neighbours: list[tuple[int, np.ndarray]], most: int) -> np.ndarray:
     """For each (query, neighbour) the least place of the neighbour's code among the query's probes of a table; `most` if it is in none."""
-    probes = index.probed(queries, most)
-    codes = index.codes(np.vstack([x for _, x in neighbours]))
-    at = np.array([q for q, _ in neighbours])
-    same = probes[at] == codes[:, :, None]
-    place = np.where(same.any(axis=2), same.argmax(axis=2), most)
-    return place.min(axis=1)
+    at, x = np.array([q for q, _ in neighbours]), np.vstack([x for _, x in neighbours])
+    best = np.full(len(at), most)
+    for t in range(len(index.signs)):
+        same = index.probed(queries, t, most)[at] == index.codes(x, t)[:, None]
+        best = np.minimum(best, np.where(same.any(axis=1), same.argmax(axis=1), most))
+    return best
 
 
 def fit(rows: DataFrame, queries: DataFrame, n: int, width: int, norms: tuple[float, float], k: int, recall: float = RECALL, seed: int = 1) -> Index:
@@ -283,26 +282,39 @@ def _near_sample(rows: DataFrame, asked: np.ndarray, own: np.ndarray, width: int
     return found.withColumn("_place", place).filter(F.col("_place") <= k).select("q", "v")
 
 
-def _grouped(df: DataFrame, index: Index, width: int, query: bool) -> DataFrame:
-    """Each row, or query, once for each group that one of its codes is in: (group, codes, q, vec_id, v)."""
-    kind = df.schema["v"].dataType.simpleString()
-    df = df.select("q" if query else F.lit(0).cast("long").alias("q"), "vec_id", "v")
+def _placed(rows: DataFrame, blocks: DataFrame, index: Index, width: int, table: int) -> DataFrame:
+    """Each row in its group and block of a table: (group, block, codes, vec_id, v)."""
+    kind = rows.schema["v"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = index.probes * len(index.signs) if query else len(index.signs)
-        for part in _parts(batches, max(4 * index.width, most)):
-            x = _matrix(part.column("v"), width)
-            codes = index.probed(x, index.probes) if query else index.codes(x)[:, :, None]
-            group = np.swapaxes(index.group(np.swapaxes(codes, 1, 2)), 1, 2).reshape(len(x), -1)
-            row = np.repeat(np.arange(len(x)), group.shape[1])
-            order = np.lexsort((group.ravel(), row))
-            row, group, codes = row[order], group.ravel()[order], codes.reshape(-1)[order]
+        for part in _parts(batches, 4 * index.width):
+            codes = index.codes(_matrix(part.column("v"), width), table)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32)), pa.array(codes))
+            yield pa.RecordBatch.from_arrays([pa.array(index.group(codes, table)), lists, part.column("vec_id"), part.column("v")], names=["group", "codes", "vec_id", "v"])
+
+    placed = rows.select("vec_id", "v").mapInArrow(run, f"group long, codes array<long>, vec_id long, v {kind}")
+    return placed.join(blocks, "group", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.coalesce("blocks", F.lit(1))))
+
+
+def _asked(queries: DataFrame, blocks: DataFrame, index: Index, width: int, table: int, probes: int) -> DataFrame:
+    """Each query once for each block of the groups that its probes of a table are in: (group, block, codes, q, floor, vec_id, v)."""
+    kind = queries.schema["v"].dataType.simpleString()
+    names = ["q", "floor", "vec_id", "v"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, max(4 * index.width, probes)):
+            codes = index.probed(_matrix(part.column("v"), width), table, probes)
+            group, row = index.group(codes, table).ravel(), np.repeat(np.arange(len(codes)), codes.shape[1])
+            order = np.lexsort((group, row))
+            row, group, codes = row[order], group[order], codes.ravel()[order]
             starts = np.nonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(group) != 0)]))[0] if len(row) else row
             lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), pa.array(codes))
             at = pa.array(row[starts])
-            yield pa.RecordBatch.from_arrays([pa.array(group[starts]), lists, *[part.column(c).take(at) for c in ("q", "vec_id", "v")]], names=["group", "codes", "q", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(group[starts]), lists, *[part.column(c).take(at) for c in names]], names=["group", "codes", *names])
 
-    return df.mapInArrow(run, f"group long, codes array<long>, q long, vec_id long, v {kind}")
+    asked = queries.select(names).mapInArrow(run, f"group long, codes array<long>, q long, floor double, vec_id long, v {kind}")
+    all_ = F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1)
+    return asked.join(blocks, "group", "left").withColumn("block", F.explode(all_))
 
 
 def _counts(rows: DataFrame, index: Index, width: int) -> DataFrame:
@@ -310,7 +322,8 @@ def _counts(rows: DataFrame, index: Index, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches, 4 * index.width):
-            group, n = np.unique(index.group(index.codes(_matrix(part.column("v"), width))), return_counts=True)
+            x = _matrix(part.column("v"), width)
+            group, n = np.unique([index.group(index.codes(x, t), t) for t in range(len(index.signs))], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(n)], names=["group", "n"])
 
     counted = rows.select("v").mapInArrow(run, "group long, n long").groupBy("group").agg(F.sum("n").alias("n"))
@@ -328,11 +341,15 @@ def search(df: DataFrame, is_query: Column | str, id_: str = "vec_id", vector: s
     if not n or queries.isEmpty():
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index = fit(rows, queries, n, width, (facts["low"], facts["high"]), k, recall)
-    blocks = _counts(rows, index, width)
-    split = F.coalesce("blocks", F.lit(1))
-    placed = _grouped(rows, index, width, False).join(blocks, "group", "left").withColumn("block", F.pmod(F.xxhash64("vec_id"), split))
-    asked = _grouped(queries, index, width, True).join(blocks, "group", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), split - 1)))
-    found = settle(ranked(_compared(placed, asked, width, k, True), k))
+    blocks, found = settle(_counts(rows, index, width)), None
+    # the group of the nearest code first, for a score to reach; then the tables
+    for table, probes in [(len(index.signs) - 1, 1), *((t, index.probes) for t in range(len(index.signs)))]:
+        asked = queries.withColumn("floor", F.lit(float("-inf")))
+        if found is not None:
+            floors = found.filter(F.col("rank") == k).select(F.col("q").alias("_q"), F.col("score").alias("floor"))
+            asked = queries.join(floors, F.col("q") == F.col("_q"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))).drop("_q")
+        new = _compared(_placed(rows, blocks, index, width, table), _asked(asked, blocks, index, width, table, probes), width, k, True)
+        found = settle(ranked(new if found is None else found.select("q", "vec_id", "score").union(new), k))
     short = queries.join(found.groupBy("q").agg(F.count(F.lit(1)).alias("n")), "q", "left").filter(F.coalesce("n", F.lit(0)) < min(k, n - 1)).drop("n")
     short = settle(short)
     if short.isEmpty():
