@@ -10,10 +10,13 @@ from math import ceil, floor, pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.crossproduct import correlations
 from tessella.sources.io import settle
 
 #: Values of a bracket that are fetched to take an order statistic from; and the accuracy of the sketch that narrows brackets.
 FEW, ACCURACY = 10_000, 10_000
+#: Columns whose pairs are expressions of one aggregate.
+WIDE = 12
 
 
 def unpivot(df: DataFrame, columns: list[str], key: str = "feature", value: str = "value", keep: list[str] | None = None) -> DataFrame:
@@ -121,8 +124,10 @@ def correlation(a: str, b: str) -> Column:
     return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(i, j, f1, f2, r) for i < j, from one aggregate."""
+def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> DataFrame:
+    """(i, j, f1, f2, r) for i < j, from one aggregate; of more than `wide` columns, from products of blocks."""
+    if len(columns) > wide:
+        return correlations(df, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
     wide = df.agg(*[correlation(columns[i], columns[j]).alias(f"r_{i}_{j}") for i, j in pairs])
     rows = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
+from tessella.operators.log import Log, step
 from tessella.sources.io import settle
 
 #: Rare categories that are broadcast.
@@ -116,19 +117,27 @@ def drop_columns(df: DataFrame) -> DataFrame:
     return df.drop(*roles.DROPPED)
 
 
-def clean(df: DataFrame, marital_map: dict = roles.MARITAL_MAP, order: list[str] = roles.EDUCATION_ORDER, threshold: float = roles.RARE, key: str | None = None) -> DataFrame:
+def clean(
+    df: DataFrame, marital_map: dict = roles.MARITAL_MAP, order: list[str] = roles.EDUCATION_ORDER, threshold: float = roles.RARE, key: str | None = None,
+    log: Log | None = None,
+) -> DataFrame:
     """The whole cleaning in order: missing, duplicates, outliers, categories, types and encodings, drop, second dedupe.
 
     Rows that become equal only by remapping or by the drop of the key go in the last step. With `key`, that column is kept
-    and the last dedupe keeps its least value.
+    and the last dedupe keeps its least value. A `log` counts the rows of each step in the jobs that compute them.
     """
+    roles.assert_columns(df, [roles.ID, "Income", "Year_Birth", "Education", "Marital_Status", "Dt_Customer"])
+    df = step(log, df, "load")
+    df = step(log, drop_missing(df), "drop rows with missing values")
+    df = step(log, dedupe(df), "drop duplicate features")
+    df = step(log, remove_outliers(df), "remove outliers")
     # what remains is read three times: for shares, for levels and for the result
-    df = settle(parse_date(remap(remove_outliers(dedupe(drop_missing(df))), "Marital_Status", marital_map)))
+    df = settle(parse_date(remap(df, "Marital_Status", marital_map)))
     df = df.withColumn("Education_ord", ordinal("Education", order))
-    df = one_hot(df, "Marital_Status", threshold=threshold)
+    df = step(log, one_hot(df, "Marital_Status", threshold=threshold), "encode categories")
     if key:
-        return dedupe(df.drop(*[c for c in roles.DROPPED if c != key]), key)
-    return drop_columns(df).distinct()
+        return step(log, dedupe(df.drop(*[c for c in roles.DROPPED if c != key]), key), "drop columns and duplicate rows")
+    return step(log, drop_columns(df).distinct(), "drop columns and duplicate rows")
 
 
 def category_changes(before: DataFrame, after: DataFrame, c: str) -> DataFrame:

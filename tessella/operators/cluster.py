@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from tessella.sources.io import remove, scratch
+from tessella.functions.ranges import running_totals
+from tessella.sources.io import remove, scratch, settle
 
 #: Rows of a block when all pairs of points are compared.
 BLOCK = 1024
@@ -67,18 +68,10 @@ def random_centers(df: DataFrame, features: list[str], k: int, seed: int, key: s
 
 
 def seeding_weights(df: DataFrame, features: list[str], centers: list[list[float]], key: str = "ID") -> DataFrame:
-    """(key, d2, p, cum): chance of each row as the next k-means++ centre and its cumulative chance in key order.
-
-    Sums are taken within 256 hash-free ranges of the key first, so that no task orders all rows.
-    """
+    """(key, d2, p, cum): chance of each row as the next k-means++ centre and its cumulative chance in the order of the keys, of any type."""
     rows = df.select(key, F.array_min(squared_distances(features, centers)).alias("d2"))
-    facts = rows.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.sum("d2").alias("_all"))
-    rows = rows.crossJoin(F.broadcast(facts)).withColumn("_range", F.floor((F.col(key) - F.col("_lo")) * 256 / (F.col("_hi") - F.col("_lo") + 1)))
-    parts = rows.groupBy("_range").agg(F.sum("d2").alias("_part"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_part").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    within = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(F.broadcast(parts.drop("_part")), "_range")  # 256 rows
-    return joined.select(key, "d2", (F.col("d2") / F.col("_all")).alias("p"), ((F.col("_before") + F.sum("d2").over(within)) / F.col("_all")).alias("cum"))
+    ended = running_totals(rows, [key], "d2")
+    return ended.crossJoin(F.broadcast(rows.agg(F.sum("d2").alias("_all")))).select(key, "d2", (F.col("d2") / F.col("_all")).alias("p"), (F.col("cum") / F.col("_all")).alias("cum"))
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -348,19 +341,22 @@ def ml_kmeans(df: DataFrame, features: list[str], k: int, starts: int = 10, seed
     return best.transform(vectors).drop("_v"), best.summary.trainingCost
 
 
-def measured(df: DataFrame, features: list[str], centers: dict[int, list[list[float]]], exact: bool = True, key: str = "ID") -> DataFrame:
+def measured(df: DataFrame, features: list[str], centers: dict[int, list[list[float]]], exact: bool | float = True, key: str = "ID") -> DataFrame:
     """(k, wcss, silhouette, davies_bouldin) of given centres for each k. With `exact` the silhouette is the Euclidean one, which
-    is quadratic in the rows; else the one under squared distance, which is linear."""
+    is quadratic in the rows; with a number it is that within this error; else the one under squared distance, which is linear."""
     rows = []
     for k, c in centers.items():
         labelled = assign(df, features, c)
-        mean = silhouettes(labelled, features, key).agg(F.avg("s")) if exact else squared_silhouette(labelled, features)
+        if isinstance(exact, float):
+            mean = df.sparkSession.createDataFrame([(silhouette_estimate(labelled, features, exact, key)[0],)], "s double")
+        else:
+            mean = silhouettes(labelled, features, key).agg(F.avg("s")) if exact else squared_silhouette(labelled, features)
         row = inertia(labelled).crossJoin(F.broadcast(mean.toDF("silhouette"))).crossJoin(F.broadcast(davies_bouldin(labelled, features)))
         rows.append((k, *map(float, row.first())))
     return df.sparkSession.createDataFrame(rows, "k int, wcss double, silhouette double, davies_bouldin double")
 
 
-def sweep(df: DataFrame, features: list[str], ks: range = range(2, 11), seed: int = 42, starts: int = 10, exact: bool = True, key: str = "ID") -> DataFrame:
+def sweep(df: DataFrame, features: list[str], ks: range = range(2, 11), seed: int = 42, starts: int = 10, exact: bool | float = True, key: str = "ID") -> DataFrame:
     """(k, wcss, silhouette, davies_bouldin) of the best of several starts for each k; all starts of all k share their passes."""
     found = best_starts(df, features, list(ks), starts, seed, key)
     return measured(df, features, {k: c.tolist() for k, (c, _, _) in found.items()}, exact, key)
@@ -411,8 +407,8 @@ def silhouettes(assigned: DataFrame, features: list[str], key: str = "ID", block
     This measure is quadratic by definition. Rows are dealt into blocks, each pair of blocks sums up distances to clusters in
     one task, and only (row, cluster) sums leave it. For large tables use squared_silhouette(), which is linear.
     """
-    rows = assigned.select(F.col(key).alias("key"), F.col("cluster").cast("long").alias("cluster"), *features)
-    n = rows.count()
+    rows = assigned.select(F.col(key).alias("key"), F.col("cluster").cast("long").alias("cluster"), *[F.col(f).alias(f"_f{i}") for i, f in enumerate(features)])
+    features, n = [f"_f{i}" for i in range(len(features))], rows.count()
     blocks = max(1, -(-n // block))
     rows = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     wanted = ["key", "cluster", *features]
@@ -430,6 +426,70 @@ def silhouettes(assigned: DataFrame, features: list[str], key: str = "ID", block
     return each.select(F.col("key").alias(key), "cluster", value.alias("s"))
 
 
+#: Rows of each cluster that the estimate of the silhouette looks at first, and at most.
+PILOT, MOST_SAMPLED = 200, 20_000
+
+
+def silhouette_estimate(assigned: DataFrame, features: list[str], error: float, key: str = "ID", exact_up_to: int = 20_000, z: float = 3.0, seed: int = 1) -> tuple[float, float, int]:
+    """(mean silhouette, bound, rows looked at): the mean Euclidean silhouette within `bound`, which is at most `error` where that takes
+    no more than MOST_SAMPLED rows, else what these give; up to `exact_up_to` rows it is exact and the bound 0.
+
+    Rows are sampled by a hash of their key within each cluster, and compared with all rows: tasks sum the distances of the sampled rows to
+    their rows of each cluster. The spread within each cluster in a first sample says how many rows of it are needed; the bound is z standard
+    errors of the stratified mean, with correction for the finite clusters. A cluster whose rows are all sampled has no error.
+    """
+    rows = settle(assigned.select(F.col(key).alias("_key"), F.col("cluster").cast("long").alias("_cluster"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)]))
+    sizes = {r["_cluster"]: r["n"] for r in rows.groupBy("_cluster").agg(F.count("*").alias("n")).collect()}
+    n, order = sum(sizes.values()), sorted(sizes)
+    if n <= exact_up_to or len(sizes) < 2:
+        found = silhouettes(rows.withColumnRenamed("_cluster", "cluster"), [f"f{i}" for i in range(len(features))], "_key").agg(F.avg("s")).first()[0]
+        return (float("nan") if found is None else found), 0.0, n
+
+    def measured_(wanted: dict[int, int]) -> dict[int, np.ndarray]:
+        most = F.create_map(*[F.lit(v) for c, m in wanted.items() for v in (c, m)])[F.col("_cluster")]
+        place = F.row_number().over(Window.partitionBy("_cluster").orderBy(F.xxhash64(F.lit(seed), "_key"), "_key"))
+        some = rows.withColumn("_place", place).filter((F.col("_place") <= max(wanted.values())) & (F.col("_place") <= most)).collect()  # MOST_SAMPLED at most
+        own = np.array([order.index(r["_cluster"]) for r in some])
+        x = np.array([[r[f"f{i}"] for i in range(len(features))] for r in some])
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(x), len(order)))
+            for batch in batches:
+                cluster_ = np.searchsorted(order, batch.column("_cluster").to_numpy())
+                y = np.column_stack([batch.column(f"f{i}").to_numpy() for i in range(len(features))])
+                for at in range(0, len(y), step := max(1, (1 << 22) // max(1, len(x)))):
+                    d = np.sqrt(_square(x, y[at : at + step]))
+                    for c in np.unique(cluster_[at : at + step]):
+                        total[:, c] += d[:, cluster_[at : at + step] == c].sum(axis=1)
+            i, c = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c), pa.array(total[i, c])], names=["i", "c", "d"])
+
+        total = np.zeros((len(x), len(order)))
+        for r in rows.mapInArrow(sums, "i long, c long, d double").groupBy("i", "c").agg(F.sum("d").alias("d")).collect():
+            total[r["i"], r["c"]] = r["d"]
+        counts = np.array([sizes[c] for c in order], dtype=float)
+        at = np.arange(len(x))
+        a = total[at, own] / np.maximum(counts[own] - 1, 1)
+        mean = total / counts
+        mean[at, own] = np.inf
+        b = mean.min(axis=1)
+        s = np.where(counts[own] == 1, 0.0, np.divide(b - a, np.maximum(a, b), out=np.zeros(len(x)), where=np.maximum(a, b) > 0))
+        return {c: s[own == i] for i, c in enumerate(order)}
+
+    def stated(found: dict[int, np.ndarray]) -> tuple[float, float, int]:
+        mean = sum(sizes[c] * s.mean() for c, s in found.items()) / n
+        spread = sum((sizes[c] / n) ** 2 * s.var(ddof=1) / len(s) * (1 - len(s) / sizes[c]) for c, s in found.items() if 1 < len(s) < sizes[c])
+        return float(mean), float(z * np.sqrt(spread)), sum(map(len, found.values()))
+
+    first = measured_({c: min(m, PILOT) for c, m in sizes.items()})
+    if stated(first)[1] <= error:
+        return stated(first)
+    # rows in proportion to size and spread, a third more than the first sample says
+    weight = {c: sizes[c] * max(first[c].std(ddof=1) if len(first[c]) > 1 else 0.0, 0.05) for c in order}
+    need = min(MOST_SAMPLED, int(1.33 * (z / error * sum(weight.values()) / n) ** 2) + 1)
+    return stated(measured_({c: min(sizes[c], max(PILOT, int(np.ceil(need * weight[c] / sum(weight.values()))))) for c in order}))
+
+
 def squared_silhouette(assigned: DataFrame, features: list[str]) -> DataFrame:
     """The mean silhouette under squared distance, from the clusters' sizes, sums and square sums: linear in the rows."""
     square = sum((F.col(f) * F.col(f) for f in features), F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -57,3 +58,9 @@ def schema_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(column, type_before, type_after) of both schemas; only the schemas are read."""
     old, new = dict(before.dtypes), dict(after.dtypes)
     return before.sparkSession.createDataFrame([(c, old.get(c), new.get(c)) for c in sorted(old | new)], "column string, type_before string, type_after string")
+
+
+def type_histogram(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(type, n_before, n_after, change): how many columns of each type both schemas have; only the schemas are read."""
+    old, new = (Counter(t for _, t in df.dtypes) for df in (before, after))
+    return before.sparkSession.createDataFrame([(t, old[t], new[t], new[t] - old[t]) for t in sorted(old | new)], "type string, n_before long, n_after long, change long")

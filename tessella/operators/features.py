@@ -63,6 +63,7 @@ def demographic(df: DataFrame, marital_weight: dict[str, int], order: list[str],
     the 99th percentile of these rows."""
     from tessella.operators.clean import ordinal
 
+    roles.assert_columns(df, ["Year_Birth", "Kidhome", "Teenhome", "Income", "Marital_Status", "Education"])
     df = df.withColumn("Age", age()).withColumn("TotalChildren", children())
     df = df.withColumn("Income_per_Family_Member", income_per_member())
     df = df.withColumn("Marital_Encoded", marital_score_of("Marital_Status", marital_weight)).withColumn("Life_Stage", life_stage())
@@ -84,6 +85,7 @@ def dominant_product() -> tuple[Column, Column]:
 
 
 def product_channel(df: DataFrame) -> DataFrame:
+    roles.assert_columns(df, [*roles.SPENDING, *roles.CHANNELS, "NumWebVisitsMonth"])
     df = df.withColumns({"Total_Spent": row_sum(roles.SPENDING), "TotalPurchases": row_sum(roles.CHANNELS)})
     df = df.withColumns({p: ratio(c, "Total_Spent") for p, c in zip(PREFERENCES, roles.SPENDING)})
     name, share = dominant_product()
@@ -94,6 +96,7 @@ def product_channel(df: DataFrame) -> DataFrame:
 
 
 def rfm(df: DataFrame) -> DataFrame:
+    roles.assert_columns(df, [*roles.SPENDING, *roles.CHANNELS, "Kidhome", "Teenhome", "Income"])
     df = df.withColumns({"Total_Spent": row_sum(roles.SPENDING), "TotalPurchases": row_sum(roles.CHANNELS), "TotalChildren": children()})
     return df.withColumns({"AvgPerPurchase": ratio("Total_Spent", "TotalPurchases"), "Income_per_Family_Member": income_per_member()})
 

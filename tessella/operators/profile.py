@@ -136,6 +136,11 @@ def income_outliers(df: DataFrame, c: str = "Income", suspicious: float = roles.
     return iqr_outliers(df, [c]).crossJoin(F.broadcast(odd))
 
 
+def suspicious_values(df: DataFrame, c: str = "Income", suspicious: float = roles.SUSPICIOUS_INCOME) -> DataFrame:
+    """(value, n) of the suspicious values, a row for each, however many they are."""
+    return df.filter(F.col(c) >= suspicious).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+
+
 def birth_year_outliers(df: DataFrame, c: str = "Year_Birth") -> DataFrame:
     old, young = F.col(c) < roles.OLDEST_BIRTH, F.col(c) > roles.YOUNGEST_BIRTH
     age = roles.REPORT_YEAR - F.col(c)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella import roles
 from tessella.functions.stats import quantile_values, quantiles, skew_adjusted, tall, with_constants
 
 STANDARD, ROBUST = "standard", "robust"
@@ -40,6 +41,7 @@ def apply(df: DataFrame, state: dict[str, tuple[float, float]]) -> DataFrame:
 
 def scaled(df: DataFrame, columns: list[str], kind: str = STANDARD) -> DataFrame:
     """(x - centre) / spread; a spread of zero counts as one. The constants are one broadcast row."""
+    roles.assert_columns(df, columns)
     centre, spread = _centre_and_spread(df, columns, kind)
     facts = {}
     for i, c in enumerate(columns):

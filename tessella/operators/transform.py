@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
+from tessella.functions.crossproduct import covariances
 from tessella.functions.stats import correlation_matrix, skew_adjusted, tall, with_constants
 
 BOX_COX, YEO_JOHNSON, NONE = "box-cox", "yeo-johnson", "none"
@@ -200,10 +201,8 @@ def pair_variance(df: DataFrame, columns: list[str], threshold: float = roles.HI
 
 
 def principal(df: DataFrame, columns: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(means, k loading rows, explained shares) from one aggregate; the greatest loading of a component is positive."""
-    n = len(columns)
-    row = df.agg(*[F.avg(c) for c in columns], *[F.covar_samp(a, b) for a in columns for b in columns]).first()
-    means, cov = np.array(row[:n], dtype=float), np.array(row[n:], dtype=float).reshape(n, n)
+    """(means, k loading rows, explained shares) from one pass of cross products; the greatest loading of a component is positive."""
+    means, cov = covariances(df, columns)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(-values)[:k]
     loadings = vectors[:, order].T

@@ -230,11 +230,32 @@ def _scored(model) -> str:
       FROM (SELECT ID, [{ds}] AS ds FROM (SELECT ID, {columns} FROM ({made} UNION ALL {again})))"""
 
 
+_NUMBERS = [c for c in RAW if c not in ("Education", "Marital_Status", "Dt_Customer")]
+_WIDE_CORR = " UNION ALL ".join(
+    f"SELECT {i}::INT AS i, {j}::INT AS j, '{a}' AS f1, '{b}' AS f2, CASE WHEN var_pop({a}) FILTER ({b} IS NOT NULL) > 0 AND var_pop({b}) FILTER ({a} IS NOT NULL) > 0 THEN corr({a}, {b}) END AS r FROM b"
+    for i, a in enumerate(_NUMBERS) for j, b in enumerate(_NUMBERS) if i < j
+)
+_STEPS = {
+    "load": "SELECT count(*) FROM r", "drop rows with missing values": f"SELECT count(*) FROM r WHERE {_NO_NULL}",
+    "drop duplicate features": f"SELECT count(*) FROM (SELECT DISTINCT {', '.join(FEATURES)} FROM r WHERE {_NO_NULL})",
+    "remove outliers": f"SELECT count(*) FROM (SELECT DISTINCT {', '.join(FEATURES)} FROM r WHERE {_NO_NULL} AND Income < 500000 AND Year_Birth >= 1900)",
+    "encode categories": f"SELECT count(*) FROM (SELECT DISTINCT {', '.join(FEATURES)} FROM r WHERE {_NO_NULL} AND Income < 500000 AND Year_Birth >= 1900)",
+    "drop columns and duplicate rows": "SELECT count(*) FROM cl",
+}
+_LOG = "SELECT step, action, n AS rows, coalesce(lag(n) OVER (ORDER BY step) - n, 0) AS removed FROM (" + " UNION ALL ".join(
+    f"SELECT {i + 1}::INT AS step, '{a}' AS action, ({sql}) AS n" for i, (a, sql) in enumerate(_STEPS.items())
+) + ")"
+
+
 SQL: dict[str, str] = {
     "rfm_features": f"""SELECT o_custkey AS c_custkey, date_diff('day', max(o_orderdate::DATE), DATE '{LAST_DAY}') AS recency_days, count(*) AS frequency, {_CENTS.format("sum(spent)")} AS monetary
         FROM orders JOIN (SELECT l_orderkey, sum({_AMOUNT}) AS spent FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey GROUP BY 1""",
     "behaviour_table": q("SELECT * FROM b"),
     "family_scores": q(" UNION ALL ".join(map(_scored, GIVEN.values()))),
+    "clean_log": q(_LOG),
+    "corr_wide": q(_WIDE_CORR, 6, "r"),
+    "suspicious_incomes": q("SELECT Income AS value, count(*) AS n FROM b WHERE Income >= 9900 GROUP BY Income"),
+    "scan_inferred": "SELECT * FROM customer",
     "scan_tsv": "SELECT * FROM nation",
     "scan_csv": "SELECT * FROM customer",
     "sink_csv_roundtrip": "SELECT * FROM region",

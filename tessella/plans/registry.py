@@ -13,7 +13,8 @@ from tessella import roles
 from tessella.functions import stats
 from tessella.operators import clean, cluster, compare, features, profile, scale, transform
 from tessella.operators import family as families
-from tessella.sources import io, tables
+from tessella.operators.log import Log
+from tessella.sources import infer, io, tables
 
 MAP, ORDER, WEIGHT = roles.STAND_IN_MARITAL_MAP, roles.STAND_IN_EDUCATION_ORDER, roles.STAND_IN_MARITAL_WEIGHT
 AXES = ["Recency", "TotalPurchases", "Total_Spent"]
@@ -242,6 +243,31 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.parse_date(behaviour(spark, sf_dir).select("ID", "Dt_Customer"))
 
 
+def inferred(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """A table written as delimited text and read again with the types that its rows have."""
+    path = io.write_delimited(df, io.scratch(spark, "inferred"), "\t")
+    return infer.read(spark, path)[0]
+
+
+def clean_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows after each step of the cleaning and how many the step removed, counted in the jobs of the cleaning itself."""
+    log = Log()
+    io.settle(clean.clean(io.settle(raw(spark, sf_dir)), MAP, ORDER, log=log))
+    return log.table(spark).drop("at", "details")
+
+
+def silhouette_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean silhouette within 0.02, by its bound, from sampled rows against all rows."""
+    found = cluster.silhouette_estimate(labelled(spark, sf_dir), AXES, 0.02, exact_up_to=1000)
+    return spark.createDataFrame([found], "silhouette double, bound double, n_sampled long")
+
+
+def wide_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of all number columns of the behaviour table, from products of blocks."""
+    df = behaviour(spark, sf_dir)
+    return stats.correlation_matrix(df, [c for c, t in df.dtypes if t in ("bigint", "double")])
+
+
 def counted(df: DataFrame, c: str) -> DataFrame:
     return df.groupBy(c).agg(F.count("*").alias("n"))
 
@@ -269,6 +295,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "behaviour_table": behaviour,
     "scan_tsv": lambda s, d: io.round_trip(table(s, d, "nation"), "\t"),
     "scan_csv": lambda s, d: io.round_trip(table(s, d, "customer"), ","),
+    "scan_inferred": lambda s, d: inferred(s, table(s, d, "customer")),
     "sink_stamped": lambda s, d: stamped(s, table(s, d, "region")),
     "sink_csv_roundtrip": lambda s, d: io.round_trip(table(s, d, "region"), ","),
     "encoding_report_json": encoding_report,
@@ -309,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "outlier_iqr_events": lambda s, d: rounded(profile.iqr_outliers(table(s, d, "events"), ["value"])),
     "outlier_top3": lambda s, d: profile.largest_outliers(table(s, d, "events"), "value", "event_id"),
     "outlier_income": lambda s, d: rounded(profile.income_outliers(behaviour(s, d), suspicious=9_900.0)),
+    "suspicious_incomes": lambda s, d: profile.suspicious_values(behaviour(s, d), suspicious=9_900.0),
     "outlier_special": lambda s, d: profile.birth_year_outliers(behaviour(s, d)),
     "outlier_constant": lambda s, d: profile.constants(behaviour(s, d), [*roles.CONSTANT, "Kidhome"]),
     "outlier_summary": lambda s, d: profile.outlier_summary(behaviour(s, d)),
@@ -323,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detect_binary": lambda s, d: clean.binary_columns(behaviour(s, d)),
     "binary_cast": lambda s, d: behaviour(s, d).select("ID", clean.as_binary("Kidhome").cast("int").alias("Kidhome_bin")),
     "clean_pipeline": cleaned,
+    "clean_log": clean_log,
     "audit_onehot": lambda s, d: onehot(s, d).agg(*[F.sum(c).alias(c) for c in DUMMIES]),
     "audit_ordinal": lambda s, d: behaviour(s, d).groupBy("Education").agg(F.min(clean.ordinal("Education", ORDER)).alias("code")),
     "count_by_year": lambda s, d: counted(dated(s, d).select(F.year("Dt_Customer").alias("year")), "year"),
@@ -335,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_thresholds": lambda s, d: compare.threshold_counts(raw(s, d), cleaned(s, d), {"income >= 5000": "Income >= 5000", "born < 1900": "Year_Birth < 1900"}),
     "compare_outlier_dist": lambda s, d: rounded(compare.describe(behaviour(s, d), clean.remove_outliers(behaviour(s, d)), [*SPENT, "Recency"]), 6),
     "summarize_changes": lambda s, d: rounded(compare.summary(raw(s, d), cleaned(s, d))),
+    "type_histogram": lambda s, d: compare.type_histogram(raw(s, d), cleaned(s, d)),
     "schema_diff": lambda s, d: compare.schema_diff(raw(s, d), cleaned(s, d)),
     # features
     "feat_age": lambda s, d: cols(family(s, d), "ID", "Age"),
@@ -361,6 +391,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "yeojohnson_llf_grid": lambda s, d: rounded(transform.log_likelihoods(table(s, d, "customer"), "c_acctbal", transform.YEO_JOHNSON, [0.5, 1.0, 1.5, 2.0]), 3),
     "transform_report": lambda s, d: rounded(power_report(s, d)),
     "transform_pipeline": lambda s, d: rounded(transformed(s, d)),
+    "corr_wide": lambda s, d: rounded(wide_correlations(s, d)),
     "corr_matrix": lambda s, d: rounded(stats.correlation_matrix(buying(s, d), [*AXES, "Z_Revenue"])),
     "high_corr_pairs": lambda s, d: rounded(transform.high_pairs(buying(s, d), AXES)),
     "max_corr_pair": lambda s, d: rounded(transform.strongest_pair(buying(s, d), AXES)),
@@ -407,6 +438,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "family_scores": family_scores,
     "trained_families": lambda s, d: rounded(trained(s, d)),
     "silhouette_exact": lambda s, d: rounded(cluster.silhouettes(labelled(s, d), AXES).agg(F.avg("s").alias("silhouette"))),
+    "silhouette_estimate": silhouette_estimate,
     "negative_silhouette": lambda s, d: cluster.silhouettes(labelled(s, d), AXES).agg(F.count_if(F.col("s") < 0).alias("n"), F.round(100.0 * F.count_if(F.col("s") < 0) / F.count("*"), 4).alias("pct")),
     "squared_silhouette": lambda s, d: rounded(cluster.squared_silhouette(labelled(s, d), AXES)),
     "davies_bouldin": lambda s, d: rounded(cluster.davies_bouldin(labelled(s, d), AXES)),
