@@ -17,6 +17,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 from pathlib import Path
 
 import numpy as np
@@ -61,6 +62,12 @@ def _whole(name: str) -> str:
     return (Path(__file__).parent / "licenses" / f"{name}.txt").read_text(encoding="utf-8")
 
 
+#: Identifiers of the tag that source files carry.
+_SPDX = (
+    "Apache-2.0 MIT BSD-2-Clause BSD-3-Clause ISC MPL-2.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only "
+    "LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 "
+    "CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0 EPL-1.0 EPL-2.0 BSL-1.0 Unlicense Zlib"
+).split()
 #: Fixed values: (license, wording, contrary words) of public license texts and notices. A word with a star must be aligned, and
 #: no contrary word may stand between the first and the last word aligned.
 TEMPLATES = (
@@ -112,6 +119,7 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", _CC.format(kind="Attribution-NoDerivatives"), _NOT_CC),
     ("CC-BY-NC-SA-4.0", _CC.format(kind="Attribution-NonCommercial-ShareAlike"), _NOT_CC),
     ("CC-BY-NC-ND-4.0", _CC.format(kind="Attribution-NonCommercial-NoDerivatives"), _NOT_CC),
+    *[(k.removesuffix("-only").removesuffix("-or-later"), f"*SPDX-License-Identifier: *{k}") for k in _SPDX],
     ("all-rights-reserved", "All rights reserved."),
     ("Apache-2.0", _whole("Apache-2.0")), ("GPL-3.0", _whole("GPL-3")), ("GPL-2.0", _whole("GPL-2")), ("LGPL-3.0", _whole("LGPL-3")),
     ("LGPL-2.1", _whole("LGPL-2.1")), ("MPL-2.0", _whole("MPL-2.0")),
@@ -165,6 +173,15 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def common_length(words: list[int], places: dict[int, int], size: int) -> int:
+    """The length of the longest common subsequence with a template of `size` words; places: word -> bits of where the template has it."""
+    full = rest = (1 << size) - 1
+    for w in words:
+        if here := rest & places.get(w, 0):
+            rest = ((rest + here) | (rest - here)) & full
+    return size - rest.bit_count()
+
+
 class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = [t[0] for t in templates]
@@ -180,6 +197,12 @@ class Templates:
         for t, codes in enumerate(self.coded):
             np.add.at(self.has[:, t], codes, 1)
         self.sizes = self.has.sum(axis=0)
+        self.places: list[dict[int, int]] = []
+        for codes in self.coded:
+            own: dict[int, int] = {}
+            for j, c in enumerate(codes):
+                own[c] = own.get(c, 0) | 1 << j
+            self.places.append(own)
 
     def matches(self, words: np.ndarray, t: int) -> list[tuple[int, int, float]]:
         """(first word, word after the last, coverage) of the matches of template t; `words`: vocabulary codes, -1 for others."""
@@ -189,14 +212,15 @@ class Templates:
         codes, most = words[ours].tolist(), Counter(wanted)
         # `common`: words that the stretch and the template share, repeats counted
         out, n, count, common = [], 0, Counter(), 0
-        start = 0
+        # no stretch that ends before this many of our words can have enough in the template's order
+        start = enough = 0
         while start < len(ours):
             while n < len(ours) and ours[n] < ours[start] + width:
                 common += count[codes[n]] < most[codes[n]]
                 count[codes[n]] += 1
                 n += 1
             skip = start + 1
-            if common >= need:
+            if common >= need and n >= enough:
                 first = ours[start]
                 pairs = patience(words[first : first + width].tolist(), wanted)
                 coverage = len(pairs) / len(wanted)
@@ -205,6 +229,9 @@ class Templates:
                 if coverage >= COVERED and stands:
                     out.append((first + pairs[0][0], end, coverage))
                     skip = bisect_left(ours, end)
+                elif coverage < COVERED:
+                    # a word more adds one at most to what is common in order, and that is no less than what is aligned
+                    enough = n + max(0, ceil(need - common_length(codes[start:n], self.places[t], len(wanted))))
             for k in range(start, skip):
                 count[codes[k]] -= 1
                 common -= count[codes[k]] < most[codes[k]]
