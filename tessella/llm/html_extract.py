@@ -10,7 +10,12 @@ Where these differ, near blocks are good, and short ones inside an article or he
 where there are none, all are, if no bad block stands near them.
 
 What stands outside of an article is left out, unless good blocks are there alone. Where no block is good, as when all paragraphs
-of a page are short, near blocks are the good ones.
+of a page are short, near blocks are the good ones. Inside an article, a sentence that goes on after its link is undecided, however
+long the link is.
+
+Layouts have such names too ("content-sidebar-wrap"). So a name hides an article that stands inside its element only if the page shows a
+long block elsewhere, or more text than such articles have; if not, that article with the headings beside it is what is shown. Names inside the article, and an article that is itself named as comments are, stay
+hidden. On a page that shows nothing, the outermost named element does not hide what it holds if a first-level heading is in it.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by one space.
 Nulls and edges: a null or empty page has an empty text; a tag that the page's end cuts off is no text, and neither is what
@@ -65,7 +70,7 @@ NAMES = frozenset(
 #: Words that do so only if no word names the article: "share", but not "post-share".
 WEAK = frozenset("copyright footer header notice notices related reply share sharing skip social toolbar widget".split())
 ARTICLE = frozenset("article body content entry main page post story text".split())
-#: Words that make a name a state: "comments-enabled" says something of the article, not of comments.
+#: Words that make a name a state: "comments-enabled" says something of the article, not of comments, on an element that names the article too.
 STATES = frozenset("active closed disabled enabled free has hidden no off on open with without".split())
 #: Frequent function words of the languages at hand.
 STOP = frozenset(
@@ -75,6 +80,8 @@ STOP = frozenset(
     "el los las y del una por con no se para su al lo como más o pero sus le ha me si sin".split()
 )
 MAX_LINKS, SHORT, LONG, LOW, HIGH = 0.2, 70, 200, 0.15, 0.3
+#: What ends a sentence, and characters outside of links that one needs.
+ENDS, LOOSE = ".!?\u2026\u3002", 8
 #: Below this share of stop words in all its blocks, a page is in no listed language.
 KNOWN = 0.05
 
@@ -87,12 +94,16 @@ GAP = re.compile(r"\s+")
 
 def _names(attributes: str) -> bool:
     """Whether the class, id or role of a tag names what is not the article."""
+    named = stated = article = False
     for m in NAMED.finditer(attributes):
         for token in (m[1] or m[2] or m[3] or "").lower().split():
             words = set(re.split(r"[^a-z]+", token))
-            if not words & STATES and (words & NAMES or (words & WEAK and not words & ARTICLE)):
-                return True
-    return False
+            if words & NAMES or (words & WEAK and not words & ARTICLE):
+                stated |= bool(words & STATES)
+                named |= not words & STATES
+            else:
+                article |= bool(words & ARTICLE)
+    return named or (stated and not article)
 
 
 def _tag_end(page: str, at: int) -> int:
@@ -111,52 +122,81 @@ def _tag_end(page: str, at: int) -> int:
     return -1
 
 
+#: What is known of a block when it is cut: shown; in an article that only names around it hide; hidden by one name; hidden.
+SHOWN, WRAPPED, NAMED_ONCE, GONE = range(4)
+
+
 class Block:
-    __slots__ = ("text", "linked", "inside", "heading", "label")
+    __slots__ = ("text", "linked", "inside", "heading", "label", "status", "open_end", "title")
 
-    def __init__(self, text: str, linked: int, inside: bool, heading: bool):
+    def __init__(self, text: str, linked: int, inside: bool, heading: bool, status: int = SHOWN, open_end: bool = True, title: bool = False):
         self.text, self.linked, self.inside, self.heading, self.label = text, linked, inside, heading, ""
+        self.status, self.open_end, self.title = status, open_end, title
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of a page that no element or name rules out, in page order."""
+    """The blocks of a page that no element rules out, in page order, with what names say of them."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements; whether each hides its content; whether it is an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements; whether its kind, or its name, hides its content; whether it is an article
     places: dict[str, list[int]] = {}  # of the open elements, by name
+    around: list[tuple[int, bool]] = []  # of the open articles: names outside of them and of articles around; whether they are named themselves
     text: list[str] = []
-    hidden = links = linked = inside = at = 0
+    status = GONE
+    hidden = links = linked = named = at = 0  # named: open elements with names, within the innermost article
+    in_link = False
+
+    def now() -> int:
+        """The status of text at this place."""
+        if hidden:
+            return GONE
+        outside = around[-1][0] if around else 0
+        if not named and not outside:
+            return SHOWN
+        if around and not named and not around[-1][1]:
+            return WRAPPED
+        return NAMED_ONCE if named + outside == 1 and not around else GONE
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, status
         joined = GAP.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append(Block(joined, linked, inside > 0, any(places.get(h) for h in HEADINGS)))
+            out.append(Block(joined, linked, bool(around), any(places.get(h) for h in HEADINGS), status, not in_link, bool(places.get("h1"))))
         text.clear()
-        linked = 0
+        linked, status = 0, GONE
 
     def close(to: int) -> None:
-        nonlocal hidden, links, inside
+        nonlocal hidden, links, named
         while len(stack) > to:
-            name, hides, article = stack.pop()
+            name, hides, has_name, article = stack.pop()
             places[name].pop()
             hidden -= hides
             links -= name == "a"
-            inside -= article
+            if article:
+                outside, _ = around.pop()
+                named = outside - (around[-1][0] if around else 0)
+            named -= has_name
 
     last = lambda names: max((places[n][-1] for n in names if places.get(n)), default=-1)
     size = len(page)
     while at < size:
         m = TAG.search(page, at)
         piece = page[at : m.start() if m else size]
-        if not hidden and piece:
+        if not hidden and piece and (own := now()) <= status and own < GONE:
+            blank = piece.isspace()
+            if own < status and not blank:  # what is less hidden makes the block
+                text.clear()
+                linked, status = 0, own
             text.append(piece)
-            linked += len(" ".join(piece.split())) if links else 0
+            if not blank:
+                linked += len(" ".join(piece.split())) if links else 0
+                in_link = links > 0
         if not m:
             break
         at = m.end()
         if m[1] or m[2]:
-            end = page.find("-->" if m[1] else ">", at)
-            at = end + (3 if m[1] else 1) if end >= 0 else size
+            shut = "-->" if m[1] else "]]>" if page.startswith("[CDATA[", at) else ">"
+            end = page.find(shut, at)
+            at = end + len(shut) if end >= 0 else size
             continue
         end = _tag_end(page, at)
         if end < 0:
@@ -177,13 +217,16 @@ def blocks(page: str) -> list[Block]:
                 close(min(found))
         if name in VOID or (name == "svg" and attributes.endswith("/")):
             continue
-        hides = name in HIDDEN or (name not in ("body", "html", "article", "main") and bool(attributes) and _names(attributes))
+        hides, has_name = name in HIDDEN, bool(attributes) and name not in ("body", "html") and _names(attributes)
         article = name in ("article", "main") and not hidden
+        if article:
+            around.append((named + (around[-1][0] if around else 0), has_name))
+            named = has_name = 0  # the name of an article does not hide it
         places.setdefault(name, []).append(len(stack))
-        stack.append((name, hides, article))
+        stack.append((name, hides, bool(has_name), article))
         hidden += hides
         links += name == "a"
-        inside += article
+        named += bool(has_name)
         if name in RAW:
             m = RAW[name].search(page, at)
             at = m.start() if m else size
@@ -201,7 +244,8 @@ def label(block: Block, share: float, known: bool) -> str:
     """good, bad, or near or short, which are undecided. `share`: of stop words; `known`: whether the page's language is listed."""
     size, inside = len(block.text), block.inside
     if block.linked > MAX_LINKS * size:
-        return "short" if block.heading else "bad"
+        sentence = inside and block.open_end and block.text[-1] in ENDS and size - block.linked >= LOOSE
+        return "near" if sentence else "short" if block.heading else "bad"
     if size < LONG and not inside and ("\xa9" in block.text or block.text.lower().startswith("copyright")):
         return "bad"
     if size < SHORT:
@@ -234,8 +278,8 @@ def _second_pass(found: list[Block]) -> None:
                 b.label = "good" if not around or b.label == "near" or b.inside or (b.heading and z == "good") else "bad"
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+def _chosen(found: list[Block]) -> str:
+    """The text of the good blocks."""
     shares = [density(b.text) for b in found]
     n_words = [len(b.text.split()) for b in found]
     known = sum(s * n for s, n in zip(shares, n_words)) >= KNOWN * sum(n_words)
@@ -251,6 +295,18 @@ def main_text(page: str | None) -> str:
     return " ".join(b.text for b in found if b.label == "good")
 
 
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    shown, wrapped = ([b for b in found if b.status == s] for s in (SHOWN, WRAPPED))
+    length = lambda bs: sum(len(b.text) for b in bs)
+    if length(wrapped) > length(shown) and not any(len(b.text) >= LONG and b.linked <= MAX_LINKS * len(b.text) for b in shown):
+        shown = [b for b in found if b.status == WRAPPED or (b.status == SHOWN and b.inside and b.heading)]
+    text = _chosen(shown)
+    if not text and any(b.title for b in found if b.status == NAMED_ONCE):
+        text = _chosen([b for b in found if b.status <= NAMED_ONCE])
+    return text
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in aw.pieces(batch, "html"):

@@ -571,6 +571,58 @@ def test_html_as_it_comes():
     assert text(f"<p>{long}</p><!-- {long}") == long == text(f"<p>{long}</p><script> {long}") and text("<p>cut <b") == "cut"
 
 
+def test_license_scan_of_shuffled_texts_is_fast(spark):
+    import time
+
+    known = license_scan.Templates()
+    t = max(range(len(known.names)), key=lambda i: len(known.coded[i]) if known.names[i] == "GPL-3.0" else 0)
+    words, rng = np.array(known.coded[t]), np.random.default_rng(1)
+    began = time.process_time()
+    for n in (3000, 6000, 9000):
+        assert known.matches(rng.permutation(np.tile(words, 3))[:n], t) == []
+    assert time.process_time() - began < 3
+    assert known.matches(np.concatenate([rng.permutation(words), words]), t)
+    tagged = [(1, "// SPDX-License-Identifier: MIT"), (2, "# SPDX-License-Identifier: GPL-3.0-or-later\n"), (3, "SPDX-License-Identifier: CC0-1.0"), (4, "SPDX-License-Identifier: Other"), (5, "MIT"), (1, "// SPDX-License-Identifier: MIT")]
+    got = license_scan.scan(spark.createDataFrame(tagged, "doc_id long, text string"))
+    assert rows(got, "doc_id", "license") == [(1, "MIT"), (1, "MIT"), (2, "GPL-3.0"), (3, "CC0-1.0"), (4, None), (5, None)]
+
+
+WRAPPERS = [
+    "content-sidebar-wrap", "main-navigation-wrapper", "sidebar-right", "layout-sidebar-left", "sidebar-none", "page-modal-host", "post-content-ad-wrapper",
+    "navbar-fixed", "comment-page", "cookie-consent-page", "container promo",
+]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+def test_html_layouts_do_not_hide_their_article(name):
+    text, say = html_extract.main_text, lambda n: " ".join(SENTENCE.format(f"{n}{i}") for i in range(5)) + "."
+    noise = f'<div class="sidebar">{say("side")}</div><div id="comments"><article class="comment"><p>{say("reply")}</p></article></div>'
+    body, want = f"<h1>Head</h1><p>{say('a')}</p><p>{say('b')}</p>", f"Head {say('a')} {say('b')}"
+    for page in (
+        f'<div class="{name}"><article>{body}<div class="ad">{say("ad")}</div></article>{noise}</div>', f'<div class="{name}">{noise}<main>{body}</main></div>',
+        f'<main><p>Home</p><div class="{name}"><article>{body}</article>{noise}</div></main>', f'<div id="{name}"><div class="col"><div class="{name}"><article>{body}</article></div></div></div>',
+        f'<div class="{name}">{body}{noise}</div>',
+    ):
+        assert text(f"<html><body><nav>{say('menu')}</nav>{page}<footer>{say('foot')}</footer></body></html>") == want
+    # what the same name hides beside an article stays hidden
+    assert text(f'<article>{body}</article><div class="{name}"><p>{say("x")}</p><article><p>{say("card")}</p></article></div>') == want
+
+
+def test_html_states_links_and_sections():
+    text, say = html_extract.main_text, lambda n: " ".join(SENTENCE.format(f"{n}{i}") for i in range(5)) + "."
+    for state in ("comments-on", "comments-open", "comments-enabled"):
+        assert text(f'<article><p>{say("a")}</p></article><div class="{state}"><p>{say("reply")}</p></div>') == say("a")
+        assert text(f'<article><p>{say("a")}</p><div class="{state}"><p>{say("reply")}</p></div></article>') == say("a")
+        assert text(f'<body class="{state}"><article class="{state}"><p>{say("a")}</p></article>') == say("a")
+        assert text(f'<div class="post {state}"><p>{say("a")}</p></div><div class="box"><p>{say("b")}</p></div>') == f"{say('a')} {say('b')}"
+    linked = "See <a href=/x>the long linked title of another page</a> now."
+    assert text(f"<article><p>{say('a')}</p><p>{linked}</p><p>{say('b')}</p></article>") == f"{say('a')} See the long linked title of another page now. {say('b')}"
+    assert text(f"<article><p>{say('a')}</p><ul><li><a href=/x>The long linked title of a page.</a></li><li>More: <a href=/y>Another long title here.</a></li></ul></article>") == say("a")
+    assert text(f"<article><p>{say('a')}</p><![CDATA[ x > y ]]><p>{say('b')}</p></article>") == f"{say('a')} {say('b')}"
+    assert text(f"<div class=menu><p>{say('a')}</p></div><div class=cookie><p>{say('b')}</p></div>") == ""  # nothing but menus and notices
+    assert text(f'<article><p>{say("a")} <span class="promo">Buy</span> {say("b")}</p></article>') == f"{say('a')} {say('b')}"
+
+
 @pytest.mark.parametrize("page", ["<b>" * 40000 + "</i>" * 40000, "<a " * 40000 + '"', '<a "' * 40000, "<li><ul>" + "<b>" * 20000 + "<li></li>" * 20000, "<!--" * 40000, "<p><a href='x" * 20000])
 def test_html_takes_linear_time(page):
     import time
