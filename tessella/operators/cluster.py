@@ -61,7 +61,8 @@ def lloyd(df: DataFrame, features: list[str], centers: list[list[float]], rounds
 
 def random_centers(df: DataFrame, features: list[str], k: int, seed: int, key: str = "ID") -> list[list[float]]:
     """k distinct rows in the order of a keyed hash."""
-    rows = [list(r) for r in df.orderBy(F.xxhash64(F.lit(seed), key), key).select(*features).limit(k).collect()]
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    rows = [list(r) for r in df.orderBy(hashed, key).select(*features).limit(k).collect()]
     if len(rows) < k:
         raise ValueError(f"{len(rows)} rows are too few for {k} centres")
     return rows

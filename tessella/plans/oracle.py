@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessella import roles
-from tessella.plans.registry import GIVEN, AXES, CURVE_CENTERS, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
+from tessella.plans.registry import GIVEN, GIVEN_LOADINGS, GIVEN_MEANS, AXES, CURVE_CENTERS, DESCRIBED, DUMMIES, FEATURES, LAMBDAS, SPENT
 from tessella.sources.tables import LAST_DAY, PRIORITIES, TYPES
 
 
@@ -359,6 +359,11 @@ SQL: dict[str, str] = {
     "update_centroids": q(f"SELECT cluster, count(*) AS n, {_CENTER} FROM k GROUP BY cluster", 6, " ".join(AXES)),
     "inertia": q("SELECT sum(d2) AS inertia FROM k", 4, "inertia"),
     "kmeanspp_weights": q("SELECT ID, d2, d2 / sum(d2) OVER () AS p, sum(d2) OVER (ORDER BY ID) / sum(d2) OVER () AS cum FROM k", 6, "d2 p cum"),
+    "init_random": q(f"SELECT {', '.join(AXES)} FROM z ORDER BY md5('42:' || ID), ID LIMIT 3", 12, " ".join(AXES)),
+    "pca_centers_given": q(
+        "SELECT cluster::INT AS cluster, " + ", ".join(" + ".join(f"(avg({a}) - ({m})) * ({w})" for a, m, w in zip(AXES, GIVEN_MEANS, row)) + f" AS PC{i + 1}" for i, row in enumerate(GIVEN_LOADINGS)) + " FROM k GROUP BY cluster",
+        6, "PC1 PC2",
+    ),
     "kmeans_lloyd_bounded": q(_step("z", "c2"), 6, " ".join(AXES), _LLOYD),
     "kmeans_lloyd_fixed": q(_step("z", "c2"), 6, " ".join(AXES), _LLOYD),
     "k_curve": q("SELECT k, wcss, silhouette FROM c", 4, "wcss silhouette", _CURVE),

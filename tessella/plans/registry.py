@@ -25,6 +25,9 @@ LAMBDAS = [-1.0, -0.5, 0.0, 0.5, 1.0, 2.0]
 #: Given centres for each k: the curve of k and its measures then has one right result.
 CURVE_CENTERS = {k: [[-1.5 + 3.0 * i / (k - 1)] * len(AXES) for i in range(k)] for k in range(2, 8)}
 
+#: A given projection to two components.
+GIVEN_MEANS, GIVEN_LOADINGS = [0.1, -0.2, 0.3], [[-0.4, 0.6, 0.7], [0.9, 0.3, 0.2]]
+
 behaviour, raw, table = tables.behaviour, tables.raw_behaviour, tables.table
 
 
@@ -178,6 +181,12 @@ def pca_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.projected(centers, AXES, means, loadings[:2]).select("cluster", "PC1", "PC2")
 
 
+def centers_given(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The centres of the clusters in the space of given components."""
+    centers = cluster.update(labelled(spark, sf_dir), AXES)
+    return transform.projected(centers, AXES, np.array(GIVEN_MEANS), np.array(GIVEN_LOADINGS)).select("cluster", "PC1", "PC2")
+
+
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, (_, loadings, shares) = pca(spark, sf_dir)
     rows = [(i + 1, float(s), [float(x) for x in w]) for i, (w, s) in enumerate(zip(loadings, shares))]
@@ -399,6 +408,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_pair_variance": lambda s, d: rounded(transform.pair_variance(buying(s, d), AXES)),
     "pca_projection": lambda s, d: rounded(pca_projection(s, d)),
     "pca_centers": lambda s, d: rounded(pca_centers(s, d)),
+    "pca_centers_given": lambda s, d: rounded(centers_given(s, d)),
     "pca_explained": pca_explained,
     # statistics
     "describe_stats": lambda s, d: rounded(compare.described(behaviour(s, d), DESCRIBED, "value"), 6),
@@ -421,7 +431,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "assign_clusters": lambda s, d: labelled(s, d).select("ID", F.col("cluster").cast("long").alias("cluster")),
     "update_centroids": lambda s, d: rounded(cluster.update(labelled(s, d), AXES)),
     "inertia": lambda s, d: rounded(cluster.inertia(labelled(s, d)), 4),
-    "init_random": lambda s, d: s.createDataFrame(cluster.random_centers(points(s, d), AXES, 3, 42), ", ".join(f"{c} double" for c in AXES)),
+    "init_random": lambda s, d: rounded(s.createDataFrame(cluster.random_centers(points(s, d), AXES, 3, 42), ", ".join(f"{c} double" for c in AXES)), 12),
     "kmeanspp_weights": lambda s, d: rounded(cluster.seeding_weights(points(s, d), AXES, CENTERS)),
     "kmeans_lloyd_fixed": lambda s, d: rounded(lloyd(s, d)),
     "kmeans_lloyd_bounded": lambda s, d: rounded(lloyd_bounded(s, d)),

@@ -54,13 +54,16 @@ def write_text(df: DataFrame, path: str) -> str:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which executors share; a temporary one only for a local session that has none."""
+    """This session's folder in that of spark.checkpoint.dir, which executors share; a temporary one only for a local session that has
+    none. It goes with all settled tables when the driver ends."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessella-"))
+    place = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return context.getCheckpointDir()
 
 
