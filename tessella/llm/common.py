@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.sources.io import scratch, settle
+from tessella.sources.io import scratch, settle, shared
 
-__all__ = ["GAP", "SHINGLE", "SIMILAR", "SPACES", "WORD", "Tables", "fresh", "n_words", "once", "remove", "scratch", "settle", "table", "windows", "words"]
+__all__ = ["GAP", "SHINGLE", "SIMILAR", "SPACES", "WORD", "Tables", "common", "fresh", "n_words", "once", "remove", "scratch", "settle", "table", "windows", "words", "written"]
 
 #: White space between words: space and the ASCII controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -69,6 +69,17 @@ def remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def common(spark: SparkSession) -> str:
+    """The folder that sessions have in common: the one that holds the session's own."""
+    return shared(spark).rsplit("/", 1)[0]
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 class Tables:
     """Intermediate tables in the shared folder, which go when the block ends."""
 

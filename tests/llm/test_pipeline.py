@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from tessella.llm import decontaminate, near_dedup
-from tessella.llm.common import table
+from tessella.llm.common import common, remove, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -185,3 +185,30 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_named_run_is_taken_up_again(spark, monkeypatch, tmp_path):
+    ran, broken = [], [True]
+
+    def stage(name):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if name == "four" and broken:
+                raise RuntimeError("lost")
+            return docs.withColumn("n_chars", docs["n_chars"] + 1) if name != "five" else docs.select("doc_id", "n_chars")
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage(n) for n in ("one", "two", "three", "four", "five")])
+    name = tmp_path.name
+    try:
+        corpus_pipeline.run(spark, SF, name)
+        raise AssertionError("stage four fails")
+    except RuntimeError:
+        assert ran == ["one", "two", "three", "four"]
+    broken.clear()
+    out = {r["doc_id"]: r["n_chars"] for r in corpus_pipeline.run(spark, SF, name).collect()}
+    assert ran[4:] == ["four", "five"] and out == {r["doc_id"]: r["n_chars"] + 4 for r in table(spark, SF, "documents").collect()}
+    assert corpus_pipeline.run(spark, SF, name).count() == len(out) and len(ran) == 6
+    assert corpus_pipeline.run(spark, SF).count() == len(out) and len(ran) == 11  # without a name, from the start
+    remove(spark, f"{common(spark)}/pipeline-{name}")
