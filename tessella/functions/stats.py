@@ -72,11 +72,12 @@ def order_statistics(df: DataFrame, ranks: dict[str, set[int]]) -> dict[tuple[st
             else:
                 cuts[at] = list(got[f"x{i}"])
         if cuts:
-            counts = lambda c, x, i, j: [F.count_if(F.col(c) < x).alias(f"b{i}_{j}"), F.count_if(F.col(c) <= x).alias(f"u{i}_{j}")]
-            row = df.agg(*[e for i, ((c, _), xs) in enumerate(cuts.items()) for j, x in enumerate(xs) for e in counts(c, x, i, j)]).first()
-            for i, (at, (x, y)) in enumerate(cuts.items()):
+            points = {p: i for i, p in enumerate(dict.fromkeys((c, x) for (c, _), xs in cuts.items() for x in xs))}
+            counts = lambda c, x, i: [F.count_if(F.col(c) < x).alias(f"b{i}"), F.count_if(F.col(c) <= x).alias(f"u{i}")]
+            row = df.agg(*[e for (c, x), i in points.items() for e in counts(c, x, i)]).first()
+            for at, (x, y) in cuts.items():
                 (lo, upto, hi, n), rank = open_[at], at[1]
-                bx, ux, by, uy = (row[f"{name}{i}_{j}"] for j in (0, 1) for name in "bu")
+                bx, ux, by, uy = (row[f"{name}{points[at[0], v]}"] for v in (x, y) for name in "bu")
                 if bx <= rank < ux or by <= rank < uy:
                     found[at] = x if rank < ux else y
                     del open_[at]

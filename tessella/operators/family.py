@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +126,22 @@ def _components(df: DataFrame, family: Family) -> list[tuple]:
     return [(a, b, transform.component_name(a, b), at("ma", i), at("sa", i) or 1.0, at("mb", i), at("sb", i) or 1.0, -1.0 if at("c", i) < 0 else 1.0) for i, (a, b) in enumerate(found)]
 
 
+def compared(df: DataFrame, family: Family, ks: dict[str, int], error: float = 0.02, starts: int = 10, seed: int = 42) -> DataFrame:
+    """(family, scaling, metric, value): the quality of the family's clustering under each way of scaling, with the number of clusters
+    that `ks` has for it. The silhouette is within `error`; see silhouette_estimate()."""
+    rows = []
+    for kind, k in ks.items():
+        model, cost = fit(df, replace(family, k=k), kind, starts, seed)
+        found = io.settle(score(df, family, model).filter("cluster IS NOT NULL").select(roles.ID, "cluster", "d2", *model.columns))
+        one = lambda x: float(x.first()[0])
+        values = {
+            "k": float(k), "inertia": cost, "silhouette": cluster.silhouette_estimate(found, model.columns, error)[0], "calinski_harabasz": one(cluster.calinski_harabasz(found, model.columns)),
+            "davies_bouldin": one(cluster.davies_bouldin(found, model.columns)), "balance": one(cluster.balance(found)),
+        }
+        rows += [(family.name, kind, metric, value) for metric, value in values.items()]
+    return df.sparkSession.createDataFrame(rows, "family string, scaling string, metric string, value double")
+
+
 def fit(df: DataFrame, family: Family, kind: str = scale.ROBUST, starts: int = 10, seed: int = 42) -> tuple[Model, float]:
     """(model, inertia) of a family over the rows of `df`."""
     cut = family.cut(df) if family.cut else None

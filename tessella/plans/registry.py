@@ -133,6 +133,12 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stacked(out)
 
 
+def family_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard against robust scaling: the quality of each family's clustering."""
+    df = io.settle(behaviour(spark, sf_dir))
+    return _stacked([families.compared(df, own, {scale.STANDARD: roles.STANDARD_K[name], scale.ROBUST: roles.TRAINED_K[name]}) for name, own in FAMILIES.items()])
+
+
 def family_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted models as the table that they are saved in, written and read again."""
     fitted_ = [fit_family(name, spark, sf_dir)[0] for name in FAMILIES]
@@ -444,6 +450,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "family_demographic": family_export("demographic"),
     "family_product_channel": family_export("product_channel"),
     "family_rfm": family_export("rfm"),
+    "family_comparison": lambda s, d: rounded(family_comparison(s, d)),
     "family_models": family_models,
     "family_scores": family_scores,
     "trained_families": lambda s, d: rounded(trained(s, d)),

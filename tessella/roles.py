@@ -37,9 +37,10 @@ STAND_IN_MARITAL_MAP = {"FURNITURE": "HOUSEHOLD"}
 STAND_IN_EDUCATION_ORDER = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 STAND_IN_MARITAL_WEIGHT = {"AUTOMOBILE": 0, "BUILDING": 0, "HOUSEHOLD": 1, "MACHINERY": 2}
 
-#: K that each family is finally trained with, on robust-scaled inputs; features that are transformed when skewed, with
+#: K that each family is finally trained with, on robust-scaled and on standard-scaled inputs; features that are transformed when skewed, with
 #: their new names; features that may be clustered; the pairs that the trained models replace by a component.
 TRAINED_K = {"demographic": 3, "product_channel": 4, "rfm": 2}
+STANDARD_K = {"demographic": 2, "product_channel": 3, "rfm": 2}
 TRANSFORMS = {
     "demographic": {"Age": "Age", "Income": "Income", "Dependency_Ratio": "Dependency_Ratio"},
     "product_channel": {"Total_Spent": "Total_Spent_Transformed"},
