@@ -138,11 +138,6 @@ def correlation_matrix(df: DataFrame, columns: list[str], wide: int = WIDE) -> D
     return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
-def with_constants(df: DataFrame, aggregates: dict[str, Column]) -> DataFrame:
-    """`df` with aggregates over all its rows as further columns; one row is broadcast."""
-    return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))
-
-
 def row_sum(columns: list[str]) -> Column:
     """Sum across columns that skips nulls."""
     return reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in columns])

@@ -10,7 +10,6 @@ cannot be fitted (ValueError), nor can fewer different rows than clusters. Colum
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -88,19 +87,12 @@ def load(df: DataFrame) -> dict[str, Model]:
     return found
 
 
-def _reduced(df: DataFrame, pairs: list[tuple]) -> DataFrame:
-    for a, b, name, ma, sa, mb, sb, sign in pairs:
-        part = lambda c, m, s: (F.col(c) - F.lit(m)) / F.lit(s)
-        df = df.withColumn(name, (part(a, ma, sa) + F.lit(sign) * part(b, mb, sb)) / F.lit(math.sqrt(2)))
-    return df
-
-
 def features(df: DataFrame, family: Family, model: Model) -> DataFrame:
     """The family's features of any rows, transformed and with its components, as fitted; not scaled."""
     roles.assert_columns(df, [roles.ID])
     made = family.make(df, model.cut)
     made = made.withColumns({name: transform.power(c, method, lam) for c, name, method, lam in model.exponents})
-    return _reduced(made, model.pairs)
+    return transform.with_components(made, model.pairs)
 
 
 def export(df: DataFrame, family: Family, model: Model) -> DataFrame:
@@ -115,15 +107,8 @@ def score(df: DataFrame, family: Family, model: Model) -> DataFrame:
 
 def _components(df: DataFrame, family: Family) -> list[tuple]:
     """The pairs to reduce with their means, spreads and sign."""
-    found = {(a, b): r for a, b, r in transform.pairs_to_reduce(df, family.candidates)} if family.pairs is None else dict.fromkeys(family.pairs)
-    if not found:
-        return []
-    asked = [f.alias(f"{n}{i}") for i, (a, b) in enumerate(found) for n, f in (
-        ("ma", F.avg(a)), ("sa", F.stddev_pop(a)), ("mb", F.avg(b)), ("sb", F.stddev_pop(b)), ("c", F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))),
-    )]
-    row = df.agg(*asked).first()
-    at = lambda n, i: float(row[f"{n}{i}"])
-    return [(a, b, transform.component_name(a, b), at("ma", i), at("sa", i) or 1.0, at("mb", i), at("sb", i) or 1.0, -1.0 if at("c", i) < 0 else 1.0) for i, (a, b) in enumerate(found)]
+    pairs = [(a, b) for a, b, _ in transform.pairs_to_reduce(df, family.candidates)] if family.pairs is None else family.pairs
+    return transform.pair_state(df, pairs)
 
 
 def compared(df: DataFrame, family: Family, ks: dict[str, int], error: float = 0.02, starts: int = 10, seed: int = 42) -> DataFrame:
@@ -153,7 +138,7 @@ def fit(df: DataFrame, family: Family, kind: str = scale.ROBUST, starts: int = 1
     pairs = _components(made, family)
     gone = {c for a, b, *_ in pairs for c in (a, b)}
     columns = [c for c in family.candidates if c not in gone] + [p[2] for p in pairs]
-    made = io.settle(_reduced(made, pairs).select(roles.ID, *columns))
+    made = io.settle(transform.with_components(made, pairs).select(roles.ID, *columns))
     scales = scale.fitted(made, columns, kind)
     centers, cost, _ = cluster.best_starts(io.settle(scale.apply(made, scales)), columns, [family.k], starts, seed)[family.k]
     return Model(family.name, cut, exponents, pairs, scales, centers.tolist()), cost

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella import roles
-from tessella.functions.stats import quantile_values, quantiles, skew_adjusted, tall, with_constants
+from tessella.functions.stats import quantile_values, quantiles, skew_adjusted, tall
+from tessella.sources.io import settle
 
 STANDARD, ROBUST = "standard", "robust"
 TIGHT = 1e-10
@@ -21,34 +22,36 @@ def _centre_and_spread(df: DataFrame, columns: list[str], kind: str) -> tuple[Ca
     return (lambda c: at(c, 0.5)), (lambda c: at(c, 0.75) - at(c, 0.25))
 
 
-def fitted(df: DataFrame, columns: list[str], kind: str = ROBUST) -> dict[str, tuple[float, float]]:
-    """column -> (centre, spread), to scale other rows with; a spread of zero is one. A column without values has neither."""
+def _state(df: DataFrame, columns: list[str], kind: str) -> dict[str, tuple[float | None, float | None]]:
+    """column -> (centre, spread); a spread of zero is one, a column without values has neither."""
     if kind == STANDARD:
         row = df.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("c", F.avg), ("s", F.stddev_pop))]).first()
         found = {c: (row[f"c{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
     else:
         at = quantile_values(df, columns, [0.25, 0.5, 0.75])
         found = {c: (at[c, 0.5], None if at[c, 0.5] is None else at[c, 0.75] - at[c, 0.25]) for c in columns}
+    return {c: (centre, 1.0 if spread == 0 else spread) for c, (centre, spread) in found.items()}
+
+
+def fitted(df: DataFrame, columns: list[str], kind: str = ROBUST) -> dict[str, tuple[float, float]]:
+    """column -> (centre, spread), to scale other rows with. A column without values raises ValueError."""
+    found = _state(df, columns, kind)
     if missing := [c for c, (centre, _) in found.items() if centre is None]:
         raise ValueError(f"columns without values: {missing}")
-    return {c: (float(centre), float(spread) or 1.0) for c, (centre, spread) in found.items()}
+    return {c: (float(centre), float(spread)) for c, (centre, spread) in found.items()}
 
 
-def apply(df: DataFrame, state: dict[str, tuple[float, float]]) -> DataFrame:
+def apply(df: DataFrame, state: dict[str, tuple[float | None, float | None]]) -> DataFrame:
     """Columns scaled in place with a fitted state: row expressions only."""
-    return df.withColumns({c: (F.col(c) - F.lit(centre)) / F.lit(spread) for c, (centre, spread) in state.items()})
+    number = lambda x: F.lit(x).cast("double")
+    return df.withColumns({c: (F.col(c) - number(centre)) / number(spread) for c, (centre, spread) in state.items()})
 
 
 def scaled(df: DataFrame, columns: list[str], kind: str = STANDARD) -> DataFrame:
-    """(x - centre) / spread; a spread of zero counts as one. The constants are one broadcast row."""
+    """(x - centre) / spread; a spread of zero counts as one. `df` is computed once, for its constants and for the result."""
     roles.assert_columns(df, columns)
-    centre, spread = _centre_and_spread(df, columns, kind)
-    facts = {}
-    for i, c in enumerate(columns):
-        facts[f"_c{i}"], facts[f"_s{i}"] = centre(c), spread(c)
-    joined = with_constants(df, facts)
-    value = lambda i, c: (F.col(c) - F.col(f"_c{i}")) / F.when(F.col(f"_s{i}") == 0, 1.0).otherwise(F.col(f"_s{i}"))
-    return joined.withColumns({c: value(i, c) for i, c in enumerate(columns)}).drop(*facts)
+    held = settle(df)
+    return apply(held, _state(held, columns, kind))
 
 
 def stats(df: DataFrame, columns: list[str], population: bool = False) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella import roles
 from tessella.functions.crossproduct import covariances
-from tessella.functions.stats import correlation_matrix, skew_adjusted, tall, with_constants
+from tessella.functions.stats import correlation_matrix, skew_adjusted, tall
+from tessella.sources.io import settle
 
 BOX_COX, YEO_JOHNSON, NONE = "box-cox", "yeo-johnson", "none"
 #: Exponents nearer to 0 are logarithms; grids are not widened beyond the other.
@@ -186,15 +187,31 @@ def component_name(a: str, b: str) -> str:
     return f"PC1_{a.split('_')[0]}_{b.split('_')[0]}"
 
 
-def reduce_pairs(df: DataFrame, pairs: list[tuple[str, str, float]]) -> DataFrame:
-    """Each pair becomes its first principal component, (z1 + sign(r) z2) / sqrt 2, at the end of the columns."""
-    for a, b, r in pairs:
-        facts = with_constants(df, {"_ma": F.avg(a), "_sa": F.stddev_pop(a), "_mb": F.avg(b), "_sb": F.stddev_pop(b)})
-        one, two = (F.col(a) - F.col("_ma")) / F.col("_sa"), (F.col(b) - F.col("_mb")) / F.col("_sb")
-        df = facts.withColumn(component_name(a, b), (one + two * (1.0 if r >= 0 else -1.0)) / math.sqrt(2)).drop(a, b, "_ma", "_sa", "_mb", "_sb")
+def pair_state(df: DataFrame, pairs: list[tuple[str, str]]) -> list[tuple[str, str, str, float, float, float, float, float]]:
+    """(a, b, name, mean a, spread a, mean b, spread b, sign) of each pair, from one aggregate; a constant column has the spread 1."""
+    if not pairs:
+        return []
+    together = lambda a, b: F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))
+    asked = [f.alias(f"{n}{i}") for i, (a, b) in enumerate(pairs) for n, f in (("ma", F.avg(a)), ("sa", F.stddev_pop(a)), ("mb", F.avg(b)), ("sb", F.stddev_pop(b)), ("c", together(a, b)))]
+    row = df.agg(*asked).first()
+    at = lambda n, i: float(row[f"{n}{i}"] or 0.0)
+    return [(a, b, component_name(a, b), at("ma", i), at("sa", i) or 1.0, at("mb", i), at("sb", i) or 1.0, -1.0 if at("c", i) < 0 else 1.0) for i, (a, b) in enumerate(pairs)]
+
+
+def with_components(df: DataFrame, state: list[tuple]) -> DataFrame:
+    """`df` with the first principal component of each pair, (z1 + sign z2) / sqrt 2, at the end of the columns."""
+    for a, b, name, ma, sa, mb, sb, sign in state:
+        part = lambda c, m, s: (F.col(c) - F.lit(m)) / F.lit(s)
+        df = df.withColumn(name, (part(a, ma, sa) + F.lit(sign) * part(b, mb, sb)) / F.lit(math.sqrt(2)))
     return df
 
 
+def reduce_pairs(df: DataFrame, pairs: list[tuple[str, str, float]]) -> DataFrame:
+    """Each pair becomes its first principal component; `df` is computed once."""
+    held = settle(df)
+    return with_components(held, pair_state(held, [p[:2] for p in pairs])).drop(*[c for p in pairs for c in p[:2]])
+
+
 def pair_variance(df: DataFrame, columns: list[str], threshold: float = roles.HIGH_CORRELATION) -> DataFrame:
     """The share of a pair's variance that its first component carries: (1 + |r|) / 2."""
     return high_pairs(df, columns, threshold).select("f1", "f2", "r", ((1 + F.abs("r")) / 2).alias("share"))
