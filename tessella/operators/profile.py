@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella import roles
 from tessella.functions.stats import quantiles, tall, unpivot
-from tessella.functions.values import distinct_counts, duplicates, top_values
+from tessella.functions.values import digest, distinct_counts, duplicates, top_values
+from tessella.sources.io import settle
 
 
 def others(df: DataFrame, key: str = roles.ID) -> list[str]:
@@ -39,16 +40,16 @@ def duplicate_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, columns: list[str], key: str = roles.ID) -> DataFrame:
-    """The members of groups of rows equal in `columns`, one row for each: (n, first_key, member). A group of any size is never one row."""
-    found = df.groupBy(*columns).agg(F.count("*").alias("n"), F.min(key).alias("first_key")).filter("n > 1")
-    found = found.select(F.struct(*columns).alias("_alike"), "n", "first_key")
-    rows = df.select(F.struct(*columns).alias("_own"), F.col(key).alias("member"))
-    return rows.join(found, F.col("_own").eqNullSafe(F.col("_alike"))).select("n", "first_key", "member")
+    """The members of groups of rows equal in `columns`, one row for each: (n, first_key, member). A group of any size is never one
+    row, and what moves is a digest and a key for each row."""
+    rows = settle(df.select(digest(df, columns).alias("_digest"), F.col(key).alias("member")))
+    found = rows.groupBy("_digest").agg(F.count("*").alias("n"), F.min("member").alias("first_key")).filter("n > 1")
+    return rows.join(found, "_digest").select("n", "first_key", "member")
 
 
 def duplicate_sizes(df: DataFrame, columns: list[str]) -> DataFrame:
     """group size -> number of groups and rows."""
-    sized = groups(df, columns).filter("n > 1")
+    sized = df.select(digest(df, columns).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("n")).filter("n > 1")
     return sized.groupBy("n").agg(F.count("*").alias("n_groups")).withColumn("n_rows", F.col("n") * F.col("n_groups"))
 
 
@@ -68,9 +69,13 @@ def hidden_duplicates(df: DataFrame, key: str = roles.ID) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """All rows of groups of two or more, sorted by all columns, with the group's size."""
-    sized = groups(df, df.columns).filter("n > 1")
-    return sized.select(*df.columns, "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).orderBy(*df.columns, "copy")
+    """All rows of groups of two or more, sorted by all columns, with the group's size. Digests find them; only these rows are grouped
+    and move whole."""
+    columns, df = df.columns, settle(df.withColumn("_digest", digest(df, df.columns)))
+    again = df.groupBy("_digest").agg(F.count("*").alias("n")).filter("n > 1").select("_digest")
+    df = df.join(again, "_digest", "left_semi").select(*columns)
+    sized = groups(df, columns).filter("n > 1")
+    return sized.select(*columns, "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")).orderBy(*columns, "copy")
 
 
 def frequencies(df: DataFrame, c: str, all_up_to: int = 15, top: int = 10) -> DataFrame:
