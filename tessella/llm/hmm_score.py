@@ -46,6 +46,8 @@ SEGMENT, BLOCK_TOKENS = 512, 1_000_000
 FREQUENT = 200_000
 #: Tokens of chunks that one range of token numbers has, about; and frequent tokens that are added up together.
 RANGE, SLICE = 250_000, 256
+#: Chunks that a task works on, about: it sends the sums of frequent tokens once.
+TASK_CHUNKS = 12
 #: Distinct tokens of a chunk, about; more of them only make ranges larger.
 DISTINCT = 80_000
 #: The end token; no word is empty.
@@ -515,6 +517,7 @@ class Model:
         self.spark, self.tables, self.counts = docs.sparkSession, tables, None
         chunks, n_chunks = tables.write(_chunks(docs))
         self.ranges = max(1, -(-n_chunks * DISTINCT // RANGE))
+        self.tasks = max(self.spark.sparkContext.defaultParallelism, n_chunks // TASK_CHUNKS)
         offer, number = _numbered(self.ranges)
         offers = chunks.select("chunk", "tokens", "sizes", "counts").mapInArrow(offer, OFFER)
         found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
@@ -578,7 +581,7 @@ class Model:
                 rows.append((ranges + piece, None, (met[at] % SLICE).astype(np.int32).tobytes(), _short(common[met[at]])))
             yield _rows(rows, _wanted(SENT))
 
-        sent = self.with_counts().mapInArrow(count, SENT)
+        sent = self.with_counts().coalesce(self.tasks).mapInArrow(count, SENT)
         counts, _ = self.tables.write(sent.groupBy("part").applyInArrow(_added(ranges), SUMS))
         if self.counts is not None:
             self.tables.drop(self.counts)
