@@ -87,7 +87,7 @@ def _square(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - centers[None]) ** 2).sum(axis=2)
 
 
-def seed_many(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
+def seed_in_turn(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
     """k-means++ centres for each of `models` (k, seed), one pass over the rows for each place among the centres.
 
     A draw by squared distance takes the row of the greatest d2 / -log(u), where u is a hash of the key, seed and place: each
@@ -120,7 +120,7 @@ def seed_many(df: DataFrame, features: list[str], models: list[tuple[int, int]],
     return centers
 
 
-#: Rounds of seed_parallel(), and candidates that each of them adds for each centre.
+#: Rounds of seed_many(), and candidates that each of them adds for each centre.
 SEED_ROUNDS, OVERSAMPLE = 5, 2
 
 
@@ -140,7 +140,7 @@ def _weighted_seeds(x: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np
     return centers
 
 
-def seed_parallel(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
+def seed_many(df: DataFrame, features: list[str], models: list[tuple[int, int]], key: str = "ID") -> list[np.ndarray]:
     """Centres for each of `models` (k, seed) by k-means||: SEED_ROUNDS + 2 passes over the rows, whatever k is.
 
     The first pass takes one row; each round takes OVERSAMPLE * k further rows without replacement, the chance of a row being its squared
@@ -322,7 +322,7 @@ def lloyd_bounded(df: DataFrame, features: list[str], centers: list[list[float]]
 def best_starts(df: DataFrame, features: list[str], ks: list[int], starts: int = 10, seed: int = 42, key: str = "ID") -> dict[int, tuple[np.ndarray, float, int]]:
     """k -> (centres, inertia, rounds) of the best of several k-means|| starts by inertia."""
     models = [(k, seed + i) for k in ks for i in range(starts)]
-    found = lloyd_many(df, features, seed_parallel(df, features, models, key))
+    found = lloyd_many(df, features, seed_many(df, features, models, key))
     return {k: min((r for (own, _), r in zip(models, found) if own == k), key=lambda r: r[1]) for k in ks}
 
 

@@ -74,13 +74,13 @@ def test_parallel_seeds_and_bounded_lloyd(spark, blobs):
     df = frame(spark, ID=np.arange(len(blobs)), x=blobs[:, 0], y=blobs[:, 1]).cache()
     cost = lambda c: cluster._square(blobs, c).min(axis=1).sum()
     models = [(5, s) for s in range(4)] + [(3, 1)]
-    new, old = cluster.seed_parallel(df, ["x", "y"], models), cluster.seed_many(df, ["x", "y"], models)
+    new, old = cluster.seed_many(df, ["x", "y"], models), cluster.seed_in_turn(df, ["x", "y"], models)
     assert [c.shape for c in new] == [(5, 2)] * 4 + [(3, 2)]
     assert min(map(cost, new[:4])) <= min(map(cost, old[:4]))
     text = df.withColumn("ID", F.concat(F.lit("k"), "ID"))
-    assert cluster.seed_parallel(text, ["x", "y"], [(4, 0)])[0].shape == (4, 2)
+    assert cluster.seed_many(text, ["x", "y"], [(4, 0)])[0].shape == (4, 2)
     with pytest.raises(ValueError):
-        cluster.seed_parallel(frame(spark, ID=[1, 2, 3], x=[1.0, 1.0, 1.0]), ["x"], [(2, 0)])
+        cluster.seed_many(frame(spark, ID=[1, 2, 3], x=[1.0, 1.0, 1.0]), ["x"], [(2, 0)])
 
     start = blobs[[0, 1, 2, 900, 1900]]
     (want, inertia, _), = cluster.lloyd_many(df, ["x", "y"], [start])
