@@ -65,6 +65,14 @@ def test_exponents_of_many_columns(spark, monkeypatch):
     assert at(got["neg"]) >= max(at(p) for p in np.linspace(-2, 3, 401)) - 1e-6
 
 
+def test_box_cox_with_values_that_are_not_positive(spark):
+    x = RNG.normal(3, 0.4, 2000).clip(1) ** 2
+    df = frame(spark, a=[*x, 0.0, 0.0, -1.0, None], b=[*x, *x[:4]])
+    got = transform.fit_many(df, {"a": transform.BOX_COX})["a"]
+    assert got == pytest.approx(transform.fit(frame(spark, a=x), "a", transform.BOX_COX))
+    assert df.agg(F.count(transform.in_domain("a", transform.BOX_COX))).first()[0] == len(x)
+
+
 @pytest.fixture(scope="module")
 def blobs():
     return np.vstack([RNG.normal(c, 0.6, (400, 2)) for c in ((0, 0), (5, 0), (0, 5), (6, 6), (10, 1))])
