@@ -71,6 +71,9 @@ def test_box_cox_with_values_that_are_not_positive(spark):
     got = transform.fit_many(df, {"a": transform.BOX_COX})["a"]
     assert got == pytest.approx(transform.fit(frame(spark, a=x), "a", transform.BOX_COX))
     assert df.agg(F.count(transform.in_domain("a", transform.BOX_COX))).first()[0] == len(x)
+    zero = frame(spark, a=[*x, 0.0])
+    found = {r["lambda"]: r["llf"] for r in transform.log_likelihoods(zero, "a", transform.BOX_COX, [-1.0, 0.0, 0.5, 1.0, 2.0]).collect()}
+    assert found[0.5] == math.inf and found[2.0] == -math.inf and all(math.isnan(found[p]) for p in (-1.0, 0.0, 1.0))
 
 
 @pytest.fixture(scope="module")
