@@ -101,6 +101,41 @@ def test_silhouettes_across_blocks(numbers):
     assert np.allclose(got, want)
 
 
+def test_silhouettes_of_equal_points_and_what_they_move(spark, monkeypatch):
+    """Copies share one point; sums of distances leave a task once for each point, whatever the number of blocks."""
+    x = np.repeat(np.random.default_rng(3).normal(size=(150, 2)).round(1), 4, axis=0)
+    x[7] = -0.0
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "ID long, a double, b double").repartition(3).cache()
+    centers = {2: [[-1.0, 0.0], [1.0, 0.0]], 3: [[-1.0, 0.0], [1.0, 0.0], [50.0, 0.0]], 4: [[0.0, 0.0], [9.0, 9.0], [0.5, 1.0], [-1.0, -1.0]]}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    packed, settle = [], cluster.settle
+    monkeypatch.setattr(cluster, "settle", lambda df: packed.append(settle(df)) or packed[-1])
+    got = cluster.mean_silhouettes(df, ["a", "b"], centers)
+    for k, c in centers.items():
+        own = ((x[:, None] - np.array(c)[None]) ** 2).sum(axis=2).argmin(axis=1)
+        a = [d[i, own == o].sum() / max(1, (own == o).sum() - 1) for i, o in enumerate(own)]
+        b = [min(d[i, own == q].mean() for q in set(own) if q != o) for i, o in enumerate(own)]
+        s = [(q - p) / max(p, q) if (own == o).sum() > 1 else 0.0 for p, q, o in zip(a, b, own)]
+        assert got[k] == pytest.approx(np.mean(s), abs=1e-12)
+        rows = cluster.silhouettes(cluster.assign(df, ["a", "b"], c), ["a", "b"], block=16).orderBy("ID").toPandas()
+        assert len(rows) == len(x) and np.allclose(rows["s"], s)
+    points = len(np.unique(x + 0.0, axis=0))
+    assert packed[0].count() == points and sum(len(r["data"]) for r in packed[1].collect()) == points * 8 * (2 + 3 + 1)
+
+
+def test_exact_curve_of_many_rows(spark):
+    """Beyond the rows that the estimate takes exactly, the curve of given centres has the exact silhouette, as its SQL has."""
+    df = spark.range(24_000).selectExpr("id AS ID", "double(id % 240) AS x").cache()
+    found = cluster.mean_silhouettes(df, ["x"], {2: [[60.0], [180.0]]})[2]
+    labelled = cluster.assign(df, ["x"], [[60.0], [180.0]])
+    assert found == pytest.approx(cluster.silhouettes(labelled, ["x"]).agg(F.avg("s")).first()[0], abs=1e-12)
+    x = np.arange(240.0)
+    d = abs(x[:, None] - x[None]) * 100
+    own = x > 120
+    a, b = np.where(own, d[:, own].sum(axis=1), d[:, ~own].sum(axis=1)) / (np.where(own, own.sum(), (~own).sum()) * 100 - 1), np.where(own, d[:, ~own].mean(axis=1), d[:, own].mean(axis=1)) / 100
+    assert found == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
+
+
 def test_lloyd_refills_an_empty_cluster(numbers):
     df, _ = numbers
     centers = cluster.lloyd(df, ["a", "b"], [[2.0, 0.0], [900.0, 900.0]], 20)
