@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.stats import quantiles, tall
 from tessella.operators.profile import duplicate_counts
+from tessella.sources.io import settle
 
 STATISTICS = ["n", "mean", "std", "min", "p25", "p50", "p75", "max"]
 
@@ -30,7 +31,8 @@ def summary(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """(column, statistic, value) in long form."""
+    """(column, statistic, value) in long form; `df` is computed once."""
+    df = settle(df.select(*columns))
     at = quantiles(df, columns, [0.25, 0.5, 0.75])
     wide = tall(df, columns, {
         "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "p25": lambda c: at(c, 0.25),
