@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessella.sources.io import settle
 
 #: Values that a task holds before it merges or sends them, and characters beyond which a value is told by its SHA-256.
-HELD, LONG = 500_000, 64
+HELD, LONG = 100_000, 64
 #: Counters of a task's sketch of frequent values, and candidates that are counted exactly at most.
 COUNTERS, CANDIDATES = 4096, 10_000
 

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from tessella.functions import values
 from tessella.operators import cluster, family
 from tessella.plans import registry
 from tessella.sources import tables
@@ -36,3 +37,10 @@ def test_kernels_and_empty_clusters(spark):
     df = spark.createDataFrame([(float(i), 0.0) for i in range(20)] + [(100.0, 0.0)], "a double, b double").repartition(3)
     (centers, cost, rounds), = cluster.lloyd_many(df, ["a", "b"], [np.array([[9.0, 0.0], [900.0, 900.0]])])
     assert rounds > 1 and sorted(centers[:, 0].tolist()) == [9.5, 100.0] and np.isclose(cost, ((np.arange(20) - 9.5) ** 2).sum())
+
+
+def test_value_counts_hold_few_values(spark):
+    df = spark.range(0, 260_000, 1, 1).selectExpr("id AS a", "id % 7 AS b", "string(id % 90000) AS c", "IF(id % 5 = 0, NULL, id) AS d")
+    got = {r["column"]: tuple(r)[1:] for r in values.distinct_counts(df, df.columns).collect()}
+    assert got == {"a": (260_000, 0, 260_000), "b": (7, 0, 260_000), "c": (90_000, 0, 260_000), "d": (208_000, 52_000, 260_000)}
+    assert values.HELD <= 100_000  # of a task, beside one batch
