@@ -84,12 +84,14 @@ class Tables:
     """Intermediate tables in the shared folder, which go when the block ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.paths = spark, scratch(spark, name), {}
+        self.spark, self.root, self.paths, self.names = spark, scratch(spark, name), {}, []
 
     def __enter__(self) -> Tables:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.root)
 
     def write(self, df: DataFrame) -> tuple[DataFrame, int]:
@@ -100,6 +102,16 @@ class Tables:
         self.paths[id(written)] = path
         return written, int(seen.get["n"])
 
+    def buckets(self, df: DataFrame, n: int, key: str) -> tuple[DataFrame, int]:
+        """Like write(), in `n` buckets by `key`: grouping what is read by `key` moves no row. Rows of a bucket had best be in one task already."""
+        name, seen = f"bucketed_{uuid.uuid4().hex}", Observation()
+        path = f"{self.root}/{name}"
+        self.names.append(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+        written = self.spark.table(name)
+        self.paths[id(written)] = path
+        return written, int(seen.get["n"])
+
     def drop(self, written: DataFrame) -> None:
         """Delete a table before the block ends."""
         remove(self.spark, self.paths.pop(id(written)))

@@ -5,12 +5,13 @@ Tokens are the words of the text with A-Z lowered, then one end token. The laten
 tokens together are one more token without counts. So every word has a profile of its own, whatever the vocabulary, and the
 likelihood of the whole text is exact: the forward recursion runs over all its tokens, scaled at each.
 
-Texts are encoded once, in chunks of about `CHUNK` bytes: a chunk holds the codes of its tokens and its own vocabulary, whose
-tokens get numbers and training counts by one exchange. Training passes over every training text until a round gains less than
-`GAIN` of the log likelihood. In a round each chunk runs the forward-backward recursion over whole texts and sends the expected
-counts of its tokens, packed by ranges of token numbers; the counts of a range are added up and go back to the chunks that
-asked. The most frequent `FREQUENT` tokens, a fixed number, are added up by task first and broadcast. Expected counts travel as
-40-bit numbers, without the last state's, which the token's count tells, and are added up as 64-bit ones.
+Texts are encoded once, in chunks of about `CHUNK` bytes: a chunk holds the codes of its tokens and its own vocabulary. About
+`TASK_CHUNKS` chunks are a group with one vocabulary, whose tokens get numbers and training counts by one exchange. Groups are
+stored in buckets, one in each, so that no chunk moves again. Training passes over every training text until a round gains less
+than `GAIN` of the log likelihood. In a round a task runs the forward-backward recursion over the whole texts of one group, adds up
+the expected counts of its tokens and sends them, packed by ranges of token numbers; the counts of a range are added up and go back
+to the groups that asked. The most frequent `FREQUENT` tokens, a fixed number, are broadcast. Expected counts travel as 40-bit
+numbers, without the last state's, which the token's count tells, and are added up as 64-bit ones.
 
 A text of more than `SEGMENT` tokens is cut into segments that run through the recursion side by side: the product of a
 segment's transition matrices tells what enters the next one, forwards and backwards, so that the cut changes no value.
@@ -44,9 +45,9 @@ CHUNK = 3_000_000
 #: Most tokens of a segment, and tokens that run through the recursion at once.
 SEGMENT, BLOCK_TOKENS = 512, 1_000_000
 FREQUENT = 200_000
-#: Tokens of chunks that one range of token numbers has, about; and frequent tokens that are added up together.
+#: Tokens of chunks that one range of token numbers has, at most about; and frequent tokens that are added up together.
 RANGE, SLICE = 250_000, 256
-#: Chunks that a task works on, about: it sends the sums of frequent tokens once.
+#: Chunks of a group, about: a task works on one group and sends the sums of its tokens once.
 TASK_CHUNKS = 12
 #: Distinct tokens of a chunk, about; more of them only make ranges larger.
 DISTINCT = 80_000
@@ -284,16 +285,29 @@ def _wanted(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, held_out, doc_ids, n, lengths, codes, v, tokens, sizes, counts): texts of one kind as codes, with their vocabulary."""
+def _groups(docs: DataFrame) -> list[int]:
+    """Numbers for groups of about TASK_CHUNKS chunks, such that Spark's hash deals each to a partition of its own; at least one for each core."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(spark.sparkContext.defaultParallelism, total // (CHUNK * TASK_CHUNKS))
+    dealt = spark.range(40 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("partition")).agg(F.min("id").alias("grp"))
+    return [r["grp"] for r in dealt.orderBy("grp").collect()]  # a partition without a number, which is as good as impossible, stays empty
+
+
+def _chunks(docs: DataFrame, groups: list[int]) -> DataFrame:
+    """(grp, chunk, held_out, doc_ids, n, lengths, codes, v, tokens, sizes, counts): texts of one kind as codes, with their vocabulary.
+
+    The chunks of a task are dealt to groups in turn.
+    """
 
     def encode(batches: Batches) -> Batches:
-        made = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        made, turn = task << 32, int(aw.mixed(np.array([task], dtype=np.uint64))[0] % np.uint64(len(groups)))
         waiting: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
         size = {True: 0, False: 0}
 
         def flush(out: bool) -> pa.RecordBatch:
-            nonlocal made
+            nonlocal made, turn
             whole = pa.Table.from_batches(waiting[out]).combine_chunks()
             texts, ids = (pa.concat_arrays(whole.column(c).chunks) for c in ("text", "doc_id"))
             waiting[out], size[out] = [], 0
@@ -301,16 +315,16 @@ def _chunks(docs: DataFrame) -> DataFrame:
             tokens, at = aw.contents(distinct)
             sizes = np.diff(at).astype(np.int32)
             counts = np.bincount(codes, minlength=len(distinct)).astype(np.int32) * (not out)
-            made += 1
+            made, turn = made + 1, (turn + 1) % len(groups)
             pa.default_memory_pool().release_unused()
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([made]), pa.array([out]), lists, pa.array([len(codes)]), pa.array([_pack(np.diff(offsets).astype(np.int32))]),
+                    pa.array([groups[turn]]), pa.array([made]), pa.array([out]), lists, pa.array([len(codes)]), pa.array([_pack(np.diff(offsets).astype(np.int32))]),
                     pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array([tokens.tobytes()]),
                     pa.array([sizes.tobytes()]), pa.array([counts.tobytes()]),
                 ],
-                names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "tokens", "sizes", "counts"],
+                names=["grp", "chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "tokens", "sizes", "counts"],
             )
 
         for batch in batches:
@@ -330,7 +344,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     return rows.mapInArrow(
-        encode, f"chunk long, held_out boolean, doc_ids array<{kind}>, n long, lengths binary, codes binary, v long, tokens binary, sizes binary, counts binary"
+        encode, f"grp long, chunk long, held_out boolean, doc_ids array<{kind}>, n long, lengths binary, codes binary, v long, tokens binary, sizes binary, counts binary"
     )
 
 
@@ -344,8 +358,8 @@ def _split_up(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(parts[places[0]]), places
 
 
-OFFER = "part int, chunk long, idx binary, tokens binary, sizes binary, counts binary"
-LOOKUP = "part int, chunk long, idx binary, codes binary, n binary, seeds binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
+OFFER = "part int, grp long, idx binary, tokens binary, sizes binary, counts binary"
+LOOKUP = "part int, grp long, idx binary, codes binary, n binary, seeds binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
 
 
 def _strings(data: bytes, sizes: bytes) -> pa.Array:
@@ -354,29 +368,37 @@ def _strings(data: bytes, sizes: bytes) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def _numbered(parts: int):
-    """Functions that offer the tokens of chunks by range, and that number the tokens of a range and add up their counts."""
+def _merged(table: pa.Table) -> tuple[list[int], pa.Array, list[np.ndarray]]:
+    """(rows of the chunks of a group in their order, the group's distinct tokens, where each chunk's are among them)."""
+    order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
+    tokens, sizes = (table.column(c).to_pylist() for c in ("tokens", "sizes"))
+    coded = pa.concat_arrays([_strings(tokens[i], sizes[i]) for i in order]).dictionary_encode()
+    return order, coded.dictionary, np.split(np.asarray(coded.indices, dtype=np.int32), np.cumsum([len(sizes[i]) // 4 for i in order])[:-1])
 
-    def offer(batches: Batches) -> Batches:
-        for batch in batches:
-            for chunk, tokens, sizes, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "tokens", "sizes", "counts"))):
-                held = _strings(tokens, sizes)
-                counts, rows = np.frombuffer(counts, dtype=np.int32), []
-                for part, places in _split_up((aw.hashes(held) % np.uint64(parts)).astype(np.int64)):
-                    own, at = aw.contents(held.take(pa.array(places)))
-                    rows.append((part, chunk, places.astype(np.int32).tobytes(), own.tobytes(), np.diff(at).astype(np.int32).tobytes(), counts[places].tobytes()))
-                yield _rows(rows, _wanted(OFFER))
+
+def _numbered(parts: int):
+    """Functions that offer the tokens of groups by range, and that number the tokens of a range and add up their counts."""
+
+    def offer(table: pa.Table) -> pa.Table:
+        grp, counts = table.column("grp")[0].as_py(), table.column("counts").to_pylist()
+        order, held, places = _merged(table)
+        n = np.frombuffer(b"".join(counts[i] for i in order), dtype=np.int32)
+        counts, rows = np.rint(np.bincount(np.concatenate(places), weights=n, minlength=len(held))).astype(np.int64), []
+        for part, at in _split_up((aw.hashes(held) % np.uint64(parts)).astype(np.int64)):
+            own, ends = aw.contents(held.take(pa.array(at)))
+            rows.append((part, grp, at.astype(np.int32).tobytes(), own.tobytes(), np.diff(ends).astype(np.int32).tobytes(), _pack(counts[at])))
+        return pa.Table.from_batches([_rows(rows, _wanted(OFFER))])
 
     def number(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        chunks, idx, tokens, sizes, counts = (table.column(c).to_pylist() for c in ("chunk", "idx", "tokens", "sizes", "counts"))
+        groups, idx, tokens, sizes, counts = (table.column(c).to_pylist() for c in ("grp", "idx", "tokens", "sizes", "counts"))
         coded = pa.concat_arrays([_strings(t, s) for t, s in zip(tokens, sizes)]).dictionary_encode()
-        codes, n = np.asarray(coded.indices, dtype=np.int32), np.frombuffer(b"".join(counts), dtype=np.int32)
+        codes, n = np.asarray(coded.indices, dtype=np.int32), np.concatenate([_unpack(c, np.int64, len(x) // 4) for c, x in zip(counts, idx)])
         total = np.rint(np.bincount(codes, weights=n, minlength=len(coded.dictionary))).astype(np.int64)
         cuts, rows = np.cumsum([0, *(len(x) // 4 for x in idx)]), []
-        for k, chunk in enumerate(chunks):
+        for k, grp in enumerate(groups):
             own = codes[cuts[k] : cuts[k + 1]]
-            rows.append((part, chunk, idx[k], own.tobytes(), total[own].tobytes(), None, *[None] * (2 + STATES)))
+            rows.append((part, grp, idx[k], own.tobytes(), _pack(total[own]), None, *[None] * (2 + STATES)))
         known = np.nonzero(total)[0]
         seeds = aw.hashes(coded.dictionary.take(pa.array(known)))
         sums = _tilted(seeds, total[known].astype(np.float64)).sum(axis=0)
@@ -386,33 +408,34 @@ def _numbered(parts: int):
     return offer, number
 
 
-KEPT = "place binary, counts binary, n_rare long, rare_at binary, rare_part binary, rare_code binary, seeds binary"
+CHUNK_ROW = ["grp", "chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v"]
+#: Where a chunk's tokens are among the group's; and, in one row of each group, what is known of these.
+KEPT = "words binary, n_words long, place binary, counts binary, n_rare long, rare_at binary, rare_part binary, rare_code binary, seeds binary"
 
 
 def _looked_up(parts: int, known):
-    """A function that gives chunks the places of their tokens among the frequent ones, and the numbers of all others."""
+    """A function that gives a group the places of its tokens among the frequent ones, and the numbers of all others."""
 
-    def look_up(batches: Batches) -> Batches:
+    def look_up(chunks: pa.Table, found: pa.Table) -> pa.Table:
         frequent = known.value
-        for batch in batches:
-            rows = []
-            for v, tokens, sizes, found in zip(*(batch.column(c).to_pylist() for c in ("v", "tokens", "sizes", "found"))):
-                part, code, n = np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int64)
-                for x in found:
-                    at = np.frombuffer(x["idx"], dtype=np.int32)
-                    part[at], code[at], n[at] = x["part"], np.frombuffer(x["codes"], dtype=np.int32), np.frombuffer(x["n"], dtype=np.int64)
-                number = code.astype(np.int64) * parts + part
-                place = np.full(v, -1, dtype=np.int32)
-                if len(frequent):
-                    near = np.minimum(np.searchsorted(frequent, number), len(frequent) - 1)
-                    place = np.where(frequent[near] == number, near, -1).astype(np.int32)
-                rare = np.nonzero((place < 0) & (n > 0))[0]
-                rare = rare[np.argsort(part[rare], kind="stable")]
-                seeds = aw.hashes(_strings(tokens, sizes).take(pa.array(rare)))
-                rows.append((_pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), code[rare].tobytes(), seeds.tobytes()))
-            kept = [batch.column(c) for c in ("chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v")]
-            more = _rows(rows, _wanted(KEPT))
-            yield pa.RecordBatch.from_arrays([*kept, *more.columns], names=["chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", *more.schema.names])
+        order, tokens, places = _merged(chunks)
+        v = len(tokens)
+        part, code, n = np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int32), np.zeros(v, dtype=np.int64)
+        for x in found.to_pylist():
+            at = np.frombuffer(x["idx"], dtype=np.int32)
+            part[at], code[at], n[at] = x["part"], np.frombuffer(x["codes"], dtype=np.int32), _unpack(x["n"], np.int64, len(at))
+        number = code.astype(np.int64) * parts + part
+        place = np.full(v, -1, dtype=np.int32)
+        if len(frequent):
+            near = np.minimum(np.searchsorted(frequent, number), len(frequent) - 1)
+            place = np.where((frequent[near] == number) & (n > 0), near, -1).astype(np.int32)
+        rare = np.nonzero((place < 0) & (n > 0))[0]
+        rare = rare[np.argsort(part[rare], kind="stable")]
+        seeds = aw.hashes(tokens.take(pa.array(rare)))
+        group = (v, _pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), code[rare].tobytes(), seeds.tobytes())
+        more = _rows([(_pack(own), *(group if not k else [None] * len(group))) for k, own in enumerate(places)], _wanted(KEPT))
+        kept = pa.concat_tables([chunks.slice(i, 1) for i in order]).select(CHUNK_ROW)
+        return pa.Table.from_arrays([*kept.columns, *more.columns], names=[*CHUNK_ROW, *more.schema.names])
 
     return look_up
 
@@ -429,8 +452,8 @@ def _most_frequent(batches: Batches) -> Batches:
 
 # Training
 
-SENT = "part int, chunk long, codes binary, x binary"
-SUMS = "part int, chunk long, x binary, " + ", ".join(f"x{s} double" for s in range(STATES - 1))
+SENT = "part int, grp long, codes binary, x binary"
+SUMS = "part int, grp long, x binary, " + ", ".join(f"x{s} double" for s in range(STATES - 1))
 
 
 def _short(x: np.ndarray) -> bytes:
@@ -454,20 +477,20 @@ def _all_states(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _added(ranges: int):
-    """A function that adds up what chunks send: for key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
+    """A function that adds up what groups send: for key -1 start, step and likelihood; from `ranges` on frequent tokens; else a range of token numbers."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, nothing = key[0].as_py(), [None] * (STATES - 1)
         total, asked = 0.0, []
         sums = np.zeros((SLICE, STATES - 1))
         for batch in batches:
-            for chunk, codes, x in zip(*(batch.column(c).to_pylist() for c in ("chunk", "codes", "x"))):
+            for grp, codes, x in zip(*(batch.column(c).to_pylist() for c in ("grp", "codes", "x"))):
                 if part < 0:
                     total = total + np.frombuffer(x, dtype=np.float64)
                 elif part >= ranges:
                     sums[np.frombuffer(codes, dtype=np.int32)] += _wide(x)
                 else:
-                    asked.append((chunk, np.frombuffer(codes, dtype=np.int32), x))
+                    asked.append((grp, np.frombuffer(codes, dtype=np.int32), x))
         if part < 0:
             rows = [(part, None, total.tobytes(), *nothing)]
         elif part >= ranges:
@@ -475,9 +498,8 @@ def _added(ranges: int):
         else:
             own = np.zeros((max(int(a[1].max()) for a in asked) + 1, STATES - 1))
             for _, codes, x in asked:
-                if x:  # chunks of held-out texts only ask
-                    own[codes] += _wide(x)  # a chunk has a token once
-            rows = [(part, chunk, _short(own[codes]), *nothing) for chunk, codes, _ in asked]
+                own[codes] += _wide(x)  # a group has a token once
+            rows = [(part, grp, _short(own[codes]), *nothing) for grp, codes, _ in asked]
             rows.append((part, None, None, *own.sum(axis=0).tolist()))
         yield _rows(rows, _wanted(SUMS))
 
@@ -485,44 +507,64 @@ def _added(ranges: int):
 
 
 class Chunk:
-    """A row of the table of chunks, with the model's counts for its tokens."""
-
-    def __init__(self, row: dict, model: tuple):
-        frequent, _, _, totals, v_all, first = model
-        self.codes = _unpack(row["codes"], np.int32, row["n"]).astype(np.int64)
-        self.lengths = _unpack(row["lengths"], np.int32, len(row["doc_ids"])).astype(np.int64)
+    """A row of the table of chunks, with the emissions of its tokens."""
+
+    def __init__(self, row: pa.Table, group: Group):
+        self.doc_ids = row.column("doc_ids").chunk(0).flatten()
+        x = row.select(["held_out", "n", "lengths", "codes", "v", "words"]).to_pylist()[0]
+        self.held_out = x["held_out"]
+        self.codes = _unpack(x["codes"], np.int32, x["n"]).astype(np.int64)
+        self.lengths = _unpack(x["lengths"], np.int32, len(self.doc_ids)).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.place = _unpack(row["place"], np.int32, row["v"])
-        self.n = _unpack(row["counts"], np.int64, row["v"])
+        self.words = _unpack(x["words"], np.int32, x["v"])
+        self.emit = emission(group.counts.take(self.words, axis=0), group.totals, group.v_all)
+
+
+class Group:
+    """The chunks that a task works on, with the model's counts for their tokens."""
+
+    def __init__(self, chunks: pa.Table, found: pa.Table, model: tuple):
+        frequent, _, _, self.totals, self.v_all, first = model
+        self.rows, self.grp = chunks, chunks.column("grp")[0].as_py()
+        at = int(np.nonzero(chunks.column("n_words").is_valid().to_numpy())[0][0])
+        x = chunks.slice(at, 1).drop_columns(["doc_ids", "codes"]).to_pylist()[0]
+        self.place = _unpack(x["place"], np.int32, x["n_words"])
+        self.n = _unpack(x["counts"], np.int64, x["n_words"])
         # tokens beyond the frequent ones: their places, in the order of their ranges
-        self.rare, part = _unpack(row["rare_at"], np.int32, row["n_rare"]), _unpack(row["rare_part"], np.int32, row["n_rare"])
-        self.code = np.frombuffer(row["rare_code"], dtype=np.int32)
+        self.rare, part = _unpack(x["rare_at"], np.int32, x["n_rare"]), _unpack(x["rare_part"], np.int32, x["n_rare"])
+        self.code = np.frombuffer(x["rare_code"], dtype=np.int32)
         cuts = np.nonzero(np.diff(part, prepend=-1, append=-1))[0] if len(part) else np.zeros(1, dtype=np.int64)
         self.ranges = {int(part[a]): slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
-        counts = np.zeros((row["v"], STATES))
+        self.counts = np.zeros((x["n_words"], STATES))
         there = np.nonzero(self.place >= 0)[0]
-        counts[there] = frequent.take(self.place[there], axis=0)
+        self.counts[there] = frequent.take(self.place[there], axis=0)
         if first:
-            counts[self.rare] = _tilted(np.frombuffer(row["seeds"], dtype=np.uint64), self.n[self.rare].astype(np.float64))
-        for x in row.get("found") or []:
-            at = self.rare[self.ranges[x["part"]]]
-            counts[at] = _all_states(_wide(x["x"]), self.n[at])
-        self.emit = emission(counts, totals, v_all)
+            self.counts[self.rare] = _tilted(np.frombuffer(x["seeds"], dtype=np.uint64), self.n[self.rare].astype(np.float64))
+        for part, x in zip(*(found.column(c).to_pylist() for c in ("part", "x"))):
+            at = self.rare[self.ranges[part]]
+            self.counts[at] = _all_states(_wide(x), self.n[at])
+
+    def __iter__(self) -> Iterator[Chunk]:
+        for i in range(self.rows.num_rows):
+            yield Chunk(self.rows.slice(i, 1), self)
+            pa.default_memory_pool().release_unused()
 
 
 class Model:
-    """The chunks, and the expected counts: of frequent tokens here, of all others as a table that has them by chunk."""
+    """The chunks, and the expected counts: of frequent tokens here, of all others as a table that has them by group."""
 
     def __init__(self, docs: DataFrame, tables: Tables):
         self.spark, self.tables, self.counts = docs.sparkSession, tables, None
-        chunks, n_chunks = tables.write(_chunks(docs))
+        groups = _groups(docs)
+        chunks, n_chunks = tables.buckets(_chunks(docs, groups).repartition(len(groups), "grp"), len(groups), "grp")
+        tables.release()
         self.ranges = max(1, -(-n_chunks * DISTINCT // RANGE))
-        self.tasks = max(self.spark.sparkContext.defaultParallelism, n_chunks // TASK_CHUNKS)
         offer, number = _numbered(self.ranges)
-        offers = chunks.select("chunk", "tokens", "sizes", "counts").mapInArrow(offer, OFFER)
+        offers = chunks.select("grp", "chunk", "tokens", "sizes", "counts").groupBy("grp").applyInArrow(offer, OFFER)
         found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
+        tables.release()
 
-        words = found.filter("chunk IS NULL")
+        words = found.filter("grp IS NULL")
         all_ = words.agg(F.sum("n_all"), F.sum("v_all"), *[F.sum(f"x{s}") for s in range(STATES)]).first()
         self.n_all, self.v_all, self.totals = int(all_[0] or 0), int(all_[1] or 0), np.array([x or 0.0 for x in all_[2:]])
         top = words.select("part", "codes", "n", "seeds").mapInArrow(_most_frequent, "part int, code int, n long, seed long")
@@ -536,9 +578,11 @@ class Model:
         np.fill_diagonal(self.step, 0.95)
 
         known = self.spark.sparkContext.broadcast(number[order])
-        own = found.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "idx", "codes", "n")).alias("found"))
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name not in ("tokens", "sizes", "counts"))
-        self.chunks, _ = tables.write(chunks.drop("counts").join(own, "chunk").mapInArrow(_looked_up(self.ranges, known), f"{schema}, {KEPT}"))
+        own = found.filter("grp IS NOT NULL").select("grp", "part", "idx", "codes", "n")
+        kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
+        schema = ", ".join(f"{c} {kinds[c]}" for c in CHUNK_ROW)
+        looked_up = chunks.drop("counts").groupBy("grp").cogroup(own.groupBy("grp")).applyInArrow(_looked_up(self.ranges, known), f"{schema}, {KEPT}")
+        self.chunks, _ = tables.buckets(looked_up, len(groups), "grp")
         known.unpersist()
         tables.drop(chunks)
         tables.drop(found)
@@ -547,46 +591,41 @@ class Model:
     def model(self) -> tuple:
         return self.frequent, self.start, self.step, self.totals, self.v_all, self.counts is None
 
-    def with_counts(self) -> DataFrame:
-        """The chunks with `found`: the expected counts of their tokens beyond the frequent ones."""
+    def by_group(self, function, schema: str) -> DataFrame:
+        """`function` of the chunks of each group and the expected counts of their tokens beyond the frequent ones, which are none before the first round."""
         if self.counts is None:
-            return self.chunks
-        found = self.counts.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("part", "x")).alias("found"))
-        return self.chunks.drop("seeds").join(found, "chunk", "left")
+            chunks, found = self.chunks, self.spark.createDataFrame([], SUMS)
+        else:
+            chunks, found = self.chunks.drop("seeds"), self.counts.filter("grp IS NOT NULL")
+        return chunks.groupBy("grp").cogroup(found.select("grp", "part", "x").groupBy("grp")).applyInArrow(function, schema)
 
     def round(self) -> float:
         """One round of Baum-Welch over all training texts; gives the log10 likelihood before it."""
         held, ranges = self.spark.sparkContext.broadcast(self.model()), self.ranges
 
-        def count(batches: Batches) -> Batches:
+        def count(chunks: pa.Table, found: pa.Table) -> pa.Table:
             model = held.value
             start, step = model[1], model[2]
-            common, ends, steps, likelihood = np.zeros(model[0].shape), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    chunk, counts = Chunk(row, model), None
-                    if not row["held_out"]:
-                        counts = np.zeros(chunk.emit.shape)
-                        likelihood += expected(chunk.codes, chunk.starts, chunk.lengths, (start, step, chunk.emit), (ends, steps, counts))
-                        here = np.nonzero(chunk.place >= 0)[0]
-                        common[chunk.place[here]] += counts[here]
-                        counts = counts[chunk.rare]
-                    x = lambda at: b"" if counts is None else _short(counts[at])  # noqa: B023, E731
-                    yield _rows([(part, row["chunk"], chunk.code[at].tobytes(), x(at)) for part, at in chunk.ranges.items()], _wanted(SENT))
-                    pa.default_memory_pool().release_unused()
-            met = np.nonzero(common.any(axis=1))[0]
-            rows = [(-1, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes())]
-            for piece, at in _split_up(met // SLICE):
-                rows.append((ranges + piece, None, (met[at] % SLICE).astype(np.int32).tobytes(), _short(common[met[at]])))
-            yield _rows(rows, _wanted(SENT))
-
-        sent = self.with_counts().coalesce(self.tasks).mapInArrow(count, SENT)
+            group, ends, steps, likelihood = Group(chunks, found, model), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
+            counts = np.zeros(group.counts.shape)
+            for chunk in group:
+                if not chunk.held_out:
+                    own = np.zeros(chunk.emit.shape)
+                    likelihood += expected(chunk.codes, chunk.starts, chunk.lengths, (start, step, chunk.emit), (ends, steps, own))
+                    counts[chunk.words] += own
+            rows = [(part, group.grp, group.code[at].tobytes(), _short(counts[group.rare[at]])) for part, at in group.ranges.items()]
+            rows.append((-1, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes()))
+            met = np.nonzero(group.place >= 0)[0]
+            for piece, at in _split_up(group.place[met] // SLICE):
+                rows.append((ranges + piece, None, (group.place[met[at]] % SLICE).astype(np.int32).tobytes(), _short(counts[met[at]])))
+            return pa.Table.from_batches([_rows(rows, _wanted(SENT))])
+
+        sent = self.by_group(count, SENT)
         counts, _ = self.tables.write(sent.groupBy("part").applyInArrow(_added(ranges), SUMS))
         if self.counts is not None:
             self.tables.drop(self.counts)
         self.counts = counts
-        got = counts.filter("chunk IS NULL AND x IS NOT NULL").select("part", "x").collect()  # one row for SLICE frequent tokens
+        got = counts.filter("grp IS NULL AND x IS NOT NULL").select("part", "x").collect()  # one row for SLICE frequent tokens
         rare = np.array([v or 0.0 for v in counts.agg(*[F.sum(f"x{s}") for s in range(STATES - 1)]).first()])
         sums = {r["part"]: np.frombuffer(r["x"], dtype=np.float64) for r in got}
         frequent = np.zeros((-(-len(self.n) // SLICE) * SLICE, STATES - 1))
@@ -618,25 +657,24 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
             trained.train(rounds)
         held, n_all, base_size = docs.sparkSession.sparkContext.broadcast(trained.model()), trained.n_all, trained.n_all + trained.v_all + 1
 
-        def judge(batches: Batches) -> Batches:
-            model = held.value
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    one = batch.slice(i, 1)
-                    row = one.to_pylist()[0]
-                    chunk = Chunk(row, model)
-                    add = lambda x: np.add.reduceat(x[chunk.codes], chunk.starts)  # noqa: B023, E731
-                    size = len(chunk.lengths)
-                    yield pa.RecordBatch.from_arrays(
+        def judge(chunks: pa.Table, found: pa.Table) -> pa.Table:
+            model, out = held.value, []
+            group = Group(chunks, found, model)
+            for chunk in group:
+                n, size = group.n[chunk.words], len(chunk.lengths)
+                add = lambda x: np.add.reduceat(x[chunk.codes], chunk.starts)  # noqa: B023, E731
+                out.append(
+                    pa.RecordBatch.from_arrays(
                         [
-                            one.column("doc_ids").flatten(), pa.array(np.full(size, row["held_out"])), pa.array(chunk.lengths),
-                            pa.array(add((chunk.n > 0).astype(np.int64))), pa.array(np.full(size, n_all)),
-                            pa.array(add(np.log10((chunk.n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[1], model[2], chunk.emit))),
+                            chunk.doc_ids, pa.array(np.full(size, chunk.held_out)), pa.array(chunk.lengths),
+                            pa.array(add((n > 0).astype(np.int64))), pa.array(np.full(size, n_all)),
+                            pa.array(add(np.log10((n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[1], model[2], chunk.emit))),
                         ],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                    )
+                    )
+                )
+            return pa.Table.from_batches(out)
 
-        judged = trained.with_counts().mapInArrow(
-            judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return settle(
+            trained.by_group(judge, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         )
-        return settle(judged)

@@ -7,7 +7,7 @@ from fnmatch import fnmatchcase
 import numpy as np
 import pytest
 
-from tessella.llm import decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, url_filters
+from tessella.llm import common, decontaminate, hmm_score, html_extract, license_scan, line_dedup, mixing, near_dedup, quality_rules, token_counts, url_filters
 from tessella.llm import arrow_words as aw
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -320,6 +320,21 @@ def test_hmm_counts_of_a_long_text_do_not_depend_on_segments(monkeypatch):
         assert all(np.allclose(a, b) for a, b in zip(into, want))
 
 
+def test_hmm_rounds_move_no_chunks(spark, monkeypatch):
+    """A round shuffles counts alone, one row for a group and range: the chunks are read by group from their buckets."""
+    monkeypatch.setattr(hmm_score, "FREQUENT", 40)
+    docs = spark.createDataFrame([(i, prose(40, i)) for i in range(60)], "doc_id long, text string").repartition(6)
+    with common.Tables(spark, "lm") as tables:
+        model = hmm_score.Model(docs, tables)
+        model.round()
+        groups = {r["grp"] for r in model.chunks.select("grp").collect()}
+        assert 1 < len(groups) < model.chunks.count()
+        kept = model.counts.filter("grp IS NOT NULL")
+        assert 0 < kept.count() == kept.select("grp", "part").distinct().count() <= len(groups) * model.ranges
+        plan = model.by_group(lambda chunks, found: chunks.select(["grp"]), "grp long")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+
+
 def test_hmm_tokens_of_one_hash_keep_apart(spark, monkeypatch):
     """Numbers and counts of tokens stay exact where hashes collide, and whatever the chunks."""
     monkeypatch.setattr(aw, "hashes", lambda x: np.array([len(w) for w in x.to_pylist()], dtype=np.uint64))
