@@ -200,9 +200,9 @@ def run(obs: np.ndarray, starts: np.ndarray, lengths: np.ndarray, model: tuple,
             ahead = _backward(values, emitted, scales, step, after / (ends * after).sum(axis=0), pairs)
             into[1][:] += pairs * step
             seen = np.concatenate(codes)
-            chance = np.concatenate(values, axis=1, out=ROOM.give("chance", states, len(seen)))
             for s in range(states):
-                into[2][:, s] += np.bincount(seen, weights=chance[s], minlength=len(emit))
+                chance = np.concatenate([v[s] for v in values], out=ROOM.give("chance", len(seen)))
+                into[2][:, s] += np.bincount(seen, weights=chance, minlength=len(emit))
             if first:
                 into[0][:] += values[0].sum(axis=1)
         return logs, ends, ahead
@@ -368,6 +368,12 @@ def _strings(data: bytes, sizes: bytes) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
+def _hashes(tokens: pa.Array) -> np.ndarray:
+    """The hashes of a group's tokens, some at a time, as hashing takes some forty bytes for each byte."""
+    step = 1 << 16
+    return np.concatenate([np.empty(0, dtype=np.uint64), *(aw.hashes(tokens.slice(i, step)) for i in range(0, len(tokens), step))])
+
+
 def _merged(table: pa.Table) -> tuple[list[int], pa.Array, list[np.ndarray]]:
     """(rows of the chunks of a group in their order, the group's distinct tokens, where each chunk's are among them)."""
     order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
@@ -384,9 +390,11 @@ def _numbered(parts: int):
         order, held, places = _merged(table)
         n = np.frombuffer(b"".join(counts[i] for i in order), dtype=np.int32)
         counts, rows = np.rint(np.bincount(np.concatenate(places), weights=n, minlength=len(held))).astype(np.int64), []
-        for part, at in _split_up((aw.hashes(held) % np.uint64(parts)).astype(np.int64)):
+        for part, at in _split_up((_hashes(held) % np.uint64(parts)).astype(np.int64)):
             own, ends = aw.contents(held.take(pa.array(at)))
             rows.append((part, grp, at.astype(np.int32).tobytes(), own.tobytes(), np.diff(ends).astype(np.int32).tobytes(), _pack(counts[at])))
+        del held, own
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches([_rows(rows, _wanted(OFFER))])
 
     def number(table: pa.Table) -> pa.Table:
@@ -431,9 +439,11 @@ def _looked_up(parts: int, known):
             place = np.where((frequent[near] == number) & (n > 0), near, -1).astype(np.int32)
         rare = np.nonzero((place < 0) & (n > 0))[0]
         rare = rare[np.argsort(part[rare], kind="stable")]
-        seeds = aw.hashes(tokens.take(pa.array(rare)))
+        seeds = _hashes(tokens.take(pa.array(rare)))
         group = (v, _pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), code[rare].tobytes(), seeds.tobytes())
         more = _rows([(_pack(own), *(group if not k else [None] * len(group))) for k, own in enumerate(places)], _wanted(KEPT))
+        del tokens
+        pa.default_memory_pool().release_unused()
         kept = pa.concat_tables([chunks.slice(i, 1) for i in order]).select(CHUNK_ROW)
         return pa.Table.from_arrays([*kept.columns, *more.columns], names=[*CHUNK_ROW, *more.schema.names])
 
@@ -501,6 +511,8 @@ def _added(ranges: int):
                 own[codes] += _wide(x)  # a group has a token once
             rows = [(part, grp, _short(own[codes]), *nothing) for grp, codes, _ in asked]
             rows.append((part, None, None, *own.sum(axis=0).tolist()))
+        asked.clear()
+        pa.default_memory_pool().release_unused()
         yield _rows(rows, _wanted(SUMS))
 
     return add
@@ -524,6 +536,7 @@ class Group:
     """The chunks that a task works on, with the model's counts for their tokens."""
 
     def __init__(self, chunks: pa.Table, found: pa.Table, model: tuple):
+        pa.default_memory_pool().release_unused()
         frequent, _, _, self.totals, self.v_all, first = model
         self.rows, self.grp = chunks, chunks.column("grp")[0].as_py()
         at = int(np.nonzero(chunks.column("n_words").is_valid().to_numpy())[0][0])
