@@ -94,20 +94,20 @@ class Tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove(self.spark, self.root)
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """`df` written as Parquet and read again, which cuts the lineage; and its number of rows, counted in the same job."""
+    def write(self, df: DataFrame, **options) -> tuple[DataFrame, int]:
+        """`df` written as Parquet, with the writer's `options`, and read again, which cuts the lineage; and its number of rows, counted in the same job."""
         path, seen = f"{self.root}/{uuid.uuid4().hex}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(path)
         written = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(written)] = path
         return written, int(seen.get["n"])
 
-    def buckets(self, df: DataFrame, n: int, key: str) -> tuple[DataFrame, int]:
+    def buckets(self, df: DataFrame, n: int, key: str, **options) -> tuple[DataFrame, int]:
         """Like write(), in `n` buckets by `key`: grouping what is read by `key` moves no row. Rows of a bucket had best be in one task already."""
         name, seen = f"bucketed_{uuid.uuid4().hex}", Observation()
         path = f"{self.root}/{name}"
         self.names.append(name)
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.bucketBy(n, key).options(**options).option("path", path).format("parquet").saveAsTable(name)
         written = self.spark.table(name)
         self.paths[id(written)] = path
         return written, int(seen.get["n"])

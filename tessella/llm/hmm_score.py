@@ -7,7 +7,8 @@ likelihood of the whole text is exact: the forward recursion runs over all its t
 
 Texts are encoded once, in chunks of about `CHUNK` bytes: a chunk holds the codes of its tokens and its own vocabulary. About
 `TASK_CHUNKS` chunks are a group with one vocabulary, whose tokens get numbers and training counts by one exchange. Groups are
-stored in buckets, one in each, so that no chunk moves again. Training passes over every training text until a round gains less
+stored in buckets, one in each, so that no chunk moves again. A chunk is one row, small enough that Spark never holds large arrays;
+the recursion takes the chunks of a group together until they have about `BLOCK_TOKENS` tokens. Training passes over every training text until a round gains less
 than `GAIN` of the log likelihood. In a round a task runs the forward-backward recursion over the whole texts of one group, adds up
 the expected counts of its tokens and sends them, packed by ranges of token numbers; the counts of a range are added up and go back
 to the groups that asked. The most frequent `FREQUENT` tokens, a fixed number, are broadcast. Expected counts travel as 40-bit
@@ -41,16 +42,18 @@ CLASSES = 1 << 13
 #: Training ends with a round that gains less than this share of the log likelihood.
 GAIN = 1e-3
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 #: Most tokens of a segment, and tokens that run through the recursion at once.
-SEGMENT, BLOCK_TOKENS = 512, 1_000_000
+SEGMENT, BLOCK_TOKENS = 512, 300_000
 FREQUENT = 200_000
 #: Tokens of chunks that one range of token numbers has, at most about; and frequent tokens that are added up together.
 RANGE, SLICE = 250_000, 256
 #: Chunks of a group, about: a task works on one group and sends the sums of its tokens once.
-TASK_CHUNKS = 12
+TASK_CHUNKS = 36
 #: Distinct tokens of a chunk, about; more of them only make ranges larger.
-DISTINCT = 80_000
+DISTINCT = 27_000
+#: How tables with large values are written: these are compressed already, and in row groups of this size readers and writers hold little.
+LARGE = {"compression": "none", "parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1}
 #: The end token; no word is empty.
 END = ""
 HELD_OUT, FOLDS = 2, 7
@@ -321,8 +324,8 @@ def _chunks(docs: DataFrame, groups: list[int]) -> DataFrame:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([groups[turn]]), pa.array([made]), pa.array([out]), lists, pa.array([len(codes)]), pa.array([_pack(np.diff(offsets).astype(np.int32))]),
-                    pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array([tokens.tobytes()]),
-                    pa.array([sizes.tobytes()]), pa.array([counts.tobytes()]),
+                    pa.array([_pack(codes.astype(np.int32))]), pa.array([len(distinct)]), pa.array([_pack(tokens)]),
+                    pa.array([_pack(sizes)]), pa.array([_pack(counts)]),
                 ],
                 names=["grp", "chunk", "held_out", "doc_ids", "n", "lengths", "codes", "v", "tokens", "sizes", "counts"],
             )
@@ -362,8 +365,7 @@ OFFER = "part int, grp long, idx binary, tokens binary, sizes binary, counts bin
 LOOKUP = "part int, grp long, idx binary, codes binary, n binary, seeds binary, n_all long, v_all long, " + ", ".join(f"x{s} double" for s in range(STATES))
 
 
-def _strings(data: bytes, sizes: bytes) -> pa.Array:
-    sizes = np.frombuffer(sizes, dtype=np.int32)
+def _strings(data: bytes | np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
 
@@ -377,18 +379,22 @@ def _hashes(tokens: pa.Array) -> np.ndarray:
 def _merged(table: pa.Table) -> tuple[list[int], pa.Array, list[np.ndarray]]:
     """(rows of the chunks of a group in their order, the group's distinct tokens, where each chunk's are among them)."""
     order = np.argsort(table.column("chunk").to_numpy(), kind="stable").tolist()
-    tokens, sizes = (table.column(c).to_pylist() for c in ("tokens", "sizes"))
-    coded = pa.concat_arrays([_strings(tokens[i], sizes[i]) for i in order]).dictionary_encode()
-    return order, coded.dictionary, np.split(np.asarray(coded.indices, dtype=np.int32), np.cumsum([len(sizes[i]) // 4 for i in order])[:-1])
+    tokens, sizes, v = (table.column(c).to_pylist() for c in ("tokens", "sizes", "v"))
+    each = []
+    for i in order:
+        own = _unpack(sizes[i], np.int32, v[i])
+        each.append(_strings(_unpack(tokens[i], np.uint8, int(own.sum(dtype=np.int64))), own))
+    coded = pa.concat_arrays(each).dictionary_encode()
+    return order, coded.dictionary, np.split(np.asarray(coded.indices, dtype=np.int32), np.cumsum([v[i] for i in order])[:-1])
 
 
 def _numbered(parts: int):
     """Functions that offer the tokens of groups by range, and that number the tokens of a range and add up their counts."""
 
     def offer(table: pa.Table) -> pa.Table:
-        grp, counts = table.column("grp")[0].as_py(), table.column("counts").to_pylist()
+        grp, counts, v = table.column("grp")[0].as_py(), table.column("counts").to_pylist(), table.column("v").to_pylist()
         order, held, places = _merged(table)
-        n = np.frombuffer(b"".join(counts[i] for i in order), dtype=np.int32)
+        n = np.concatenate([_unpack(counts[i], np.int32, v[i]) for i in order])
         counts, rows = np.rint(np.bincount(np.concatenate(places), weights=n, minlength=len(held))).astype(np.int64), []
         for part, at in _split_up((_hashes(held) % np.uint64(parts)).astype(np.int64)):
             own, ends = aw.contents(held.take(pa.array(at)))
@@ -400,7 +406,7 @@ def _numbered(parts: int):
     def number(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         groups, idx, tokens, sizes, counts = (table.column(c).to_pylist() for c in ("grp", "idx", "tokens", "sizes", "counts"))
-        coded = pa.concat_arrays([_strings(t, s) for t, s in zip(tokens, sizes)]).dictionary_encode()
+        coded = pa.concat_arrays([_strings(t, np.frombuffer(s, dtype=np.int32)) for t, s in zip(tokens, sizes)]).dictionary_encode()
         codes, n = np.asarray(coded.indices, dtype=np.int32), np.concatenate([_unpack(c, np.int64, len(x) // 4) for c, x in zip(counts, idx)])
         total = np.rint(np.bincount(codes, weights=n, minlength=len(coded.dictionary))).astype(np.int64)
         cuts, rows = np.cumsum([0, *(len(x) // 4 for x in idx)]), []
@@ -440,7 +446,7 @@ def _looked_up(parts: int, known):
         rare = np.nonzero((place < 0) & (n > 0))[0]
         rare = rare[np.argsort(part[rare], kind="stable")]
         seeds = _hashes(tokens.take(pa.array(rare)))
-        group = (v, _pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), code[rare].tobytes(), seeds.tobytes())
+        group = (v, _pack(place), _pack(n), len(rare), _pack(rare.astype(np.int32)), _pack(part[rare]), _pack(code[rare]), seeds.tobytes())
         more = _rows([(_pack(own), *(group if not k else [None] * len(group))) for k, own in enumerate(places)], _wanted(KEPT))
         del tokens
         pa.default_memory_pool().release_unused()
@@ -518,17 +524,20 @@ def _added(ranges: int):
     return add
 
 
-class Chunk:
-    """A row of the table of chunks, with the emissions of its tokens."""
+class Block:
+    """Some chunks of a group, all held out or none, as one, with the emissions of their tokens."""
 
-    def __init__(self, row: pa.Table, group: Group):
-        self.doc_ids = row.column("doc_ids").chunk(0).flatten()
-        x = row.select(["held_out", "n", "lengths", "codes", "v", "words"]).to_pylist()[0]
-        self.held_out = x["held_out"]
-        self.codes = _unpack(x["codes"], np.int32, x["n"]).astype(np.int64)
-        self.lengths = _unpack(x["lengths"], np.int32, len(self.doc_ids)).astype(np.int64)
+    def __init__(self, rows: pa.Table, group: Group):
+        self.doc_ids = pa.concat_arrays([c.flatten() for c in rows.column("doc_ids").chunks])
+        rows = rows.select(["held_out", "n", "lengths", "codes", "v", "words", "doc_ids"])
+        sizes = pc.list_value_length(rows.column("doc_ids")).to_pylist()
+        rows = rows.drop_columns(["doc_ids"]).to_pylist()
+        self.held_out = rows[0]["held_out"]
+        self.lengths = np.concatenate([_unpack(x["lengths"], np.int32, n) for x, n in zip(rows, sizes)]).astype(np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.words = _unpack(x["words"], np.int32, x["v"])
+        self.words, place = np.unique(np.concatenate([_unpack(x["words"], np.int32, x["v"]) for x in rows]), return_inverse=True)
+        own = np.split(place, np.cumsum([x["v"] for x in rows])[:-1])
+        self.codes = np.concatenate([p.take(_unpack(x["codes"], np.int32, x["n"])) for p, x in zip(own, rows)])
         self.emit = emission(group.counts.take(self.words, axis=0), group.totals, group.v_all)
 
 
@@ -545,7 +554,7 @@ class Group:
         self.n = _unpack(x["counts"], np.int64, x["n_words"])
         # tokens beyond the frequent ones: their places, in the order of their ranges
         self.rare, part = _unpack(x["rare_at"], np.int32, x["n_rare"]), _unpack(x["rare_part"], np.int32, x["n_rare"])
-        self.code = np.frombuffer(x["rare_code"], dtype=np.int32)
+        self.code = _unpack(x["rare_code"], np.int32, x["n_rare"])
         cuts = np.nonzero(np.diff(part, prepend=-1, append=-1))[0] if len(part) else np.zeros(1, dtype=np.int64)
         self.ranges = {int(part[a]): slice(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())}
         self.counts = np.zeros((x["n_words"], STATES))
@@ -557,10 +566,19 @@ class Group:
             at = self.rare[self.ranges[part]]
             self.counts[at] = _all_states(_wide(x), self.n[at])
 
-    def __iter__(self) -> Iterator[Chunk]:
-        for i in range(self.rows.num_rows):
-            yield Chunk(self.rows.slice(i, 1), self)
-            pa.default_memory_pool().release_unused()
+    def blocks(self, held_out: bool) -> Iterator[Block]:
+        """The chunks of one kind, in blocks of about BLOCK_TOKENS tokens; a chunk is never cut."""
+        kinds, sizes = (self.rows.column(c).to_pylist() for c in ("held_out", "n"))
+        own, total = [], 0
+        for i in [i for i, kind in enumerate(kinds) if kind == held_out]:
+            if own and total + sizes[i] > BLOCK_TOKENS:
+                yield Block(pa.concat_tables(own), self)
+                own, total = [], 0
+                pa.default_memory_pool().release_unused()
+            own.append(self.rows.slice(i, 1))
+            total += sizes[i]
+        if own:
+            yield Block(pa.concat_tables(own), self)
 
 
 class Model:
@@ -569,11 +587,11 @@ class Model:
     def __init__(self, docs: DataFrame, tables: Tables):
         self.spark, self.tables, self.counts = docs.sparkSession, tables, None
         groups = _groups(docs)
-        chunks, n_chunks = tables.buckets(_chunks(docs, groups).repartition(len(groups), "grp"), len(groups), "grp")
+        chunks, n_chunks = tables.buckets(_chunks(docs, groups).repartition(len(groups), "grp"), len(groups), "grp", **LARGE)
         tables.release()
         self.ranges = max(1, -(-n_chunks * DISTINCT // RANGE))
         offer, number = _numbered(self.ranges)
-        offers = chunks.select("grp", "chunk", "tokens", "sizes", "counts").groupBy("grp").applyInArrow(offer, OFFER)
+        offers = chunks.select("grp", "chunk", "v", "tokens", "sizes", "counts").groupBy("grp").applyInArrow(offer, OFFER)
         found, _ = tables.write(offers.groupBy("part").applyInArrow(number, LOOKUP))
         tables.release()
 
@@ -595,7 +613,7 @@ class Model:
         kinds = {f.name: f.dataType.simpleString() for f in chunks.schema}
         schema = ", ".join(f"{c} {kinds[c]}" for c in CHUNK_ROW)
         looked_up = chunks.drop("counts").groupBy("grp").cogroup(own.groupBy("grp")).applyInArrow(_looked_up(self.ranges, known), f"{schema}, {KEPT}")
-        self.chunks, _ = tables.buckets(looked_up, len(groups), "grp")
+        self.chunks, _ = tables.buckets(looked_up, len(groups), "grp", **LARGE)
         known.unpersist()
         tables.drop(chunks)
         tables.drop(found)
@@ -621,11 +639,10 @@ class Model:
             start, step = model[1], model[2]
             group, ends, steps, likelihood = Group(chunks, found, model), np.zeros(STATES), np.zeros((STATES, STATES)), 0.0
             counts = np.zeros(group.counts.shape)
-            for chunk in group:
-                if not chunk.held_out:
-                    own = np.zeros(chunk.emit.shape)
-                    likelihood += expected(chunk.codes, chunk.starts, chunk.lengths, (start, step, chunk.emit), (ends, steps, own))
-                    counts[chunk.words] += own
+            for block in group.blocks(False):
+                own = np.zeros(block.emit.shape)
+                likelihood += expected(block.codes, block.starts, block.lengths, (start, step, block.emit), (ends, steps, own))
+                counts[block.words] += own
             rows = [(part, group.grp, group.code[at].tobytes(), _short(counts[group.rare[at]])) for part, at in group.ranges.items()]
             rows.append((-1, None, None, np.concatenate([ends, steps.ravel(), [likelihood]]).tobytes()))
             met = np.nonzero(group.place >= 0)[0]
@@ -634,7 +651,7 @@ class Model:
             return pa.Table.from_batches([_rows(rows, _wanted(SENT))])
 
         sent = self.by_group(count, SENT)
-        counts, _ = self.tables.write(sent.groupBy("part").applyInArrow(_added(ranges), SUMS))
+        counts, _ = self.tables.write(sent.groupBy("part").applyInArrow(_added(ranges), SUMS), **LARGE)
         if self.counts is not None:
             self.tables.drop(self.counts)
         self.counts = counts
@@ -673,15 +690,15 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
         def judge(chunks: pa.Table, found: pa.Table) -> pa.Table:
             model, out = held.value, []
             group = Group(chunks, found, model)
-            for chunk in group:
-                n, size = group.n[chunk.words], len(chunk.lengths)
-                add = lambda x: np.add.reduceat(x[chunk.codes], chunk.starts)  # noqa: B023, E731
+            for block in (b for kind in (False, True) for b in group.blocks(kind)):
+                n, size = group.n[block.words], len(block.lengths)
+                add = lambda x: np.add.reduceat(x[block.codes], block.starts)  # noqa: B023, E731
                 out.append(
                     pa.RecordBatch.from_arrays(
                         [
-                            chunk.doc_ids, pa.array(np.full(size, chunk.held_out)), pa.array(chunk.lengths),
+                            block.doc_ids, pa.array(np.full(size, block.held_out)), pa.array(block.lengths),
                             pa.array(add((n > 0).astype(np.int64))), pa.array(np.full(size, n_all)),
-                            pa.array(add(np.log10((n + 1) / base_size))), pa.array(forward(chunk.codes, chunk.starts, chunk.lengths, (model[1], model[2], chunk.emit))),
+                            pa.array(add(np.log10((n + 1) / base_size))), pa.array(forward(block.codes, block.starts, block.lengths, (model[1], model[2], block.emit))),
                         ],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                     )

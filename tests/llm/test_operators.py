@@ -335,6 +335,47 @@ def test_hmm_rounds_move_no_chunks(spark, monkeypatch):
         assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
 
 
+def test_hmm_groups_are_stored_in_small_parts(spark, monkeypatch):
+    """What Spark holds at once of a group's table does not grow with the group: row groups hold few rows, without a codec's copies."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(hmm_score, "CHUNK", 20_000)
+    monkeypatch.setitem(hmm_score.LARGE, "parquet.block.size", 30_000)
+    docs = spark.createDataFrame([(i, prose(400, i)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    with common.Tables(spark, "lm") as tables:
+        model = hmm_score.Model(docs, tables)
+        metas = [pq.read_metadata(name.removeprefix("file:")) for name in model.chunks.inputFiles()]
+        sizes = [m.row_group(i).total_byte_size for m in metas for i in range(m.num_row_groups)]
+        assert sum(m.num_rows for m in metas) == model.chunks.count() > 3 * len(metas)
+        assert len(sizes) >= 2 * len(metas) and sorted(sizes)[len(sizes) // 2] <= 60_000
+        assert {m.row_group(0).column(i).compression for m in metas for i in range(m.num_columns)} == {"UNCOMPRESSED"}
+
+
+def test_hmm_scores_do_not_depend_on_blocks(spark, monkeypatch):
+    """The recursion takes a group's chunks together, up to BLOCK_TOKENS tokens; what it takes changes no score and loses no text."""
+    import pyarrow.compute as pc
+
+    monkeypatch.setattr(hmm_score, "CHUNK", 2_000)
+    docs = spark.createDataFrame([(i, prose(30 + i, i)) for i in range(240)] + [(900, None)], "doc_id long, text string").coalesce(2)
+    with common.Tables(spark, "lm") as tables:
+        model = hmm_score.Model(docs, tables)
+        rows = model.chunks.toArrow()
+        first = rows.filter(pc.equal(rows.column("grp"), rows.column("grp")[0]))
+    found = __import__("pyarrow").table({"part": [], "x": []})
+    got, taken = {}, {}
+    for size in (1, 2_000, 10**6):
+        monkeypatch.setattr(hmm_score, "BLOCK_TOKENS", size)
+        group = hmm_score.Group(first, found, model.model())
+        blocks = [b for kind in (False, True) for b in group.blocks(kind)]
+        taken[size] = [len(b.codes) for b in blocks]
+        scores = [zip(b.doc_ids.to_pylist(), hmm_score.forward(b.codes, b.starts, b.lengths, (model.start, model.step, b.emit))) for b in blocks]
+        got[size] = dict(x for each in scores for x in each)
+    assert len(taken[1]) == first.num_rows > len(taken[2_000]) > len(taken[10**6]) > 0
+    assert max(taken[2_000]) <= 2_000 and len({sum(x) for x in taken.values()}) == 1
+    assert len(got[1]) == pc.sum(pc.list_value_length(first.column("doc_ids"))).as_py() and got[1].keys() == got[2_000].keys() == got[10**6].keys()
+    assert all(got[1][i] == pytest.approx(got[k][i], rel=1e-9) for k in got for i in got[1])
+
+
 def test_hmm_tokens_of_one_hash_keep_apart(spark, monkeypatch):
     """Numbers and counts of tokens stay exact where hashes collide, and whatever the chunks."""
     monkeypatch.setattr(aw, "hashes", lambda x: np.array([len(w) for w in x.to_pylist()], dtype=np.uint64))
