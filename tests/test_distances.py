@@ -72,3 +72,13 @@ def test_work_grows_with_the_points(spark):
         df = spark.range(n).select(*[F.randn(j).alias(f"f{j}") for j in range(3)]).cache()
         cost.append(distances.choose(df, ["f0", "f1", "f2"], [-6.0] * 3, 12.0)[2].sum())
     assert cost[1] < 20 * cost[0]
+
+
+def test_sweep_measures_all_rows(spark):
+    """Beyond 20,000 rows too, the silhouettes of a sweep are those of all rows, and none is taken from a sample."""
+    df = spark.range(24_000).selectExpr("id AS ID", "double(id % 240) AS x").cache()
+    found = {r["k"]: r["silhouette"] for r in cluster.sweep(df, ["x"], range(2, 4), starts=1).collect()}
+    centers = {k: c.tolist() for k, (c, _, _) in cluster.best_starts(df, ["x"], [2, 3], 1).items()}
+    for k, c in centers.items():
+        labelled = cluster.assign(df, ["x"], c)
+        assert found[k] == pytest.approx(cluster.silhouettes(labelled, ["x"]).agg(F.avg("s")).first()[0], abs=1e-9)
